@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm.common import table
+from plumbline.llm.license_scan import license_scan
 from plumbline.llm.quality_rules import quality_rules
 
 
@@ -13,8 +14,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES = {
     "op8_quality_rules": op8_quality_rules,
+    "op9_license_scan": op9_license_scan,
 }
 
 ORACLES: dict[str, str] = {}
