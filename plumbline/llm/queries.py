@@ -3,10 +3,38 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm.common import table
+from plumbline.llm import langid, quality_cnn
+from plumbline.llm.common import crc_mod, table
 from plumbline.llm.license_scan import license_scan
 from plumbline.llm.quality_rules import quality_rules
+from plumbline.llm.toxicity import toxicity
+
+#: Folder of the public tokenizer files.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op1_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    net = quality_cnn.fit(docs, labels.filter(crc_mod("doc_id", 3) != 1))
+    return quality_cnn.score(docs, net).select(
+        "doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity(docs, labels.filter(crc_mod("doc_id", 5) != 0)).select(
+        "doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_hits")
+
+
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(crc_mod("doc_id", 5) != 0), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return langid.predict(docs, model).select(
+        "doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +47,9 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_cnn": op1_quality_cnn,
+    "op2_toxicity": op2_toxicity,
+    "op3_langid": op3_langid,
     "op8_quality_rules": op8_quality_rules,
     "op9_license_scan": op9_license_scan,
 }

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import materialize
-from plumbline.llm.words import Hasher, blocks, text_bytes, word_bounds
+from plumbline.llm.words import Hasher, blocks, hash_bytes, text_bytes, word_bounds
 
 #: Terms used whatever the labels say; fixed values.
 SEED_TERMS = ("idiot", "moron", "stupid", "scum", "trash", "loser", "pathetic", "worthless", "disgusting", "clown")
@@ -42,15 +42,18 @@ def allowed_edits(term: str) -> int:
 
 
 class TermTrie:
-    """Trie of terms, walked together with a word's Levenshtein automaton."""
+    """Trie of terms, walked together with a word's Levenshtein automaton.
+
+    A term that ends in ``*`` is a stem: it matches words that begin with it, without edits.
+    """
 
     def __init__(self, terms: list[str]):
         self.root: dict = {}
         for number, term in enumerate(terms):
             node = self.root
-            for byte in term.encode():
+            for byte in term.removesuffix("*").encode():
                 node = node.setdefault(byte, {})
-            node["end"] = (number, allowed_edits(term))
+            node["stem" if term.endswith("*") else "end"] = (number, 0 if term.endswith("*") else allowed_edits(term))
 
     def match(self, word: bytes, most: int = 2) -> tuple[int, int] | None:
         """(edits, term) of the nearest term within its allowed edits; ties go to the first term.
@@ -65,8 +68,11 @@ class TermTrie:
             end = node.get("end")
             if end and state[-1] <= end[1] and (best is None or (state[-1], end[0]) < best):
                 best = (state[-1], end[0])
+            stem = node.get("stem")
+            if stem and 0 in state and (best is None or (0, stem[0]) < best):
+                best = (0, stem[0])
             for byte, child in node.items():
-                if byte == "end":
+                if isinstance(byte, str):
                     continue
                 row = [state[0] + 1]
                 for j, c in enumerate(word):
@@ -97,12 +103,14 @@ class _Matcher:
 
     def __init__(self, terms: list[str]):
         self.trie = TermTrie(terms)
-        raw = [t.encode() for t in terms]
-        self.terms = [(len(t), np.bitwise_or.reduce(np.uint32(1) << (np.frombuffer(t, np.uint8) & 31).astype(np.uint32)),
-                       allowed_edits(s)) for t, s in zip(raw, terms, strict=True)]
+        whole = [t for t in terms if not t.endswith("*")]
+        self.terms = [(len(t.encode()), np.bitwise_or.reduce(
+            np.uint32(1) << (np.frombuffer(t.encode(), np.uint8) & 31).astype(np.uint32)), allowed_edits(t)) for t in whole]
+        stems = [t[:-1].encode() for t in terms if t.endswith("*")]
+        self.stems = {n: np.unique(np.array([hash_bytes(t) for t in stems if len(t) == n], np.uint64)) for n in {len(t) for t in stems}}
         self.known, self.found = np.zeros(0, np.uint64), np.zeros(0, np.int32)
 
-    def _test(self, block: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def _test(self, block: np.ndarray, hasher: Hasher, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """0, or 1 + 4 * term + edits."""
         out = np.zeros(len(start), np.int32)
         bits = np.append(np.uint32(1) << (block & 31).astype(np.uint32), np.uint32(0))
@@ -117,18 +125,22 @@ class _Matcher:
         for n, mask, k in self.terms:
             lo, hi = np.searchsorted(sorted_length, [n - k, n + k + 1])
             maybe[lo:hi] |= np.bitwise_count(sorted_masks[lo:hi] ^ mask) <= 2 * k
+        for n, stems in self.stems.items():
+            lo = np.searchsorted(sorted_length, n)
+            begins = start[by_length[lo:]]
+            maybe[lo:] |= np.isin(hasher(begins, begins + n), stems)
         for i in by_length[np.flatnonzero(maybe)]:
             hit = self.trie.match(block[start[i]:end[i]].tobytes())
             if hit:
                 out[i] = 1 + 4 * hit[1] + hit[0]
         return out
 
-    def __call__(self, hashes: np.ndarray, block: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def __call__(self, hashes: np.ndarray, block: np.ndarray, hasher: Hasher, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """hashes: distinct and sorted."""
         where = np.searchsorted(self.known, hashes)
         new = np.flatnonzero(self.known[np.minimum(where, len(self.known) - 1)] != hashes) if len(self.known) else np.arange(len(hashes))
         if len(new):
-            got = self._test(block, start[new], end[new])
+            got = self._test(block, hasher, start[new], end[new])
             if len(self.known) + len(new) > MEMO_WORDS:
                 kept = np.setdiff1d(np.arange(len(hashes)), new)
                 self.found, self.known = np.concatenate([self.found[where[kept]], got]), np.concatenate([hashes[kept], hashes[new]])
@@ -167,8 +179,9 @@ def hit_features(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text
                     continue
                 np.add.at(sums[:, 5], first + row, 1)
                 mapped = plain[block]
-                hashes, one, inverse = np.unique(Hasher(mapped)(start, end), return_index=True, return_inverse=True)
-                found = matcher(hashes, mapped, start[one], end[one])[inverse]
+                hasher = Hasher(mapped)
+                hashes, one, inverse = np.unique(hasher(start, end), return_index=True, return_inverse=True)
+                found = matcher(hashes, mapped, hasher, start[one], end[one])[inverse]
                 hits = np.flatnonzero(found)
                 near = np.searchsorted(hits, hits + WINDOW, "right") - np.searchsorted(hits, hits - WINDOW)
                 for i, others in zip(hits, near - 1, strict=True):
@@ -202,20 +215,34 @@ def sample_per_class(labels: DataFrame, label_col: str, per_class: int) -> DataF
     return parts[0].unionByName(parts[1])
 
 
-def learn_lexicon(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", min_texts: int = 8,
-                  min_odds: float = 12.0, max_terms: int = 400) -> list[str]:
-    """Terms far likelier in toxic texts. ``labelled`` should be a bounded sample with few copies."""
+def learn_lexicon(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", min_texts: int = 6,
+                  min_odds: float = 12.0, max_terms: int = 400, stem: tuple[int, int] = (5, 10)) -> list[str]:
+    """Words and stems far likelier in toxic texts; stems end in ``*``.
+
+    ``labelled`` should be a bounded sample; equal texts count once. Every word
+    votes with itself and with its beginnings of ``stem`` letters.
+    """
     words = labelled.select(label_col, F.xxhash64(text_col).alias("key"), F.array_distinct(
         F.split(F.lower(F.coalesce(text_col, F.lit(""))), r"[^\p{L}]+")).alias("words")).dropDuplicates(["key"])
     words = materialize(words)
     size = {r[0]: r[1] for r in words.groupBy(label_col).count().collect()}
     if not size.get(0) or not size.get(1):
         return sorted(SEED_TERMS)
-    counted = words.select(label_col, F.explode("words").alias("word")).filter(F.length("word") >= 4).groupBy("word").agg(
+    stems = F.flatten(F.transform("words", lambda w: F.transform(
+        F.sequence(F.lit(stem[0]), F.greatest(F.lit(stem[0]), F.least(F.length(w), F.lit(stem[1])))),
+        lambda n: F.when(F.length(w) >= n, F.concat(F.substr(w, F.lit(1), n), F.lit("*"))))))
+    terms = F.array_distinct(F.array_compact(F.concat(F.filter("words", lambda w: F.length(w) >= 4), stems)))
+    counted = words.select(label_col, F.explode(terms).alias("term")).groupBy("term").agg(
         F.sum(label_col).alias("bad"), F.sum(1 - F.col(label_col)).alias("good"))
     odds = ((F.col("bad") + 0.5) / size[1]) / ((F.col("good") + 0.5) / size[0])
-    top = counted.filter((F.col("bad") >= min_texts) & (odds >= min_odds)).orderBy(F.desc("bad"), "word").limit(max_terms)
-    return sorted({r["word"] for r in top.collect()} | set(SEED_TERMS))
+    sure = counted.filter((F.col("bad") >= min_texts) & (odds >= min_odds))
+    whole = sure.filter(~F.col("term").endswith("*")).orderBy(F.desc("bad"), "term").limit(max_terms).collect()
+    begun = sure.filter(F.col("term").endswith("*")).orderBy(F.desc("bad"), F.length("term"), "term").limit(8 * max_terms).collect()
+    shortest: list[str] = []
+    for t in sorted((r["term"][:-1] for r in begun), key=lambda t: (len(t), t)):
+        if not any(t.startswith(s) for s in shortest):
+            shortest.append(t)
+    return sorted({r["term"] for r in whole} | set(SEED_TERMS)) + [f"{t}*" for t in shortest[:max_terms]]
 
 
 class ToxicityModel(NamedTuple):
