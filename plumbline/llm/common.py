@@ -8,6 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: the one the cluster names, or a new one of a local session that names none."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="plumbline-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint.
 
@@ -16,13 +27,7 @@ def materialize(df: DataFrame) -> DataFrame:
     cluster a missing setting is an error, since a machine-local folder would
     not survive the loss of an executor.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="plumbline-checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -33,3 +38,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def crc_mod(doc_id, m: int):
     """crc32 of the id written as text, modulo ``m``."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(m)
+
+
+#: A key counts as hot when it has more than this share of all rows, so there are fewer than 1 / HOT_SHARE hot keys.
+HOT_SHARE = 1e-3
+
+
+def join_by_hot_key(big: DataFrame, keyed: DataFrame, on: list[str], count_col: str, total: int, how: str = "inner") -> DataFrame:
+    """big JOIN keyed, where ``keyed`` has one row per key and its number of rows in ``big``.
+
+    Keys with more than ``HOT_SHARE`` of ``total`` rows are broadcast: their
+    number is below 1 / HOT_SHARE whatever the data. All others are shuffled,
+    and the hot rows are not part of that shuffle. ``how``: inner or left.
+    """
+    limit = total * HOT_SHARE
+    hot = keyed.filter(F.col(count_col) > limit)
+    cold = keyed.filter(F.col(count_col) <= limit)
+    added = [c for c in keyed.columns if c not in on]
+    tagged = big.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), on, "left")
+    done = tagged.filter(F.col("_hot")).drop("_hot")
+    rest = tagged.filter(F.col("_hot").isNull()).drop("_hot", *added)
+    return done.unionByName(rest.join(cold, on, how).select(done.columns))

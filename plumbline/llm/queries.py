@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from plumbline.llm import langid, quality_cnn
 from plumbline.llm.common import crc_mod, table
 from plumbline.llm.license_scan import license_scan
+from plumbline.llm.line_dedup import removed_lines
+from plumbline.llm.packing import pack_documents
 from plumbline.llm.quality_rules import quality_rules
 from plumbline.llm.toxicity import toxicity
+from plumbline.llm.warc import archive_round_trip
 
 #: Folder of the public tokenizer files.
 TOKENIZERS = "/opt/tokenizers"
@@ -37,6 +40,19 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op5_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "frame", "frame_offset", "record_bytes")
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", with_ids=False)
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removed_lines(table(spark, sf_dir, "documents")).drop("text_key")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -50,6 +66,9 @@ QUERIES = {
     "op1_quality_cnn": op1_quality_cnn,
     "op2_toxicity": op2_toxicity,
     "op3_langid": op3_langid,
+    "op5_warc_bundles": op5_warc_bundles,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_line_dedup": op7_line_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_license_scan": op9_license_scan,
 }
