@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import langid, quality_cnn
 from plumbline.llm.common import crc_mod, table
+from plumbline.llm.decontam import leaks
 from plumbline.llm.license_scan import license_scan
 from plumbline.llm.line_dedup import removed_lines
 from plumbline.llm.packing import pack_documents
@@ -62,6 +63,10 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_quality_cnn": op1_quality_cnn,
     "op2_toxicity": op2_toxicity,
@@ -71,6 +76,7 @@ QUERIES = {
     "op7_line_dedup": op7_line_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_license_scan": op9_license_scan,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLES: dict[str, str] = {}
