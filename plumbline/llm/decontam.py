@@ -2,8 +2,9 @@
 
 Texts and items are normalised to lower-case words with single spaces. A
 window of an item's length is looked at wherever the text holds one of the
-item's ``k + 1`` disjoint pieces unchanged: an occurrence with at most ``k``
-edits leaves one piece whole, so no occurrence is lost there. Each window is
+item's ``k + 1`` disjoint pieces unchanged and most of its short runs: an
+occurrence with at most ``k`` edits leaves one piece and so many runs whole, so
+neither test loses one. Each window is
 embedded by several CGK random walks, under which windows a few edits apart
 agree in most places; bit-sampling tables of the embeddings are joined to those
 of the items on Spark, and each candidate is verified by its exact edit
@@ -31,6 +32,8 @@ WALKS, TABLES_PER_WALK, SAMPLES = 4, 10, 4
 #: Windows embedded at once.
 AT_ONCE = 8192
 GRAM = 9
+#: Length of the short runs that are counted before a window is embedded, and bits of their hashes.
+SHORT, MEMBER_BITS = 4, 13
 
 
 def _kept() -> np.ndarray:
@@ -106,6 +109,9 @@ class Seeds:
             own = codes[np.frombuffer(raw, np.uint8)]
             g = grams(own, q)
             by_q.setdefault(q, []).extend((int(g[j * size]), number, j * size) for j in range(k + 1))
+        self.member = np.zeros((len(raws), 1 << MEMBER_BITS), bool)
+        for number, raw in enumerate(raws):
+            self.member[number, self.short(codes[np.frombuffer(raw, np.uint8)])] = True
         self.tables = {}
         for q, rows in by_q.items():
             gram = np.array([r[0] for r in rows], np.uint64)
@@ -118,9 +124,27 @@ class Seeds:
     def slot(gram: np.ndarray) -> np.ndarray:
         return (gram * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)
 
+    @staticmethod
+    def short(codes: np.ndarray) -> np.ndarray:
+        """Hashes of all runs of SHORT codes."""
+        return (grams(codes, SHORT) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - MEMBER_BITS)
+
+    def likely(self, short: np.ndarray, passage: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether [low, high) can hold the passage: each edit spoils at most SHORT of its short runs, so the others must be there."""
+        least = self.length[passage] - SHORT + 1 - SHORT * self.edits[passage]
+        out, order = np.zeros(len(passage), bool), np.argsort(high - low, kind="stable")
+        for i in range(0, len(order), AT_ONCE // 4):
+            part = order[i:i + AT_ONCE // 4]
+            at = low[part, None] + np.arange(int((high - low)[part].max()))
+            inside = at < (high[part] - SHORT + 1)[:, None]
+            hit = self.member[passage[part, None], short[np.where(inside, at, 0)]] & inside
+            out[part] = hit.sum(1) >= least[part]
+        return out
+
     def windows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, start and passage length of every distinct window that a piece points to."""
         codes, found = _codes()[data], []
+        short = self.short(codes).astype(np.intp) if len(codes) >= SHORT else np.zeros(1, np.intp)
         for q, (gram, number, shift, seen) in self.tables.items():
             if len(codes) < q:
                 continue
@@ -133,11 +157,13 @@ class Seeds:
             p = number[which]
             start, size, k = place - shift[which], self.length[p], self.edits[p]
             good = (place + q <= offsets[row + 1]) & (start >= offsets[row] - k) & (start + size <= offsets[row + 1] + k)
-            start = np.maximum(start, offsets[row])
-            found.append(np.stack([row[good], start[good], size[good]], 1))
+            found.append(np.stack([row[good], start[good], p[good]], 1))
         if not found:
             return (np.zeros(0, np.int64),) * 3
-        every = np.unique(np.concatenate(found), axis=0)
+        row, start, p = np.concatenate(found).T
+        k = self.edits[p]
+        good = self.likely(short, p, np.maximum(start - k, offsets[row]), np.minimum(start + self.length[p] + k, offsets[row + 1]))
+        every = np.unique(np.stack([row, np.maximum(start, offsets[row]), self.length[p]], 1)[good], axis=0)
         return every[:, 0], every[:, 1], every[:, 2]
 
 
