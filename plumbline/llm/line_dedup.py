@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.llm.common import join_by_hot_key, materialize
 
@@ -103,8 +104,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     for t in batch.column(where[1]).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], [*batch.schema.names, "text_key"])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keyed.schema)
-    joined = keyed.mapInArrow(key, f"{schema}, text_key bigint").alias("d").join(
+    with_key = T.StructType([*keyed.schema.fields, T.StructField("text_key", T.LongType())])
+    spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())]))
+    joined = keyed.mapInArrow(key, with_key).alias("d").join(
         cuts.alias("r"), F.col(f"d.{where[0]}").eqNullSafe(F.col("r.doc_id")) & (F.col("d.text_key") == F.col("r.text_key")), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,5 +123,5 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield batch.set_column(at, where[1], pa.array(texts, pa.string()))
 
     out = joined.select(*[f"d.{c}" for c in keyed.columns], "removed").mapInArrow(
-        cut, f"{schema}, removed array<struct<start:bigint,length:bigint>>")
+        cut, T.StructType([*keyed.schema.fields, T.StructField("removed", spans)]))
     return out.toDF(*names, "removed")

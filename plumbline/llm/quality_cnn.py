@@ -166,21 +166,35 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train(np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts]), y)
 
 
+def _scores(batch: pa.RecordBatch, column: str, net: ByteCNN | float, tables: np.ndarray | None) -> np.ndarray:
+    if isinstance(net, float) or not batch.num_rows:
+        return np.full(batch.num_rows, net if isinstance(net, float) else 0.0)
+    data, offsets = text_bytes(batch.column(column), lower=False)
+    start, row = chunk_starts(offsets)
+    return net.probabilities(net.pooled(data, start, offsets[1:][row], tables), row).astype(float)
+
+
 def score(docs: DataFrame, net: ByteCNN | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score of every input row; a null text counts as empty and has a score too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = None if isinstance(net, float) else net.tables()
         for batch in batches:
-            if isinstance(net, float):
-                value = np.full(batch.num_rows, net)
-            elif batch.num_rows:
-                data, offsets = text_bytes(batch.column("text"), lower=False)
-                start, row = chunk_starts(offsets)
-                value = net.probabilities(net.pooled(data, start, offsets[1:][row], tables), row).astype(float)
-            else:
-                continue
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(value)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_scores(batch, "text", net, tables))], ["doc_id", "score"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+
+
+def accepted(docs: DataFrame, net: ByteCNN | float, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns unchanged, whose text scores at least ``least``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = None if isinstance(net, float) else net.tables()
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(batch, text, net, tables) >= least))
+
+    # Names may clash only outside: inside, columns go by their place.
+    names, plain = docs.columns, docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    text = f"c{names.index(text_col)}"
+    return plain.mapInArrow(run, plain.schema).toDF(*names)

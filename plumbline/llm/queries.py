@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.llm import langid, quality_cnn
 from plumbline.llm.common import crc_mod, table
 from plumbline.llm.decontam import leaks
+from plumbline.llm.jaccard_join import near_duplicates
 from plumbline.llm.license_scan import license_scan
 from plumbline.llm.line_dedup import removed_lines
 from plumbline.llm.packing import pack_documents
@@ -41,6 +42,10 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op5_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "frame", "frame_offset", "record_bytes")
@@ -71,6 +76,7 @@ QUERIES = {
     "op1_quality_cnn": op1_quality_cnn,
     "op2_toxicity": op2_toxicity,
     "op3_langid": op3_langid,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_warc_bundles": op5_warc_bundles,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_line_dedup": op7_line_dedup,
