@@ -36,9 +36,9 @@ WINDOW = 8
 
 
 def allowed_edits(term: str) -> int:
-    """Edits (of UTF-8 bytes) allowed for a term: none up to 4 bytes, 1 up to 9, then 2."""
+    """Edits (of UTF-8 bytes) allowed for a term: none up to 4 bytes, 1 up to 11, then 2."""
     n = len(term.encode())
-    return 0 if n <= 4 else 1 if n <= 9 else 2
+    return 0 if n <= 4 else 1 if n <= 11 else 2
 
 
 class TermTrie:
@@ -98,41 +98,66 @@ def _plain_bytes() -> np.ndarray:
     return out
 
 
+class _Term(NamedTuple):
+    length: int
+    mask: np.uint32                      # letters that occur, as bits
+    edits: int
+    parts: list[tuple[int, int, int]]    # start, length and hash of edits + 1 parts
+
+
+def _term(term: str) -> _Term:
+    raw, k = term.encode(), allowed_edits(term)
+    cuts = [len(raw) * i // (k + 1) for i in range(k + 2)]
+    bits = np.uint32(1) << (np.frombuffer(raw, np.uint8) & 31).astype(np.uint32)
+    return _Term(len(raw), np.bitwise_or.reduce(bits), k, [(a, b - a, hash_bytes(raw[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)])
+
+
 class _Matcher:
     """Term and edits of each distinct word, remembered between blocks."""
 
     def __init__(self, terms: list[str]):
         self.trie = TermTrie(terms)
-        whole = [t for t in terms if not t.endswith("*")]
-        self.terms = [(len(t.encode()), np.bitwise_or.reduce(
-            np.uint32(1) << (np.frombuffer(t.encode(), np.uint8) & 31).astype(np.uint32)), allowed_edits(t)) for t in whole]
+        self.terms = [_term(t) for t in terms if not t.endswith("*")]
         stems = [t[:-1].encode() for t in terms if t.endswith("*")]
         self.stems = {n: np.unique(np.array([hash_bytes(t) for t in stems if len(t) == n], np.uint64)) for n in {len(t) for t in stems}}
         self.known, self.found = np.zeros(0, np.uint64), np.zeros(0, np.int32)
 
     def _test(self, block: np.ndarray, hasher: Hasher, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """0, or 1 + 4 * term + edits."""
+        """0, or 1 + 4 * term + edits.
+
+        A word goes to the automaton if its length and letters allow a match
+        and one of the term's parts stands in it unchanged: with as many edits
+        as are allowed, one of ``edits + 1`` parts is always left whole, the
+        first at the start, the last at the end, the middle one at most one off.
+        """
         out = np.zeros(len(start), np.int32)
         bits = np.append(np.uint32(1) << (block & 31).astype(np.uint32), np.uint32(0))
         order = np.argsort(start)
         pairs = np.stack([start[order], end[order]], 1).ravel()
         masks = np.empty(len(start), np.uint32)
         masks[order] = np.bitwise_or.reduceat(bits, pairs)[::2] if len(pairs) else 0
+        by_length = np.argsort(end - start, kind="stable")
+        start, end, masks = start[by_length], end[by_length], masks[by_length]
         length = end - start
-        by_length = np.argsort(length, kind="stable")
-        sorted_length, sorted_masks = length[by_length], masks[by_length]
         maybe = np.zeros(len(start), bool)
-        for n, mask, k in self.terms:
-            lo, hi = np.searchsorted(sorted_length, [n - k, n + k + 1])
-            maybe[lo:hi] |= np.bitwise_count(sorted_masks[lo:hi] ^ mask) <= 2 * k
+        for t in self.terms:
+            lo, hi = np.searchsorted(length, [t.length - t.edits, t.length + t.edits + 1])
+            near = lo + np.flatnonzero(np.bitwise_count(masks[lo:hi] ^ t.mask) <= 2 * t.edits)
+            for i, (at, n, code) in enumerate(t.parts):
+                if i == len(t.parts) - 1:
+                    begins = [end[near] - n]
+                else:
+                    begins = [start[near] + at + d for d in ((0,) if i == 0 else (-1, 0, 1))]
+                for begin in begins:
+                    fits = (begin >= start[near]) & (begin + n <= end[near])
+                    maybe[near[fits]] |= hasher(begin[fits], begin[fits] + n) == np.uint64(code)
         for n, stems in self.stems.items():
-            lo = np.searchsorted(sorted_length, n)
-            begins = start[by_length[lo:]]
-            maybe[lo:] |= np.isin(hasher(begins, begins + n), stems)
-        for i in by_length[np.flatnonzero(maybe)]:
+            lo = np.searchsorted(length, n)
+            maybe[lo:] |= np.isin(hasher(start[lo:], start[lo:] + n), stems)
+        for i in np.flatnonzero(maybe):
             hit = self.trie.match(block[start[i]:end[i]].tobytes())
             if hit:
-                out[i] = 1 + 4 * hit[1] + hit[0]
+                out[by_length[i]] = 1 + 4 * hit[1] + hit[0]
         return out
 
     def __call__(self, hashes: np.ndarray, block: np.ndarray, hasher: Hasher, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -216,7 +241,7 @@ def sample_per_class(labels: DataFrame, label_col: str, per_class: int) -> DataF
 
 
 def learn_lexicon(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", min_texts: int = 6,
-                  min_odds: float = 12.0, max_terms: int = 400, stem: tuple[int, int] = (5, 10)) -> list[str]:
+                  min_odds: float = 12.0, max_terms: int = 200, stem: tuple[int, int] = (5, 10)) -> list[str]:
     """Words and stems far likelier in toxic texts; stems end in ``*``.
 
     ``labelled`` should be a bounded sample; equal texts count once. Every word
