@@ -86,8 +86,9 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     """Bin and offset of each item, items taken in the given order.
 
     With N(g) open bins of residual gap g, putting an item of size s into a bin
-    of gap g changes the sum of squares by 1 + 2 (N(g-s) - N(g)), where a full
-    bin (gap 0) counts for nothing. Ties go to the tightest gap.
+    of gap g changes the sum of squares by 2 + 2 (N(g-s) - N(g)), filling it
+    by 1 - 2 N(g), and a new bin by 1 + 2 N(capacity-s), since full bins count
+    for nothing. Ties go to the tightest gap.
     """
     open_bins: list[list[int]] = [[] for _ in range(capacity + 1)]
     n = np.zeros(capacity + 1, np.int64)
@@ -97,7 +98,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     for i, s in enumerate(lengths.tolist()):
         if s < capacity:
             left = n[s:]
-            change = 2 * (n[:capacity + 1 - s] - left) + 1
+            change = 2 * (n[:capacity + 1 - s] - left) + 2
             change[0] = 1 - 2 * left[0]        # it fills the bin
             change[left == 0] = never
             g = int(change.argmin())
