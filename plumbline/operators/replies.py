@@ -29,6 +29,15 @@ def pending_requests(requests: DataFrame, cached_keys: DataFrame) -> DataFrame:
     return requests.dropDuplicates(["key"]).join(cached_keys.select("key").distinct(), "key", "left_anti")
 
 
+def request_set(**splits: DataFrame) -> DataFrame:
+    """key and the sorted names of the splits that ask for it: one row per distinct request of all splits."""
+    every = None
+    for name, requests in splits.items():
+        part = requests.select("key", F.lit(name).alias("split"))
+        every = part if every is None else every.unionByName(part)
+    return every.groupBy("key").agg(F.sort_array(F.collect_set("split")).alias("splits"))
+
+
 def cached_replies(requests: DataFrame, cache: DataFrame) -> DataFrame:
     return requests.join(cache.select("key", "response"), "key")
 

@@ -436,6 +436,21 @@ def cached_replies(spark: SparkSession, sf: str) -> DataFrame:
     return replies.cached_replies(requests, cache)
 
 
+@query(with_views(["fx_pair"], _KEYS + """
+, sp AS (SELECT rk.key, CASE WHEN p.lang = 'en' THEN 'held_out' ELSE 'calibration' END AS split FROM rk JOIN fx_pair p ON rk.row_id = p.row_id)
+SELECT key, string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM sp GROUP BY key"""))
+def request_set(spark: SparkSession, sf: str) -> DataFrame:
+    keyed = _requests(spark, sf).join(view(spark, sf, "fx_pair").select("row_id", "lang"), "row_id")
+    found = replies.request_set(calibration=keyed.filter("lang <> 'en'"), held_out=keyed.filter("lang = 'en'"))
+    return found.select("key", F.array_join("splits", ",").alias("splits"))
+
+
+@query(with_views(["fx_pair"], "SELECT row_id, cluster_id, prompt, md5(response_b) AS a_md5, md5(response_a) AS b_md5 FROM fx_pair"))
+def swapped_slots(spark: SparkSession, sf: str) -> DataFrame:
+    return judging.swap_slots(view(spark, sf, "fx_pair")).select(
+        "row_id", "cluster_id", "prompt", F.md5("response_a").alias("a_md5"), F.md5("response_b").alias("b_md5"))
+
+
 _LATEST = "SELECT user_id, arg_max(event_type, (ts, event_id)) AS status, max(ts) AS ts FROM events GROUP BY user_id"
 
 
