@@ -26,7 +26,7 @@ from plumbline.llm.words import Hasher, blocks, text_bytes, word_bounds
 BANDS, ROWS, SHINGLE = 20, 4, 5
 HASHES = BANDS * ROWS
 #: Representatives of one bucket that are compared in one block.
-BLOCK = 128
+BLOCK = 256
 #: Hash values compared between two looks at the posterior.
 STEP = 16
 
@@ -171,12 +171,27 @@ def _pairs(bounds: np.ndarray, side: np.ndarray, within: np.ndarray) -> Iterator
             yield (np.full(len(left) * len(right), g), np.repeat(left, len(right)), np.tile(right, len(left)))
 
 
-def pruned_candidates(members: DataFrame, threshold: float, tolerance: float) -> DataFrame:
-    """members: key, p, q, block, band, rep, minhash. One row per member with partners left: key, p, q, rep, partners."""
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of whole blocks as rows of their members."""
+    for batch in batches:
+        lists = batch.column("members")
+        of = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+        inner, take = lists.flatten(), pa.array(of)
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c).take(take) for c in ("key", "p", "q", "block", "band")), inner.field("rep"), inner.field("minhash")],
+            ["key", "p", "q", "block", "band", "rep", "minhash"])
+
+
+def pruned_candidates(pairs_of_blocks: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """key, p, q, block, band and the block's members (rep, minhash), sorted by key, p, q, block.
+
+    One row per member that has a partner left in the other block (or in its
+    own, where p is q): key, p, q, rep, partners.
+    """
     need = least_matches(threshold, tolerance)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, bounds in _groups(batches, ["key", "p", "q"]):
+        for t, bounds in _groups(_members(batches), ["key", "p", "q"]):
             sig = _fixed(t.column("minhash"), 4 * HASHES).view(np.uint32)
             rep, band = t.column("rep").to_numpy(), t.column("band").to_numpy()
             p, q, key = (t.column(c).to_numpy() for c in ("p", "q", "key"))
@@ -189,21 +204,19 @@ def pruned_candidates(members: DataFrame, threshold: float, tolerance: float) ->
                     g, i, j, matches = g[good], i[good], j[good], matches[good]
                 equal = (sig[i] == sig[j]).reshape(-1, BANDS, ROWS).all(2)
                 good = equal.argmax(1) == band[i]
-                found.append(np.stack([g[good], i[good], j[good]]))
+                found.append(np.stack([i[good], j[good]]))
             if not found:
                 continue
-            g, i, j = np.concatenate(found, 1)
+            i, j = np.concatenate(found, 1)
             order = np.argsort(i, kind="stable")
             i, j = i[order], j[order]
             rows = np.union1d(i, j)
-            lo, hi = np.searchsorted(i, rows), np.searchsorted(i, rows, "right")
-            partners = pa.ListArray.from_arrays(pa.array(np.append(lo, len(j)).astype(np.int32)), pa.array(rep[j]))
-            del hi
+            partners = pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(i, rows), len(j)).astype(np.int32)), pa.array(rep[j]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key[rows]), pa.array(p[rows]), pa.array(q[rows]), pa.array(rep[rows]), partners],
                 ["key", "p", "q", "rep", "partners"])
 
-    return members.mapInArrow(run, "key bigint, p int, q int, rep bigint, partners array<bigint>")
+    return pairs_of_blocks.mapInArrow(run, "key bigint, p int, q int, rep bigint, partners array<bigint>")
 
 
 def _intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -329,13 +342,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float =
     shared = join_by_hot_key(banded, buckets, ["key"], "n_bucket", total)
     n_blocks = F.ceil(F.col("n_bucket") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("rep", "key"), n_blocks).cast("int")
-    blocked = shared.withColumn("n_blocks", n_blocks).withColumn("block", block).select(
-        "key", "band", "rep", "block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other"))
-    blocked = blocked.select("key", "band", "rep", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
-    members = blocked.join(classes.select("rep", "minhash"), "rep")
+    # A block travels as one row to each block of its bucket, so rows do not grow with the square of a bucket.
+    members = shared.select("key", "band", "rep", n_blocks.alias("n_blocks"), block.alias("block")).join(classes.select("rep", "minhash"), "rep")
+    per_block = members.groupBy("key", "band", "n_blocks", "block").agg(F.collect_list(F.struct("rep", "minhash")).alias("members"))
+    pairs = per_block.select("*", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")).select(
+        "key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "band", "members")
     by_block = ["key", "p", "q"]
     pruned = materialize(pruned_candidates(
-        members.repartition(*[F.col(c) for c in by_block]).sortWithinPartitions(*by_block, "rep"), threshold, tolerance))
+        pairs.repartition(*[F.col(c) for c in by_block]).sortWithinPartitions(*by_block, "block"), threshold, tolerance))
 
     # Exact verification from the texts of those that are left.
     wanted = pruned.select("rep").distinct().join(
