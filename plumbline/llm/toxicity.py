@@ -10,6 +10,7 @@ hits raise it. A logistic model over the sums per text gives the score.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -48,37 +49,55 @@ class TermTrie:
     """
 
     def __init__(self, terms: list[str]):
-        self.root: dict = {}
+        self.root: dict = {"most": 0}
         for number, term in enumerate(terms):
-            node = self.root
+            node, edits = self.root, 0 if term.endswith("*") else allowed_edits(term)
+            node["most"] = max(node["most"], edits)
             for byte in term.removesuffix("*").encode():
-                node = node.setdefault(byte, {})
-            node["stem" if term.endswith("*") else "end"] = (number, 0 if term.endswith("*") else allowed_edits(term))
+                node = node.setdefault(byte, {"most": 0})
+                node["most"] = max(node["most"], edits)
+            node["stem" if term.endswith("*") else "end"] = (number, edits)
 
-    def match(self, word: bytes, most: int = 2) -> tuple[int, int] | None:
+    def match(self, word: bytes) -> tuple[int, int] | None:
         """(edits, term) of the nearest term within its allowed edits; ties go to the first term.
 
-        A state of the automaton is the row of edit distances between the path
-        in the trie and all prefixes of the word; values over ``most`` are dead.
+        A state of the automaton holds the edit distances between the path in
+        the trie and the prefixes of the word whose length differs from the
+        path's by at most ``k``; a branch ends when all exceed what its terms
+        allow.
         """
+        k, n = self.root["most"], len(word)
+        dead = k + 1
         best: tuple[int, int] | None = None
-        stack = [(self.root, tuple(range(len(word) + 1)))]
+        stack = [(self.root, 0, [dead] * k + list(range(k + 1)))]    # node, depth, distance at prefix length depth + d - k
         while stack:
-            node, state = stack.pop()
+            node, depth, state = stack.pop()
             end = node.get("end")
-            if end and state[-1] <= end[1] and (best is None or (state[-1], end[0]) < best):
-                best = (state[-1], end[0])
+            if end and -k <= n - depth <= k:
+                edits = state[n - depth + k]
+                if edits <= end[1] and (best is None or (edits, end[0]) < best):
+                    best = (edits, end[0])
             stem = node.get("stem")
-            if stem and 0 in state and (best is None or (0, stem[0]) < best):
+            if stem and depth <= n and state[k] == 0 and (best is None or (0, stem[0]) < best):
                 best = (0, stem[0])
             for byte, child in node.items():
                 if isinstance(byte, str):
                     continue
-                row = [state[0] + 1]
-                for j, c in enumerate(word):
-                    row.append(min(state[j] + (c != byte), state[j + 1] + 1, row[j] + 1))
-                if min(row) <= most:
-                    stack.append((child, tuple(row)))
+                row, last = [], dead
+                for d in range(2 * k + 1):
+                    j = depth + 1 + d - k
+                    if j < 0 or j > n:
+                        last = dead
+                    else:
+                        v = state[d] + (word[j - 1] != byte) if j else depth + 1
+                        if d < 2 * k and state[d + 1] + 1 < v:
+                            v = state[d + 1] + 1
+                        if last + 1 < v:
+                            v = last + 1
+                        last = v
+                    row.append(last)
+                if min(row) <= child["most"]:
+                    stack.append((child, depth + 1, row))
         return best
 
 
@@ -117,15 +136,32 @@ class _Matcher:
 
     def __init__(self, terms: list[str]):
         self.trie = TermTrie(terms)
-        self.terms = [_term(t) for t in terms if not t.endswith("*")]
-        stems = [t[:-1].encode() for t in terms if t.endswith("*")]
-        self.stems = {n: np.unique(np.array([hash_bytes(t) for t in stems if len(t) == n], np.uint64)) for n in {len(t) for t in stems}}
+        self.terms = [_term(t) for t in terms if not t.endswith("*") and allowed_edits(t)]
+        self.whole = self._numbered({n: t.encode() for n, t in enumerate(terms) if not t.endswith("*")})
+        stems = {n: t[:-1].encode() for n, t in enumerate(terms) if t.endswith("*")}
+        self.stems = {size: self._numbered({n: t for n, t in stems.items() if len(t) == size}) for size in {len(t) for t in stems.values()}}
         self.known, self.found = np.zeros(0, np.uint64), np.zeros(0, np.int32)
 
+    @staticmethod
+    def _numbered(terms: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted hashes and the number of each term."""
+        hashes, numbers = np.array([hash_bytes(t) for t in terms.values()], np.uint64), np.array(list(terms), np.int32)
+        order = np.argsort(hashes, kind="stable")
+        return hashes[order], numbers[order]
+
+    @staticmethod
+    def _lookup(known: tuple[np.ndarray, np.ndarray], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``hashes`` that hold a term, and its number."""
+        if not len(known[0]):
+            return np.zeros(0, np.int64), known[1]
+        at = np.minimum(np.searchsorted(known[0], hashes), len(known[0]) - 1)
+        hit = np.flatnonzero(known[0][at] == hashes)
+        return hit, known[1][at[hit]]
+
     def _test(self, block: np.ndarray, hasher: Hasher, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """0, or 1 + 4 * term + edits.
 
-        A word goes to the automaton if its length and letters allow a match
+        Words without edits are looked up. Another word goes to the automaton if its length and letters allow a match
         and one of the term's parts stands in it unchanged: with as many edits
         as are allowed, one of ``edits + 1`` parts is always left whole, the
         first at the start, the last at the end, the middle one at most one off.
@@ -151,13 +187,18 @@ class _Matcher:
                 for begin in begins:
                     fits = (begin >= start[near]) & (begin + n <= end[near])
                     maybe[near[fits]] |= hasher(begin[fits], begin[fits] + n) == np.uint64(code)
-        for n, stems in self.stems.items():
+        found = np.zeros(len(start), np.int32)
+        for n, stems in sorted(self.stems.items(), reverse=True):
             lo = np.searchsorted(length, n)
-            maybe[lo:] |= np.isin(hasher(start[lo:], start[lo:] + n), stems)
-        for i in np.flatnonzero(maybe):
-            hit = self.trie.match(block[start[i]:end[i]].tobytes())
-            if hit:
-                out[by_length[i]] = 1 + 4 * hit[1] + hit[0]
+            hit, number = self._lookup(stems, hasher(start[lo:], start[lo:] + n))
+            found[lo + hit] = np.where(found[lo + hit] > 0, np.minimum(found[lo + hit], 1 + 4 * number), 1 + 4 * number)
+        hit, number = self._lookup(self.whole, hasher(start, end))
+        found[hit] = np.where(found[hit] > 0, np.minimum(found[hit], 1 + 4 * number), 1 + 4 * number)
+        for i in np.flatnonzero(maybe & (found == 0)):
+            match = self.trie.match(block[start[i]:end[i]].tobytes())
+            if match:
+                found[i] = 1 + 4 * match[1] + match[0]
+        out[by_length] = found
         return out
 
     def __call__(self, hashes: np.ndarray, block: np.ndarray, hasher: Hasher, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -240,15 +281,28 @@ def sample_per_class(labels: DataFrame, label_col: str, per_class: int) -> DataF
     return parts[0].unionByName(parts[1])
 
 
-def learn_lexicon(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", min_texts: int = 6,
-                  min_odds: float = 12.0, max_terms: int = 200, stem: tuple[int, int] = (5, 10)) -> list[str]:
+def learn_lexicon(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", n_candidates: float = 1e5,
+                  min_odds: float = 12.0, max_words: int = 40, max_stems: int = 400, stem: tuple[int, int] = (5, 10)) -> list[str]:
     """Words and stems far likelier in toxic texts; stems end in ``*``.
 
-    ``labelled`` should be a bounded sample; equal texts count once. Every word
-    votes with itself and with its beginnings of ``stem`` letters.
+    ``labelled`` should be a bounded sample; copies count once. Every word
+    votes with itself and with its beginnings of ``stem`` letters. The
+    ``max_words`` commonest words are matched with edits, stems without. A
+    term must stand in so many toxic texts that chance would put none of
+    ``n_candidates`` terms into them alone.
     """
-    words = labelled.select(label_col, F.xxhash64(text_col).alias("key"), F.array_distinct(
-        F.split(F.lower(F.coalesce(text_col, F.lit(""))), r"[^\p{L}]+")).alias("words")).dropDuplicates(["key"])
+    words = labelled.select(label_col, F.xxhash64(text_col).alias("text_key"), F.array_distinct(
+        F.split(F.lower(F.coalesce(text_col, F.lit(""))), r"[^\p{L}]+")).alias("words"))
+    # Copies of a text would make all of its words look toxic: texts that agree in a MinHash value of their longer words count once.
+    longer = F.filter("words", lambda w: F.length(w) >= 8)
+
+    def least(seed: int) -> Column:
+        return F.coalesce(F.array_min(F.transform(longer, lambda w: F.xxhash64(w, F.lit(seed)))), "text_key")
+
+    words = words.withColumns({f"key{i}": least(i) for i in range(3)})
+    for i in range(3):
+        words = words.dropDuplicates([f"key{i}"])
+    words = words.select(label_col, "words")
     words = materialize(words)
     size = {r[0]: r[1] for r in words.groupBy(label_col).count().collect()}
     if not size.get(0) or not size.get(1):
@@ -259,15 +313,16 @@ def learn_lexicon(labelled: DataFrame, text_col: str = "text", label_col: str =
     terms = F.array_distinct(F.array_compact(F.concat(F.filter("words", lambda w: F.length(w) >= 4), stems)))
     counted = words.select(label_col, F.explode(terms).alias("term")).groupBy("term").agg(
         F.sum(label_col).alias("bad"), F.sum(1 - F.col(label_col)).alias("good"))
+    min_texts = max(3, math.ceil(math.log(n_candidates) / -math.log(size[1] / (size[0] + size[1]))))
     odds = ((F.col("bad") + 0.5) / size[1]) / ((F.col("good") + 0.5) / size[0])
     sure = counted.filter((F.col("bad") >= min_texts) & (odds >= min_odds))
-    whole = sure.filter(~F.col("term").endswith("*")).orderBy(F.desc("bad"), "term").limit(max_terms).collect()
-    begun = sure.filter(F.col("term").endswith("*")).orderBy(F.desc("bad"), F.length("term"), "term").limit(8 * max_terms).collect()
+    whole = sure.filter(~F.col("term").endswith("*")).orderBy(F.desc("bad"), "term").limit(max_words).collect()
+    begun = sure.filter(F.col("term").endswith("*")).orderBy(F.desc("bad"), F.length("term"), "term").limit(8 * max_stems).collect()
     shortest: list[str] = []
     for t in sorted((r["term"][:-1] for r in begun), key=lambda t: (len(t), t)):
         if not any(t.startswith(s) for s in shortest):
             shortest.append(t)
-    return sorted({r["term"] for r in whole} | set(SEED_TERMS)) + [f"{t}*" for t in shortest[:max_terms]]
+    return sorted({r["term"] for r in whole} | set(SEED_TERMS)) + [f"{t}*" for t in shortest[:max_stems]]
 
 
 class ToxicityModel(NamedTuple):
