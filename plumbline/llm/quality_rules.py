@@ -20,10 +20,11 @@ SYMBOLS = "#*$%&|<>"
 SEPARATORS = r"[\x20\x09-\x0D]+"
 WINDOW = 8
 
-#: Measure -> least upper threshold: below it a value is unremarkable whatever its group looks like.
-UPPER_FLOORS = {"symbol_rate": 0.25, "dup_line_rate": 0.30, "repeat_rate": 0.20, "mean_word": 14.0}
-#: Measure -> greatest lower threshold.
-LOWER_CEILINGS = {"mean_word": 2.0}
+#: Measures with an upper fence, and those with a lower one.
+UPPER = ("symbol_rate", "dup_line_rate", "repeat_rate", "mean_word")
+LOWER = ("mean_word",)
+#: Least spread of a measure: where most values of a group are equal, its fence stands so much off them, times ``spread``.
+MIN_SPREAD = 0.05
 
 
 def window_hashes(words: Column, window: int = WINDOW) -> Column:
@@ -91,30 +92,34 @@ def group_sketches(measures: DataFrame, group_cols: list[str], k: int = 400) ->
     """Rows and one KLL sketch per measure for every group; ``merged_sketches`` merges them further."""
     return measures.groupBy(*group_cols).agg(
         F.count(F.lit(1)).alias("n_rows"),
-        *[F.kll_sketch_agg_double(m, F.lit(k)).alias(f"sketch_{m}") for m in UPPER_FLOORS])
+        *[F.kll_sketch_agg_double(m, F.lit(k)).alias(f"sketch_{m}") for m in UPPER])
 
 
 def merged_sketches(sketches: DataFrame, group_cols: list[str]) -> DataFrame:
     """The same over coarser groups, from the sketches alone."""
     return sketches.groupBy(*group_cols).agg(
         F.sum("n_rows").alias("n_rows"),
-        *[F.kll_merge_agg_double(f"sketch_{m}").alias(f"sketch_{m}") for m in UPPER_FLOORS])
+        *[F.kll_merge_agg_double(f"sketch_{m}").alias(f"sketch_{m}") for m in UPPER])
 
 
-def thresholds(sketches: DataFrame, spread: float = 4.0) -> DataFrame:
-    """Upper fence q75 + spread * (q75 - q25), never under the floor; lower fence mirrored."""
+def thresholds(sketches: DataFrame, spread: float = 2.5, tail: float = 0.1) -> DataFrame:
+    """Upper fence high + spread * (high - median) with high the 1 - tail quantile; lower fence mirrored.
+
+    Both come from the group's own sketch alone. A group's fence holds as long as junk is less than ``tail`` of it.
+    """
     def q(m: str, at: float) -> Column:
         return F.kll_sketch_get_quantile_double(F.col(f"sketch_{m}"), F.lit(at))
 
-    upper = {f"max_{m}": F.greatest(q(m, 0.75) + spread * (q(m, 0.75) - q(m, 0.25)), F.lit(v))
-             for m, v in UPPER_FLOORS.items()}
-    lower = {f"min_{m}": F.least(q(m, 0.25) - spread * (q(m, 0.75) - q(m, 0.25)), F.lit(v))
-             for m, v in LOWER_CEILINGS.items()}
-    return sketches.withColumns(upper | lower).drop(*[f"sketch_{m}" for m in UPPER_FLOORS])
+    def wide(x: Column) -> Column:
+        return spread * F.greatest(x, F.lit(MIN_SPREAD))
+
+    upper = {f"max_{m}": q(m, 1 - tail) + wide(q(m, 1 - tail) - q(m, 0.5)) for m in UPPER}
+    lower = {f"min_{m}": q(m, tail) - wide(q(m, 0.5) - q(m, tail)) for m in LOWER}
+    return sketches.withColumns(upper | lower).drop(*[f"sketch_{m}" for m in UPPER])
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  group_cols: tuple[str, ...] = ("lang", "source"), spread: float = 4.0, k: int = 400,
+                  group_cols: tuple[str, ...] = ("lang", "source"), spread: float = 2.5, k: int = 400,
                   min_rows: int = 50) -> DataFrame:
     """doc_id, n_words, the base counts, base_failed, kept, and the thresholds that applied.
 
@@ -131,7 +136,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sketches = group_sketches(measured.filter(~F.col("base_failed")), keys, k)
     own = thresholds(sketches.filter(F.col("n_rows") >= min_rows), spread).drop("n_rows")
     wide = thresholds(merged_sketches(sketches, keys[:1]), spread).drop("n_rows")
-    fences = [f"max_{m}" for m in UPPER_FLOORS] + [f"min_{m}" for m in LOWER_CEILINGS]
+    fences = [f"max_{m}" for m in UPPER] + [f"min_{m}" for m in LOWER]
     on = F.lit(True)
     for c in keys:
         on = on & F.col(f"m.{c}").eqNullSafe(F.col(f"f.{c}"))
@@ -139,9 +144,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
               .join(wide.alias("w"), F.col(f"m.{keys[0]}").eqNullSafe(F.col(f"w.{keys[0]}")), "left")
               .select("m.*", *[F.coalesce(f"f.{c}", f"w.{c}").alias(c) for c in fences]))
     ok = ~F.col("base_failed")
-    for m in UPPER_FLOORS:
+    for m in UPPER:
         ok = ok & (F.col(m) <= F.coalesce(F.col(f"max_{m}"), F.lit(float("inf"))))
-    for m in LOWER_CEILINGS:
+    for m in LOWER:
         ok = ok & (F.col(m) >= F.coalesce(F.col(f"min_{m}"), F.lit(float("-inf"))))
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

@@ -191,6 +191,20 @@ def test_thresholds_follow_their_group(spark):
     assert all(v for k, v in out.items() if k != 300)
 
 
+def test_thresholds_of_given_groups_differ(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("source in ('src1', 'src7', 'src11', 'src13')")
+    group = {r["doc_id"]: (r["lang"], r["source"]) for r in docs.select("doc_id", "lang", "source").collect()}
+    rows = quality_rules.quality_rules(docs).filter("not base_failed").collect()
+    fences = {group[r["doc_id"]]: (r["min_mean_word"], r["max_mean_word"]) for r in rows}
+    assert len({r["max_symbol_rate"] for r in rows}) > 1
+    assert len(set(fences.values())) > 4
+    # the same value is rejected in one group and kept in another
+    mean = {r["doc_id"]: r["word_chars"] / max(r["n_words"], 1) for r in rows}
+    out = [(group[r["doc_id"]], mean[r["doc_id"]]) for r in rows if not r["min_mean_word"] <= mean[r["doc_id"]] <= r["max_mean_word"]]
+    inside = {g: [mean[r["doc_id"]] for r in rows if group[r["doc_id"]] == g and r["kept"]] for g in fences}
+    assert any(g != h and min(inside[h]) <= v <= max(inside[h]) for g, v in out for h in fences)
+
+
 # --- license scan
 
 def _brute_phrases(text):
