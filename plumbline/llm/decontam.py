@@ -64,6 +64,33 @@ def normalise(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.where(keep[at], data[at], np.uint8(32)), np.searchsorted(at, offsets), at
 
 
+def plain_blocks(data: np.ndarray, offsets: np.ndarray, longest: int, slack: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int, int, int]]:
+    """(first row, normalised bytes, offsets, normalised bytes of the text before them, first and end of the starts that are its own).
+
+    A text over one block gives several that overlap by ``longest + 4 * slack``
+    normalised bytes, so every window lies in one of them with ``slack`` bytes
+    on both sides, and each start belongs to exactly one.
+    """
+    lead, before, own, read = np.zeros(0, np.uint8), 0, 0, 0
+    for first, block, at in blocks(data, offsets):
+        total = int(offsets[first + len(at) - 1] - offsets[first])
+        if len(block) == total:
+            plain, bounds, _ = normalise(block, at)
+            yield first, plain, bounds, 0, 0, len(plain) + 1
+            continue
+        begin, skip = int(offsets[first]) + read, int(read > 0)      # the byte before tells whether a separator counts
+        plain = normalise(data[begin - skip:begin + len(block)], np.array([0, len(block) + skip]))[0]
+        plain = np.concatenate([lead, plain[1:] if skip and _kept()[data[begin - 1]] else plain])
+        read += len(block)
+        end = len(plain) + 1 if read == total else max(own, len(plain) - longest - 2 * slack)
+        yield first, plain, np.array([0, len(plain)]), before, own, end
+        if read == total:
+            lead, before, own, read = np.zeros(0, np.uint8), 0, 0, 0
+        else:
+            drop = max(0, end - 2 * slack)
+            lead, before, own = plain[drop:], before + drop, end - drop
+
+
 def normalised_bytes(text: str) -> bytes:
     data = np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8)
     return normalise(data, np.array([0, len(data)]))[0].tobytes().strip()
@@ -245,10 +272,11 @@ def _block_leaks(docs: DataFrame, passages: list[Passage], rate: float) -> DataF
         seeds, slack = Seeds(raws, rate), int(max(int(rate * len(r)) for r in raws))
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
-            out: list[list] = [[] for _ in range(6)]
-            for first, block, at in blocks(data, offsets) if len(data) else ():
-                plain, bounds, old = normalise(block, at)
+            out: list[list] = [[] for _ in range(5)]
+            for first, plain, bounds, before, own, end in plain_blocks(data, offsets, longest, slack) if len(data) else ():
                 row, start, length = seeds.windows(plain, bounds)
+                mine = (start >= own) & (start < end)
+                row, start, length = row[mine], start[mine], length[mine]
                 if not len(row):
                     continue
                 keys = lsh_keys(plain, start, length, bounds[row + 1], bits)
@@ -257,24 +285,22 @@ def _block_leaks(docs: DataFrame, passages: list[Passage], rate: float) -> DataF
                     lo = max(int(bounds[row[i]]), int(start[i]) - slack)
                     hi = min(int(bounds[row[i] + 1]), int(start[i] + length[i]) + slack)
                     t = np.flatnonzero(hit[i])
-                    for col, v in zip(out, (first + row[i], lo - int(bounds[row[i]]), plain[lo:hi].tobytes(), t, keys[i, t],
-                                            int(old[lo] - at[row[i]])), strict=True):
+                    for col, v in zip(out, (first + row[i], before + lo - int(bounds[row[i]]), plain[lo:hi].tobytes(), t, keys[i, t]), strict=True):
                         col.append(v)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()),
-                 pa.array(out[3], pa.list_(pa.int32())), pa.array(out[4], pa.list_(pa.int64())), pa.array(out[5], pa.int64())],
-                ["doc_id", "place", "region", "tables", "keys", "old_place"])
+                 pa.array(out[3], pa.list_(pa.int32())), pa.array(out[4], pa.list_(pa.int64()))],
+                ["doc_id", "place", "region", "tables", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = docs.select("doc_id", "text").mapInArrow(
-        windows, f"doc_id {kind}, place bigint, region binary, tables array<int>, keys array<bigint>, old_place bigint")
-    sampled = found.select("doc_id", "place", "region", "old_place", F.explode(F.arrays_zip("tables", "keys")).alias("k")).select(
-        "doc_id", "place", "region", "old_place", F.col("k.tables").alias("table"), F.col("k.keys").alias("key"))
+        windows, f"doc_id {kind}, place bigint, region binary, tables array<int>, keys array<bigint>")
+    sampled = found.select("doc_id", "place", "region", F.explode(F.arrays_zip("tables", "keys")).alias("k")).select(
+        "doc_id", "place", "region", F.col("k.tables").alias("table"), F.col("k.keys").alias("key"))
     of_items = spark.createDataFrame(
         [(int(n), int(t), int(item_keys[n, t])) for n in range(len(passages)) for t in range(item_keys.shape[1])],
         "passage int, table int, key bigint")
-    candidates = sampled.join(F.broadcast(of_items), ["table", "key"]).groupBy("doc_id", "place", "passage").agg(
-        F.first("region").alias("region"), F.first("old_place").alias("old_place"), F.count(F.lit(1)).alias("n_tables"))
+    candidates = sampled.join(F.broadcast(of_items), ["table", "key"]).select("doc_id", "place", "passage", "region").distinct()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,7 +323,7 @@ def _block_leaks(docs: DataFrame, passages: list[Passage], rate: float) -> DataF
                  pa.array(edits, pa.int32()), pa.array(begins, pa.int64()), pa.array(ends, pa.int64())],
                 ["doc_id", "item_id", "part", "edits", "start", "end"])
 
-    return candidates.select("doc_id", "place", "passage", "region").mapInArrow(
+    return candidates.mapInArrow(
         verify, f"doc_id {kind}, item_id bigint, part int, edits int, start bigint, end bigint")
 
 

@@ -370,3 +370,35 @@ def test_leak_edges(spark):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted([str(i) for i, _ in EDGE] + ["21", "None"])
     assert decontam.leaks(docs, bench.limit(0)).count() == 0
     assert decontam.leaks(docs.limit(0), bench).count() == 0
+
+
+def test_leaks_across_blocks_of_a_long_text(spark):
+    rng, size = random.Random(9), decontam.blocks.__defaults__[0]
+    items = {i: " ".join(rng.choice("abcdefgh") + str(rng.randrange(10_000)) for _ in range(30)) for i in range(4)}
+    text, filler = "", "plain filler, words\n"
+    for i, border in ((0, size), (1, 2 * size), (2, 2 * size + 300_000)):
+        sought = items[i] if i != 1 else items[i].replace(" ", " " * 4000)       # normalisation drops most of it
+        text += filler * ((border - len(sought) // 2 - len(text)) // len(filler)) + sought + "\n"
+    text += filler * 100 + items[3]
+    docs = spark.createDataFrame([(1, text), (2, "x " + items[2]), (2, items[2][5:] + " y" * 60), (3, filler)], "doc_id bigint, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["edits"], r["start"], r["end"]) for r in decontam.leaks(docs, bench).collect()}
+    plain = decontam.normalised_bytes(text)
+    expected = {(1, i): (0, plain.find(x.encode()), plain.find(x.encode()) + len(x)) for i, x in items.items()}
+    assert got == expected | {(2, 2): (0, 2, 2 + len(items[2]))}
+
+
+def test_blocks_of_a_long_text_join_to_its_normal_form():
+    rng = np.random.Generator(np.random.PCG64(3))
+    data = rng.choice(np.frombuffer(b"ab9 ,-\n", np.uint8), 5 << 20)
+    offsets = np.array([0, 10, len(data) - 7, len(data)])
+    parts = [x for x in decontam.plain_blocks(data, offsets, 1000, 100) if x[0] == 1]
+    whole = decontam.normalise(data[10:-7], np.array([0, len(data) - 17]))[0]
+    assert len(parts) == 3
+    at = 0
+    for _, plain, _, before, own, end in parts:
+        assert before + own == at
+        assert (whole[before:before + len(plain)] == plain).all()
+        assert before == 0 or own >= 200
+        at = before + end
+    assert at == len(whole) + 1
