@@ -282,13 +282,12 @@ def sample_per_class(labels: DataFrame, label_col: str, per_class: int) -> DataF
 
 
 def learn_lexicon(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", n_candidates: float = 1e5,
-                  min_odds: float = 12.0, max_words: int = 40, max_stems: int = 400, stem: tuple[int, int] = (5, 10)) -> list[str]:
+                  min_odds: float = 12.0, max_stems: int = 400, stem: tuple[int, int] = (5, 10)) -> list[str]:
     """Words and stems far likelier in toxic texts; stems end in ``*``.
 
     ``labelled`` should be a bounded sample; copies count once. Every word
-    votes with itself and with its beginnings of ``stem`` letters. The
-    ``max_words`` commonest words are matched with edits, stems without. A
-    term must stand in so many toxic texts that chance would put none of
+    votes with itself and with its beginnings of ``stem`` letters. All words
+    that pass are matched with edits, stems without. A term must stand in so many toxic texts that chance would put none of
     ``n_candidates`` terms into them alone.
     """
     words = labelled.select(label_col, F.xxhash64(text_col).alias("text_key"), F.array_distinct(
@@ -316,7 +315,7 @@ def learn_lexicon(labelled: DataFrame, text_col: str = "text", label_col: str =
     min_texts = max(3, math.ceil(math.log(n_candidates) / -math.log(size[1] / (size[0] + size[1]))))
     odds = ((F.col("bad") + 0.5) / size[1]) / ((F.col("good") + 0.5) / size[0])
     sure = counted.filter((F.col("bad") >= min_texts) & (odds >= min_odds))
-    whole = sure.filter(~F.col("term").endswith("*")).orderBy(F.desc("bad"), "term").limit(max_words).collect()
+    whole = sure.filter(~F.col("term").endswith("*")).collect()
     begun = sure.filter(F.col("term").endswith("*")).orderBy(F.desc("bad"), F.length("term"), "term").limit(8 * max_stems).collect()
     shortest: list[str] = []
     for t in sorted((r["term"][:-1] for r in begun), key=lambda t: (len(t), t)):

@@ -193,6 +193,17 @@ def test_lexicon_learns_stems(spark):
     assert not any(t.startswith("plain") for t in terms)
 
 
+def test_every_learned_word_is_matched_with_edits(spark):
+    rng = random.Random(12)
+    learned = ["".join(rng.choices("bcdfgklmnprstvz", k=7)) for _ in range(120)]
+    rows = [(f"{' '.join(rng.sample(learned, 90))} {''.join(rng.choices('aeiou', k=12))}", 1) for _ in range(40)]
+    rows += [(f"plain words {''.join(rng.choices('aeiou', k=12))}", 0) for _ in range(40)]
+    terms = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    assert set(learned) <= set(terms)
+    docs = spark.createDataFrame([(i, f"some q{w[1:]} here") for i, w in enumerate(learned)], "doc_id bigint, text string")   # no stem is left intact
+    assert all(r["n_hits"] == 1 and r["fuzzy"] > 0 for r in toxicity.hit_features(docs, terms).collect())
+
+
 def test_sample_is_bounded(spark):
     labels = spark.range(100).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("label"))
     assert toxicity.sample_per_class(labels, "label", 7).count() == 14
