@@ -9,6 +9,7 @@ share costs one row per task.
 
 from __future__ import annotations
 
+import re
 import string
 from collections.abc import Iterator
 
@@ -21,6 +22,8 @@ from pyspark.sql import types as T
 from plumbline.llm.common import join_by_hot_key, materialize
 
 _DROP = str.maketrans("", "", string.punctuation)
+#: Characters of scripts that put no spaces between words (Thai, Lao, Burmese, Khmer, kana, Han); each counts as a word.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def normalise(line: str) -> str:
@@ -28,6 +31,12 @@ def normalise(line: str) -> str:
     return " ".join(line.lower().translate(_DROP).split())
 
 
+def has_words(plain: str, least: int) -> bool:
+    """Whether a normalised line has so many words."""
+    words = plain.count(" ") + 1 if plain else 0
+    return bool(plain) and (words >= least or not plain.isascii() and words + len(_UNSPACED.findall(plain)) > least)
+
+
 def line_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 6) -> DataFrame:
     """doc_id, text_key, unit, start, length and the 128-bit digest of every line of at least ``min_words`` words.
 
@@ -45,7 +54,7 @@ def line_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 k, at = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63), 0
                 for u, line in enumerate(text.split("\n")):
                     plain = normalise(line)
-                    if plain.count(" ") + 1 >= min_words and plain:
+                    if has_words(plain, min_words):
                         d = xxhash.xxh3_128_intdigest(plain.encode("utf-8", "surrogatepass"))
                         row.append(i)
                         key.append(k)

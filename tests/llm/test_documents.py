@@ -157,6 +157,12 @@ def test_line_edges(spark):
     assert line_dedup.removed_lines(docs.limit(0)).count() == 0
 
 
+def test_lines_in_scripts_without_spaces(spark):
+    lines = ["所有权利均由作者保留未经许可不得转载", "すべての権利は著者に帰属します", "สงวนลิขสิทธิ์ทุกประการ"]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(reversed(lines)) + "\n漢字")], "doc_id bigint, text string")
+    assert sorted((r["doc_id"], r["unit"], r["kept_doc_id"]) for r in line_dedup.removed_lines(docs).collect()) == [(2, i, 1) for i in range(3)]
+
+
 # --- quality rules
 
 def _brute_rules(text):
