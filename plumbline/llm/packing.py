@@ -26,6 +26,9 @@ GROUP_PIECES = 40_000
 #: Pattern by which the public byte-level vocabulary splits text before merging; a fixed value.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Tokens that the vocabulary's JSON file adds to its ranks; texts that hold one literally get its id.
+SPECIAL = {"<|endoftext|>": 50256}
+
 
 def load_encoder(vocab_path: str):
     """text -> list of ids. ``.json``: the tokenizers library; ``.tiktoken``: the same vocabulary as ranks, several times faster."""
@@ -33,13 +36,13 @@ def load_encoder(vocab_path: str):
         from tokenizers import Tokenizer
 
         slow = Tokenizer.from_file(vocab_path)
-        slow.encode_special_tokens = True
         return lambda text: slow.encode(text, add_special_tokens=False).ids
     import tiktoken
 
     with open(vocab_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("public", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    fast = tiktoken.Encoding("public", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=SPECIAL)
+    return lambda text: fast.encode(text, allowed_special="all")
 
 
 def tokenised_pieces(docs: DataFrame, vocab_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id",

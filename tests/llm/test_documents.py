@@ -26,6 +26,17 @@ def test_both_tokenizers_agree():
         assert fast(t) == slow(t)
 
 
+def test_ids_are_those_of_the_plain_library_call():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(JSON)
+    for path in (RANKS, JSON):
+        encode = packing.load_encoder(path)
+        for t in ["<|endoftext|>", "a <|endoftext|>  b<|endoftext|><|endoftext|>\n", "x<|endoftext", "<|ENDOFTEXT|> é\ud7ff"]:
+            assert list(encode(t)) == plain.encode(t, add_special_tokens=False).ids, t
+    assert list(packing.load_encoder(RANKS)("<|endoftext|>")) == [50256]
+
+
 @pytest.mark.parametrize("order", ["given", "sorted"])
 def test_sum_of_squares_is_valid_and_tight(order):
     rng = random.Random(4)
