@@ -31,10 +31,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts lines that an earlier ranked document holds; a document of which nothing is left goes."""
+    """Cuts passages that an earlier ranked document holds; a document of which nothing is left goes."""
     ship(spark)
     cut = line_dedup.without_repeats(docs)
-    kept = cut.filter(F.col("removed").isNull() | (F.trim("text") != "")).drop("removed")
+    kept = cut.filter(F.col("removed").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop("removed")
     return kept.withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
 
 

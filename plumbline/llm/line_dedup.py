@@ -1,18 +1,24 @@
-"""Global line deduplication.
+"""Global removal of repeated passages by hashing pieces of lines and paragraphs.
 
-Every line is normalised and digested where its document lies; only (digest,
-document, place) moves. The earliest ranked occurrence of each digest stays,
-all others are removed, and every removal keeps its offsets in the original
-text. Groups are aggregated map-side, so a line that a third of all documents
-share costs one row per task.
+Whole lines or sentences are no fit units: a passage often begins and ends
+inside a line, where no line digest can be equal. So the units are pieces of
+``k`` normalised words that begin where the text itself says: at the least
+piece hash among ``w`` neighbours. Two texts that share ``w + k - 1`` words
+share a unit, wherever in a line those words stand. Digests are grouped
+globally, the earliest ranked occurrence stays, and the others are joined with
+their neighbours to spans: each unit also carries a hash of all words up to the
+next unit, so what lies between two units is compared too. The last words at a
+span's ends are compared with those of the kept occurrence, one by one. Only
+digests and the words at span ends move; offsets are those of the original text.
 """
 
 from __future__ import annotations
 
-import re
 import string
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -20,117 +26,394 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.common import join_by_hot_key, materialize
+from plumbline.llm.words import BLOCK_BYTES, Hasher, blocks, text_bytes
 
-_DROP = str.maketrans("", "", string.punctuation)
-#: Characters of scripts that put no spaces between words (Thai, Lao, Burmese, Khmer, kana, Han); each counts as a word.
-_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+MIN_WORDS = 50
+#: Words of a unit at most.
+UNIT_WORDS = 16
+LEFT, RIGHT = 1, 2
 
 
-def normalise(line: str) -> str:
-    """Lower case, ASCII punctuation dropped, white space collapsed."""
-    return " ".join(line.lower().translate(_DROP).split())
+def unit_shape(min_words: int) -> tuple[int, int]:
+    """(k, w) such that a run of ``min_words`` words always holds a common unit: w + k - 1 <= min_words."""
+    k = max(1, min(UNIT_WORDS, (min_words + 2) // 3))
+    return k, max(1, min_words - k + 1)
 
 
-def has_words(plain: str, least: int) -> bool:
-    """Whether a normalised line has so many words."""
-    words = plain.count(" ") + 1 if plain else 0
-    return bool(plain) and (words >= least or not plain.isascii() and words + len(_UNSPACED.findall(plain)) > least)
+@lru_cache(maxsize=1)
+def _inside() -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[ord("a"):ord("z") + 1] = out[ord("0"):ord("9") + 1] = out[ord("A"):ord("Z") + 1] = True
+    out[128:] = True
+    return out
 
 
-def line_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 6) -> DataFrame:
-    """doc_id, text_key, unit, start, length and the 128-bit digest of every line of at least ``min_words`` words.
+def folded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-case bytes in the layout of the original, and offsets. A text whose layout changes in lower case is folded in A-Z only."""
+    raw, at = text_bytes(column, lower=False)
+    raw, at = raw[at[0]:at[-1]], at - at[0]
+    low, low_at = text_bytes(column)
+    low = low[low_at[0]:low_at[-1]]
+    if (at == low_at - low_at[0]).all() and ((raw & 0xC0 == 0x80) == (low & 0xC0 == 0x80)).all():
+        return low, at
+    out = np.where((raw >= 65) & (raw <= 90), raw | 32, raw).astype(np.uint8)
+    low_at = low_at - low_at[0]
+    for i in np.flatnonzero(np.diff(at) == np.diff(low_at)):
+        a, b = raw[at[i]:at[i + 1]], low[low_at[i]:low_at[i + 1]]
+        if ((a & 0xC0 == 0x80) == (b & 0xC0 == 0x80)).all():
+            out[at[i]:at[i + 1]] = b
+    return out, at
 
-    start and length count characters of the original text, without the line
-    feed. ``text_key`` is a hash of the text: a row is known by id and text.
+
+def bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and rows of all words, and which bytes belong to words.
+
+    Words are runs of ASCII letters, digits and other characters but for common
+    Unicode punctuation. In scripts that put no spaces between words (Thai, Lao,
+    Burmese, Khmer, kana, Han) each character is a word.
     """
+    inside = _inside()[data]
+    if not inside.any():
+        none = np.zeros(0, np.int64)
+        return none, none, none, inside
+    cut = np.zeros(len(data) + 1, bool)
+    cut[offsets] = True
+    lead = np.flatnonzero(data >= 0xC2)
+    lead = lead[lead + 1 < len(data)]
+    if len(lead):
+        a, b = data[lead], data[lead + 1]
+        size = np.where(a >= 0xF0, 4, np.where(a >= 0xE0, 3, 2))
+        sign = ((a == 0xC2) & (b >= 0xA0)) | ((a == 0xE2) & (b <= 0x81)) | ((a == 0xE3) & (b == 0x80))
+        for d in range(3):
+            at = lead[sign & (size > d)] + d
+            inside[at[at < len(data)]] = False
+        own = (((a == 0xE0) & (b >= 0xB8) & (b <= 0xBB)) | ((a == 0xE1) & ((b <= 0x82) | (b == 0x9E) | (b == 0x9F)))
+               | ((a == 0xE3) & ((b >= 0x90) | (b >= 0x81) & (b <= 0x83))) | ((a >= 0xE4) & (a <= 0xE9))
+               | ((a == 0xEF) & (b >= 0xA4) & (b <= 0xAB)) | ((a == 0xF0) & (b >= 0xA0)))
+        cut[lead[own]] = True
+        cut[np.minimum(lead[own] + size[own], len(data))] = True
+    before = np.zeros_like(inside)
+    before[1:] = inside[:-1]
+    after = np.zeros_like(inside)
+    after[:-1] = inside[1:]
+    starts = np.flatnonzero(inside & (cut[:-1] | ~before))
+    ends = np.flatnonzero(inside & (cut[1:] | ~after)) + 1
+    return starts, ends, np.searchsorted(offsets, starts, "right") - 1, inside
+
+
+def _slide(x: np.ndarray, w: int, f: np.ufunc) -> np.ndarray:
+    """f over all windows of w values."""
+    done = 1
+    while 2 * done <= w:
+        x, done = f(x[:-done], x[done:]), 2 * done
+    return f(x[:len(x) - (w - done)], x[w - done:]) if done < w else x
+
+
+def _chosen(data: np.ndarray, offsets: np.ndarray, k: int, w: int) -> tuple[np.ndarray, ...]:
+    """Of all units: row, word place in this block, words to the next unit (0: none), hash up to it; then plain bytes, where each unit lies in them."""
+    starts, ends, row, inside = bounds(data, offsets)
+    n = len(starts)
+    if n < w + k - 1:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none.astype(np.uint64), data[:0], none, none, starts
+    plain = data[inside]                                 # words without what separates them
+    stop = np.cumsum(ends - starts)
+    begin = stop - (ends - starts)
+    hasher = Hasher(plain)
+    h = hasher(begin[:n - k + 1], stop[k - 1:])
+    h = ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) | np.uint64(1)
+    least = _slide(h, w, np.minimum)
+    least[row[:len(least)] != row[w + k - 2:]] = 0       # windows over the end of a text
+    pad = np.zeros(w - 1, np.uint64)
+    at = np.flatnonzero(_slide(np.concatenate([pad, least, pad]), w, np.maximum) == h)
+    step = np.zeros(len(at), np.int64)
+    step[:-1] = np.where(row[at[1:]] == row[at[:-1]], np.diff(at), 0)
+    link = np.where(step > 0, hasher(begin[at], stop[np.minimum(at + step + k - 1, n - 1)]), np.uint64(0))
+    first = np.searchsorted(row, np.arange(len(offsets)))
+    return row[at], at - first[row[at]], step, link, plain, begin[at], stop[at + k - 1], starts
+
+
+def _units_of(data: np.ndarray, offsets: np.ndarray, k: int, w: int) -> Iterator[tuple]:
+    """(row, place, words to the unit before and to the next, hashes of the words up to these, digest) of every unit of a batch of texts.
+
+    A text over one block is read in blocks that overlap by more than the words
+    that decide on a unit and its neighbours, so the cuts leave no trace.
+    """
+    margin = 2 * (w + k)
+
+    def emit(first: int, block: np.ndarray, at: np.ndarray, base: int = 0, own: int = 0, end: float = float("inf")):
+        row, place, step, link, plain, begin, stop, _ = _chosen(block, at, k, w)
+        back, behind = np.zeros_like(link), np.zeros_like(step)
+        back[1:], behind[1:] = link[:-1], step[:-1]      # both 0 at the first unit of a text
+        place = place + base
+        raw = plain.tobytes()
+        for i in np.flatnonzero((place >= own) & (place < end)).tolist():
+            yield first + int(row[i]), int(place[i]), int(behind[i]), int(step[i]), back[i], link[i], xxhash.xxh3_128_intdigest(raw[begin[i]:stop[i]])
+
+    row = 0
+    while row < len(offsets) - 1:
+        last = min(max(row + 1, int(np.searchsorted(offsets, offsets[row] + BLOCK_BYTES, "right")) - 1), len(offsets) - 1)
+        lo, hi = int(offsets[row]), int(offsets[last])
+        if hi - lo <= BLOCK_BYTES:
+            yield from emit(row, data[lo:hi], offsets[row:last + 1] - lo)
+        else:
+            base, own, size, table = 0, 0, BLOCK_BYTES, _inside()
+            while True:
+                to = min(hi, lo + size)
+                while to < hi and table[data[to]]:
+                    to += 1
+                block, at = data[lo:to], np.array([0, to - lo])
+                if to == hi:
+                    yield from emit(row, block, at, base, own)
+                    break
+                starts = bounds(block, at)[0]
+                end = base + len(starts) - margin
+                if end <= own:                           # huge words: read on until enough of them are seen
+                    size *= 2
+                    continue
+                yield from emit(row, block, at, base, own, end)
+                skip = max(0, end - margin - base)
+                lo, base, own, size = lo + int(starts[skip]), base + skip, end, BLOCK_BYTES
+        row = last
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text and the two keys by which a row is known: a hash of its text, and of both."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    return rows.withColumn("row_key", F.xxhash64("doc_id", "text_key"))
+
+
+def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, row_key, text_key, place (in words), words to its neighbours (0: none), hashes up to these and the 128-bit digest (high, low) of every unit."""
+    k, w = unit_shape(min_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, key, unit, start, length, high, low = [], [], [], [], [], [], []
-            for i, text in enumerate(batch.column("text")):
-                text = text.as_py()
-                if not text:
-                    continue
-                k, at = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63), 0
-                for u, line in enumerate(text.split("\n")):
-                    plain = normalise(line)
-                    if has_words(plain, min_words):
-                        d = xxhash.xxh3_128_intdigest(plain.encode("utf-8", "surrogatepass"))
-                        row.append(i)
-                        key.append(k)
-                        unit.append(u)
-                        start.append(at)
-                        length.append(len(line))
-                        high.append((d >> 64) - (1 << 63))
-                        low.append((d & (1 << 64) - 1) - (1 << 63))
-                    at += len(line) + 1
+            data, at = folded(batch.column("text"))
+            found = list(_units_of(data, at, k, w))
+            row, place, behind, step, back, link, digest = zip(*found, strict=True) if found else ((),) * 7
+            take = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(key, pa.int64()), pa.array(unit, pa.int32()), pa.array(start, pa.int64()),
-                 pa.array(length, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64())],
-                ["doc_id", "text_key", "unit", "start", "length", "high", "low"])
+                [batch.column("doc_id").take(take), batch.column("row_key").take(take), batch.column("text_key").take(take), pa.array(place, pa.int64()),
+                 pa.array(behind, pa.int32()), pa.array(step, pa.int32()), pa.array(np.array(back, np.uint64).view(np.int64)), pa.array(np.array(link, np.uint64).view(np.int64)),
+                 pa.array(np.array([d >> 64 for d in digest], np.uint64).view(np.int64)),
+                 pa.array(np.array([d & (1 << 64) - 1 for d in digest], np.uint64).view(np.int64))],
+                ["doc_id", "row_key", "text_key", "place", "behind", "step", "back", "link", "high", "low"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = _keyed(docs, id_col, text_col).filter(F.col("text").isNotNull())
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, text_key bigint, unit int, start bigint, length bigint, high bigint, low bigint")
+    return rows.select("doc_id", "row_key", "text_key", "text").mapInArrow(
+        run, f"doc_id {kind}, row_key bigint, text_key bigint, place bigint, behind int, step int, back bigint, link bigint, high bigint, low bigint")
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 6) -> DataFrame:
-    """One row per removed line: doc_id, text_key, unit, start, length, kept_doc_id, kept_start.
+class _Text:
+    """Words of one text, by place."""
 
-    Occurrences are ranked by (doc_id, text_key, unit). Rows that repeat both
-    id and text rank alike, so they are kept or cut alike. Lines of fewer than
-    ``min_words`` words are never removed: their equality says little. Null and
-    empty texts have no lines.
-    """
-    units = materialize(line_units(docs, id_col, text_col, min_words))
-    rank = F.struct("doc_id", "text_key", "unit", "start")
-    groups = materialize(units.groupBy("high", "low").agg(
+    def __init__(self, data: np.ndarray):
+        self.data, starts, ends, done = data, [], [], 0
+        for _, block, at in blocks(data, np.array([0, len(data)]), table=_inside()):
+            a, b, _, _ = bounds(block, at)
+            starts.append(a + done)
+            ends.append(b + done)
+            done += len(block)
+        self.starts, self.ends = np.concatenate([*starts, np.zeros(0, np.int64)]), np.concatenate([*ends, np.zeros(0, np.int64)])
+        self.chars: np.ndarray | None = None
+
+    def word(self, i: int) -> int:
+        return xxhash.xxh3_64_intdigest(self.data[self.starts[i]:self.ends[i]].tobytes()) - (1 << 63)
+
+    def char(self, byte: int) -> int:
+        """Characters before a byte."""
+        if self.chars is None:
+            self.chars = np.concatenate([[0], np.cumsum(self.data & 0xC0 != 0x80)])
+        return int(self.chars[byte])
+
+
+def _spans(text: _Text, pieces: list[dict], k: int, min_words: int) -> list[tuple[int, int, int, object, int | None]]:
+    """(first word, word after the last, kept id, kept start) of the repeated spans of at least ``min_words`` words, from units and span ends."""
+    runs: list[list] = []
+    n = len(text.starts)
+    for p in pieces:
+        a, b, kept = p["from"], p["reach"], None
+        if p["side"] == LEFT:
+            m = 0
+            while m < len(p["words"]) and a - 1 - m >= 0 and text.word(a - 1 - m) == p["words"][m]:
+                m += 1
+            a, kept = a - m, (p["kept"], p["kept_starts"][m])
+        elif p["side"] == RIGHT:
+            m = 0
+            while m < len(p["words"]) and b + m < n and text.word(b + m) == p["words"][m]:
+                m += 1
+            b += m
+        runs.append([a, b, kept])
+    runs.sort(key=lambda r: (r[0], -r[1]))
+    out: list[list] = []
+    for a, b, kept in runs:
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+            out[-1][2] = out[-1][2] or kept
+        else:
+            out.append([a, b, kept])
+    return [(a, b, *(kept or (None, None))) for a, b, kept in out if b - a >= min_words]
+
+
+_SIGNS = frozenset(string.punctuation)
+
+
+def _cuts(raw: str, data: np.ndarray, pieces: list[dict], k: int, min_words: int) -> list[tuple[int, int, int, object, int | None]]:
+    """(start, length, words, kept id, kept start) of each span in characters; signs at a span's two ends belong to it."""
+    text, out, done = _Text(data), [], 0
+    for a, b, kept, kept_start in _spans(text, pieces, k, min_words):
+        start, end = text.char(int(text.starts[a])), text.char(int(text.ends[b - 1]))
+        while start > done and raw[start - 1] in _SIGNS:
+            start -= 1
+        while end < len(raw) and raw[end] in _SIGNS:
+            end += 1
+        out.append((start, end - start, b - a, kept, kept_start))
+        done = end
+    return out
+
+
+def _pieces(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """row_key, text_key and ``pieces`` of every text that repeats an earlier ranked one: its repeated units and what lies beside their kept occurrence."""
+    k, w = unit_shape(min_words)
+    every = materialize(units(docs, id_col, text_col, min_words))
+    rank = F.struct("doc_id", "text_key", "place", "row_key", "back", "link")
+    groups = materialize(every.groupBy("high", "low").agg(
         F.min(rank).alias("first"), F.max(rank).alias("last"), F.count(F.lit(1)).alias("n_equal")
     ).filter(F.col("first") != F.col("last")).drop("last"))
     total = groups.agg(F.sum("n_equal")).first()[0] or 0
-    found = join_by_hot_key(units, groups, ["high", "low"], "n_equal", total)
-    return found.filter(F.struct("doc_id", "text_key", "unit", "start") != F.col("first")).select(
-        "doc_id", "text_key", "unit", "start", "length",
-        F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"))
+    found = materialize(join_by_hot_key(every, groups, ["high", "low"], "n_equal", total).filter(
+        (F.col("row_key") != F.col("first.row_key")) | (F.col("text_key") != F.col("first.text_key")) | (F.col("place") != F.col("first.place"))
+    ).select(
+        "row_key", "text_key", "place",
+        (F.col("place") - F.when(F.col("back") == F.col("first.back"), F.col("behind")).otherwise(0)).alias("from"),
+        (F.col("place") + k + F.when(F.col("link") == F.col("first.link"), F.col("step")).otherwise(0)).alias("reach"),
+        ((F.col("back") == 0) | (F.col("back") != F.col("first.back"))).alias("at_left"),
+        ((F.col("link") == 0) | (F.col("link") != F.col("first.link"))).alias("at_right"), "first"))
+    ends = found.filter("at_left or at_right").select(
+        "row_key", "text_key", "from", "reach", F.col("first.doc_id").alias("kept"), F.col("first.row_key").alias("kept_row"),
+        F.col("first.text_key").alias("kept_text"), F.col("first.place").alias("kept_place"),
+        F.explode(F.array_compact(F.array(F.when(F.col("at_left"), F.lit(LEFT)), F.when(F.col("at_right"), F.lit(RIGHT))))).alias("side"))
+    on = ["kept_row", "kept_text", "kept_place", "side"]
+    asked = ends.groupBy(*on).agg(F.count(F.lit(1)).alias("n_asked"))
+    by_text = asked.groupBy("kept_row", "kept_text").agg(F.collect_list(F.struct("kept_place", "side", "n_asked")).alias("asked"))
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = folded(batch.column("text"))
+            out: list[list] = [[] for _ in range(6)]
+            for i, asked in enumerate(batch.column("asked").to_pylist()):
+                text = _Text(data[at[i]:at[i + 1]])
+                for x in asked:
+                    p = x["kept_place"]
+                    if x["side"] == LEFT:
+                        words = range(p - 1, max(-1, p - 1 - w), -1)
+                        starts = [text.char(int(text.starts[j])) for j in (p, *words)]
+                    else:
+                        words, starts = range(p + k, min(len(text.starts), p + k + w)), []
+                    for col, v in zip(out, (i, p, x["side"], x["n_asked"], [text.word(j) for j in words], starts), strict=True):
+                        col.append(v)
+            take = pa.array(out[0], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row_key").take(take), batch.column("text_key").take(take), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()),
+                 pa.array(out[3], pa.int64()), pa.array(out[4], pa.list_(pa.int64())), pa.array(out[5], pa.list_(pa.int64()))],
+                [*on, "n_asked", "words", "kept_starts"])
+
+    # Equal rows give equal answers; one of each is used.
+    answers = materialize(_keyed(docs, id_col, text_col).join(
+        by_text, (F.col("row_key") == F.col("kept_row")) & (F.col("text_key") == F.col("kept_text"))).select("row_key", "text_key", "text", "asked").mapInArrow(
+        answer, "kept_row bigint, kept_text bigint, kept_place bigint, side int, n_asked bigint, words array<bigint>, kept_starts array<bigint>").dropDuplicates(on))
+    n_ends = answers.agg(F.sum("n_asked")).first()[0] or 0
+    kind = docs.schema[id_col].dataType
+    beside = join_by_hot_key(ends, answers, on, "n_asked", n_ends).select(
+        "row_key", "text_key", F.struct("from", "reach", "side", "words", "kept_starts", "kept").alias("piece"))
+    alone = found.filter("not at_left and not at_right").select("row_key", "text_key", F.struct(
+        "from", "reach", F.lit(0).alias("side"), F.lit(None).cast("array<bigint>").alias("words"),
+        F.lit(None).cast("array<bigint>").alias("kept_starts"), F.lit(None).cast(kind).alias("kept")).alias("piece"))
+    return beside.unionByName(alone).groupBy("row_key", "text_key").agg(F.collect_set("piece").alias("pieces"))
+
+
+def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """One row per removed span: doc_id, text_key, unit (number of the span in its text), start, length, n_words, kept_doc_id, kept_start.
+
+    A span is a run of at least ``min_words`` normalised words that an earlier
+    ranked text, or an earlier place of the same text, holds too. Places are
+    ranked by (doc_id, a hash of the text, place). ``start`` and ``length``
+    count characters of the original text. Rows that repeat both id and text
+    rank alike, so they are kept or cut alike; a null id ranks first. Null and
+    empty texts, and those of fewer words, have no spans; other columns are
+    ignored.
+    """
+    k, _ = unit_shape(min_words)
+    kind = docs.schema[id_col].dataType.simpleString()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = folded(batch.column("text"))
+            texts = batch.column("text").to_pylist()
+            rows = [(i, u, *c) for i, p in enumerate(batch.column("pieces").to_pylist())
+                    for u, c in enumerate(_cuts(texts[i], data[at[i]:at[i + 1]], p, k, min_words))]
+            row, unit, start, length, n_words, kept, kept_start = zip(*rows, strict=True) if rows else ((),) * 7
+            take = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(take), batch.column("text_key").take(take), pa.array(unit, pa.int32()), pa.array(start, pa.int64()),
+                 pa.array(length, pa.int64()), pa.array(n_words, pa.int64()), pa.array(kept, batch.schema.field("doc_id").type), pa.array(kept_start, pa.int64())],
+                ["doc_id", "text_key", "unit", "start", "length", "n_words", "kept_doc_id", "kept_start"])
+
+    return _keyed(docs, id_col, text_col).join(_pieces(docs, id_col, text_col, min_words), ["row_key", "text_key"]).select(
+        "doc_id", "text_key", "text", "pieces").mapInArrow(
+        run, f"doc_id {kind}, text_key bigint, unit int, start bigint, length bigint, n_words bigint, kept_doc_id {kind}, kept_start bigint")
+
+
+def cut_text(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without its spans; of the white space on a span's two sides the part before it stays, a line feed wins."""
+    kept, at = [], 0
+    for start, length in spans:
+        kept.append(text[at:start])
+        at = start + length
+        before = text[start - 1] if start else "\n"
+        if before.isspace() and at < len(text) and text[at].isspace():
+            if text[at] == "\n" and before != "\n" and kept[-1]:
+                kept[-1] = kept[-1][:-1]
+            else:
+                at += 1
+    return "".join([*kept, text[at:]])
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 6) -> DataFrame:
-    """The rows of ``docs`` with repeated lines cut from the text column and ``removed``: spans in the original text.
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """The rows of ``docs`` with repeated spans cut from the text column and ``removed``: start and length of each in the original text.
 
     A text of which nothing is left becomes empty; no row is dropped here.
     """
-    cuts = removed_lines(docs, id_col, text_col, min_words).groupBy("doc_id", "text_key").agg(
-        F.sort_array(F.collect_set(F.struct("start", "length"))).alias("removed"))
     if "removed" in docs.columns:
         raise ValueError("docs already has a column named removed")
-    names = docs.columns
-    keyed = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    names, (k, _) = docs.columns, unit_shape(min_words)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     where = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
-
-    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) if t else None
-                    for t in batch.column(where[1]).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], [*batch.schema.names, "text_key"])
-
-    with_key = T.StructType([*keyed.schema.fields, T.StructField("text_key", T.LongType())])
-    spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())]))
-    joined = keyed.mapInArrow(key, with_key).alias("d").join(
-        cuts.alias("r"), F.col(f"d.{where[0]}").eqNullSafe(F.col("r.doc_id")) & (F.col("d.text_key") == F.col("r.text_key")), "left")
+    keyed = plain.withColumn("text_key", F.xxhash64(where[1])).withColumn("row_key", F.xxhash64(where[0], "text_key"))
+    joined = keyed.join(_pieces(docs, id_col, text_col, min_words), ["row_key", "text_key"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(where[1]).to_pylist()
-            for i, spans in enumerate(batch.column("removed").to_pylist()):
-                if spans:
-                    kept, at, text = [], 0, texts[i]
-                    for s in spans:
-                        kept.append(text[at:s["start"]])
-                        at = min(len(text), s["start"] + s["length"] + 1)
-                    texts[i] = "".join([*kept, text[at:]])
             at = batch.schema.get_field_index(where[1])
-            yield batch.set_column(at, where[1], pa.array(texts, pa.string()))
+            pieces = batch.column("pieces")
+            affected = pa.array(np.flatnonzero(pieces.is_valid().to_numpy(zero_copy_only=False)))
+            removed: list = [None] * batch.num_rows
+            texts = batch.column(at)
+            if len(affected):
+                some = texts.take(affected)
+                data, offsets = folded(some)
+                out = texts.to_pylist()
+                for j, (i, p) in enumerate(zip(affected.to_pylist(), pieces.take(affected).to_pylist(), strict=True)):
+                    spans = [c[:2] for c in _cuts(out[i], data[offsets[j]:offsets[j + 1]], p, k, min_words)]
+                    if spans:
+                        removed[i] = [{"start": a, "length": b} for a, b in spans]
+                        out[i] = cut_text(out[i], spans)
+                texts = pa.array(out, texts.type)
+            batch = batch.drop_columns(["pieces"]).set_column(at, where[1], texts)
+            yield batch.append_column("removed", pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))))
 
-    out = joined.select(*[f"d.{c}" for c in keyed.columns], "removed").mapInArrow(
-        cut, T.StructType([*keyed.schema.fields, T.StructField("removed", spans)]))
+    spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())]))
+    out = joined.select(*plain.columns, "pieces").mapInArrow(cut, T.StructType([*plain.schema.fields, T.StructField("removed", spans)]))
     return out.toDF(*names, "removed")

@@ -10,7 +10,7 @@ from plumbline.llm.common import crc_mod, table
 from plumbline.llm.decontam import leaks
 from plumbline.llm.jaccard_join import near_duplicates
 from plumbline.llm.license_scan import license_scan
-from plumbline.llm.line_dedup import removed_lines
+from plumbline.llm.line_dedup import removed_spans
 from plumbline.llm.packing import pack_documents
 from plumbline.llm.quality_rules import quality_rules
 from plumbline.llm.toxicity import toxicity
@@ -56,7 +56,7 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return removed_lines(table(spark, sf_dir, "documents")).drop("text_key")
+    return removed_spans(table(spark, sf_dir, "documents"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

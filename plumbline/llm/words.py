@@ -88,15 +88,15 @@ def text_bytes(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nda
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), at
 
 
-def blocks(data: np.ndarray, offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def blocks(data: np.ndarray, offsets: np.ndarray, limit: int = BLOCK_BYTES, table: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets inside them) of pieces of about ``limit`` bytes.
 
-    A text over the limit is cut at bytes that belong to no word, and gives
+    A text over the limit is cut at bytes that belong to no word (of ``table``), and gives
     several pieces with the same first row; so what is added up per row stays
     exact and memory stays bounded. A single word over the limit stays whole.
     """
     n, row = len(offsets) - 1, 0
-    inside = word_bytes()
+    inside = word_bytes() if table is None else table
     while row < n:
         last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1)
         last = min(last, n)

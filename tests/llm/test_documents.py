@@ -134,44 +134,104 @@ def test_bundle_is_plain_zstandard_and_seekable():
         warc.BundleReader(raw[:-1])
 
 
-# --- line deduplication
+# --- repeated passages
 
-def test_lines_against_brute_force(spark):
-    sf = "/root/testdata/sf0.01"
-    texts = texts_of(spark, sf)
-    first, removed = {}, {}
+def brute_words(text):
+    """(start, end, word) by character, independent of the operator's bytes."""
+    return [(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F\u00A0-\u00BF\u2000-\u207F\u3000-\u303F]+", text or "")]
+
+
+def seen_before(texts, n):
+    """Of every text, taken in the order of ids, which words stand in a run of ``n`` words that an earlier place holds."""
+    first, out = set(), {}
     for doc in sorted(texts):
-        at = 0
-        for line in texts[doc].split("\n"):
-            plain = line_dedup.normalise(line)
-            if len(plain.split()) >= 6:
-                if plain in first:
-                    removed[doc, at] = (len(line), *first[plain])
-                else:
-                    first[plain] = (doc, at)
-            at += len(line) + 1
-    got = {(r["doc_id"], r["start"]): (r["length"], r["kept_doc_id"], r["kept_start"]) for r in QUERIES["op7_line_dedup"](spark, sf).collect()}
-    assert got == removed
-
-
-def test_line_edges(spark):
-    line = "one two three four five six seven"
-    docs = edge_docs(spark).union(spark.createDataFrame(
-        [(20, f"{line}\nshort\n{line.upper()}!", None, None, 0), (21, line, None, None, 0), (21, line, None, None, 0), (None, f"keep\n{line}", None, None, 0)], edge_docs(spark).schema))
+        w = [x[2] for x in brute_words(texts[doc])]
+        covered = np.zeros(len(w), bool)
+        for i in range(len(w) - n + 1):
+            run = tuple(w[i:i + n])
+            if run in first:
+                covered[i:i + n] = True
+            first.add(run)
+        out[doc] = covered
+    return out
+
+
+def check_cuts(texts, cuts, least=1000):
+    """cuts: by id, spans of characters. All long repeats are cut but for a few words at their ends; nothing is cut that no earlier text holds."""
+    want, allowed = seen_before(texts, 50), seen_before(texts, 16)
+    missed = total = 0
+    for doc, text in texts.items():
+        gone = np.array([any(a <= x[0] and x[1] <= b for a, b in cuts.get(doc, ())) for x in brute_words(text)], bool)
+        assert not (gone & ~allowed[doc]).any(), doc
+        assert gone.any() or not want[doc].any(), doc
+        missed, total = missed + (want[doc] & ~gone).sum(), total + want[doc].sum()
+    assert total >= least
+    assert missed <= 0.002 * total
+
+
+def test_repeats_against_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    texts, cuts = texts_of(spark, sf), defaultdict(list)
+    for r in QUERIES["op7_line_dedup"](spark, sf).collect():
+        span = texts[r["doc_id"]][r["start"]:r["start"] + r["length"]]
+        assert len(brute_words(span)) == r["n_words"] >= 50
+        assert [x[2] for x in brute_words(texts[r["kept_doc_id"]][r["kept_start"]:])[:16]] == [x[2] for x in brute_words(span)[:16]]
+        assert (r["kept_doc_id"], r["kept_start"]) < (r["doc_id"], r["start"])
+        cuts[r["doc_id"]].append((r["start"], r["start"] + r["length"]))
+    check_cuts(texts, cuts)
+
+
+def test_repeats_inside_lines_and_edges(spark):
+    rng = random.Random(21)
+
+    def prose(n, seed):
+        return " ".join(random.Random(seed + i).choice("abcdefgh") + str(rng.randrange(10 ** 6)) for i in range(n))
+
+    shared, almost, boiler = prose(51, 1), prose(49, 2), prose(12, 3)
+    marked = " ".join(f"{w.upper()}," if i % 3 else w for i, w in enumerate(shared.split()))
+    rows = [(20, f"{prose(30, 4)} start {shared} end. {prose(9, 5)}\n{boiler}"), (21, f"{prose(7, 6)}\nX ({marked}) Y\n{boiler}\nZ"), (22, f"{almost}\n{boiler}"), (23, f"Q {almost} R {boiler}"),
+            (24, marked), (24, marked), (24, f"other {boiler}"), (None, f"keep {prose(9, 7)} {shared}")]
+    docs = edge_docs(spark).union(spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], edge_docs(spark).schema))
     out = line_dedup.without_repeats(docs)
     assert out.columns == [*docs.columns, "removed"]
-    rows = out.collect()
-    assert len(rows) == len(EDGE) + 4
-    assert [r["text"] for r in rows if r["doc_id"] is None] == [f"keep\n{line}"]      # a null id ranks first
-    assert [r["text"] for r in rows if r["doc_id"] == 20] == ["short\n"]
-    assert [r["text"] for r in rows if r["doc_id"] == 21] == ["", ""]
-    assert line_dedup.removed_lines(docs.limit(0)).count() == 0
-
-
-def test_lines_in_scripts_without_spaces(spark):
-    lines = ["所有权利均由作者保留未经许可不得转载", "すべての権利は著者に帰属します", "สงวนลิขสิทธิ์ทุกประการ"]
-    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(reversed(lines)) + "\n漢字")], "doc_id bigint, text string")
-    assert sorted((r["doc_id"], r["unit"], r["kept_doc_id"]) for r in line_dedup.removed_lines(docs).collect()) == [(2, i, 1) for i in range(3)]
+    got = defaultdict(list)
+    for r in out.collect():
+        got[r["doc_id"]].append(r["text"])
+    assert sum(map(len, got.values())) == len(EDGE) + len(rows)
+    assert got[None] == [rows[-1][1]]                                         # a null id ranks first
+    assert got[20] == [rows[0][1].replace(f"{shared} ", "")]
+    assert got[21] == [rows[1][1].replace(f"({marked}) ", "")]
+    assert got[22] == [rows[2][1]]                                            # runs of 49 and of 12 words stay
+    assert got[23] == [rows[3][1]]
+    assert sorted(got[24]) == ["", "", f"other {boiler}"]
+    assert len(got[6][0].split()) < 60                                        # one word over and over
+    assert {k: v for k, v in got.items() if k in (1, 2, 3, 4, 5, 7, 8)} == {k: [t for i, t in EDGE if i == k] for k in (1, 2, 3, 4, 5, 7, 8)}
+    spans = [r for r in line_dedup.removed_spans(docs).collect() if r["doc_id"] == 21]
+    assert [(rows[1][1][r["start"]:r["start"] + r["length"]], r["n_words"], r["kept_doc_id"]) for r in spans] == [(f"({marked})", 51, None)]
+    assert line_dedup.removed_spans(docs.limit(0)).count() == 0
+    assert line_dedup.without_repeats(docs.limit(0)).count() == 0
+
+
+def test_repeats_in_scripts_without_spaces(spark):
+    shared = "所有权利均由作者保留未经许可不得转载" "すべての権利は著者に帰属します" "สงวนลิขสิทธิ์ทุกประการ"
+    docs = spark.createDataFrame([(1, f"前{shared}。后"), (2, f"İ漢字{shared}とภาษ"), (3, shared[:30])], "doc_id bigint, text string")
+    got = [(r["doc_id"], r["start"], r["length"], r["kept_doc_id"], r["kept_start"]) for r in line_dedup.removed_spans(docs).collect()]
+    assert got == [(2, 3, len(shared), 1, 1)]
+
+
+def test_repeats_across_blocks_of_a_long_text(spark):
+    rng = random.Random(22)
+    size = line_dedup.BLOCK_BYTES
+    shared = [" ".join(str(rng.randrange(10 ** 7)) for _ in range(60)) for _ in range(4)]
+    text = ""
+    for n, border in enumerate((size, 2 * size, 2 * size + 1000)):
+        while len(text) < border - 300:
+            text += f"{rng.randrange(10 ** 9)} é "
+        text += shared[n] + " "
+    text += "x" * (3 * size) + " " + shared[3]
+    docs = spark.createDataFrame([(1, " | ".join(shared)), (2, text)], "doc_id bigint, text string")
+    rows = line_dedup.removed_spans(docs).collect()
+    assert [text[r["start"]:r["start"] + r["length"]] for r in sorted(rows, key=lambda r: r["start"])] == shared
 
 
 # --- quality rules

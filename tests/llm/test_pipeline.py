@@ -2,7 +2,7 @@ import zlib
 
 import corpus_pipeline
 from plumbline.llm import decontam, line_dedup, packing, quality_cnn
-from tests.llm.test_documents import RANKS, brute_links
+from tests.llm.test_documents import RANKS, brute_links, check_cuts
 
 
 def test_stages_against_brute_force(spark, sf):
@@ -26,24 +26,15 @@ def test_stages_against_brute_force(spark, sf):
     kept = {r["doc_id"] for r in two.collect()}
     assert kept == {c for c, _ in brute_links(texts).values()}
 
-    # 3: lines seen before are cut.
-    seen, expected = set(), {}
-    for k in sorted(kept):
-        lines, n = [], 0
-        for line in texts[k].split("\n"):
-            plain = line_dedup.normalise(line)
-            n += 1
-            if len(plain.split()) < 6 or plain not in seen:
-                lines.append((line, n))
-            if len(plain.split()) >= 6:
-                seen.add(plain)
-        text = "\n".join(x for x, _ in lines)
-        whole = len(lines) == n
-        if whole or text.strip(" "):
-            expected[k] = text if whole or lines[-1][1] == n else text + "\n"
+    # 3: runs of 50 words that an earlier document holds are cut, nothing else.
     three = corpus_pipeline.substring_dedup(spark, two, sf).cache()
     assert three.columns == columns
-    assert {r["doc_id"]: r["text"] for r in three.collect()} == expected
+    expected = {r["doc_id"]: r["text"] for r in three.collect()}
+    cut = {k: texts[k] for k in kept}
+    spans = {r["doc_id"]: r["removed"] for r in line_dedup.without_repeats(two).collect()}
+    check_cuts(cut, {k: [(x["start"], x["start"] + x["length"]) for x in v or ()] for k, v in spans.items()}, least=0)
+    left = {k: line_dedup.cut_text(cut[k], [(x["start"], x["length"]) for x in v or ()]) for k, v in spans.items()}
+    assert expected == {k: t for k, t in left.items() if not spans[k] or t.strip(" \t\n\x0b\x0c\r")}
     assert all(r["n_chars"] == len(r["text"]) for r in three.collect())
 
     # 4: no document holds an item any more, the others stay.
