@@ -21,7 +21,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -178,13 +178,16 @@ def _units_of(data: np.ndarray, offsets: np.ndarray, k: int, w: int) -> Iterator
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text and the two keys by which a row is known: a hash of its text, and of both."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
-    return rows.withColumn("row_key", F.xxhash64("doc_id", "text_key"))
+    """doc_id, text and row_key: the hash of both by which a row is known."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.withColumn("row_key", F.xxhash64("doc_id", "text"))
 
 
 def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, row_key, text_key, place (in words), words to its neighbours (0: none), hashes up to these and the 128-bit digest (high, low) of every unit."""
+    """doc_id, row_key, place (in words), words to its neighbours (0: none), hashes up to these and the 128-bit digest (high, low) of every unit.
+
+    ``beside`` holds two 32-bit hashes, of all words back to the unit before and on to the next one.
+    """
     k, w = unit_shape(min_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,18 +195,28 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
             data, at = folded(batch.column("text"))
             found = list(_units_of(data, at, k, w))
             row, place, behind, step, back, link, digest = zip(*found, strict=True) if found else ((),) * 7
-            take = pa.array(row, pa.int64())
+            take, half = pa.array(row, pa.int64()), np.uint64(32)
+            beside = np.array(back, np.uint64) >> half << half | np.array(link, np.uint64) >> half
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(take), batch.column("row_key").take(take), batch.column("text_key").take(take), pa.array(place, pa.int64()),
-                 pa.array(behind, pa.int32()), pa.array(step, pa.int32()), pa.array(np.array(back, np.uint64).view(np.int64)), pa.array(np.array(link, np.uint64).view(np.int64)),
+                [batch.column("doc_id").take(take), batch.column("row_key").take(take), pa.array(place, pa.int64()),
+                 pa.array(behind, pa.int32()), pa.array(step, pa.int32()), pa.array(beside.view(np.int64)),
                  pa.array(np.array([d >> 64 for d in digest], np.uint64).view(np.int64)),
                  pa.array(np.array([d & (1 << 64) - 1 for d in digest], np.uint64).view(np.int64))],
-                ["doc_id", "row_key", "text_key", "place", "behind", "step", "back", "link", "high", "low"])
+                ["doc_id", "row_key", "place", "behind", "step", "beside", "high", "low"])
 
     rows = _keyed(docs, id_col, text_col).filter(F.col("text").isNotNull())
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "row_key", "text_key", "text").mapInArrow(
-        run, f"doc_id {kind}, row_key bigint, text_key bigint, place bigint, behind int, step int, back bigint, link bigint, high bigint, low bigint")
+    return rows.select("doc_id", "row_key", "text").mapInArrow(
+        run, f"doc_id {kind}, row_key bigint, place bigint, behind int, step int, beside bigint, high bigint, low bigint")
+
+
+#: Rows of which the keys (8 bytes each) are broadcast before texts are shuffled.
+MAX_BROADCAST_KEYS = 1_000_000
+
+
+def _only(rows: DataFrame, keyed: DataFrame) -> DataFrame:
+    """The rows whose row_key is in ``keyed``, without a shuffle; all rows if there are too many keys to broadcast."""
+    return rows.join(F.broadcast(keyed.select("row_key")), "row_key", "left_semi") if keyed.count() <= MAX_BROADCAST_KEYS else rows
 
 
 class _Text:
@@ -275,29 +288,32 @@ def _cuts(raw: str, data: np.ndarray, pieces: list[dict], k: int, min_words: int
 
 
 def _pieces(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """row_key, text_key and ``pieces`` of every text that repeats an earlier ranked one: its repeated units and what lies beside their kept occurrence."""
+    """row_key and ``pieces`` of every text that repeats an earlier ranked one: its repeated units and what lies beside their kept occurrence."""
     k, w = unit_shape(min_words)
     every = materialize(units(docs, id_col, text_col, min_words))
-    rank = F.struct("doc_id", "text_key", "place", "row_key", "back", "link")
+    rank = F.struct("doc_id", "row_key", "place", "beside")
     groups = materialize(every.groupBy("high", "low").agg(
         F.min(rank).alias("first"), F.max(rank).alias("last"), F.count(F.lit(1)).alias("n_equal")
     ).filter(F.col("first") != F.col("last")).drop("last"))
     total = groups.agg(F.sum("n_equal")).first()[0] or 0
+
+    def same(half: int) -> Column:
+        """Whether the words on one side agree with those beside the kept occurrence; 0: there is no unit on that side."""
+        own, kept = (F.shiftrightunsigned(c, half).bitwiseAND(0xFFFFFFFF) for c in ("beside", "first.beside"))
+        return (own != 0) & (own == kept)
+
     found = materialize(join_by_hot_key(every, groups, ["high", "low"], "n_equal", total).filter(
-        (F.col("row_key") != F.col("first.row_key")) | (F.col("text_key") != F.col("first.text_key")) | (F.col("place") != F.col("first.place"))
+        (F.col("row_key") != F.col("first.row_key")) | (F.col("place") != F.col("first.place"))
     ).select(
-        "row_key", "text_key", "place",
-        (F.col("place") - F.when(F.col("back") == F.col("first.back"), F.col("behind")).otherwise(0)).alias("from"),
-        (F.col("place") + k + F.when(F.col("link") == F.col("first.link"), F.col("step")).otherwise(0)).alias("reach"),
-        ((F.col("back") == 0) | (F.col("back") != F.col("first.back"))).alias("at_left"),
-        ((F.col("link") == 0) | (F.col("link") != F.col("first.link"))).alias("at_right"), "first"))
+        "row_key", "place", (F.col("place") - F.when(same(32), F.col("behind")).otherwise(0)).alias("from"),
+        (F.col("place") + k + F.when(same(0), F.col("step")).otherwise(0)).alias("reach"),
+        (~same(32)).alias("at_left"), (~same(0)).alias("at_right"), "first"))
     ends = found.filter("at_left or at_right").select(
-        "row_key", "text_key", "from", "reach", F.col("first.doc_id").alias("kept"), F.col("first.row_key").alias("kept_row"),
-        F.col("first.text_key").alias("kept_text"), F.col("first.place").alias("kept_place"),
+        "row_key", "from", "reach", F.col("first.doc_id").alias("kept"), F.col("first.row_key").alias("kept_row"), F.col("first.place").alias("kept_place"),
         F.explode(F.array_compact(F.array(F.when(F.col("at_left"), F.lit(LEFT)), F.when(F.col("at_right"), F.lit(RIGHT))))).alias("side"))
-    on = ["kept_row", "kept_text", "kept_place", "side"]
+    on = ["kept_row", "kept_place", "side"]
     asked = ends.groupBy(*on).agg(F.count(F.lit(1)).alias("n_asked"))
-    by_text = asked.groupBy("kept_row", "kept_text").agg(F.collect_list(F.struct("kept_place", "side", "n_asked")).alias("asked"))
+    by_text = materialize(asked.groupBy(F.col("kept_row").alias("row_key")).agg(F.collect_list(F.struct("kept_place", "side", "n_asked")).alias("asked")))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,30 +332,29 @@ def _pieces(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> Data
                         col.append(v)
             take = pa.array(out[0], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row_key").take(take), batch.column("text_key").take(take), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()),
+                [batch.column("row_key").take(take), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()),
                  pa.array(out[3], pa.int64()), pa.array(out[4], pa.list_(pa.int64())), pa.array(out[5], pa.list_(pa.int64()))],
                 [*on, "n_asked", "words", "kept_starts"])
 
     # Equal rows give equal answers; one of each is used.
-    answers = materialize(_keyed(docs, id_col, text_col).join(
-        by_text, (F.col("row_key") == F.col("kept_row")) & (F.col("text_key") == F.col("kept_text"))).select("row_key", "text_key", "text", "asked").mapInArrow(
-        answer, "kept_row bigint, kept_text bigint, kept_place bigint, side int, n_asked bigint, words array<bigint>, kept_starts array<bigint>").dropDuplicates(on))
+    answers = materialize(_only(_keyed(docs, id_col, text_col), by_text).join(by_text, "row_key").select("row_key", "text", "asked").mapInArrow(
+        answer, "kept_row bigint, kept_place bigint, side int, n_asked bigint, words array<bigint>, kept_starts array<bigint>").dropDuplicates(on))
     n_ends = answers.agg(F.sum("n_asked")).first()[0] or 0
     kind = docs.schema[id_col].dataType
     beside = join_by_hot_key(ends, answers, on, "n_asked", n_ends).select(
-        "row_key", "text_key", F.struct("from", "reach", "side", "words", "kept_starts", "kept").alias("piece"))
-    alone = found.filter("not at_left and not at_right").select("row_key", "text_key", F.struct(
+        "row_key", F.struct("from", "reach", "side", "words", "kept_starts", "kept").alias("piece"))
+    alone = found.filter("not at_left and not at_right").select("row_key", F.struct(
         "from", "reach", F.lit(0).alias("side"), F.lit(None).cast("array<bigint>").alias("words"),
         F.lit(None).cast("array<bigint>").alias("kept_starts"), F.lit(None).cast(kind).alias("kept")).alias("piece"))
-    return beside.unionByName(alone).groupBy("row_key", "text_key").agg(F.collect_set("piece").alias("pieces"))
+    return materialize(beside.unionByName(alone).groupBy("row_key").agg(F.collect_set("piece").alias("pieces")))
 
 
 def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per removed span: doc_id, text_key, unit (number of the span in its text), start, length, n_words, kept_doc_id, kept_start.
+    """One row per removed span: doc_id, row_key, unit (number of the span in its text), start, length, n_words, kept_doc_id, kept_start.
 
     A span is a run of at least ``min_words`` normalised words that an earlier
     ranked text, or an earlier place of the same text, holds too. Places are
-    ranked by (doc_id, a hash of the text, place). ``start`` and ``length``
+    ranked by (doc_id, a hash of the row, place). ``start`` and ``length``
     count characters of the original text. Rows that repeat both id and text
     rank alike, so they are kept or cut alike; a null id ranks first. Null and
     empty texts, and those of fewer words, have no spans; other columns are
@@ -357,13 +372,14 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             row, unit, start, length, n_words, kept, kept_start = zip(*rows, strict=True) if rows else ((),) * 7
             take = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(take), batch.column("text_key").take(take), pa.array(unit, pa.int32()), pa.array(start, pa.int64()),
+                [batch.column("doc_id").take(take), batch.column("row_key").take(take), pa.array(unit, pa.int32()), pa.array(start, pa.int64()),
                  pa.array(length, pa.int64()), pa.array(n_words, pa.int64()), pa.array(kept, batch.schema.field("doc_id").type), pa.array(kept_start, pa.int64())],
-                ["doc_id", "text_key", "unit", "start", "length", "n_words", "kept_doc_id", "kept_start"])
+                ["doc_id", "row_key", "unit", "start", "length", "n_words", "kept_doc_id", "kept_start"])
 
-    return _keyed(docs, id_col, text_col).join(_pieces(docs, id_col, text_col, min_words), ["row_key", "text_key"]).select(
-        "doc_id", "text_key", "text", "pieces").mapInArrow(
-        run, f"doc_id {kind}, text_key bigint, unit int, start bigint, length bigint, n_words bigint, kept_doc_id {kind}, kept_start bigint")
+    pieces = _pieces(docs, id_col, text_col, min_words)
+    return _only(_keyed(docs, id_col, text_col), pieces).join(pieces, "row_key").select(
+        "doc_id", "row_key", "text", "pieces").mapInArrow(
+        run, f"doc_id {kind}, row_key bigint, unit int, start bigint, length bigint, n_words bigint, kept_doc_id {kind}, kept_start bigint")
 
 
 def cut_text(text: str, spans: list[tuple[int, int]]) -> str:
@@ -391,8 +407,13 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names, (k, _) = docs.columns, unit_shape(min_words)
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     where = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
-    keyed = plain.withColumn("text_key", F.xxhash64(where[1])).withColumn("row_key", F.xxhash64(where[0], "text_key"))
-    joined = keyed.join(_pieces(docs, id_col, text_col, min_words), ["row_key", "text_key"], "left")
+    keyed, pieces = plain.withColumn("row_key", F.xxhash64(*where)), _pieces(docs, id_col, text_col, min_words)
+    if pieces.count() <= MAX_BROADCAST_KEYS:             # texts without repeats need not be shuffled
+        tagged = keyed.join(F.broadcast(pieces.select("row_key", F.lit(True).alias("hit"))), "row_key", "left")
+        none = F.lit(None).cast(pieces.schema["pieces"].dataType).alias("pieces")
+        joined = tagged.filter("hit").drop("hit").join(pieces, "row_key").unionByName(tagged.filter("hit is null").drop("hit").withColumn("pieces", none))
+    else:
+        joined = keyed.join(pieces, "row_key", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
