@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from plumbline.llm.common import join_by_hot_key, materialize
 from plumbline.llm.words import BLOCK_BYTES, Hasher, blocks, text_bytes
@@ -133,8 +134,8 @@ def _chosen(data: np.ndarray, offsets: np.ndarray, k: int, w: int) -> tuple[np.n
     return row[at], at - first[row[at]], step, link, plain, begin[at], stop[at + k - 1], starts
 
 
-def _units_of(data: np.ndarray, offsets: np.ndarray, k: int, w: int) -> Iterator[tuple]:
-    """(row, place, words to the unit before and to the next, hashes of the words up to these, digest) of every unit of a batch of texts.
+def _units_of(data: np.ndarray, offsets: np.ndarray, k: int, w: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Arrays of row, place, hashes of the words on both sides and digest (high, low) of the units of a batch of texts, block by block.
 
     A text over one block is read in blocks that overlap by more than the words
     that decide on a unit and its neighbours, so the cuts leave no trace.
@@ -143,12 +144,14 @@ def _units_of(data: np.ndarray, offsets: np.ndarray, k: int, w: int) -> Iterator
 
     def emit(first: int, block: np.ndarray, at: np.ndarray, base: int = 0, own: int = 0, end: float = float("inf")):
         row, place, step, link, plain, begin, stop, _ = _chosen(block, at, k, w)
-        back, behind = np.zeros_like(link), np.zeros_like(step)
-        back[1:], behind[1:] = link[:-1], step[:-1]      # both 0 at the first unit of a text
+        back, half = np.zeros_like(link), np.uint64(32)
+        back[1:] = link[:-1]                             # 0 at the first unit of a text
+        beside = back >> half << half | link >> half
         place = place + base
-        raw = plain.tobytes()
-        for i in np.flatnonzero((place >= own) & (place < end)).tolist():
-            yield first + int(row[i]), int(place[i]), int(behind[i]), int(step[i]), back[i], link[i], xxhash.xxh3_128_intdigest(raw[begin[i]:stop[i]])
+        mine, raw = np.flatnonzero((place >= own) & (place < end)), plain.tobytes()
+        digest = b"".join(xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(begin[mine].tolist(), stop[mine].tolist(), strict=True))
+        both = np.frombuffer(digest, ">i8").astype(np.int64).reshape(-1, 2)
+        yield first + row[mine], place[mine], beside[mine].view(np.int64), both[:, 0], both[:, 1]
 
     row = 0
     while row < len(offsets) - 1:
@@ -184,30 +187,25 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, row_key, place (in words), words to its neighbours (0: none), hashes up to these and the 128-bit digest (high, low) of every unit.
+    """doc_id, row_key, place (in words), beside and the 128-bit digest (high, low) of every unit.
 
-    ``beside`` holds two 32-bit hashes, of all words back to the unit before and on to the next one.
+    ``beside`` holds two 32-bit hashes, of all words back to the unit before and on to the next one; 0 without such a unit.
     """
     k, w = unit_shape(min_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = folded(batch.column("text"))
-            found = list(_units_of(data, at, k, w))
-            row, place, behind, step, back, link, digest = zip(*found, strict=True) if found else ((),) * 7
-            take, half = pa.array(row, pa.int64()), np.uint64(32)
-            beside = np.array(back, np.uint64) >> half << half | np.array(link, np.uint64) >> half
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(take), batch.column("row_key").take(take), pa.array(place, pa.int64()),
-                 pa.array(behind, pa.int32()), pa.array(step, pa.int32()), pa.array(beside.view(np.int64)),
-                 pa.array(np.array([d >> 64 for d in digest], np.uint64).view(np.int64)),
-                 pa.array(np.array([d & (1 << 64) - 1 for d in digest], np.uint64).view(np.int64))],
-                ["doc_id", "row_key", "place", "behind", "step", "beside", "high", "low"])
+            for row, *columns in _units_of(data, at, k, w):
+                take = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(take), batch.column("row_key").take(take), *(pa.array(np.ascontiguousarray(c), pa.int64()) for c in columns)],
+                    ["doc_id", "row_key", "place", "beside", "high", "low"])
 
     rows = _keyed(docs, id_col, text_col).filter(F.col("text").isNotNull())
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.select("doc_id", "row_key", "text").mapInArrow(
-        run, f"doc_id {kind}, row_key bigint, place bigint, behind int, step int, beside bigint, high bigint, low bigint")
+        run, f"doc_id {kind}, row_key bigint, place bigint, beside bigint, high bigint, low bigint")
 
 
 #: Rows of which the keys (8 bytes each) are broadcast before texts are shuffled.
@@ -238,45 +236,43 @@ class _Text:
     def char(self, byte: int) -> int:
         """Characters before a byte."""
         if self.chars is None:
-            self.chars = np.concatenate([[0], np.cumsum(self.data & 0xC0 != 0x80)])
+            self.chars = np.concatenate([np.zeros(1, np.int32), np.cumsum(self.data & 0xC0 != 0x80, dtype=np.int32)])
         return int(self.chars[byte])
 
 
-def _spans(text: _Text, pieces: list[dict], k: int, min_words: int) -> list[tuple[int, int, int, object, int | None]]:
-    """(first word, word after the last, kept id, kept start) of the repeated spans of at least ``min_words`` words, from units and span ends."""
+def _spans(text: _Text, ends: list[dict], k: int, min_words: int) -> list[tuple[int, int, object, int | None]]:
+    """(first word, word after the last, kept id, kept start) of the repeated spans of at least ``min_words`` words, from their ends.
+
+    Ends come in turns, left and right; what lies between two of a pair is repeated.
+    """
     runs: list[list] = []
     n = len(text.starts)
-    for p in pieces:
-        a, b, kept = p["from"], p["reach"], None
+    for p in sorted(ends, key=lambda p: (p["place"], p["side"])):
+        at, words, m = p["place"], p["words"], 0
         if p["side"] == LEFT:
-            m = 0
-            while m < len(p["words"]) and a - 1 - m >= 0 and text.word(a - 1 - m) == p["words"][m]:
+            while m < len(words) and at - 1 - m >= 0 and text.word(at - 1 - m) == words[m]:
                 m += 1
-            a, kept = a - m, (p["kept"], p["kept_starts"][m])
-        elif p["side"] == RIGHT:
-            m = 0
-            while m < len(p["words"]) and b + m < n and text.word(b + m) == p["words"][m]:
+            runs.append([at - m, at + k, p["kept"], p["kept_starts"][m]])
+        else:
+            while m < len(words) and at + k + m < n and text.word(at + k + m) == words[m]:
                 m += 1
-            b += m
-        runs.append([a, b, kept])
-    runs.sort(key=lambda r: (r[0], -r[1]))
+            runs[-1][1] = at + k + m
     out: list[list] = []
-    for a, b, kept in runs:
+    for a, b, kept, kept_start in runs:
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
-            out[-1][2] = out[-1][2] or kept
         else:
-            out.append([a, b, kept])
-    return [(a, b, *(kept or (None, None))) for a, b, kept in out if b - a >= min_words]
+            out.append([a, b, kept, kept_start])
+    return [tuple(r) for r in out if r[1] - r[0] >= min_words]
 
 
 _SIGNS = frozenset(string.punctuation)
 
 
-def _cuts(raw: str, data: np.ndarray, pieces: list[dict], k: int, min_words: int) -> list[tuple[int, int, int, object, int | None]]:
+def _cuts(column: pa.Array, i: int, ends: list[dict], k: int, min_words: int) -> list[tuple[int, int, int, object, int | None]]:
     """(start, length, words, kept id, kept start) of each span in characters; signs at a span's two ends belong to it."""
-    text, out, done = _Text(data), [], 0
-    for a, b, kept, kept_start in _spans(text, pieces, k, min_words):
+    raw, text, out, done = column[i].as_py(), _Text(folded(column.slice(i, 1))[0]), [], 0
+    for a, b, kept, kept_start in _spans(text, ends, k, min_words):
         start, end = text.char(int(text.starts[a])), text.char(int(text.ends[b - 1]))
         while start > done and raw[start - 1] in _SIGNS:
             start -= 1
@@ -287,8 +283,8 @@ def _cuts(raw: str, data: np.ndarray, pieces: list[dict], k: int, min_words: int
     return out
 
 
-def _pieces(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """row_key and ``pieces`` of every text that repeats an earlier ranked one: its repeated units and what lies beside their kept occurrence."""
+def _ends(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """row_key and ``ends`` of every text that repeats an earlier ranked one: where its spans begin and end, and the words beside the kept occurrence."""
     k, w = unit_shape(min_words)
     every = materialize(units(docs, id_col, text_col, min_words))
     rank = F.struct("doc_id", "row_key", "place", "beside")
@@ -302,25 +298,25 @@ def _pieces(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> Data
         own, kept = (F.shiftrightunsigned(c, half).bitwiseAND(0xFFFFFFFF) for c in ("beside", "first.beside"))
         return (own != 0) & (own == kept)
 
-    found = materialize(join_by_hot_key(every, groups, ["high", "low"], "n_equal", total).filter(
-        (F.col("row_key") != F.col("first.row_key")) | (F.col("place") != F.col("first.place"))
-    ).select(
-        "row_key", "place", (F.col("place") - F.when(same(32), F.col("behind")).otherwise(0)).alias("from"),
-        (F.col("place") + k + F.when(same(0), F.col("step")).otherwise(0)).alias("reach"),
-        (~same(32)).alias("at_left"), (~same(0)).alias("at_right"), "first"))
-    ends = found.filter("at_left or at_right").select(
-        "row_key", "from", "reach", F.col("first.doc_id").alias("kept"), F.col("first.row_key").alias("kept_row"), F.col("first.place").alias("kept_place"),
-        F.explode(F.array_compact(F.array(F.when(F.col("at_left"), F.lit(LEFT)), F.when(F.col("at_right"), F.lit(RIGHT))))).alias("side"))
+    found = join_by_hot_key(every, groups, ["high", "low"], "n_equal", total).filter(
+        (F.col("row_key") != F.col("first.row_key")) | (F.col("place") != F.col("first.place")))
+    # A span goes on from a unit to the next one if the words between them are those beside the kept occurrence of either.
+    in_text = Window.partitionBy("row_key").orderBy("place")
+    linked = found.select("row_key", "place", "first", same(32).alias("to_left"), same(0).alias("to_right")).select(
+        "row_key", "place", F.col("first.doc_id").alias("kept"), F.col("first.row_key").alias("kept_row"), F.col("first.place").alias("kept_place"),
+        (F.col("to_left") | F.lag("to_right", 1, False).over(in_text)).alias("joined_left"),
+        (F.col("to_right") | F.lead("to_left", 1, False).over(in_text)).alias("joined_right"))
+    ends = materialize(linked.select("row_key", "place", "kept", "kept_row", "kept_place", F.explode(F.array_compact(F.array(
+        F.when(~F.col("joined_left"), F.lit(LEFT)), F.when(~F.col("joined_right"), F.lit(RIGHT))))).alias("side")))
     on = ["kept_row", "kept_place", "side"]
     asked = ends.groupBy(*on).agg(F.count(F.lit(1)).alias("n_asked"))
     by_text = materialize(asked.groupBy(F.col("kept_row").alias("row_key")).agg(F.collect_list(F.struct("kept_place", "side", "n_asked")).alias("asked")))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, at = folded(batch.column("text"))
             out: list[list] = [[] for _ in range(6)]
             for i, asked in enumerate(batch.column("asked").to_pylist()):
-                text = _Text(data[at[i]:at[i + 1]])
+                text = _Text(folded(batch.column("text").slice(i, 1))[0])
                 for x in asked:
                     p = x["kept_place"]
                     if x["side"] == LEFT:
@@ -340,13 +336,8 @@ def _pieces(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> Data
     answers = materialize(_only(_keyed(docs, id_col, text_col), by_text).join(by_text, "row_key").select("row_key", "text", "asked").mapInArrow(
         answer, "kept_row bigint, kept_place bigint, side int, n_asked bigint, words array<bigint>, kept_starts array<bigint>").dropDuplicates(on))
     n_ends = answers.agg(F.sum("n_asked")).first()[0] or 0
-    kind = docs.schema[id_col].dataType
-    beside = join_by_hot_key(ends, answers, on, "n_asked", n_ends).select(
-        "row_key", F.struct("from", "reach", "side", "words", "kept_starts", "kept").alias("piece"))
-    alone = found.filter("not at_left and not at_right").select("row_key", F.struct(
-        "from", "reach", F.lit(0).alias("side"), F.lit(None).cast("array<bigint>").alias("words"),
-        F.lit(None).cast("array<bigint>").alias("kept_starts"), F.lit(None).cast(kind).alias("kept")).alias("piece"))
-    return materialize(beside.unionByName(alone).groupBy("row_key").agg(F.collect_set("piece").alias("pieces")))
+    return materialize(join_by_hot_key(ends, answers, on, "n_asked", n_ends).groupBy("row_key").agg(
+        F.collect_set(F.struct("place", "side", "words", "kept_starts", "kept")).alias("ends")))
 
 
 def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -365,10 +356,8 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, at = folded(batch.column("text"))
-            texts = batch.column("text").to_pylist()
-            rows = [(i, u, *c) for i, p in enumerate(batch.column("pieces").to_pylist())
-                    for u, c in enumerate(_cuts(texts[i], data[at[i]:at[i + 1]], p, k, min_words))]
+            rows = [(i, u, *c) for i, ends in enumerate(batch.column("ends"))
+                    for u, c in enumerate(_cuts(batch.column("text"), i, ends.as_py(), k, min_words))]
             row, unit, start, length, n_words, kept, kept_start = zip(*rows, strict=True) if rows else ((),) * 7
             take = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -376,9 +365,9 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                  pa.array(length, pa.int64()), pa.array(n_words, pa.int64()), pa.array(kept, batch.schema.field("doc_id").type), pa.array(kept_start, pa.int64())],
                 ["doc_id", "row_key", "unit", "start", "length", "n_words", "kept_doc_id", "kept_start"])
 
-    pieces = _pieces(docs, id_col, text_col, min_words)
-    return _only(_keyed(docs, id_col, text_col), pieces).join(pieces, "row_key").select(
-        "doc_id", "row_key", "text", "pieces").mapInArrow(
+    ends = _ends(docs, id_col, text_col, min_words)
+    return _only(_keyed(docs, id_col, text_col), ends).join(ends, "row_key").select(
+        "doc_id", "row_key", "text", "ends").mapInArrow(
         run, f"doc_id {kind}, row_key bigint, unit int, start bigint, length bigint, n_words bigint, kept_doc_id {kind}, kept_start bigint")
 
 
@@ -407,34 +396,29 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names, (k, _) = docs.columns, unit_shape(min_words)
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     where = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
-    keyed, pieces = plain.withColumn("row_key", F.xxhash64(*where)), _pieces(docs, id_col, text_col, min_words)
-    if pieces.count() <= MAX_BROADCAST_KEYS:             # texts without repeats need not be shuffled
-        tagged = keyed.join(F.broadcast(pieces.select("row_key", F.lit(True).alias("hit"))), "row_key", "left")
-        none = F.lit(None).cast(pieces.schema["pieces"].dataType).alias("pieces")
-        joined = tagged.filter("hit").drop("hit").join(pieces, "row_key").unionByName(tagged.filter("hit is null").drop("hit").withColumn("pieces", none))
+    keyed, ends = plain.withColumn("row_key", F.xxhash64(*where)), _ends(docs, id_col, text_col, min_words)
+    if ends.count() <= MAX_BROADCAST_KEYS:               # texts without repeats need not be shuffled
+        tagged = keyed.join(F.broadcast(ends.select("row_key", F.lit(True).alias("hit"))), "row_key", "left")
+        none = F.lit(None).cast(ends.schema["ends"].dataType).alias("ends")
+        joined = tagged.filter("hit").drop("hit").join(ends, "row_key").unionByName(tagged.filter("hit is null").drop("hit").withColumn("ends", none))
     else:
-        joined = keyed.join(pieces, "row_key", "left")
+        joined = keyed.join(ends, "row_key", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(where[1])
-            pieces = batch.column("pieces")
-            affected = pa.array(np.flatnonzero(pieces.is_valid().to_numpy(zero_copy_only=False)))
-            removed: list = [None] * batch.num_rows
-            texts = batch.column(at)
-            if len(affected):
-                some = texts.take(affected)
-                data, offsets = folded(some)
-                out = texts.to_pylist()
-                for j, (i, p) in enumerate(zip(affected.to_pylist(), pieces.take(affected).to_pylist(), strict=True)):
-                    spans = [c[:2] for c in _cuts(out[i], data[offsets[j]:offsets[j + 1]], p, k, min_words)]
-                    if spans:
-                        removed[i] = [{"start": a, "length": b} for a, b in spans]
-                        out[i] = cut_text(out[i], spans)
-                texts = pa.array(out, texts.type)
-            batch = batch.drop_columns(["pieces"]).set_column(at, where[1], texts)
+            texts, column = batch.column(at), batch.column("ends")
+            removed, changed = [None] * batch.num_rows, {}
+            for i in np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                spans = [c[:2] for c in _cuts(texts, i, column[i].as_py(), k, min_words)]
+                if spans:
+                    removed[i] = [{"start": a, "length": b} for a, b in spans]
+                    changed[i] = cut_text(texts[i].as_py(), spans)
+            if changed:
+                texts = pa.array([changed.get(i, t) for i, t in enumerate(texts.to_pylist())], texts.type)
+            batch = batch.drop_columns(["ends"]).set_column(at, where[1], texts)
             yield batch.append_column("removed", pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))))
 
     spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())]))
-    out = joined.select(*plain.columns, "pieces").mapInArrow(cut, T.StructType([*plain.schema.fields, T.StructField("removed", spans)]))
+    out = joined.select(*plain.columns, "ends").mapInArrow(cut, T.StructType([*plain.schema.fields, T.StructField("removed", spans)]))
     return out.toDF(*names, "removed")
