@@ -27,10 +27,10 @@ from plumbline.llm.words import blocks, text_bytes
 #: Longer items are sought as consecutive passages of so many normalised bytes.
 PASSAGE_BYTES = 1000
 #: Passages of one block, on average; with PASSAGE_BYTES this bounds what travels to the tasks.
-BLOCK_PASSAGES = 2000
+BLOCK_PASSAGES = 10_000
 WALKS, TABLES_PER_WALK, SAMPLES = 4, 10, 4
-#: Windows embedded at once.
-AT_ONCE = 8192
+#: Windows embedded at once, and candidates verified at once.
+AT_ONCE, ABREAST = 8192, 2048
 GRAM = 9
 #: Length of the short runs that are counted before a window is embedded, and bits of their hashes.
 SHORT, MEMBER_BITS = 4, 13
@@ -112,21 +112,24 @@ class Passage(NamedTuple):
     raw: bytes
 
 
-def passages_of(item_id: int, text: str | None, least_bytes: int) -> list[Passage]:
-    """An item's passages; none if its normalised text is shorter than ``least_bytes``."""
+def passages_of(item_id: int, text: str | None) -> list[Passage]:
+    """An item's passages; none if its normalised text is empty."""
     raw = normalised_bytes(text or "")
-    if len(raw) < least_bytes:
-        return []
-    n = -(-len(raw) // PASSAGE_BYTES)
+    n = max(1, -(-len(raw) // PASSAGE_BYTES))
     cuts = [len(raw) * i // n for i in range(n + 1)]
-    return [Passage(item_id, i, raw[a:b]) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    return [Passage(item_id, i, raw[a:b]) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+
+
+def allowed(size: int, rate: float, least_bytes: int) -> int:
+    """Edits allowed to a passage of ``size`` bytes; none to short ones, whose near forms are other words."""
+    return int(rate * size) if size >= least_bytes else 0
 
 
 class Seeds:
     """The pieces of a block of passages, by gram length."""
 
-    def __init__(self, raws: list[bytes], rate: float):
-        self.edits = np.array([int(rate * len(r)) for r in raws])
+    def __init__(self, raws: list[bytes], rate: float, least_bytes: int):
+        self.edits = np.array([allowed(len(r), rate, least_bytes) for r in raws])
         self.length = np.array([len(r) for r in raws])
         by_q: dict[int, list[tuple[int, int, int]]] = {}
         codes = _codes()
@@ -136,9 +139,12 @@ class Seeds:
             own = codes[np.frombuffer(raw, np.uint8)]
             g = grams(own, q)
             by_q.setdefault(q, []).extend((int(g[j * size]), number, j * size) for j in range(k + 1))
-        self.member = np.zeros((len(raws), 1 << MEMBER_BITS), bool)
+        self.member = np.zeros((len(raws), 1 << MEMBER_BITS - 3), np.uint8)      # one bit for each hash
         for number, raw in enumerate(raws):
-            self.member[number, self.short(codes[np.frombuffer(raw, np.uint8)])] = True
+            if len(raw) >= SHORT:
+                bits = np.zeros(1 << MEMBER_BITS, np.uint8)
+                bits[self.short(codes[np.frombuffer(raw, np.uint8)])] = 1
+                self.member[number] = np.packbits(bits, bitorder="little")
         self.tables = {}
         for q, rows in by_q.items():
             gram = np.array([r[0] for r in rows], np.uint64)
@@ -164,7 +170,8 @@ class Seeds:
             part = order[i:i + AT_ONCE // 4]
             at = low[part, None] + np.arange(int((high - low)[part].max()))
             inside = at < (high[part] - SHORT + 1)[:, None]
-            hit = self.member[passage[part, None], short[np.where(inside, at, 0)]] & inside
+            run = short[np.where(inside, at, 0)]
+            hit = (self.member[passage[part, None], run >> 3] >> (run & 7).astype(np.uint8)) & inside
             out[part] = hit.sum(1) >= least[part]
         return out
 
@@ -190,6 +197,9 @@ class Seeds:
         row, start, p = np.concatenate(found).T
         k = self.edits[p]
         good = self.likely(short, p, np.maximum(start - k, offsets[row]), np.minimum(start + self.length[p] + k, offsets[row + 1]))
+        stop = start + self.length[p]
+        whole = (k > 0) | (((start == offsets[row]) | (data[start - 1] == 32)) & ((stop >= offsets[row + 1]) | (data[np.minimum(stop, len(data) - 1)] == 32)))
+        good &= whole                                    # a passage without edits stands between word borders
         every = np.unique(np.stack([row, np.maximum(start, offsets[row]), self.length[p]], 1)[good], axis=0)
         return every[:, 0], every[:, 1], every[:, 2]
 
@@ -230,34 +240,81 @@ def lsh_keys(data: np.ndarray, start: np.ndarray, size: np.ndarray, end: np.ndar
     return out
 
 
-def infix_distance(item: bytes, text: bytes) -> tuple[int, int]:
-    """(edits, end): least edit distance of ``item`` to a substring of ``text``, and where the first such one ends.
+def infix_distances(items: list[bytes], which: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(edits, end) for each text: least edit distance of ``items[which]`` to a substring of it, and where the first such one ends.
 
-    Bit-parallel dynamic programming over Python integers; a column per byte of text.
+    Bit-parallel dynamic programming in words of 64 rows, many texts at once; a step per byte of text.
     """
-    m = len(item)
-    masks: dict[int, int] = {}
-    for i, c in enumerate(item):
-        masks[c] = masks.get(c, 0) | 1 << i
-    full, top = (1 << m) - 1, 1 << (m - 1)
-    up, down, score = full, 0, m
-    best, end = m, 0
-    for j, c in enumerate(text):
-        eq = masks.get(c, 0)
-        diag = (((eq & up) + up) ^ up) | eq | down
-        plus, minus = down | ~(diag | up) & full, up & diag
-        if plus & top:
-            score += 1
-        elif minus & top:
-            score -= 1
-        plus, minus = plus << 1 & full, minus << 1 & full
-        up, down = minus | ~(diag | plus) & full, plus & diag
-        if score < best:
-            best, end = score, j + 1
+    best, end = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    size = np.array([len(items[p]) for p in which], np.int64)
+    length = np.array([len(t) for t in texts], np.int64)
+    words = -(-size // 64)
+    order = np.lexsort((length, words))
+    for lo in range(0, len(order), ABREAST):
+        part = order[lo:lo + ABREAST]
+        for n_words in np.unique(words[part]):
+            own = part[words[part] == n_words]
+            best[own], end[own] = _infix_block(items, which[own], [texts[i] for i in own], size[own], length[own], int(n_words))
     return best, end
 
 
-def _block_leaks(docs: DataFrame, passages: list[Passage], rate: float) -> DataFrame:
+def _infix_block(items: list[bytes], which: np.ndarray, texts: list[bytes], size: np.ndarray, length: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    one, full, n = np.uint64(1), np.uint64((1 << 64) - 1), len(texts)
+    used, item = np.unique(which, return_inverse=True)
+    slot = np.zeros((len(used), 256), np.intp)           # which row of ``masks`` a byte has; 0: none of the item's
+    rows = [np.zeros((1, n_words), np.uint64)]
+    total = 1
+    for d, p in enumerate(used):
+        raw = np.frombuffer(items[p], np.uint8)
+        letters, place = np.unique(raw, return_inverse=True)
+        bits = np.zeros((len(letters), n_words * 64), np.uint8)
+        bits[place, np.arange(len(raw))] = 1
+        rows.append(np.packbits(bits, axis=1, bitorder="little").view("<u8").reshape(len(letters), n_words).astype(np.uint64))
+        slot[d, letters] = total + np.arange(len(letters))
+        total += len(letters)
+    masks = np.ascontiguousarray(np.concatenate(rows).T)
+    columns = np.zeros((int(length.max(initial=0)), n), np.uint8)
+    for i, t in enumerate(texts):
+        columns[:len(t), i] = np.frombuffer(t, np.uint8)
+    top = ((size - 1) % 64).astype(np.uint64)
+    up, down = np.full((n_words, n), full), np.zeros((n_words, n), np.uint64)
+    score = size.copy()
+    best, end = size.copy(), np.zeros(n, np.int64)
+    for j in range(len(columns)):
+        at = slot[item, columns[j]]
+        more = less = np.zeros(n, np.uint64)             # whether the row above grows or shrinks from this byte to the next
+        for w in range(n_words):
+            eq, u, d = masks[w][at], up[w], down[w]
+            reach = eq | d
+            eq = eq | less
+            diag = (((eq & u) + u) ^ u) | eq
+            plus, minus = d | ~(diag | u), u & diag
+            shift = top if w == n_words - 1 else np.uint64(63)
+            grows, shrinks = (plus >> shift) & one, (minus >> shift) & one
+            plus, minus = (plus << one) | more, (minus << one) | less
+            up[w], down[w] = minus | ~(reach | plus), plus & reach
+            more, less = grows, shrinks
+        score += more.astype(np.int64) - less.astype(np.int64)
+        better = (score < best) & (j < length)
+        best[better], end[better] = score[better], j + 1
+    return best, end
+
+
+def infix_distance(item: bytes, text: bytes) -> tuple[int, int]:
+    """The same for one text."""
+    best, end = infix_distances([item], np.zeros(1, np.intp), [text])
+    return int(best[0]), int(end[0])
+
+
+def _occurrence(raw: bytes, region: bytes, bordered: bool) -> int:
+    """Start of the first exact occurrence, or -1; ``bordered``: it must stand between word borders."""
+    at = region.find(raw)
+    while bordered and at >= 0 and not ((at == 0 or region[at - 1] == 32) and region[at + len(raw):at + len(raw) + 1] in (b"", b" ")):
+        at = region.find(raw, at + 1)
+    return at
+
+
+def _block_leaks(docs: DataFrame, passages: list[Passage], rate: float, least_bytes: int) -> DataFrame:
     spark = docs.sparkSession
     raws = [p.raw for p in passages]
     longest = max(map(len, raws))
@@ -269,7 +326,7 @@ def _block_leaks(docs: DataFrame, passages: list[Passage], rate: float) -> DataF
     tables = [np.unique(item_keys[:, t]) for t in range(item_keys.shape[1])]
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds, slack = Seeds(raws, rate), int(max(int(rate * len(r)) for r in raws))
+        seeds, slack = Seeds(raws, rate, least_bytes), max(1, *(allowed(len(r), rate, least_bytes) for r in raws))
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             out: list[list] = [[] for _ in range(5)]
@@ -288,43 +345,57 @@ def _block_leaks(docs: DataFrame, passages: list[Passage], rate: float) -> DataF
                     for col, v in zip(out, (first + row[i], before + lo - int(bounds[row[i]]), plain[lo:hi].tobytes(), t, keys[i, t]), strict=True):
                         col.append(v)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()),
+                [*(batch.column(c).take(pa.array(out[0], pa.int64())) for c in ("doc_id", "text_key")), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()),
                  pa.array(out[3], pa.list_(pa.int32())), pa.array(out[4], pa.list_(pa.int64()))],
-                ["doc_id", "place", "region", "tables", "keys"])
+                ["doc_id", "text_key", "place", "region", "tables", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.select("doc_id", "text").mapInArrow(
-        windows, f"doc_id {kind}, place bigint, region binary, tables array<int>, keys array<bigint>")
-    sampled = found.select("doc_id", "place", "region", F.explode(F.arrays_zip("tables", "keys")).alias("k")).select(
-        "doc_id", "place", "region", F.col("k.tables").alias("table"), F.col("k.keys").alias("key"))
+    found = docs.select("doc_id", "text_key", "text").mapInArrow(
+        windows, f"doc_id {kind}, text_key bigint, place bigint, region binary, tables array<int>, keys array<bigint>")
+    row = ["doc_id", "text_key"]
+    sampled = found.select(*row, "place", "region", F.explode(F.arrays_zip("tables", "keys")).alias("k")).select(
+        *row, "place", "region", F.col("k.tables").alias("table"), F.col("k.keys").alias("key"))
     of_items = spark.createDataFrame(
         [(int(n), int(t), int(item_keys[n, t])) for n in range(len(passages)) for t in range(item_keys.shape[1])],
         "passage int, table int, key bigint")
-    candidates = sampled.join(F.broadcast(of_items), ["table", "key"]).select("doc_id", "place", "passage", "region").distinct()
+    candidates = sampled.join(F.broadcast(of_items), ["table", "key"]).select(*row, "place", "passage", "region").distinct()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = np.array([allowed(len(r), rate, least_bytes) for r in raws], np.int64)
+        back = [r[::-1] for r in raws]
         for batch in batches:
-            keep, items, parts, edits, begins, ends = [], [], [], [], [], []
-            for i, (number, region, place) in enumerate(zip(
-                    batch.column("passage").to_pylist(), batch.column("region").to_pylist(), batch.column("place").to_pylist(), strict=True)):
-                p = passages[number]
-                exact = region.find(p.raw)
-                if exact >= 0:
-                    d, a, b = 0, exact, exact + len(p.raw)
-                else:
-                    d, b = infix_distance(p.raw, region)
-                    if d > int(rate * len(p.raw)):
-                        continue
-                    a = b - infix_distance(p.raw[::-1], region[:b][::-1])[1]
-                for col, v in zip((keep, items, parts, edits, begins, ends), (i, p.item_id, p.part, d, place + a, place + b), strict=True):
-                    col.append(v)
+            which, place, regions = batch.column("passage").to_numpy(), batch.column("place").to_numpy(), batch.column("region").to_pylist()
+            begin = np.array([_occurrence(raws[p], region, k[p] == 0) for p, region in zip(which, regions, strict=True)], np.int64)
+            end, edits = begin + np.array([len(raws[p]) for p in which], np.int64), np.zeros(len(which), np.int64)
+            near = np.flatnonzero((begin < 0) & (k[which] > 0))
+            edits[near], end[near] = infix_distances(raws, which[near], [regions[i] for i in near])
+            near = near[edits[near] <= k[which[near]]]
+            begin[near] = end[near] - infix_distances(back, which[near], [regions[i][:end[i]][::-1] for i in near])[1]
+            keep = np.flatnonzero(begin >= 0)
+            take = pa.array(keep)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(keep, pa.int64())), pa.array(items, pa.int64()), pa.array(parts, pa.int32()),
-                 pa.array(edits, pa.int32()), pa.array(begins, pa.int64()), pa.array(ends, pa.int64())],
-                ["doc_id", "item_id", "part", "edits", "start", "end"])
+                [*(batch.column(c).take(take) for c in row), pa.array([passages[p].item_id for p in which[keep]], pa.int64()),
+                 pa.array([passages[p].part for p in which[keep]], pa.int32()), pa.array(edits[keep], pa.int32()), pa.array((place + begin)[keep], pa.int64()),
+                 pa.array((place + end)[keep], pa.int64())], [*row, "item_id", "part", "edits", "start", "end"])
 
     return candidates.mapInArrow(
-        verify, f"doc_id {kind}, item_id bigint, part int, edits int, start bigint, end bigint")
+        verify, f"doc_id {kind}, text_key bigint, item_id bigint, part int, edits int, start bigint, end bigint")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, rate: float, least_bytes: int, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame | None:
+    """doc_id, text_key (a hash of the text), item_id, part, edits, start and end of every verified window; None without items."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull()).withColumn("text_key", F.xxhash64("text"))
+    items = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(item_text_col).alias("text")).dropna().distinct()
+    total = items.agg(F.sum(F.ceil(F.octet_length("text") / PASSAGE_BYTES))).first()[0] or 0
+    n_blocks = max(1, -(-int(total) // BLOCK_PASSAGES))
+    found = None
+    for b in range(n_blocks):
+        block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b).orderBy("item_id", "text").collect()
+        passages = [p for r in block for p in passages_of(r["item_id"], r["text"])]
+        if passages:
+            part = _block_leaks(rows, passages, rate, least_bytes)
+            found = part if found is None else found.unionByName(part)
+    return found
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, least_bytes: int = 32, id_col: str = "doc_id",
@@ -333,31 +404,31 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, least_bytes:
 
     An item occurs where a substring of the normalised text is within
     ``rate`` edits per byte of it; ``start`` and ``end`` count normalised bytes
-    of the text. Items shorter than ``least_bytes`` are not sought; items
-    longer than ``PASSAGE_BYTES`` occur where one of their passages does. Null
-    and empty texts or items match nothing; equal rows give one result.
+    of the text. An item of fewer than ``least_bytes`` bytes occurs only
+    unchanged and between word borders; one longer than ``PASSAGE_BYTES`` occurs
+    where one of its passages does. Null and empty texts or items match
+    nothing; equal rows give one result, and of rows that share an id the
+    closest occurrence counts.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
-    items = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(item_text_col).alias("text")).dropna().distinct()
-    total = items.agg(F.sum(F.ceil(F.octet_length("text") / PASSAGE_BYTES))).first()[0] or 0
-    n_blocks = max(1, -(-int(total) // BLOCK_PASSAGES))
-    parts = []
-    for b in range(n_blocks):
-        block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b).orderBy("item_id", "text").collect()
-        passages = [p for r in block for p in passages_of(r["item_id"], r["text"], least_bytes)]
-        if passages:
-            parts.append(_block_leaks(rows, passages, rate))
-    if not parts:
-        kind = rows.schema["doc_id"].dataType.simpleString()
+    found = _found(docs, benchmark, rate, least_bytes, id_col, text_col, item_col, item_text_col)
+    if found is None:
+        kind = docs.schema[id_col].dataType.simpleString()
         return docs.sparkSession.createDataFrame([], f"doc_id {kind}, item_id bigint, edits int, start bigint, end bigint")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
     return found.groupBy("doc_id", "item_id").agg(F.min(F.struct("edits", "start", "end")).alias("best")).select(
         "doc_id", "item_id", "best.edits", "best.start", "best.end")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` whose document holds no benchmark item. Rows without an id or text stay."""
-    found = materialize(leaks(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("_leaked")).distinct())
-    return docs.join(found, docs[id_col] == found["_leaked"], "left_anti")
+#: Leaked rows of which the keys (16 bytes each) are broadcast; more of them are shuffled.
+MAX_BROADCAST_KEYS = 1_000_000
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, least_bytes: int = 32, id_col: str = "doc_id",
+          text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose own text holds no benchmark item. Rows without an id or text stay."""
+    found = _found(docs, benchmark, rate, least_bytes, id_col, text_col, item_col, item_text_col)
+    if found is None:
+        return docs
+    leaked = materialize(found.select(F.col("doc_id").alias("_leaked"), F.col("text_key").alias("_leaked_text")).distinct())
+    if leaked.count() <= MAX_BROADCAST_KEYS:
+        leaked = F.broadcast(leaked)
+    return docs.join(leaked, (docs[id_col] == leaked["_leaked"]) & (F.xxhash64(docs[text_col]) == leaked["_leaked_text"]), "left_anti")
