@@ -2,9 +2,11 @@
 
 Native DataFrame code. Every rolling k-gram of words of every text is hashed
 and joined to the positions of the same k-gram in the license templates. A
-match votes for a diagonal (word position minus template position); diagonals
-that lie next to each other are merged, so a lost or added word does not split
-a copy; the surviving spans are verified against the template's words.
+match votes for a diagonal (word position minus template position); votes are
+counted by diagonal and a diagonal is merged with those next to it, so a
+changed, lost or added word does not split a copy. Each merged span is verified
+by the longest common subsequence of its words and the template's. Of spans
+that overlap, the best stays.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
 
-#: Template k-grams that may be broadcast; a larger template set is joined by shuffling.
+#: Template k-grams of one broadcast; a larger template set is joined in several.
 MAX_BROADCAST_GRAMS = 100_000
 
 
@@ -51,14 +53,13 @@ def normalised_words(text: Column) -> Column:
     return F.filter(F.split(plain, " "), lambda w: w != "")
 
 
-def template_grams(spark: SparkSession, templates: list[tuple[str, str]], k: int) -> DataFrame:
+def template_grams(spark: SparkSession, rows: list[tuple[int, str, list[str]]], k: int) -> DataFrame:
     """One row per template k-gram: template, label, its words, position, hash."""
-    rows = [(i, label, words.split()) for i, (label, words) in enumerate(templates)]
     base = spark.createDataFrame(rows, "template int, label string, t_words array<string>")
     return base.select(
         "template", "label", "t_words",
         F.posexplode(F.transform(
-            F.sequence(F.lit(0), F.greatest(F.size("t_words") - k, F.lit(0))),
+            F.sequence(F.lit(0), F.size("t_words") - k),
             lambda i: F.xxhash64(F.slice("t_words", i + 1, k)))).alias("t_pos", "gram"))
 
 
@@ -74,25 +75,73 @@ def _phrase_starts(words: Column, phrases: list[str]) -> Column:
     return F.filter(F.sequence(F.lit(0), F.size(words) - 1), here)
 
 
+def _same(words: Column, at: Column, word: Column) -> Column:
+    """Whether ``word`` stands at position ``at``; false outside of the text."""
+    return F.coalesce(F.get(words, at) == word, F.lit(False))
+
+
+def _common_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two short arrays, row by row of the usual table."""
+    def row(above: Column, x: Column) -> Column:
+        return F.aggregate(
+            F.sequence(F.lit(1), F.size(b)), F.array(F.lit(0)),
+            lambda left, j: F.concat(left, F.array(F.when(F.get(b, j - 1) == x, F.get(above, j - 1) + 1).otherwise(
+                F.greatest(F.get(above, j), F.get(left, j - 1))))))
+
+    return F.element_at(F.aggregate(a, F.array_repeat(F.lit(0), F.size(b) + 1), row), -1)
+
+
+def _blocks_of(templates: list[tuple[str, str]], k: int) -> list[list[tuple[int, str, list[str]]]]:
+    """Numbered templates with their words, in blocks of at most ``MAX_BROADCAST_GRAMS`` grams; one block at least."""
+    out: list[list[tuple[int, str, list[str]]]] = [[]]
+    grams = 0
+    for number, (label, text) in enumerate(templates):
+        words = text.split()
+        grams += max(1, len(words) - k + 1)
+        if grams > MAX_BROADCAST_GRAMS and out[-1]:
+            out.append([])
+            grams = max(1, len(words) - k + 1)
+        out[-1].append((number, label, words))
+    return out
+
+
+def _votes(rolled: DataFrame, grams: DataFrame, drift: int, min_score: float) -> DataFrame:
+    """Text, template and diagonal of every k-gram match, and the words around, if enough of the template's words stand in the band.
+
+    A span within ``drift`` of the diagonal can't have more words in common
+    with the template than stand in the band at all, so no span is lost.
+    """
+    own, size = F.col("template") == -1, F.size("t_words")
+    band = rolled.join(F.broadcast(grams), "gram").filter(own == (F.col("slot") == 0)).withColumn(
+        "diagonal", F.when(own, F.lit(0)).otherwise(F.col("slot") - 1 - F.col("t_pos"))).withColumn(
+        "first", F.greatest(F.col("diagonal") - drift, F.lit(0)))
+    here = band.select(
+        "doc_id", "text_key", "base", "template", "label", "t_words", "diagonal", "first", F.when(~own, F.slice(
+            "words", F.col("first") + 1, F.greatest(F.lit(0), F.least(F.col("diagonal") + size + drift, F.size("words")) - F.col("first")))).alias("around"))
+    in_band = F.size(F.filter("t_words", lambda t, i: F.exists(
+        F.sequence(F.lit(-drift), F.lit(drift)), lambda d: _same(F.col("around"), F.col("diagonal") - F.col("first") + i + d, t))))
+    return here.filter((F.col("template") == -1) | (in_band >= min_score * F.size("t_words")))
+
+
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 templates: list[tuple[str, str]] | None = None, k: int = 3, drift: int = 2,
-                 min_coverage: float = 0.9) -> DataFrame:
+                 templates: list[tuple[str, str]] | None = None, k: int = 2, drift: int = 2,
+                 min_score: float = 0.8) -> DataFrame:
     """One row per input row: the base counts, ``base_labels``, ``labels``, ``score`` and the verified ``spans``.
 
-    ``drift``: neighbouring diagonals at most so far apart become one span.
-    ``min_coverage``: share of a template's words that a span's matched k-grams
-    must cover. A null or empty text has no words, no labels and score 0. Rows
-    that repeat an id and its text give equal rows; other columns are ignored.
+    A span's score is the number of words that text and template have in common
+    in order, over the greater of the span's and the template's length, so
+    changed, lost, added and swapped words all count. ``min_score``: what a span
+    needs for its label. ``drift``: diagonals at most so far from each other
+    are one span. Of overlapping spans only those with the greatest score stay.
+    ``score`` is 1 where a base phrase stands, else that of the best span. A
+    null or empty text has no words, no labels and score 0. Rows that repeat an
+    id and its text give equal rows; other columns are ignored.
     """
     spark = docs.sparkSession
     chosen = TEMPLATES if templates is None else templates
-    n_grams = sum(max(1, len(t.split()) - k + 1) for _, t in chosen)
-    # The row without a label matches the one gram that every text sends for itself (-1).
-    grams = template_grams(spark, chosen, k).unionByName(
-        spark.createDataFrame([(-1, None, None, 0, -1)],
-                              "template int, label string, t_words array<string>, t_pos int, gram bigint"))
-    if n_grams <= MAX_BROADCAST_GRAMS:
-        grams = F.broadcast(grams)
+    if any(len(text.split()) < k for _, text in chosen):
+        raise ValueError(f"a template needs at least {k} words")
+    by_text = ["doc_id", "text_key"]
 
     words = docs.select(F.col(id_col).alias("doc_id"), normalised_words(F.col(text_col)).alias("words"))
     padded = words.withColumn("padded", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")))
@@ -102,62 +151,69 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         any_found = any_found | f
     # The places of the base phrases are worked out only for texts that hold one.
     based = padded.select(
-        "doc_id", "words",
+        "doc_id", "words", F.xxhash64("words").alias("text_key"),
         F.when(any_found, _phrase_starts(F.col("words"), list(BASE_PHRASES))).alias("starts"),
         F.array_compact(F.array(*[
-            F.when(f, F.lit(label)) for f, label in zip(found, BASE_PHRASES.values(), strict=True)])).alias("base_list"),
-        F.when(F.size("words") >= k, F.transform(
-            F.sequence(F.lit(0), F.size("words") - k),
-            lambda i: F.xxhash64(F.slice("words", i + 1, k)))).alias("grams"))
+            F.when(f, F.lit(label)) for f, label in zip(found, BASE_PHRASES.values(), strict=True)])).alias("base_list"))
     rolled = based.select(
-        "doc_id", "words", "starts", "base_list", F.xxhash64("words").alias("text_key"),
-        F.posexplode(F.concat(F.array(F.lit(-1).cast("bigint")), F.coalesce("grams", F.array().cast("array<bigint>"))))
-        .alias("slot", "gram"))
-    own = F.col("template") == -1
-    votes = rolled.join(grams, "gram").filter(F.when(
-        own, F.col("slot") == 0).otherwise(
-        (F.col("slot") > 0) & (F.slice("words", F.col("slot"), k) == F.slice("t_words", F.col("t_pos") + 1, k)))
-    ).select(
-        "doc_id", "text_key", "template", "label", "t_pos",
-        F.size("t_words").alias("t_len"), (F.col("slot") - 1).alias("pos"),
-        (F.col("slot") - 1 - F.col("t_pos")).alias("diagonal"),
-        F.when(own, F.struct(
-            F.size("words").cast("long").alias("n_words"),
-            F.coalesce(F.size("starts"), F.lit(0)).cast("long").alias("n_base"),
-            F.array_min("starts").cast("long").alias("first_word"),
-            F.array_max("starts").cast("long").alias("last_word"),
-            F.col("base_list"))).alias("base"))
-
-    # One shuffle: everything below groups by columns that begin with the document.
-    by_doc = ["doc_id", "text_key"]
-    by_diagonal = votes.repartition(*[F.col(c) for c in by_doc]).groupBy(*by_doc, "template", "diagonal").agg(
-        F.first("label").alias("label"), F.first("t_len").alias("t_len"), F.first("base").alias("base"),
-        F.count(F.lit(1)).alias("n_votes"), F.collect_set("t_pos").alias("t_pos"),
-        F.min("pos").alias("start"), (F.max("pos") + k).alias("end"))
-    w = Window.partitionBy(*by_doc, "template").orderBy("diagonal")
-    numbered = by_diagonal.withColumn(
-        "new", (F.col("diagonal") - F.lag("diagonal", 1, -(1 << 30)).over(w) > drift).cast("int")
-    ).withColumn("span", F.sum("new").over(w))
-    spans = numbered.groupBy(*by_doc, "template", "span").agg(
-        F.first("label").alias("label"), F.first("t_len").alias("t_len"), F.first("base").alias("base"),
-        F.sum("n_votes").alias("n_votes"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("t_pos")))).alias("t_pos"),
-        F.min("start").alias("start"), F.max("end").alias("end"))
-    covered = F.aggregate(
-        F.transform("t_pos", lambda p, i: F.least(F.lit(k), F.coalesce(F.get(F.col("t_pos"), i + 1) - p, F.lit(k)))),
-        F.lit(0), lambda a, x: a + x)
-    checked = spans.withColumn("coverage", F.when(
-        F.col("template") >= 0, F.least(F.lit(1.0), covered / F.col("t_len").cast("double"))))
-    hit = F.when(F.col("coverage") >= min_coverage, F.struct(
-        F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "label", "coverage"))
-    per_text = checked.groupBy(*by_doc).agg(
+        *by_text, "words", "starts", "base_list",
+        F.posexplode(F.concat(F.array(F.lit(-1).cast("bigint")), F.when(F.size("words") >= k, F.transform(
+            F.sequence(F.lit(0), F.size("words") - k),
+            lambda i: F.xxhash64(F.slice("words", i + 1, k)))).otherwise(F.array().cast("array<bigint>")))).alias("slot", "gram"))
+    # The gram -1 is what every text sends for itself.
+    rolled = rolled.withColumn("base", F.when(F.col("slot") == 0, F.struct(
+        F.size("words").cast("long").alias("n_words"),
+        F.coalesce(F.size("starts"), F.lit(0)).cast("long").alias("n_base"),
+        F.array_min("starts").cast("long").alias("first_word"),
+        F.array_max("starts").cast("long").alias("last_word"),
+        F.col("base_list")))).drop("starts", "base_list")
+    votes = None
+    for block in _blocks_of(chosen, k):
+        grams = template_grams(spark, block, k)
+        if votes is None:
+            grams = grams.unionByName(spark.createDataFrame(
+                [(-1, None, None, 0, -1)], "template int, label string, t_words array<string>, t_pos int, gram bigint"))
+        part = _votes(rolled, grams, drift, min_score)
+        votes = part if votes is None else votes.unionByName(part)
+
+    # One shuffle: everything below groups by columns that begin with the text.
+    by_diagonal = votes.repartition(*[F.col(c) for c in by_text]).groupBy(*by_text, "template", "diagonal").agg(
+        F.count(F.lit(1)).alias("n_votes"), F.first("base").alias("base"), F.first("label").alias("label"),
+        F.first("t_words").alias("t_words"), F.first("first").alias("first"), F.first("around").alias("around"))
+    near = Window.partitionBy(*by_text, "template").orderBy("diagonal").rangeBetween(-drift, drift)
+    merged = by_diagonal.withColumn("most", F.max("n_votes").over(near)).filter(F.col("n_votes") == F.col("most"))
+    # Places of ``around`` that match the template somewhere in the band; the span lies between the outer ones.
+    shift = F.col("first") - F.col("diagonal")
+    placed = merged.withColumn("places", F.when(F.col("template") >= 0, F.filter(
+        F.sequence(F.lit(0), F.size("around") - 1), lambda j: F.exists(
+            F.sequence(F.lit(-drift), F.lit(drift)), lambda d: _same(F.col("t_words"), shift + j + d, F.get("around", j))))))
+    outer = placed.withColumn("from", F.array_min("places")).withColumn(
+        "copy", F.slice("around", F.col("from") + 1, F.array_max("places") - F.col("from") + 1))
+
+    def cut(a: Column, b: Column) -> Column:
+        """Score, length (negative) and start of the copy without its first ``a`` and last ``b`` words."""
+        part = F.slice("copy", a + 1, F.greatest(F.size("copy") - a - b, F.lit(0)))
+        value = F.when(F.size(part) > 0, _common_length(F.col("t_words"), part) / F.greatest(F.size("t_words"), F.size(part))).otherwise(0.0)
+        return F.struct(value.alias("value"), (-F.size(part)).alias("shorter"), a.alias("skipped"))
+
+    # A word beside the copy may match the template by chance, so the ends are tried up to the width of the band.
+    ends = F.sequence(F.lit(0), F.lit(2 * drift))
+    scored = outer.withColumn("best", F.when(F.size("copy") > 0, F.array_max(F.flatten(
+        F.transform(ends, lambda a: F.transform(ends, lambda b: cut(a, b)))))))
+    start = (F.col("first") + F.col("from") + F.col("best.skipped")).cast("long")
+    span = F.when(F.col("best.value") >= min_score, F.struct(
+        start.alias("start"), (start - F.col("best.shorter")).alias("end"), "label", F.col("best.value").alias("value")))
+    per_text = scored.groupBy(*by_text).agg(
         F.max("base").alias("base"), F.max(F.when(F.col("template") == -1, F.col("n_votes"))).alias("n_rows"),
-        F.array_sort(F.collect_list(hit)).alias("spans"))
-    labels = F.array_sort(F.array_distinct(F.concat("base.base_list", F.transform("spans", lambda s: s["label"]))))
-    return per_text.select(
+        F.array_sort(F.collect_set(span)).alias("every"))
+    best = per_text.withColumn("spans", F.filter("every", lambda x: ~F.exists("every", lambda y: (
+        (y["start"] < x["end"]) & (x["start"] < y["end"]) & (y["value"] > x["value"])))))
+    labels = F.array_sort(F.array_distinct(F.concat("base.base_list", F.transform("spans", lambda x: x["label"]))))
+    return best.select(
         "doc_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n_rows"))).alias("_copy"),
         "base.n_words", "base.n_base", "base.first_word", "base.last_word",
         F.array_join(F.array_sort("base.base_list"), ",").alias("base_labels"),
         F.array_join(labels, ",").alias("labels"),
         F.when(F.col("base.n_base") > 0, F.lit(1.0)).otherwise(
-            F.coalesce(F.array_max(F.transform("spans", lambda s: s["coverage"])), F.lit(0.0))).alias("score"),
+            F.coalesce(F.array_max(F.transform("spans", lambda x: x["value"])), F.lit(0.0))).alias("score"),
         "spans").drop("_copy")
