@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.words import Hasher, blocks, hash_bytes, text_bytes, word_bounds
 
-#: Longer words are cut into runs of so many bytes, which keeps probabilities within double range.
-RUN_BYTES = 32
-MAX_PIECE = 16
+#: Longer words are summed one by one in logarithms, since their probabilities may leave double range; the sum is the same.
+PLAIN_BYTES = 32
+#: Places of a long word whose pieces are looked up at once.
+AT_ONCE = 1 << 16
 #: Words whose scores a task remembers; beyond that it starts afresh (this changes time, not results).
 MEMO_WORDS = 300_000
 
@@ -43,7 +44,7 @@ def load_pieces(path: str) -> list[bytes]:
             continue
         piece = model.id_to_piece(i).replace("▁", "").lower()
         raw = piece.encode()
-        if piece and len(raw) <= MAX_PIECE and all(c.isalpha() for c in piece):
+        if piece and all(c.isalpha() for c in piece):
             found.setdefault(raw)
     for b in range(256):
         found.setdefault(bytes([b]))
@@ -60,6 +61,7 @@ class PieceTable:
         self.bits = np.uint64(64 - 22)
         self.seen = np.zeros(1 << 22, bool)
         self.seen[(hashes * np.uint64(0xD6E8FEB86659FD93)) >> self.bits] = True
+        self.sizes = sorted({len(p) for p in pieces})
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
         """-1 where there is no such piece."""
@@ -79,7 +81,7 @@ class _Lattice:
         self.edges: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(self.longest + 1)]
         for end in range(1, self.longest + 1):
             alive = np.flatnonzero(length >= end)
-            for begin in range(max(0, end - MAX_PIECE), end):
+            for begin in (end - size for size in table.sizes if size <= end):
                 piece = table(hasher(start[alive] + begin, start[alive] + end))
                 hit = piece >= 0
                 if hit.any():
@@ -111,16 +113,65 @@ class _Lattice:
         return out
 
 
-def _runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words, the long ones cut into runs: start, length, row."""
-    start, end, row = word_bounds(data, offsets)
-    if len(start) and (end - start).max() > RUN_BYTES:
-        parts = -(-(end - start) // RUN_BYTES)
-        which = np.repeat(np.arange(len(start)), parts)
-        step = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
-        first = start[which] + step * RUN_BYTES
-        end, row, start = np.minimum(end[which], first + RUN_BYTES), row[which], first
-    return start, end - start, row
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    top = x.max(0)
+    return top + np.log(np.exp(x - top).sum(0))
+
+
+class _LongWord:
+    """The same sums for one long word, in logarithms; pieces are looked up stretch by stretch."""
+
+    def __init__(self, table: PieceTable, hasher: Hasher, start: int, length: int):
+        self.table, self.hasher, self.start, self.length = table, hasher, start, length
+
+    def _edges(self, lo: int, hi: int, by_end: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Begin, end and piece of all edges that end (or begin) in [lo, hi), sorted by it, and where each place's edges lie."""
+        parts = []
+        for size in self.table.sizes:
+            place = np.arange(max(lo, size), hi) - size if by_end else np.arange(lo, min(hi, self.length - size + 1))
+            if len(place):
+                piece = self.table(self.hasher(self.start + place, self.start + place + size))
+                hit = np.flatnonzero(piece >= 0)
+                parts.append((place[hit], place[hit] + size, piece[hit]))
+        begin, end, piece = (np.concatenate(x) for x in zip(*parts, strict=True))
+        key = end if by_end else begin
+        order = np.argsort(key, kind="stable")
+        return begin[order], end[order], piece[order], np.searchsorted(key[order], np.arange(lo, hi + 1))
+
+    def forward(self, log_prob: np.ndarray) -> np.ndarray:
+        """log_prob: pieces x languages -> places x languages."""
+        a = np.zeros((self.length + 1, log_prob.shape[1]))
+        for lo in range(1, self.length + 1, AT_ONCE):
+            hi = min(lo + AT_ONCE, self.length + 1)
+            begin, _, piece, at = self._edges(lo, hi, by_end=True)
+            for i in range(hi - lo):
+                own = slice(at[i], at[i + 1])
+                a[lo + i] = _log_sum(a[begin[own]] + log_prob[piece[own]])
+        return a
+
+    def counts(self, log_prob: np.ndarray, n_pieces: int) -> np.ndarray:
+        """Expected count of every piece under one prior."""
+        a, b, out = self.forward(log_prob[:, None])[:, 0], np.zeros(self.length + 1), np.zeros(n_pieces)
+        for hi in range(self.length, 0, -AT_ONCE):
+            lo = max(0, hi - AT_ONCE)
+            begin, end, piece, at = self._edges(lo, hi, by_end=False)
+            for i in range(hi - lo - 1, -1, -1):
+                own = slice(at[i], at[i + 1])
+                use = log_prob[piece[own]] + b[end[own]]
+                b[lo + i] = _log_sum(use)
+                np.add.at(out, piece[own], np.exp(a[begin[own]] + use - a[self.length]))
+        return out
+
+
+def log_probabilities(table: PieceTable, hasher: Hasher, start: np.ndarray, length: np.ndarray, prob: np.ndarray) -> np.ndarray:
+    """words x languages: logarithm of each word's probability, summed over all its segmentations."""
+    out = np.empty((len(start), prob.shape[1]))
+    plain = np.flatnonzero(length <= PLAIN_BYTES)
+    a = _Lattice(table, hasher, start[plain], length[plain]).forward(prob)
+    out[plain] = np.log(a[np.arange(len(plain)), length[plain]])
+    for i in np.flatnonzero(length > PLAIN_BYTES):
+        out[i] = _LongWord(table, hasher, int(start[i]), int(length[i])).forward(np.log(prob))[-1]
+    return out
 
 
 def _prior(pieces: list[bytes]) -> np.ndarray:
@@ -154,14 +205,17 @@ def fit(labelled: DataFrame, vocab_path: str, text_col: str = "text", lang_col:
             of_row = np.array([number[x] for x in batch.column("lang").to_pylist()], np.int64)
             data, offsets = text_bytes(batch.column("text"))
             for first, block, at in blocks(data, offsets):
-                start, length, row = _runs(block, at)
+                start, end, row = word_bounds(block, at)
                 if not len(start):
                     continue
-                hasher = Hasher(block)
-                _, one, inverse = np.unique(hasher(start, start + length), return_index=True, return_inverse=True)
-                weight = np.bincount(inverse * n + of_row[first + row], minlength=len(one) * n).reshape(-1, n)
-                sums += _Lattice(table, hasher, start[one], length[one]).counts(
-                    prior, length[one], weight.astype(float), len(pieces))
+                hasher, length = Hasher(block), end - start
+                _, one, inverse = np.unique(hasher(start, end), return_index=True, return_inverse=True)
+                weight = np.bincount(inverse * n + of_row[first + row], minlength=len(one) * n).reshape(-1, n).astype(float)
+                plain = length[one] <= PLAIN_BYTES
+                sums += _Lattice(table, hasher, start[one[plain]], length[one[plain]]).counts(
+                    prior, length[one[plain]], weight[plain], len(pieces))
+                for i in np.flatnonzero(~plain):
+                    sums += np.outer(_LongWord(table, hasher, start[one[i]], length[one[i]]).counts(np.log(prior), len(pieces)), weight[i])
         piece, lang = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays(
             [pa.array(lang, pa.int32()), pa.array(piece, pa.int32()), pa.array(sums[piece, lang])], ["lang", "piece", "n"])
@@ -192,16 +246,15 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
             total, words = np.zeros((rows, n)), np.zeros(rows, np.int64)
             data, offsets = text_bytes(batch.column("text"))
             for first, block, at in blocks(data, offsets) if n else ():
-                start, length, row = _runs(block, at)
+                start, end, row = word_bounds(block, at)
                 if not len(start):
                     continue
-                hasher = Hasher(block)
-                hashes, one, inverse = np.unique(hasher(start, start + length), return_index=True, return_inverse=True)
+                hasher, length = Hasher(block), end - start
+                hashes, one, inverse = np.unique(hasher(start, end), return_index=True, return_inverse=True)
                 where = np.searchsorted(known, hashes)
                 new = np.flatnonzero(known[np.minimum(where, len(known) - 1)] != hashes) if len(known) else np.arange(len(hashes))
                 if len(new):
-                    a = _Lattice(table, hasher, start[one[new]], length[one[new]]).forward(prob)
-                    found = np.log(a[np.arange(len(new)), length[one[new]]])
+                    found = log_probabilities(table, hasher, start[one[new]], length[one[new]], prob)
                     if len(known) + len(new) > MEMO_WORDS:
                         kept = np.setdiff1d(np.arange(len(hashes)), new)
                         logs, known = np.concatenate([logs[where[kept]], found]), np.concatenate([hashes[kept], hashes[new]])
