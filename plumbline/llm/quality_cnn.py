@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.llm.common import materialize
 from plumbline.llm.toxicity import sample_per_class
@@ -65,6 +66,15 @@ class ByteCNN(NamedTuple):
             total += np.take(tables[w], pairs[:, w:w + places], axis=0)
         return total
 
+    def peaks(self, tables: np.ndarray, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each filter's largest response in each chunk lies, and that response."""
+        where, most = np.empty((len(chunks), FILTERS), np.intp), np.empty((len(chunks), FILTERS), np.float32)
+        for i in range(0, len(chunks), 16 * AT_ONCE):
+            raw = self.responses(tables, chunks[i:i + 16 * AT_ONCE])
+            at = raw.argmax(1)
+            where[i:i + len(at)], most[i:i + len(at)] = at, np.take_along_axis(raw, at[:, None], 1)[:, 0]
+        return where, most
+
     def pooled(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, tables: np.ndarray) -> np.ndarray:
         out = np.empty((len(start), FILTERS), np.float32)
         for i in range(0, len(start), AT_ONCE):
@@ -105,9 +115,8 @@ def train(chunks: np.ndarray, row: np.ndarray, label: np.ndarray, epochs: int =
             of = np.repeat(np.arange(len(docs)), [first[d + 1] - first[d] for d in docs])
             x, y = chunks[at], label[docs]
             net = ByteCNN(p["embed"], p["filters"], p["bias"], p["out"], float(p["shift"]))
-            raw = net.responses(net.tables(), x)
-            peak = raw.argmax(1)
-            pre = np.take_along_axis(raw, peak[:, None], 1)[:, 0] + p["bias"]
+            peak, value = net.peaks(net.tables(), x)
+            pre = value + p["bias"]
             pooled = np.maximum(pre, 0)
             begins = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
             count = np.diff(np.r_[begins, len(of)])
@@ -136,34 +145,36 @@ def train(chunks: np.ndarray, row: np.ndarray, label: np.ndarray, epochs: int =
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-        per_class: int = 2000, chunks_per_text: int = 12) -> ByteCNN | float:
-    """A network from at most ``per_class`` labelled texts of each class, ``chunks_per_text`` evenly spread chunks of each.
+        per_class: int = 2000, sample_bytes: int = 16 << 20) -> ByteCNN | float:
+    """A network from a bounded sample of labelled rows: at most ``per_class`` of each class and ``sample_bytes`` of text.
 
-    These bounds hold for any input, so at most 2 * per_class * chunks_per_text
-    chunks reach the driver. Without labels of both classes the result is a
-    constant: the share of label 1, or 0.5 with no label at all.
+    Rows are taken whole, in the order of a hash of their ids; one that would
+    pass the bound is left out. Only these texts reach the driver. Without
+    labels of both classes the result is a constant: the share of label 1, or
+    0.5 with no label at all. Rows that share an id all count.
     """
     known = labels.select("doc_id", F.col(label_col).cast("int").alias("label")).dropna().groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = F.broadcast(materialize(sample_per_class(known, "label", per_class)))  # at most 2 * per_class ids
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(chosen, "doc_id").select("doc_id", "label", "text")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_bytes(batch.column("text"), lower=False)
-            start, row = chunk_starts(offsets)
-            bounds = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            kept = [np.unique(np.linspace(a, b - 1, min(b - a, chunks_per_text)).astype(int)) for a, b in zip(bounds, bounds[1:], strict=False)]
-            if not kept:
-                continue
-            raw = [chunk_bytes(data, start[k], offsets[1:][row[k]]).tobytes() for k in kept]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.string()), batch.column("label"), pa.array(raw, pa.binary())], ["doc_id", "label", "chunks"])
-
-    got = texts.mapInArrow(cut, "doc_id string, label int, chunks binary").orderBy("doc_id", "chunks").limit(2 * per_class).toPandas()
+    keyed = materialize(texts.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")).withColumn("text_key", F.xxhash64("text")))
+    order = keyed.select("doc_id", "text_key", "size").distinct().orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id", "text_key").limit(4 * per_class).collect()
+    room, taken = sample_bytes, []
+    for r in order:
+        if r["size"] <= room:
+            room -= r["size"]
+            taken.append((r["doc_id"], r["text_key"]))
+    wanted = docs.sparkSession.createDataFrame(taken, T.StructType([keyed.schema["doc_id"], keyed.schema["text_key"]]))
+    got = keyed.join(F.broadcast(wanted), ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]).select("label", "text").orderBy(
+        F.xxhash64("doc_id", F.lit(17)), "doc_id", "text_key").toPandas()
     y = got["label"].to_numpy(np.float32) if len(got) else np.zeros(0, np.float32)
     if len(set(y.tolist())) < 2:
         return float(y.mean()) if len(y) else 0.5
-    parts = [np.frombuffer(raw, np.uint8).reshape(-1, CHUNK) for raw in got["chunks"]]
-    return train(np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts]), y)
+    data, offsets = text_bytes(pa.array(got["text"], pa.string()), lower=False)
+    start, row = chunk_starts(offsets)
+    end = offsets[1:][row]
+    chunks = np.concatenate([chunk_bytes(data, start[i:i + 4096], end[i:i + 4096]) for i in range(0, len(start), 4096)])
+    return train(chunks, row, y)
 
 
 def _scores(batch: pa.RecordBatch, column: str, net: ByteCNN | float, tables: np.ndarray | None) -> np.ndarray:
