@@ -3,16 +3,19 @@
 The lexicon is learned from labelled texts. Every distinct word of a block is
 tested once: a length and letter-set filter that never loses a match, then a
 Levenshtein automaton run over the lexicon's trie (both advance byte by byte;
-a branch ends when no state is alive). Each hit is scored by its window of
-words: quotation marks and words of reporting lower it, address and further
-hits raise it. A logistic model over the sums per text gives the score.
+a branch ends when no state is alive). A word that stands in clean texts is no
+misspelling, and a term whose near words are common there is matched as it
+stands. Each hit is scored by its window of words: quotation marks and words of
+reporting lower it, address and further hits raise it. A logistic model over
+the sums per text gives the score; its weights start from a prior, so that what
+the labelled texts hold no case of (a quotation, say) still counts.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -32,6 +35,10 @@ REPORTING = frozenset("said says wrote writes quoted quote called term word phra
 ADDRESS = frozenset("you your yourself you're du dich dein ihr tu toi vous votre tú usted ustedes eres".split())
 QUOTES = re.compile("[\"“”„«»‘’]|(?<!\\w)'|'(?!\\w)")
 FEATURES = ("abuse", "strongest", "fuzzy", "quoted", "density")
+#: Weights before any label is seen: intercept, then FEATURES.
+PRIOR = (-3.0, 2.0, 2.0, 1.0, -1.0, 1.0)
+#: Odds (share of toxic texts with a term over that of clean ones) from which on a term has its full strength.
+FULL_ODDS = 500.0
 MEMO_WORDS = 400_000
 WINDOW = 8
 
@@ -42,16 +49,20 @@ def allowed_edits(term: str) -> int:
     return 0 if n <= 4 else 1 if n <= 11 else 2
 
 
+def default_edits(terms: list[str]) -> list[int]:
+    return [allowed_edits(t.removesuffix("*")) for t in terms]
+
+
 class TermTrie:
     """Trie of terms, walked together with a word's Levenshtein automaton.
 
-    A term that ends in ``*`` is a stem: it matches words that begin with it, without edits.
+    A term that ends in ``*`` is a stem: it matches words that begin with it. ``edits``: what is allowed to each term.
     """
 
-    def __init__(self, terms: list[str]):
+    def __init__(self, terms: list[str], edits: list[int] | None = None):
         self.root: dict = {"most": 0}
-        for number, term in enumerate(terms):
-            node, edits = self.root, 0 if term.endswith("*") else allowed_edits(term)
+        for number, (term, edits) in enumerate(zip(terms, default_edits(terms) if edits is None else edits, strict=True)):
+            node = self.root
             node["most"] = max(node["most"], edits)
             for byte in term.removesuffix("*").encode():
                 node = node.setdefault(byte, {"most": 0})
@@ -78,8 +89,10 @@ class TermTrie:
                 if edits <= end[1] and (best is None or (edits, end[0]) < best):
                     best = (edits, end[0])
             stem = node.get("stem")
-            if stem and depth <= n and state[k] == 0 and (best is None or (0, stem[0]) < best):
-                best = (0, stem[0])
+            if stem:
+                edits = min(v for d, v in enumerate(state) if 0 <= depth + d - k <= max(n, 0)) if depth - k <= n else dead
+                if edits <= stem[1] and (best is None or (edits, stem[0]) < best):
+                    best = (edits, stem[0])
             for byte, child in node.items():
                 if isinstance(byte, str):
                     continue
@@ -122,21 +135,25 @@ class _Term(NamedTuple):
     mask: np.uint32                      # letters that occur, as bits
     edits: int
     parts: list[tuple[int, int, int]]    # start, length and hash of edits + 1 parts
+    stem: bool
 
 
-def _term(term: str) -> _Term:
-    raw, k = term.encode(), allowed_edits(term)
+def _term(term: str, k: int) -> _Term:
+    raw = term.removesuffix("*").encode()
     cuts = [len(raw) * i // (k + 1) for i in range(k + 2)]
     bits = np.uint32(1) << (np.frombuffer(raw, np.uint8) & 31).astype(np.uint32)
-    return _Term(len(raw), np.bitwise_or.reduce(bits), k, [(a, b - a, hash_bytes(raw[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)])
+    parts = [(a, b - a, hash_bytes(raw[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return _Term(len(raw), np.bitwise_or.reduce(bits), k, parts, term.endswith("*"))
 
 
 class _Matcher:
-    """Term and edits of each distinct word, remembered between blocks."""
+    """Term and edits of each distinct word, remembered between blocks. ``ordinary``: words that count as no misspelling."""
 
-    def __init__(self, terms: list[str]):
-        self.trie = TermTrie(terms)
-        self.terms = [_term(t) for t in terms if not t.endswith("*") and allowed_edits(t)]
+    def __init__(self, terms: list[str], edits: list[int] | None = None, ordinary: Iterable[bytes] = ()):
+        edits = default_edits(terms) if edits is None else edits
+        self.trie = TermTrie(terms, edits)
+        self.terms = [_term(t, k) for t, k in zip(terms, edits, strict=True) if k]
+        self.ordinary = np.array([hash_bytes(w) for w in ordinary], np.uint64)
         self.whole = self._numbered({n: t.encode() for n, t in enumerate(terms) if not t.endswith("*")})
         stems = {n: t[:-1].encode() for n, t in enumerate(terms) if t.endswith("*")}
         self.stems = {size: self._numbered({n: t for n, t in stems.items() if len(t) == size}) for size in {len(t) for t in stems.values()}}
@@ -164,7 +181,8 @@ class _Matcher:
         Words without edits are looked up. Another word goes to the automaton if its length and letters allow a match
         and one of the term's parts stands in it unchanged: with as many edits
         as are allowed, one of ``edits + 1`` parts is always left whole, the
-        first at the start, the last at the end, the middle one at most one off.
+        first at the start, the last at the end (not that of a stem), the
+        others at most ``edits`` off.
         """
         out = np.zeros(len(start), np.int32)
         bits = np.append(np.uint32(1) << (block & 31).astype(np.uint32), np.uint32(0))
@@ -178,12 +196,16 @@ class _Matcher:
         maybe = np.zeros(len(start), bool)
         for t in self.terms:
             lo, hi = np.searchsorted(length, [t.length - t.edits, t.length + t.edits + 1])
-            near = lo + np.flatnonzero(np.bitwise_count(masks[lo:hi] ^ t.mask) <= 2 * t.edits)
+            if t.stem:                                   # what follows a stem is free
+                hi = len(length)
+                near = lo + np.flatnonzero(np.bitwise_count(t.mask & ~masks[lo:hi]) <= t.edits)
+            else:
+                near = lo + np.flatnonzero(np.bitwise_count(masks[lo:hi] ^ t.mask) <= 2 * t.edits)
             for i, (at, n, code) in enumerate(t.parts):
-                if i == len(t.parts) - 1:
+                if i == len(t.parts) - 1 and not t.stem:
                     begins = [end[near] - n]
                 else:
-                    begins = [start[near] + at + d for d in ((0,) if i == 0 else (-1, 0, 1))]
+                    begins = [start[near] + at + d for d in ((0,) if i == 0 else range(-t.edits, t.edits + 1))]
                 for begin in begins:
                     fits = (begin >= start[near]) & (begin + n <= end[near])
                     maybe[near[fits]] |= hasher(begin[fits], begin[fits] + n) == np.uint64(code)
@@ -194,7 +216,10 @@ class _Matcher:
             found[lo + hit] = np.where(found[lo + hit] > 0, np.minimum(found[lo + hit], 1 + 4 * number), 1 + 4 * number)
         hit, number = self._lookup(self.whole, hasher(start, end))
         found[hit] = np.where(found[hit] > 0, np.minimum(found[hit], 1 + 4 * number), 1 + 4 * number)
-        for i in np.flatnonzero(maybe & (found == 0)):
+        maybe &= found == 0
+        if len(self.ordinary):
+            maybe[maybe] = ~np.isin(hasher(start[maybe], end[maybe]), self.ordinary)
+        for i in np.flatnonzero(maybe):
             match = self.trie.match(block[start[i]:end[i]].tobytes())
             if match:
                 found[i] = 1 + 4 * match[1] + match[0]
@@ -222,7 +247,7 @@ def hit_score(before: str, after: str, edits: int, others: int) -> tuple[float,
     words = re.findall(r"\w[\w']*", f"{before} {after}")
     opened = len(QUOTES.findall(before)) % 2 == 1 and QUOTES.search(after) is not None
     quoted = opened or any(w in REPORTING for w in words)
-    score = 1.0 if edits == 0 else 0.6
+    score = 1.0 if edits == 0 else 0.9
     if quoted:
         score *= 0.25
     if any(w in ADDRESS for w in words):
@@ -230,11 +255,61 @@ def hit_score(before: str, after: str, edits: int, others: int) -> tuple[float,
     return score * (1 + 0.1 * min(others, 5)), quoted
 
 
-def hit_features(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_hits and the columns of ``FEATURES`` for every input row; zeros for null and empty texts."""
+def near_words(texts: DataFrame, terms: list[str], text_col: str = "text") -> DataFrame:
+    """term (its number), word and first (of its text) for every distinct word of every text that matches a term with edits, and the label of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher, inside, plain = _Matcher(terms), _word_table(), _plain_bytes()
+        for batch in batches:
+            data, offsets = text_bytes(batch.column("text"))
+            seen: dict[tuple[int, int, bytes], bool] = {}
+            met: set[tuple[int, int]] = set()
+            for first, block, at in blocks(data, offsets):
+                start, end, row = word_bounds(block, at, inside)
+                if not len(start):
+                    continue
+                mapped = plain[block]
+                hasher = Hasher(mapped)
+                hashes, one, inverse = np.unique(hasher(start, end), return_index=True, return_inverse=True)
+                found = matcher(hashes, mapped, hasher, start[one], end[one])[inverse]
+                for i in np.flatnonzero((found > 0) & ((found - 1) % 4 > 0)):
+                    r, term = first + int(row[i]), int(found[i] - 1) // 4
+                    seen.setdefault((r, term, mapped[start[i]:end[i]].tobytes()), (r, term) not in met)
+                    met.add((r, term))
+            rows = pa.array([k[0] for k in seen], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("label").take(rows), pa.array([k[1] for k in seen], pa.int32()), pa.array([k[2] for k in seen], pa.binary()),
+                 pa.array(list(seen.values()), pa.bool_())], ["label", "term", "word", "first"])
+
+    return texts.select(F.col("label").cast("int"), F.col(text_col).alias("text")).mapInArrow(run, "label int, term int, word binary, first boolean")
+
+
+def learn_edits(sample: DataFrame, terms: list[str], near_share: float = 0.002) -> tuple[list[int], list[bytes]]:
+    """Edits allowed to each term, and the ordinary words near the terms.
+
+    ``sample``: a bounded sample of texts with ``label``. A term with a near
+    word in more than ``near_share`` of the clean texts has ordinary
+    neighbours, so it is allowed no edits; near words of the other terms that
+    clean texts hold are no misspellings.
+    """
+    edits = default_edits(terms)
+    near = materialize(near_words(sample, terms).filter("label = 0"))
+    limit = near_share * sample.filter("label = 0").count()
+    for r in near.filter("first").groupBy("term").count().collect():       # at most as many rows as terms
+        if r["count"] > limit:
+            edits[r["term"]] = 0
+    open_terms = [n for n, k in enumerate(edits) if k]
+    ordinary = near.filter(F.col("term").isin(open_terms)).select("word").distinct().collect() if open_terms else []
+    return edits, sorted(bytes(r["word"]) for r in ordinary)
+
+
+def hit_features(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text", edits: list[int] | None = None,
+                 ordinary: list[bytes] | None = None, strength: list[float] | None = None) -> DataFrame:
+    """doc_id, n_hits and the columns of ``FEATURES`` for every input row; zeros for null and empty texts."""
+    terms = list(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher, inside, plain = _Matcher(terms, edits, ordinary or ()), _word_table(), _plain_bytes()
         for batch in batches:
             rows = batch.num_rows
             sums = np.zeros((rows, 6))
@@ -254,14 +329,15 @@ def hit_features(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text
                     r = row[i]
                     lo, hi = max(0, i - WINDOW), min(len(start) - 1, i + WINDOW)
                     left, right = max(int(start[lo]), int(at[r])), min(int(end[hi]), int(at[r + 1]))
-                    edits = int(found[i] - 1) % 4
+                    near_by = int(found[i] - 1) % 4
                     score, quoted = hit_score(
                         block[max(left - 2, int(at[r])):start[i]].tobytes().decode(errors="replace"),
-                        block[end[i]:min(right + 2, int(at[r + 1]))].tobytes().decode(errors="replace"), edits, int(others))
+                        block[end[i]:min(right + 2, int(at[r + 1]))].tobytes().decode(errors="replace"), near_by, int(others))
+                    score *= strength[int(found[i] - 1) // 4] if strength else 1.0
                     own = sums[first + r]
                     own[0] += score
                     own[1] = max(own[1], score)
-                    own[2] += edits > 0
+                    own[2] += near_by > 0
                     own[3] += quoted
                     own[4] += 1
             yield pa.RecordBatch.from_arrays(
@@ -282,13 +358,14 @@ def sample_per_class(labels: DataFrame, label_col: str, per_class: int) -> DataF
 
 
 def learn_lexicon(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", n_candidates: float = 1e5,
-                  min_odds: float = 12.0, max_stems: int = 400, stem: tuple[int, int] = (5, 10)) -> list[str]:
-    """Words and stems far likelier in toxic texts; stems end in ``*``.
-
-    ``labelled`` should be a bounded sample; copies count once. Every word
-    votes with itself and with its beginnings of ``stem`` letters. All words
-    that pass are matched with edits, stems without. A term must stand in so many toxic texts that chance would put none of
-    ``n_candidates`` terms into them alone.
+                  min_odds: float = 12.0, stem: tuple[int, int] = (5, 10)) -> dict[str, float]:
+    """Words and stems far likelier in toxic texts, and the strength of each (up to 1, at odds of ``FULL_ODDS``); stems end in ``*``.
+
+    ``labelled`` should be a bounded sample, which bounds the lexicon; copies
+    count once. Every word votes with itself and with its beginnings of
+    ``stem`` letters; a stem must begin several words, and stands for those
+    that begin with it. A term must stand in so many toxic texts that chance
+    would put none of ``n_candidates`` terms into them alone.
     """
     words = labelled.select(label_col, F.xxhash64(text_col).alias("text_key"), F.array_distinct(
         F.split(F.lower(F.coalesce(text_col, F.lit(""))), r"[^\p{L}]+")).alias("words"))
@@ -305,23 +382,31 @@ def learn_lexicon(labelled: DataFrame, text_col: str = "text", label_col: str =
     words = materialize(words)
     size = {r[0]: r[1] for r in words.groupBy(label_col).count().collect()}
     if not size.get(0) or not size.get(1):
-        return sorted(SEED_TERMS)
+        return dict.fromkeys(sorted(SEED_TERMS), 1.0)
     stems = F.flatten(F.transform("words", lambda w: F.transform(
         F.sequence(F.lit(stem[0]), F.greatest(F.lit(stem[0]), F.least(F.length(w), F.lit(stem[1])))),
-        lambda n: F.when(F.length(w) >= n, F.concat(F.substr(w, F.lit(1), n), F.lit("*"))))))
-    terms = F.array_distinct(F.array_compact(F.concat(F.filter("words", lambda w: F.length(w) >= 4), stems)))
-    counted = words.select(label_col, F.explode(terms).alias("term")).groupBy("term").agg(
-        F.sum(label_col).alias("bad"), F.sum(1 - F.col(label_col)).alias("good"))
+        lambda n: F.when(F.length(w) >= n, F.struct(F.concat(F.substr(w, F.lit(1), n), F.lit("*")).alias("term"), w.alias("word"))))))
+    whole = F.transform(F.filter("words", lambda w: F.length(w) >= 4), lambda w: F.struct(w.alias("term"), w.alias("word")))
+    by_text = words.select(label_col, F.monotonically_increasing_id().alias("text"), F.explode(F.array_compact(F.concat(whole, stems))).alias("t")).groupBy(
+        label_col, "text", "t.term").agg(F.min("t.word").alias("least"), F.max("t.word").alias("most"))
+    counted = by_text.groupBy("term").agg(
+        F.sum(label_col).alias("bad"), F.sum(1 - F.col(label_col)).alias("good"), F.min("least").alias("least"), F.max("most").alias("most"))
     min_texts = max(3, math.ceil(math.log(n_candidates) / -math.log(size[1] / (size[0] + size[1]))))
     odds = ((F.col("bad") + 0.5) / size[1]) / ((F.col("good") + 0.5) / size[0])
-    sure = counted.filter((F.col("bad") >= min_texts) & (odds >= min_odds))
-    whole = sure.filter(~F.col("term").endswith("*")).collect()
-    begun = sure.filter(F.col("term").endswith("*")).orderBy(F.desc("bad"), F.length("term"), "term").limit(8 * max_stems).collect()
-    shortest: list[str] = []
-    for t in sorted((r["term"][:-1] for r in begun), key=lambda t: (len(t), t)):
-        if not any(t.startswith(s) for s in shortest):
-            shortest.append(t)
-    return sorted({r["term"] for r in whole} | set(SEED_TERMS)) + [f"{t}*" for t in shortest[:max_stems]]
+    sure = counted.withColumn("odds", odds).filter((F.col("bad") >= min_texts) & (F.col("odds") >= min_odds))
+    whole = {r["term"]: r["odds"] for r in sure.filter(~F.col("term").endswith("*")).collect()}
+    begun = {r["term"][:-1]: r["odds"] for r in sure.filter(F.col("term").endswith("*") & (F.col("least") != F.col("most"))).collect()}
+    shortest: set[str] = set()
+    for t in sorted(begun, key=lambda t: (len(t), t)):
+        if not any(t[:n] in shortest for n in range(stem[0], len(t))):
+            shortest.add(t)
+    left = {t for t in whole if not any(t[:n] in shortest for n in range(stem[0], len(t) + 1))}
+    return ({t: _strength(whole.get(t, FULL_ODDS)) for t in sorted(left | set(SEED_TERMS))}
+            | {f"{t}*": _strength(begun[t]) for t in sorted(shortest)})
+
+
+def _strength(odds: float) -> float:
+    return min(1.0, math.log(odds) / math.log(FULL_ODDS))
 
 
 class ToxicityModel(NamedTuple):
@@ -335,34 +420,40 @@ class ToxicityModel(NamedTuple):
         return 1 / (1 + F.exp(-z))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
-    """Newton steps; intercept first."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray | None = None, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
+    """Newton steps; intercept first. ``prior``: weights that hold where the rows say nothing (zeros if None)."""
     x = np.c_[np.ones(len(x)), x]
-    w, penalty = np.zeros(x.shape[1]), np.diag([1e-6, *[ridge] * (x.shape[1] - 1)])
+    prior = np.zeros(x.shape[1]) if prior is None else np.asarray(prior, float)
+    w, penalty = prior.copy(), np.diag([1e-6, *[ridge] * (x.shape[1] - 1)])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         h = (x * (p * (1 - p))[:, None]).T @ x + penalty + 1e-9 * np.eye(len(w))
-        w = w - np.clip(np.linalg.solve(h, x.T @ (p - y) + penalty @ w), -5, 5)
+        w = w - np.clip(np.linalg.solve(h, x.T @ (p - y) + penalty @ (w - prior)), -5, 5)
     return w
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
              per_class: int = 4000) -> DataFrame:
-    """doc_id, n_hits, the features and ``score`` of every input row.
+    """doc_id, n_hits, the features and ``score`` of every input row; equal texts score alike, also in rows that repeat.
 
     ``labels``: doc_id and 0/1 labels that may be learned from. Lexicon and
     weights are fitted on at most ``per_class`` labelled texts of each class;
     labels that contradict each other for one id count as their greatest. With
-    no labels of one class the seed terms and fixed weights are used. Null and
+    no labels of one class the seed terms and the weights ``PRIOR`` are used. Null and
     empty texts get the score of a text without hits.
     """
     known = labels.select("doc_id", F.col(label_col).cast("int").alias("label")).dropna().groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = F.broadcast(materialize(sample_per_class(known, "label", per_class)))  # at most 2 * per_class ids
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    terms = learn_lexicon(texts.join(chosen, "doc_id"), label_col="label")
-    scored = materialize(hit_features(docs, terms, id_col, text_col))
-    sample = scored.join(chosen, "doc_id").select("label", *FEATURES).limit(8 * per_class).toPandas()
-    weights = [-3.0, 2.0, 2.0, 0.0, -0.5, 1.0]
-    if sample["label"].nunique() == 2:
-        weights = [float(v) for v in fit_logistic(sample[list(FEATURES)].to_numpy(), sample["label"].to_numpy())]
+    sample = materialize(texts.join(chosen, "doc_id"))
+    lexicon = learn_lexicon(sample, label_col="label")
+    terms = list(lexicon)
+    edits, ordinary = learn_edits(sample, terms)
+    scored = materialize(hit_features(docs, terms, id_col, text_col, edits, ordinary, list(lexicon.values())))
+    weights = [*PRIOR]
+    # Rows that share an id count once, so there are at most 2 * per_class.
+    rows = scored.join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.max(F.struct(*FEATURES)).alias("f")).select("label", "f.*").toPandas()
+    if rows["label"].nunique() == 2:
+        rows = rows.sort_values(["label", *FEATURES])
+        weights = [float(v) for v in fit_logistic(rows[list(FEATURES)].to_numpy(), rows["label"].to_numpy(), np.array(PRIOR))]
     return scored.withColumn("score", ToxicityModel(terms, weights).score())

@@ -207,3 +207,126 @@ def test_every_learned_word_is_matched_with_edits(spark):
 def test_sample_is_bounded(spark):
     labels = spark.range(100).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("label"))
     assert toxicity.sample_per_class(labels, "label", 7).count() == 14
+
+
+def test_edits_and_context_earn_their_place(spark, monkeypatch):
+    """Ablation on planted misspellings and quotations in held-out clean texts."""
+    sf, rng = "/root/testdata/sf0.01", random.Random(31)
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+    clean = [r["text"] for r in docs.join(labels.filter("toxic = 0 and quality = 1"), "doc_id").filter((crc_mod("doc_id", 5) == 0) & (F.length("text") > 300)).select("text").limit(20).collect()]
+    bent = {"idiot": "idoit", "stupid": "stuppid", "worthless": "worthles", "pathetic": "pathetik", "disgusting": "disgustng"}
+    rows = []
+    for text in clean:
+        words, (term, near) = text.split(" "), rng.choice(list(bent.items()))
+        for kind, x in (("clean", "a word"), ("abuse", f"you are a {term}"), ("bent", f"you are a {near}"), ("quoted", f'he said "{term}" and')):
+            rows.append((10 ** 6 + len(rows), kind, " ".join([*words[:len(words) // 2], x, *words[len(words) // 2:]])))
+    planted = spark.createDataFrame(rows, "doc_id bigint, kind string, text string")
+    both = docs.unionByName(planted.drop("kind"))
+
+    def run():
+        out = toxicity.toxicity(both, labels.filter(crc_mod("doc_id", 5) != 0)).join(planted.select("doc_id", "kind"), "doc_id").collect()
+        return {k: [r["score"] for r in out if r["kind"] == k] for k in ("clean", "abuse", "bent", "quoted")}
+
+    def apart(high, low):
+        return ranks([(x, 1) for x in high] + [(x, 0) for x in low])
+
+    full = run()
+    with monkeypatch.context() as m:
+        m.setattr(toxicity, "learn_edits", lambda sample, terms: ([0] * len(terms), []))
+        exact = run()
+    with monkeypatch.context() as m:
+        m.setattr(toxicity, "hit_score", lambda before, after, edits, others: (1.0, False))
+        flat = run()
+    assert apart(full["bent"], full["clean"]) > 0.95 > 0.7 > apart(exact["bent"], exact["clean"])
+    assert apart(full["abuse"], full["quoted"]) > 0.95 > 0.7 > apart(flat["abuse"], flat["quoted"])
+    assert np.mean(full["abuse"]) > np.mean(full["quoted"]) + 0.1
+
+
+def test_ordinary_words_are_no_misspellings(spark):
+    texts = [(0, "the badge word stupor")] * 3 + [(0, f"plain {i}") for i in range(997)] + [(1, "badgex")]
+    sample = spark.createDataFrame(texts, "label int, text string")
+    edits, ordinary = toxicity.learn_edits(sample, ["badger", "stupir", "plaun"], near_share=0.01)
+    assert edits == [1, 1, 0]                                   # "plain" is common
+    assert ordinary == [b"badge", b"stupor"]
+    docs = spark.createDataFrame([(1, "badge badgex"), (2, "stupir stupor"), (3, "plain")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["n_hits"] for r in toxicity.hit_features(docs, ["badger", "stupir", "plaun"], edits=edits, ordinary=ordinary).collect()}
+    assert got == {1: 1, 2: 1, 3: 0}
+
+
+def test_stems_match_with_edits():
+    trie = toxicity.TermTrie(["abcdefgh*", "zz*"])
+    assert trie.match(b"abcdefghij") == (0, 0)
+    assert trie.match(b"abcdxefghij") == (1, 0)
+    assert trie.match(b"abcefghij") == (1, 0)
+    assert trie.match(b"abxxefghij") is None
+    assert trie.match(b"zzz") == (0, 1)
+    matcher = toxicity._Matcher(["abcdefgh*"])
+    tests = [b"abcdefghij", b"abcdxefghij", b"abcefghij", b"xabcdefgh", b"abcdefg", b"bcdefghabc", b"abxxefghij", b"abcdefxh"]
+    block = np.frombuffer(b" ".join(tests), np.uint8)
+    start, end, _ = words.word_bounds(block, np.array([0, len(block)]), toxicity._word_table())
+    found = matcher._test(block, words.Hasher(block), start, end)
+    for w, f in zip(tests, found, strict=True):
+        least = min(_distance(w[:n], b"abcdefgh") for n in range(len(w) + 1))
+        assert f == (1 + least if least <= 1 else 0), w
+
+
+def test_long_words_are_summed_over_all_segmentations():
+    rng = random.Random(5)
+    pieces = [b"a", b"b", b"ab", b"aab", b"bbba", b"x" * 20]
+    prob = np.array([[0.1, 0.2], [0.05, 0.1], [0.3, 0.1], [0.2, 0.1], [0.05, 0.2], [0.01, 0.02]])
+    tests = ["".join(rng.choice("ab") for _ in range(n)).encode() for n in (5, 31, 32, 33, 64, 400, 5000)]
+    block = np.frombuffer(b" ".join(tests), np.uint8)
+    start, end, _ = words.word_bounds(block, np.array([0, len(block)]))
+    table, hasher = langid.PieceTable(pieces), words.Hasher(block)
+    got = langid.log_probabilities(table, hasher, start, end - start, prob)
+    for i, w in enumerate(tests):
+        for k in range(2):
+            from fractions import Fraction
+
+            a = [Fraction(1)]
+            for e in range(1, len(w) + 1):
+                a.append(sum((a[e - len(p)] * Fraction(prob[n, k]) for n, p in enumerate(pieces) if e >= len(p) and w[e - len(p):e] == p), Fraction(0)))
+                if len(w) > 1000 and e > 300:
+                    break
+            if len(w) <= 1000:
+                import math
+
+                assert got[i, k] == pytest.approx(math.log(a[-1].numerator) - math.log(a[-1].denominator))
+    long = langid._LongWord(table, hasher, int(start[1]), 31).counts(np.log(prob[:, 0]), len(pieces))
+    short = langid._Lattice(table, hasher, start[1:2], (end - start)[1:2]).counts(prob[:, 0], (end - start)[1:2], np.ones((1, 1)), len(pieces))[:, 0]
+    assert long == pytest.approx(short)
+    assert np.isfinite(got).all()
+
+
+def test_forward_pass_equals_a_plain_convolution():
+    rng = np.random.Generator(np.random.PCG64(3))
+    net = quality_cnn.ByteCNN(rng.normal(size=(256, quality_cnn.DEPTH)).astype(np.float32), rng.normal(size=(quality_cnn.WIDTH, quality_cnn.DEPTH, quality_cnn.FILTERS)).astype(np.float32),
+                              rng.normal(size=quality_cnn.FILTERS).astype(np.float32), rng.normal(size=3 * quality_cnn.FILTERS).astype(np.float32) * 0.1, 0.3)
+    data = rng.integers(0, 256, 2000, dtype=np.uint8)
+    offsets = np.array([0, 0, 10, 700, 2000])
+    start, row = quality_cnn.chunk_starts(offsets)
+    got = net.probabilities(net.pooled(data, start, offsets[1:][row], net.tables()), row)
+    for r in range(4):
+        pooled = []
+        for s in start[row == r]:
+            chunk = np.zeros(quality_cnn.CHUNK, np.uint8)
+            part = data[s:min(s + quality_cnn.CHUNK, offsets[r + 1])]
+            chunk[:len(part)] = part
+            x = net.embed[chunk]
+            response = [sum((x[at + w] @ net.filters[w]) for w in range(quality_cnn.WIDTH)) for at in range(0, quality_cnn.CHUNK - quality_cnn.WIDTH + 1, 2)]
+            pooled.append(np.maximum(np.max(response, 0) + net.bias, 0))
+        joint = np.concatenate([np.max(pooled, 0), np.mean(pooled, 0), np.min(pooled, 0)])
+        assert got[r] == pytest.approx(1 / (1 + np.exp(-(joint @ net.out + net.shift))), abs=1e-4)
+    chunks = quality_cnn.chunk_bytes(data, start, offsets[1:][row])
+    where, most = net.peaks(net.tables(), chunks)
+    raw = net.responses(net.tables(), chunks)
+    assert (where == raw.argmax(1)).all()
+    assert np.allclose(most, raw.max(1))
+
+
+def test_training_reads_whole_texts_within_its_bound(spark):
+    late = [(i, "clean text here. " * 400 + ("###!!!" * 30 if i % 2 else "."), 1 - i % 2) for i in range(40)]    # 20 chunks each, the sign in the last
+    docs = spark.createDataFrame(late, "doc_id bigint, text string, quality int")
+    net = quality_cnn.fit(docs, docs.select("doc_id", "quality"))
+    assert np.mean([(r["score"] >= 0.5) == (r["doc_id"] % 2 == 0) for r in quality_cnn.score(docs, net).collect()]) > 0.9
+    assert isinstance(quality_cnn.fit(docs, docs.select("doc_id", "quality"), sample_bytes=7000), float)            # room for one text

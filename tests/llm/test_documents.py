@@ -318,6 +318,65 @@ def test_license_templates(spark):
     assert sum(r["doc_id"] == 5 for r in rows) == 2
 
 
+def _common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def test_one_edit_of_every_template_keeps_its_label(spark):
+    rows, expected = [], {}
+    for n, (label, text) in enumerate(license_scan.TEMPLATES):
+        w = text.split()
+        at = len(w) // 2
+        variants = [w, [*w[:at], "foo", *w[at + 1:]], [*w[:at], *w[at + 1:]], [*w[:at], "foo", *w[at:]], [*w[:at - 1], w[at], w[at - 1], *w[at + 1:]]]
+        for v, words in enumerate(variants):
+            rows.append((100 * n + v, "Some text. " + " ".join(words).upper() + ", then more"))
+            expected[100 * n + v] = (label, _common(w, words) / max(len(w), len(words)))
+    out = {r["doc_id"]: r for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for k, (label, score) in expected.items():
+        assert label in out[k]["labels"].split(","), rows
+        assert max(x["value"] for x in out[k]["spans"]) >= score - 1e-12, k
+    for n, (label, text) in enumerate(license_scan.TEMPLATES):
+        assert out[100 * n]["labels"] == ",".join(sorted({label} | set(filter(None, out[100 * n]["base_labels"].split(","))))), n      # no other template's label
+        assert out[100 * n]["spans"][0][:2] == (2, 2 + len(text.split()))
+
+
+def test_license_spans_against_brute_force(spark):
+    """Every span's score is that of the words it covers; no placement of a template with one edit or none is missed."""
+    rng, rows = random.Random(41), []
+    filler = "of the a in license under gnu version public alpha beta".split()
+    for n in range(150):
+        words = [rng.choice(filler) for _ in range(rng.randrange(40))]
+        for _ in range(rng.randrange(3)):
+            copy = list(rng.choice(license_scan.TEMPLATES)[1].split())
+            for _ in range(rng.randrange(4)):
+                j = rng.randrange(len(copy))
+                copy[j:j + rng.randrange(2)] = rng.choice([[], ["foo"]])
+            j = rng.randrange(len(words) + 1)
+            words[j:j] = copy
+        rows.append((n, " ".join(words)))
+    by_label = defaultdict(list)
+    for label, text in license_scan.TEMPLATES:
+        by_label[label].append(text.split())
+    for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        words = rows[r["doc_id"]][1].split()
+        for start, end, label, value in r["spans"]:
+            assert any(value == pytest.approx(_common(t, words[start:end]) / max(len(t), end - start)) for t in by_label[label])
+            assert value >= 0.8
+        for label, texts in by_label.items():
+            for t in texts:
+                for at in range(len(words) - len(t) + 1):
+                    if sum(x == y for x, y in zip(t, words[at:at + len(t)], strict=True)) >= len(t) - 1:
+                        assert any(s < at + len(t) and at < e for s, e, _, _ in r["spans"]), (label, rows[r["doc_id"]])
+    with pytest.raises(ValueError, match="words"):
+        license_scan.license_scan(spark.createDataFrame(rows, "doc_id bigint, text string"), templates=[("x", "one")])
+
+
 # --- near duplicates
 
 def _shingles(text):
@@ -436,6 +495,44 @@ def test_leaks_exact_and_edited(spark):
     assert np.mean([x in found for x in near]) > 0.9
 
 
+def test_distances_of_many_texts_at_once():
+    rng = random.Random(17)
+    items = [bytes(rng.choices(b"abc ", k=n)) for n in (1, 5, 63, 64, 65, 127, 128, 130, 200)]
+    texts = [bytes(rng.choices(b"abc d", k=rng.randrange(200))) for _ in range(60)]
+    which = np.array([rng.randrange(len(items)) for _ in texts])
+    best, end = decontam.infix_distances(items, which, texts)
+    for i, t in enumerate(texts):
+        assert best[i] == _infix(items[which[i]], t) == _infix(items[which[i]], t[:end[i]])
+
+
+@pytest.mark.parametrize("edits", [0.02, 0.05, 0.08])
+def test_recall_of_edited_items(spark, edits):
+    sf, rng = "/root/testdata/sf0.01", random.Random(int(1000 * edits))
+    items = {r["item_id"]: r["text"].lower() for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    clean = [t for t in texts_of(spark, sf).values() if len(t) > 400][:50]
+    rows = []
+    for n in range(200):
+        i, t = rng.choice(list(items)), rng.choice(clean)
+        s = list(items[i])
+        for _ in range(int(edits * len(s))):
+            j = rng.randrange(len(s))
+            s[j:j + rng.randrange(2)] = rng.choice(["", "q", "a"])
+        rows.append((n, f"{t[:200]} {''.join(s)} {t[200:]}", i))
+    found = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(spark.createDataFrame(rows, "doc_id bigint, text string, item bigint"), spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
+    assert np.mean([(n, i) in found for n, _, i in rows]) >= {0.02: 0.99, 0.05: 0.98, 0.08: 0.95}[edits]
+
+
+def test_short_items_and_repeated_ids(spark):
+    item = "the quick brown fox jumps over the lazy dog and runs far away"
+    docs = spark.createDataFrame([(1, f"x {item} y"), (1, "a clean text with the same id"), (2, "Say: OPEN sesame!"), (3, "reopen sesame"), (4, "open sesames"), (5, "open, sesame"), (6, None), (7, "q")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, item), (2, "Open Sesame"), (3, "q"), (4, "…"), (5, "!?")], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs, bench).collect()}
+    assert got == {(1, 1), (2, 2), (5, 2), (7, 3)}
+    kept = sorted((r["doc_id"], r["text"]) for r in decontam.clean(docs, bench).filter("text is not null").collect())
+    assert kept == [(1, "a clean text with the same id"), (3, "reopen sesame"), (4, "open sesames")]
+    assert decontam.clean(docs, bench).filter("text is null").count() == 1
+
+
 def test_leak_edges(spark):
     item = "the quick brown fox jumps over the lazy dog and runs far away"
     docs = edge_docs(spark).union(spark.createDataFrame([(20, f"Start. {item.upper()}!", None, None, 0), (21, item[:30], None, None, 0), (None, item, None, None, 0)], edge_docs(spark).schema))
