@@ -15,10 +15,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plumbline.functions.stats import ratio
 
 N_RESAMPLES, CONFIDENCE, SEED = 2000, 0.95, 7
+#: Clusters of one bucket, on average and at most at any size of the input; a bucket is one task's work.
+BUCKET_CLUSTERS, LEAST_BUCKETS = 20_000, 64
 
 
 def cluster_sums(rows: DataFrame, cluster: str, num: Column, den: Column, group_cols: Sequence[str] = ()) -> DataFrame:
@@ -35,11 +38,14 @@ def _interval(replicates: DataFrame, group_cols: Sequence[str], confidence: floa
 
 
 def bootstrap_ci(sums: DataFrame, group_cols: Sequence[str] = (), n_resamples: int = N_RESAMPLES, confidence: float = CONFIDENCE,
-                 seed: int = SEED, buckets: int = 64) -> DataFrame:
+                 seed: int = SEED, buckets: int | None = None) -> DataFrame:
     """group_cols, ci_lower, ci_upper of sum(num) / sum(den). One row per group of ``sums``; without groups, one row, NULL if empty.
 
-    Results depend on ``seed``, ``buckets`` and the data, not on partitions.
+    ``buckets``: by default so many that none has more than about
+    ``BUCKET_CLUSTERS`` clusters, which takes a count of ``sums``. Results
+    depend on ``seed``, ``buckets`` and the data, not on partitions.
     """
+    buckets = buckets or max(LEAST_BUCKETS, -(-sums.count() // BUCKET_CLUSTERS))
     groups = list(group_cols) or ["_all"]
     base = sums if group_cols else sums.withColumn("_all", F.lit(0))
     base = base.withColumn("_bucket", F.pmod(F.xxhash64("cluster"), F.lit(buckets)).cast("int"))
@@ -75,12 +81,27 @@ def bootstrap_ci(sums: DataFrame, group_cols: Sequence[str] = (), n_resamples: i
     return _interval(replicates, group_cols, confidence)
 
 
+def numbered_by_hash(sums: DataFrame) -> DataFrame:
+    """``sums`` with ``i``: the place of each cluster, from 0, in the order of the md5 of its name.
+
+    Places are counted inside 4,096 ranges of the md5 and shifted by the number
+    of clusters in the ranges before, so no task sorts more than one range.
+    """
+    ranged = sums.withColumns({"_md5": F.md5(F.col("cluster").cast("string")), "_range": F.substring(F.md5(F.col("cluster").cast("string")), 1, 3)})
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))                          # at most 4,096 rows
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy("_md5", "cluster"))
+    return ranged.withColumn("_place", inside).join(F.broadcast(shifts), "_range").withColumn(
+        "i", (F.col("shift") + F.col("_place") - 1).cast("bigint")).drop("_md5", "_range", "_place", "shift")
+
+
 def bootstrap_hash_ci(sums: DataFrame, n_resamples: int = 200, confidence: float = CONFIDENCE, seed: int = SEED) -> DataFrame:
     """The same interval with draws from md5 of (seed, replicate, slot), so that any SQL engine gives the same numbers.
 
-    Makes clusters x replicates rows: for small inputs and cross-checks only.
+    Makes clusters x replicates rows, spread over all tasks: for cross-checks.
     """
-    numbered = sums.withColumn("i", F.expr("row_number() over (order by cluster) - 1").cast("bigint"))
+    numbered = numbered_by_hash(sums)
     n = sums.agg(F.count(F.lit(1)).alias("n"))
     slots = numbered.select(F.col("i").alias("slot")).join(F.broadcast(n))                      # n is one row
     drawn = slots.select(F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))).alias("replicate"), "slot", "n").select(

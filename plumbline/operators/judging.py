@@ -8,6 +8,7 @@ the result does not depend on their number.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from plumbline.functions.prompts import system_prompt, user_prompt
 from plumbline.functions.text import length_cap, length_note, truncate_at_word
 from plumbline.functions.verdicts import parse_verdict, reconcile
+from plumbline.operators.replies import answer_requests, append_replies, cacheable, latest_by_key, request_key
+from plumbline.shared import exists
 
 SWAPPED = {"response_a": "response_b", "response_b": "response_a", "system_a": "system_b", "system_b": "system_a",
            "context_a": "context_b", "context_b": "context_a"}
@@ -104,6 +107,45 @@ def with_prompts(rows: DataFrame) -> DataFrame:
         "user": user_prompt(F.col("prompt"), F.col("response_a"), F.col("response_b"), F.col("context_a"), F.col("context_b"))})
 
 
+def request_rows(rows: DataFrame, model: str) -> DataFrame:
+    """row_id, system, user and the key of the request that each comparison makes."""
+    return with_prompts(rows).select("row_id", "system", "user").withColumn("key", request_key(F.lit(model), F.col("system"), F.col("user")))
+
+
+def verdicts_of(requests: DataFrame, answers: DataFrame) -> DataFrame:
+    return requests.select("row_id", "key").join(answers.select("key", "response"), "key").select("row_id", parse_verdict(F.col("response")).alias("verdict"))
+
+
+def logged_judge(name: str, model: str, backend: Callable[[str, str], tuple[str, str | None]], log: str, in_flight: int = 8) -> Judge:
+    """A judge behind a Python function (system, user) -> (reply, stop reason) that pays for no reply twice.
+
+    ``log``: folder of an append-only log of replies (key, response,
+    stop_reason, seq). Requests that it answers are not asked, equal requests
+    are asked once, and what was asked is written before it is used: all of it
+    beside the log, for this run, and to the log what may be kept.
+    """
+    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = [backend(s, u) for s, u in zip(pdf["system"], pdf["user"], strict=True)]
+            yield pd.DataFrame({"key": pdf["key"], "response": [g[0] for g in got], "stop_reason": [g[1] for g in got]})
+
+    def ask(pending: DataFrame) -> DataFrame:
+        """Asks now, so that a second look at the result asks nobody again."""
+        run = f"{log}-runs/{uuid.uuid4().hex}"
+        asked = pending.select("key", "system", "user").repartition(in_flight, "key").mapInPandas(call, "key string, response string, stop_reason string")
+        asked.write.parquet(run)
+        fresh = pending.sparkSession.read.parquet(run)
+        append_replies(fresh.filter(cacheable(F.col("stop_reason"))).withColumn("seq", F.current_timestamp()), log)
+        return fresh
+
+    def verdicts(rows: DataFrame) -> DataFrame:
+        spark, requests = rows.sparkSession, request_rows(rows, model)
+        kept = latest_by_key(spark.read.parquet(log), "key", ["seq"]) if exists(spark, log) else spark.createDataFrame([], "key string, response string")
+        return verdicts_of(requests, answer_requests(requests, kept, ask))
+
+    return Judge(name, verdicts)
+
+
 def reply_judge(name: str, backend: Callable[[str, str], str], in_flight: int = 8) -> Judge:
     """A judge behind a Python function (system, user) -> reply; ``in_flight`` partitions call it at once."""
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,7 +1,7 @@
 """Human labels: majorities, disagreement, the human ceiling, samples.
 
-``labels`` is one row per label: row_id, preferred, and ann_ord where order
-matters. Pairs of labels are never formed; their numbers follow from counts.
+``labels`` is one row per label: row_id, preferred, and ann_ord, the place of
+the label in its item from 1 on, where order matters. Pairs of labels are never formed; their numbers follow from counts.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from plumbline.functions.stats import kappa_column, ratio
 
@@ -64,12 +63,13 @@ def human_kappa(labels: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
     """Kappa of all (earlier, later) label pairs inside items; NULL where the human ceiling is.
 
     The label at place i of k is the earlier one of k - i pairs and the later
-    one of i - 1, so both marginals are sums over labels.
+    one of i - 1, so both marginals are sums over labels: per item and label,
+    its number and the sum of its places say all.
     """
-    w = Window.partitionBy(*group_cols, "row_id")
-    placed = labels.withColumns({"_i": F.row_number().over(w.orderBy("ann_ord")), "_k": F.count(F.lit(1)).over(w)})
-    marginals = placed.groupBy(*group_cols, "preferred").agg(
-        F.sum(F.col("_k") - F.col("_i")).alias("first"), F.sum(F.col("_i") - 1).cast("bigint").alias("second"))
+    by_label = labels.groupBy(*group_cols, "row_id", "preferred").agg(F.count(F.lit(1)).alias("n"), F.sum("ann_ord").cast("bigint").alias("places"))
+    per_item = by_label.groupBy(*group_cols, "row_id").agg(F.sum("n").alias("k"), F.collect_list(F.struct("preferred", "n", "places")).alias("of"))
+    marginals = per_item.select(*group_cols, "k", F.explode("of").alias("x")).groupBy(*group_cols, F.col("x.preferred").alias("preferred")).agg(
+        F.sum(F.col("k") * F.col("x.n") - F.col("x.places")).alias("first"), F.sum(F.col("x.places") - F.col("x.n")).alias("second"))
     product = F.col("first").cast("decimal(19,0)") * F.col("second").cast("decimal(19,0)")
     products = marginals.groupBy(*group_cols).agg(F.sum(product).alias("products"))
     counts = item_statistics(labels, group_cols).groupBy(*group_cols).agg(

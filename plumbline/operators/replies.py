@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +42,18 @@ def cached_replies(requests: DataFrame, cache: DataFrame) -> DataFrame:
     return requests.join(cache.select("key", "response"), "key")
 
 
+def answer_requests(requests: DataFrame, cache: DataFrame, ask: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """key, response, stop_reason and cached of every distinct request (key, system, user); only those without a cached reply are asked.
+
+    ``cache``: key and response, one row per key. ``ask``: distinct requests ->
+    key, response, stop_reason. Several rows of one request are asked once.
+    """
+    hits = requests.select("key").distinct().join(cache.select("key", "response"), "key").select(
+        "key", "response", F.lit(None).cast("string").alias("stop_reason"), F.lit(True).alias("cached"))
+    fresh = ask(pending_requests(requests, cache)).select("key", "response", "stop_reason", F.lit(False).alias("cached"))
+    return hits.unionByName(fresh)
+
+
 def append_replies(replies: DataFrame, path: str) -> None:
     """Appends key, response and order columns to a log; ``latest_by_key`` reads it."""
     replies.write.mode("append").parquet(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,8 @@ from plumbline.functions.text import PADDING, RESTATEMENT, length_cap, length_no
 from plumbline.functions.verdicts import parse_verdict
 from plumbline.operators import bootstrap, calibration, judging, labels, replies, robustness, scoring, verdicts
 from plumbline.plans.report import confusion_table, report_lines
+from plumbline.plans.sections import in_sql, report_sections, section_lines
+from plumbline.shared import shared_folder
 from plumbline.sources import adapter, records
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,6 +133,43 @@ def sample_comparisons(spark: SparkSession, sf: str) -> DataFrame:
     return labels.sample_comparisons(_calibration_items(spark, sf).select("row_id", "cluster_id"), 300)
 
 
+def _as_json(df: DataFrame, sf: str) -> str:
+    """Writes JSON Lines to a new shared folder and returns its path."""
+    path = f"{shared_folder(df.sparkSession)}/json-{uuid.uuid4().hex}"
+    df.write.json(path)
+    return path
+
+
+_JSON_RECORD = """SELECT ord, id, prompt, response_a, response_b, cluster_id, CASE WHEN ord % 2 = 0 THEN preferred END AS preferred,
+       CASE WHEN ord % 2 = 0 THEN annotator_id END AS annotator_id, CASE WHEN ord % 2 = 1 THEN array(named_struct('preferred', preferred, 'annotator_id', annotator_id)) END AS annotations,
+       CASE WHEN ord % 3 = 0 THEN array(array('user', prompt), array('assistant', response_a)) END AS context_a FROM {fx_record}"""
+
+
+@query(with_views(["fx_record"], """
+, k AS (SELECT *, coalesce(id, '__' || prompt || chr(31) || response_a || chr(31) || response_b) AS row_id,
+               CASE WHEN id IS NULL THEN 'content' ELSE 'id' END AS kind FROM fx_record)
+SELECT row_id, coalesce(nullif(arg_min(cluster_id, ord), ''), row_id) AS cluster_id, string_agg(preferred || ':' || annotator_id, ',' ORDER BY preferred, annotator_id) AS labels,
+       bool_or(ord % 3 = 0) AS has_context, count(*) AS n_records
+FROM k GROUP BY kind, row_id"""))
+def read_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Single-label and list-label records with and without contexts, written as JSON Lines, read back and merged."""
+    path = _as_json(spark.sql(_JSON_RECORD, fx_record=view(spark, sf, "fx_record")), sf)
+    read = records.read_comparison_records(spark, path)
+    merged = records.merge_records(read)
+    rendered = F.expr("array_join(array_sort(transform(annotations, a -> a.preferred || ':' || a.annotator_id)), ',')")
+    context = records.merge_records(read.filter("context_a is not null"))
+    shown = context.select("row_id", "cluster_id", (F.element_at("context_a", 1)["role"] == "user").alias("has_context"))
+    return merged.select("row_id", "cluster_id", rendered.alias("labels"), F.size("annotations").cast("bigint").alias("n_records")).join(
+        shown.select("row_id", "has_context"), "row_id", "left").withColumn("has_context", F.coalesce("has_context", F.lit(False)))
+
+
+@query(with_views(["fx_item"], "SELECT row_id AS id, winner, coalesce(CASE WHEN item_no % 2 = 0 THEN position_unstable END, false) AS position_unstable FROM fx_item"))
+def read_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdict records as JSON Lines; a missing flag is false."""
+    written = view(spark, sf, "fx_item").select(F.col("row_id").alias("id"), "winner", F.expr("CASE WHEN item_no % 2 = 0 THEN position_unstable END").alias("position_unstable"))
+    return records.read_verdict_records(spark, _as_json(written, sf)).drop("ord")
+
+
 # --- verdicts and calibration -------------------------------------------------------------------------------------------
 
 _CANONICAL = """
@@ -258,21 +298,21 @@ def scored_rows(spark: SparkSession, sf: str) -> DataFrame:
 _BOOTSTRAP = """
 , cs AS (SELECT cluster_id AS cluster, sum(CASE WHEN NOT usable THEN 0.0 WHEN winner = 'A' THEN 1.0 WHEN winner = 'tie' THEN 0.5 ELSE 0.0 END::DOUBLE) AS num,
                 sum(CASE WHEN usable THEN 1.0 ELSE 0.0 END::DOUBLE) AS den FROM u GROUP BY cluster_id)
-, nb AS (SELECT *, row_number() OVER (ORDER BY cluster) - 1 AS i, count(*) OVER () AS n FROM cs)
+, nb AS (SELECT *, row_number() OVER (ORDER BY md5(cluster), cluster) - 1 AS i, count(*) OVER () AS n FROM cs)
 , dr AS (SELECT r.replicate, CAST(floor(('0x' || substr(md5('7|' || r.replicate || '|' || nb.i), 1, 8))::BIGINT / 4294967296.0::DOUBLE * nb.n) AS BIGINT) AS i
-         FROM nb, (SELECT unnest(range(100)) AS replicate) r)
+         FROM nb, (SELECT unnest(range(2000)) AS replicate) r)
 , rp AS (SELECT dr.replicate, sum(nb.num) AS num, sum(nb.den) AS den FROM dr JOIN nb ON dr.i = nb.i GROUP BY dr.replicate)
 , ci AS (SELECT quantile_cont(num / den, 0.025) AS ci_lower, quantile_cont(num / den, 0.975) AS ci_upper FROM rp WHERE den > 0)"""
 
 
 @query(with_views(["fx_item"], _SCORE + _BOOTSTRAP + "SELECT round(ci_lower, 9) AS ci_lower, round(ci_upper, 9) AS ci_upper FROM ci"))
 def bootstrap_hash_ci(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(bootstrap.bootstrap_hash_ci(scoring.win_sums(_held_out(spark, sf)), n_resamples=100))
+    return _rounded(bootstrap.bootstrap_hash_ci(scoring.win_sums(_held_out(spark, sf)), n_resamples=bootstrap.N_RESAMPLES))
 
 
 @query()
 def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
-    return bootstrap.bootstrap_ci(scoring.win_sums(_held_out(spark, sf)), n_resamples=500)
+    return bootstrap.bootstrap_ci(scoring.win_sums(_held_out(spark, sf)))
 
 
 def _decided(spark: SparkSession, sf: str, **options: object) -> DataFrame:
@@ -290,7 +330,7 @@ SELECT gate_reason IS NULL AS gate_passed, underpowered, round(win_rate, 9) AS w
             WHEN n_position_unstable > 0 THEN 'no calibration rate to compare with' END AS caveat
 FROM gate, sc, ci"""))
 def policy_decision(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(_decided(spark, sf, method="hash", n_resamples=100).select(
+    return _rounded(_decided(spark, sf, method="hash", n_resamples=bootstrap.N_RESAMPLES).select(
         "gate_passed", "underpowered", "win_rate", "ci_lower", "ci_upper", scoring.decision().alias("decision"), scoring.drift_caveat().alias("caveat")))
 
 
@@ -305,11 +345,40 @@ def mde_table(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def report(spark: SparkSession, sf: str) -> DataFrame:
-    return report_lines(_decided(spark, sf, n_resamples=500))
+    return report_lines(_decided(spark, sf))
+
+
+def _section_results(spark: SparkSession, sf: str) -> DataFrame:
+    gate = calibration.trust_gate(_calibration(spark, sf))
+    score = scoring.policy_report(_held_out(spark, sf), method="hash", n_resamples=bootstrap.N_RESAMPLES)
+    return gate.drop("n_ties").join(F.broadcast(score.withColumnsRenamed({"n": "n_heldout", "n_parse_failures": "n_unparsed", "n_ties": "n_wins_0"})))  # one row each
+
+
+def _sections_sql(first: str, second: str) -> str:
+    parts = [f"SELECT {section} AS section, {n} AS line_no, {in_sql(line, 'printf')} AS line FROM rs WHERE {condition}"
+             for n, (section, condition, line) in enumerate(section_lines(first, second))]
+    counts = " || ' | ' || ".join(f"CAST({c} AS VARCHAR)" for c in ("sum(n) FILTER (r2 = 'A')", "sum(n) FILTER (r2 = 'B')", "sum(n) FILTER (r2 = 'tie')", "sum(n)"))
+    return (_CALIBRATION + _GATE + _SCORE + _BOOTSTRAP + """
+, rs AS (SELECT gate.* EXCLUDE (n_ties), sc.* EXCLUDE (n, n_parse_failures, n_ties), sc.n AS n_heldout, sc.n_parse_failures AS n_unparsed, sc.n_ties AS n_wins_0, ci.* FROM gate, sc, ci)
+""" + "\nUNION ALL ".join(parts) + f"""
+UNION ALL SELECT 2, CASE r1 WHEN 'A' THEN 1 WHEN 'B' THEN 2 ELSE 3 END, r1 || ' | ' || {counts} FROM cf GROUP BY r1
+UNION ALL SELECT 2, 0, 'human / judge | A | B | tie | total'""")
+
+
+@query(with_views(["fx_item", "fx_ann"], _sections_sql("sys-c", "sys-v")))
+def report_in_sections(spark: SparkSession, sf: str) -> DataFrame:
+    return report_sections(_section_results(spark, sf), confusion_pivot(spark, sf), "sys-c", "sys-v")
 
 
 # --- raw judgments ------------------------------------------------------------------------------------------------------
 
+@query(with_views(["fx_raw"], "SELECT question_id, model_a, model_b, winner, judge, turn, count(*) AS n FROM fx_raw GROUP BY ALL"))
+def read_judgments(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw judgments as JSON Lines and back."""
+    read = records.read_judgments(spark, _as_json(view(spark, sf, "fx_raw"), sf))
+    return read.groupBy("question_id", "model_a", "model_b", "winner", "judge", "turn").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(with_views(["fx_raw"], _CANONICAL + "SELECT id, cluster_id, model_a, model_b, winner, judge, count(*) AS n FROM it GROUP BY ALL"))
 def canonical_judgments(spark: SparkSession, sf: str) -> DataFrame:
     return _items(spark, sf).groupBy("id", "cluster_id", "model_a", "model_b", "winner", "judge").agg(F.count(F.lit(1)).alias("n"))
@@ -451,6 +520,23 @@ def swapped_slots(spark: SparkSession, sf: str) -> DataFrame:
         "row_id", "cluster_id", "prompt", F.md5("response_a").alias("a_md5"), F.md5("response_b").alias("b_md5"))
 
 
+_PAIR_REPLY = """CASE WHEN substr(key, 2, 1) < '4' THEN '[[A]]' WHEN substr(key, 2, 1) < '8' THEN '[[B]]' WHEN substr(key, 2, 1) < 'c' THEN 'so [[C]]' ELSE 'none' END"""
+
+
+@query(with_views(["fx_pair"], _KEYS + f"""
+, an AS (SELECT row_id, key, key LIKE '0%' OR key LIKE '5%' OR key LIKE 'a%' AS cached, CASE WHEN key LIKE '1%' THEN 'max_tokens' ELSE 'end' END AS stop, {_PAIR_REPLY} AS reply FROM rk)
+SELECT row_id, cached, CASE WHEN cached THEN 'tie' WHEN reply LIKE '%[[A]]%' THEN 'A' WHEN reply LIKE '%[[B]]%' THEN 'B' WHEN reply LIKE '%[[C]]%' THEN 'tie' END AS verdict,
+       NOT cached AND stop <> 'max_tokens' AS logged FROM an"""))
+def cached_judging(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests of all pairs, a part of them with cached replies; the others are asked once each, and a reply cut off by the token limit is not kept."""
+    requests = judging.request_rows(_contexts(view(spark, sf, "fx_pair")), "model-x")
+    cache = requests.filter(F.substring("key", 1, 1).isin("0", "5", "a")).select("key", F.lit("kept [[C]]").alias("response")).distinct()
+    answers = replies.answer_requests(requests, cache, lambda pending: pending.select(
+        "key", F.expr(_PAIR_REPLY).alias("response"), F.expr("CASE WHEN key LIKE '1%' THEN 'max_tokens' ELSE 'end' END").alias("stop_reason")))
+    told = judging.verdicts_of(requests, answers).join(requests.select("row_id", "key"), "row_id")
+    return told.join(answers.select("key", "cached", (~F.col("cached") & replies.cacheable(F.col("stop_reason"))).alias("logged")), "key").drop("key")
+
+
 _LATEST = "SELECT user_id, arg_max(event_type, (ts, event_id)) AS status, max(ts) AS ts FROM events GROUP BY user_id"
 
 

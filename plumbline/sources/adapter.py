@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from plumbline.shared import exists
+
 #: Winner values of raw judgments that become labels; fixed values.
 WINNERS = {"model_a": "A", "model_b": "B", "tie": "tie", "tie (bothbad)": "tie"}
 #: Winner value of a judge that contradicted itself in the two slot orders; a fixed value.
@@ -87,17 +89,30 @@ def held_out_records(items: DataFrame, held_out: tuple[str, str], ord_col: str)
     return kept.groupBy("id").agg(F.min_by("r", "_ord").alias("r")).select("id", "r.*")
 
 
-def write_datasets(items: DataFrame, path: str, held_out: tuple[str, str], ord_col: str, overwrite: bool = False) -> dict[str, int]:
+def write_datasets(items: DataFrame, path: str, held_out: tuple[str, str], ord_col: str, overwrite: bool = False,
+                   keep_finished: bool = False) -> dict[str, int]:
     """Writes preferences, verdicts and held-out records as JSON Lines folders; rows written of each.
 
-    Without ``overwrite`` an existing folder is an error.
+    Without ``overwrite`` an existing folder is an error, found before anything
+    is written. With ``keep_finished`` nothing is written if all three folders
+    are there and finished, and the result is empty; else all are written anew.
     """
+    spark = items.sparkSession
+    there = [name for name in ("preferences", "verdicts", "held_out") if exists(spark, f"{path}/{name}")]
+    if keep_finished and not overwrite:
+        if all(exists(spark, f"{path}/{name}/_SUCCESS") for name in there) and len(there) == 3:
+            return {}
+        overwrite = True
+    if there and not overwrite:
+        raise FileExistsError(f"already exists: {', '.join(there)} in {path}")
     parts = {"preferences": preference_records(items, held_out), "verdicts": verdict_records(items),
              "held_out": held_out_records(items, held_out, ord_col)}
+    written = {}
     for name, df in parts.items():
-        df.write.mode("overwrite" if overwrite else "errorifexists").json(f"{path}/{name}")
-    spark = items.sparkSession
-    return {name: spark.read.schema(df.schema).json(f"{path}/{name}").count() for name, df in parts.items()}
+        rows = Observation(name)
+        df.observe(rows, F.count(F.lit(1)).alias("n")).write.mode("overwrite" if overwrite else "errorifexists").json(f"{path}/{name}")
+        written[name] = rows.get["n"]
+    return written
 
 
 def leaked_items(preferences: DataFrame, held_out: DataFrame) -> DataFrame:

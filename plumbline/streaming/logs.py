@@ -6,14 +6,27 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 
 def stream_status_counts(log: DataFrame, key: str, status: str, order_cols: Sequence[str], checkpoint: str, table: str) -> StreamingQuery:
-    """Starts a query whose memory table ``table`` holds, for every key seen, its current status.
+    """Starts a query that keeps the current status of every key seen; the view ``table`` shows key and status.
 
-    The state is one row per key: the row with the greatest order columns.
+    The state is one row per key: the row with the greatest order columns. Each
+    micro-batch appends the keys that it changed, with the number of the batch,
+    to a Parquet folder beside the checkpoint, one subfolder a batch, so a batch
+    that is run again replaces what it wrote. The view takes the last row of
+    each key. Nothing but the changed keys is written, and nothing is collected.
     """
+    spark, folder = log.sparkSession, f"{checkpoint}-rows"
     current = log.groupBy(F.col(key).alias("key")).agg(F.max_by(F.col(status), F.struct(*order_cols)).alias("status"))
-    return (current.writeStream.outputMode("complete").format("memory").queryName(table)
+
+    def keep(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+        rows = spark.read.schema(T.StructType([*current.schema.fields, T.StructField("batch", T.LongType())])).parquet(folder)
+        rows.groupBy("key").agg(F.max_by("status", "batch").alias("status")).createOrReplaceTempView(table)
+
+    spark.createDataFrame([], current.schema).createOrReplaceTempView(table)
+    return (current.writeStream.outputMode("update").foreachBatch(keep)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

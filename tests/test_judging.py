@@ -209,3 +209,68 @@ def test_invariance(spark):
     a = calibration.calibration_report(items, labels, judged, n_resamples=50).first()
     b = calibration.calibration_report(items.repartition(5), labels.repartition(3), judged.orderBy(F.desc("row_id")), n_resamples=50).first()
     assert a == b
+
+
+def test_logged_judge_pays_for_no_reply_twice(spark, tmp_path):
+    rows = _pairs(spark, [("a", "b"), ("a", "b"), ("c", "d"), ("cut", "off")])
+    asked = tmp_path / "asked"
+
+    def backend(system, user):
+        with asked.open("a") as f:
+            f.write("x\n")
+        return "half [[A]]" if "cut" in user else "[[B]]", "max_tokens" if "cut" in user else "end_turn"
+
+    log = str(tmp_path / "log")
+    judge = judging.logged_judge("logged", "m", backend, log, in_flight=2)
+    first = judge.verdicts(rows)
+    expected = {"r0": "B", "r1": "B", "r2": "B", "r3": "A"}
+    for _ in range(2):                                          # a second look asks nobody
+        assert {r["row_id"]: r["verdict"] for r in first.collect()} == expected
+    assert len(asked.read_text().split()) == 3                  # equal requests are asked once
+    assert spark.read.parquet(log).count() == 2                 # a reply cut off by the limit is not kept
+    again = judging.logged_judge("logged", "m", backend, log).verdicts(rows)
+    assert {r["row_id"]: r["verdict"] for r in again.collect()} == expected
+    assert len(asked.read_text().split()) == 4                  # only that one is asked anew
+    other = judging.logged_judge("logged", "other model", backend, log).verdicts(rows)
+    assert other.count() == 4
+    assert len(asked.read_text().split()) == 7
+    both = judging.judge_many(judging.logged_judge("logged", "m", backend, str(tmp_path / "log2")), rows)
+    assert {tuple(r)[1:] for r in both.filter("row_id <> 'r3'").collect()} == {("tie", True, False)}
+
+
+def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
+    src = str(tmp_path / "in")
+    for n, rows in enumerate(([("a", 1, "pending"), ("b", 1, "pending")], [("a", 2, "done"), ("c", 1, "failed"), ("b", 0, "old")])):
+        spark.createDataFrame(rows, "job string, seq int, status string").coalesce(1).write.mode("append").parquet(src)
+        log = spark.readStream.schema("job string, seq int, status string").parquet(src)
+        stream_status_counts(log, "job", "status", ["seq"], str(tmp_path / "cp"), f"states_{n}").awaitTermination(60)
+    assert {r["key"]: r["status"] for r in spark.table("states_1").collect()} == {"a": "done", "b": "pending", "c": "failed"}
+
+
+def test_report_sections_for_every_decision(spark):
+    from plumbline.plans.sections import report_sections
+
+    items, labels, judged = _calibration(spark, 40)
+    gate = calibration.trust_gate(calibration.calibration_report(items, labels, judged, with_ci=False)).drop("n_ties")
+    confusion = confusion_table(calibration.confusion(labels, judged))
+
+    def told(winners, gate=gate):
+        rows = [(f"r{i}", f"c{i}", w, u, False) for i, (w, u) in enumerate(winners)]
+        score = scoring.policy_report(spark.createDataFrame(rows, JUDGED), n_resamples=50).withColumnsRenamed({"n": "n_heldout", "n_parse_failures": "n_unparsed", "n_ties": "n_wins_0"})
+        out = report_sections(gate.join(F.broadcast(score)), confusion, "x", "y").orderBy("section", "line_no").collect()
+        assert {r["section"] for r in out} == set(range(5))
+        return [r["line"] for r in out if r["section"] == 0], [r["line"] for r in out if r["section"] == 4], out
+
+    assert told([("A", False)] * 200)[0][0].startswith("x is preferred: win rate 100.0%")
+    assert told([("B", False)] * 200)[0][0].startswith("y is preferred: win rate 100.0%")
+    assert told([("A", False)] * 3)[0][0].startswith("Too little data: 3 scored")
+    assert told([("A", False), ("B", False)] * 200)[0][0].startswith("Too little data")
+    head, caveat, rows = told([("tie", True)] * 3)
+    assert head[0].startswith("Too little data")
+    assert caveat[0].startswith("The judge is less stable here (100.0%)")
+    assert any(r["line"].startswith("Nothing could be scored") for r in rows)
+    assert sum(r["section"] == 2 for r in rows) == 1 + confusion.count()
+    failed = gate.withColumn("gate_reason", F.lit("kappa undefined")).withColumn("position_flip_rate", F.lit(None).cast("double"))
+    head, caveat, _ = told([("A", False)] * 200 + [("tie", True)], failed)
+    assert head == ["No conclusion: the judge did not pass the gate (kappa undefined), so its verdicts say nothing about preference."]
+    assert caveat[0].startswith("There is no calibration rate")

@@ -132,3 +132,26 @@ def test_write_datasets(spark, tmp_path):
     with pytest.raises(Exception, match="(?i)exists"):
         adapter.write_datasets(items, str(tmp_path), ("m", "z"), "winner")
     assert adapter.write_datasets(items, str(tmp_path), ("m", "z"), "winner", overwrite=True) == counts
+
+
+def test_finished_datasets_are_kept_and_half_written_ones_are_not(spark, tmp_path):
+    items = adapter.with_items(spark.createDataFrame([_judgment("x", "m", "model_a"), _judgment("m", "z", "tie")], records.JUDGMENT_SCHEMA))
+    counts = adapter.write_datasets(items, str(tmp_path), ("m", "z"), "winner", keep_finished=True)
+    assert counts == {"preferences": 1, "verdicts": 2, "held_out": 1}
+    assert adapter.write_datasets(items, str(tmp_path), ("m", "z"), "winner", keep_finished=True) == {}
+    (tmp_path / "verdicts" / "_SUCCESS").unlink()
+    assert adapter.write_datasets(items, str(tmp_path), ("m", "z"), "winner", keep_finished=True) == counts
+    only = tmp_path / "only"
+    spark.range(1).write.json(str(only / "verdicts"))
+    with pytest.raises(FileExistsError):
+        adapter.write_datasets(items, str(only), ("m", "z"), "winner")
+    assert not (only / "preferences").exists()
+
+
+def test_read_judgments(spark, tmp_path):
+    rows = spark.createDataFrame([_judgment("x", "m", "model_a"), _judgment("m", "x", "model_b", 2)], records.JUDGMENT_SCHEMA)
+    rows.write.json(str(tmp_path / "raw"))
+    read = records.read_judgments(spark, str(tmp_path / "raw"))
+    assert sorted(map(repr, read.drop("ord").collect())) == sorted(map(repr, rows.collect()))
+    held = adapter.held_out_records(adapter.with_items(read), ("m", "x"), "ord").collect()
+    assert {r["id"]: len(r["context_a"]) for r in held} == {"q81-t1-m-vs-x": 0, "q81-t2-m-vs-x": 2}

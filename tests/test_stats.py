@@ -85,3 +85,22 @@ def test_bootstrap_does_not_depend_on_partitions_and_forms_agree(spark):
     assert h["ci_upper"] - h["ci_lower"] == pytest.approx(a["ci_upper"] - a["ci_lower"], rel=0.2)
     grouped = bootstrap_ci(sums.withColumn("g", F.lit("x")), ["g"], n_resamples=50).collect()
     assert [r["g"] for r in grouped] == ["x"]
+
+
+def test_numbers_by_hash_are_places_in_md5_order(spark):
+    import hashlib
+
+    from plumbline.operators.bootstrap import numbered_by_hash
+
+    names = [f"c{n}" for n in range(9000)]
+    rows = spark.createDataFrame([(c, 1.0, 1.0) for c in names], "cluster string, num double, den double").repartition(7)
+    got = {r["cluster"]: r["i"] for r in numbered_by_hash(rows).collect()}
+    assert got == {c: i for i, c in enumerate(sorted(names, key=lambda c: hashlib.md5(c.encode()).hexdigest()))}
+    assert numbered_by_hash(rows.limit(0)).count() == 0
+
+
+def test_more_buckets_give_the_same_interval_but_for_chance(spark):
+    sums = _sums(spark, [i % 2 for i in range(400)], 1)
+    a, b = bootstrap_ci(sums, n_resamples=2000).first(), bootstrap_ci(sums, n_resamples=2000, buckets=7).first()
+    assert abs(a["ci_lower"] - b["ci_lower"]) < 0.01
+    assert abs(a["ci_upper"] - b["ci_upper"]) < 0.01
