@@ -178,7 +178,7 @@ class Seeds:
     def windows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, start and passage length of every distinct window that a piece points to."""
         codes, found = _codes()[data], []
-        short = self.short(codes).astype(np.intp) if len(codes) >= SHORT else np.zeros(1, np.intp)
+        short = self.short(codes).astype(np.uint16) if len(codes) >= SHORT else np.zeros(1, np.uint16)
         for q, (gram, number, shift, seen) in self.tables.items():
             if len(codes) < q:
                 continue
@@ -325,12 +325,17 @@ def _block_leaks(docs: DataFrame, passages: list[Passage], rate: float, least_by
     item_keys = lsh_keys(joined, begin, size, begin + size, bits)
     tables = [np.unique(item_keys[:, t]) for t in range(item_keys.shape[1])]
 
+    def portions(texts: pa.Array, slack: int) -> Iterator[tuple]:
+        for lo in range(0, len(texts), AT_ONCE // 8):
+            data, offsets = text_bytes(texts.slice(lo, AT_ONCE // 8))
+            for first, *rest in plain_blocks(data, offsets, longest, slack) if len(data) else ():
+                yield lo + first, *rest
+
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds, slack = Seeds(raws, rate, least_bytes), max(1, *(allowed(len(r), rate, least_bytes) for r in raws))
         for batch in batches:
-            data, offsets = text_bytes(batch.column("text"))
             out: list[list] = [[] for _ in range(5)]
-            for first, plain, bounds, before, own, end in plain_blocks(data, offsets, longest, slack) if len(data) else ():
+            for first, plain, bounds, before, own, end in portions(batch.column("text"), slack):
                 row, start, length = seeds.windows(plain, bounds)
                 mine = (start >= own) & (start < end)
                 row, start, length = row[mine], start[mine], length[mine]

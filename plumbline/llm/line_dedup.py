@@ -33,6 +33,8 @@ MIN_WORDS = 50
 #: Words of a unit at most.
 UNIT_WORDS = 16
 LEFT, RIGHT = 1, 2
+#: Texts that are folded at once.
+ROWS_AT_ONCE = 1024
 
 
 def unit_shape(min_words: int) -> tuple[int, int]:
@@ -195,8 +197,10 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, at = folded(batch.column("text"))
-            for row, *columns in _units_of(data, at, k, w):
+            texts = batch.column("text")
+            portions = ((lo + row, *columns) for lo in range(0, len(texts), ROWS_AT_ONCE)
+                        for row, *columns in _units_of(*folded(texts.slice(lo, ROWS_AT_ONCE)), k, w))
+            for row, *columns in portions:
                 take = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").take(take), batch.column("row_key").take(take), *(pa.array(np.ascontiguousarray(c), pa.int64()) for c in columns)],
