@@ -116,11 +116,17 @@ def _votes(rolled: DataFrame, grams: DataFrame, drift: int, min_score: float) ->
         "diagonal", F.when(own, F.lit(0)).otherwise(F.col("slot") - 1 - F.col("t_pos"))).withColumn(
         "first", F.greatest(F.col("diagonal") - drift, F.lit(0)))
     here = band.select(
-        "doc_id", "text_key", "base", "template", "label", "t_words", "diagonal", "first", F.when(~own, F.slice(
+        "doc_id", "text_key", F.when(own, F.struct(
+            F.size("words").cast("long").alias("n_words"),
+            F.coalesce(F.size("starts"), F.lit(0)).cast("long").alias("n_base"),
+            F.array_min("starts").cast("long").alias("first_word"),
+            F.array_max("starts").cast("long").alias("last_word"),
+            F.col("base_list"))).alias("base"), "template", "label", "t_words", "diagonal", "first", F.when(~own, F.slice(
             "words", F.col("first") + 1, F.greatest(F.lit(0), F.least(F.col("diagonal") + size + drift, F.size("words")) - F.col("first")))).alias("around"))
     in_band = F.size(F.filter("t_words", lambda t, i: F.exists(
         F.sequence(F.lit(-drift), F.lit(drift)), lambda d: _same(F.col("around"), F.col("diagonal") - F.col("first") + i + d, t))))
-    return here.filter((F.col("template") == -1) | (in_band >= min_score * F.size("t_words")))
+    # The whole part of rand() is 0; it keeps this test above the join: pushed into it, it would take the join, and all rows of grams, out of generated code.
+    return here.filter((F.col("template") == -1) | (in_band + F.floor(F.rand(1)) >= min_score * F.size("t_words")))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -154,19 +160,15 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "doc_id", "words", F.xxhash64("words").alias("text_key"),
         F.when(any_found, _phrase_starts(F.col("words"), list(BASE_PHRASES))).alias("starts"),
         F.array_compact(F.array(*[
-            F.when(f, F.lit(label)) for f, label in zip(found, BASE_PHRASES.values(), strict=True)])).alias("base_list"))
+            F.when(f, F.lit(label)) for f, label in zip(found, BASE_PHRASES.values(), strict=True)])).alias("base_list"),
+        F.when(F.size("words") >= k, F.transform(
+            F.sequence(F.lit(0), F.size("words") - k),
+            lambda i: F.xxhash64(F.slice("words", i + 1, k)))).alias("grams"))
+    # The array is a column of its own: so the rows of grams come from generated code, and no text is copied for each.
     rolled = based.select(
         *by_text, "words", "starts", "base_list",
-        F.posexplode(F.concat(F.array(F.lit(-1).cast("bigint")), F.when(F.size("words") >= k, F.transform(
-            F.sequence(F.lit(0), F.size("words") - k),
-            lambda i: F.xxhash64(F.slice("words", i + 1, k)))).otherwise(F.array().cast("array<bigint>")))).alias("slot", "gram"))
+        F.posexplode(F.concat(F.array(F.lit(-1).cast("bigint")), F.coalesce("grams", F.array().cast("array<bigint>")))).alias("slot", "gram"))
     # The gram -1 is what every text sends for itself.
-    rolled = rolled.withColumn("base", F.when(F.col("slot") == 0, F.struct(
-        F.size("words").cast("long").alias("n_words"),
-        F.coalesce(F.size("starts"), F.lit(0)).cast("long").alias("n_base"),
-        F.array_min("starts").cast("long").alias("first_word"),
-        F.array_max("starts").cast("long").alias("last_word"),
-        F.col("base_list")))).drop("starts", "base_list")
     votes = None
     for block in _blocks_of(chosen, k):
         grams = template_grams(spark, block, k)
