@@ -2,21 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder: the one the cluster names, or a new one of a local session that names none."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="plumbline-checkpoint-"))
-    return sc.getCheckpointDir()
+from plumbline.shared import shared_folder
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -40,6 +29,15 @@ def crc_mod(doc_id, m: int):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(m)
 
 
+#: Keys of a few bytes that may be broadcast; more of them meet their rows by a shuffle.
+MAX_BROADCAST_KEYS = 1_000_000
+
+
+def keyed_by(rows: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
+    """left_semi or left_anti join of wide rows with keys: without a shuffle of the rows while there are few keys. ``keys`` is counted, so it should be materialised."""
+    return rows.join(F.broadcast(keys) if keys.count() <= MAX_BROADCAST_KEYS else keys, on, how)
+
+
 #: A key counts as hot when it has more than this share of all rows, so there are fewer than 1 / HOT_SHARE hot keys.
 HOT_SHARE = 1e-3
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import join_by_hot_key, materialize
+from plumbline.llm.common import join_by_hot_key, keyed_by, materialize
 from plumbline.llm.words import Hasher, blocks, text_bytes, word_bounds
 
 BANDS, ROWS, SHINGLE = 20, 4, 5
@@ -283,7 +283,7 @@ def verified_links(candidates: DataFrame, threshold: float) -> DataFrame:
     return candidates.mapInArrow(run, "rep bigint, root bigint, n_links bigint")
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """edges: a, b. One row (node, component) per node of an edge; a component is named by its least node.
 
     Rounds of large-star and small-star steps, each an aggregation and a join,
@@ -303,14 +303,12 @@ def connected_components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
 
     now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
     before = mark(now)
-    for _ in range(most_rounds):
+    while True:                                                 # each round shortens the longest chain, so this ends
         now = materialize(contract(contract(now, True), False))
         after = mark(now)
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError("components did not settle")
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
 
@@ -352,9 +350,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float =
         pairs.repartition(*[F.col(c) for c in by_block]).sortWithinPartitions(*by_block, "block"), threshold, tolerance))
 
     # Exact verification from the texts of those that are left.
-    wanted = pruned.select("rep").distinct().join(
-        classes.select("rep", "size", F.col("head.row_key").alias("row_key"), F.col("head.text_key").alias("text_key")), "rep")
-    texts = rows.join(wanted, ["row_key", "text_key"]).groupBy("row_key", "text_key", "rep", "size").agg(F.first("text").alias("text"))
+    wanted = materialize(pruned.select("rep").distinct().join(
+        classes.select("rep", "size", F.col("head.row_key").alias("row_key"), F.col("head.text_key").alias("text_key")), "rep"))
+    sought = keyed_by(rows, wanted.select("row_key", "text_key"), ["row_key", "text_key"], "left_semi")
+    texts = sought.join(wanted, ["row_key", "text_key"]).groupBy("row_key", "text_key", "rep", "size").agg(F.first("text").alias("text"))
     links = materialize(verified_links(
         pruned.join(texts.select("rep", "size", "text"), "rep").repartition(*[F.col(c) for c in by_block])
         .sortWithinPartitions(*by_block, "rep"), threshold))
@@ -376,12 +375,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float =
 
 def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stand for their class: one of each near-duplicate group, and all rows without a word."""
-    first = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).filter("is_first")
+    near = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
     names = docs.columns
     keyed = docs.toDF(*[f"c{i}" for i in range(len(names))])
     text = F.coalesce(F.col(f"c{names.index(text_col)}"), F.lit(""))
     keyed = keyed.withColumn("text_key", F.xxhash64(text)).withColumn("row_key", F.xxhash64(F.col(f"c{names.index(id_col)}"), "text_key"))
-    kept = keyed.join(first.select("row_key", "text_key").distinct(), ["row_key", "text_key"], "left_semi")
+    on = ["row_key", "text_key"]
     worded = text.rlike(r"[A-Za-z0-9]|[^\x00-\x7F]")
-    single = kept.filter(worded).dropDuplicates(["row_key", "text_key"]).unionByName(kept.filter(~worded))
-    return single.drop("row_key", "text_key").toDF(*names)
+    rest = materialize(near.groupBy(*on).agg(F.max("is_first").alias("is_first"), F.count(F.lit(1)).alias("n")).filter("n > 1 or not is_first"))
+    # Texts that stand alone for their class are never shuffled; of rows that repeat id and text one stays.
+    alone = keyed_by(keyed.filter(worded), rest.select(*on), on, "left_anti")
+    repeated = keyed_by(keyed.filter(worded), rest.filter("is_first").select(*on), on, "left_semi").dropDuplicates(on)
+    return alone.unionByName(repeated).unionByName(keyed.filter(~worded)).drop(*on).toDF(*names)
