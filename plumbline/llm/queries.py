@@ -48,7 +48,7 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages")).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "frame", "frame_offset", "record_bytes")
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,4 +85,24 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+#: SQL of those queries that SQL can express; the others are tested against brute force, round trips or held-out rows.
+ORACLES: dict[str, str] = {
+    "op4_ngram_jaccard_join": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM documents)
+, g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                                       ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS shingle FROM d)
+, n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id)
+, c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL)
+, l AS (SELECT c.a, c.b FROM c JOIN n x ON x.doc_id = c.a JOIN n y ON y.doc_id = c.b WHERE c.c >= 0.8 * (x.n + y.n - c.c) - 1e-9)
+, e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l)
+, r(node, class_id) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.class_id FROM r JOIN e ON r.node = e.a)
+, m AS (SELECT node AS doc_id, min(class_id) AS class_id FROM r GROUP BY node)
+SELECT m.doc_id, m.class_id, count(e.a) AS n_links FROM m LEFT JOIN e ON e.a = m.doc_id GROUP BY ALL""",
+    "op5_warc_bundles": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages)
+, k AS (SELECT page_id, strlen(payload) AS n, sha256(payload) AS digest FROM p)
+, f AS (SELECT digest, min(page_id) AS first FROM k WHERE n >= 100 GROUP BY digest)
+SELECT page_id, n AS payload_bytes, k.digest AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM k LEFT JOIN f ON k.digest = f.digest""",
+}

@@ -1,7 +1,11 @@
 import zlib
 
+import duckdb
+import pytest
+
 import corpus_pipeline
 from plumbline.llm import decontam, line_dedup, packing, quality_cnn
+from plumbline.llm.queries import ORACLES, QUERIES
 from tests.llm.test_documents import RANKS, brute_links, check_cuts
 
 
@@ -68,3 +72,16 @@ def test_stages_on_odd_rows(spark, sf):
         for _, stage in corpus_pipeline.STAGES:
             frame = stage(spark, frame, sf)
         frame.collect()
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_query_equals_its_sql(spark, name, folder):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    expected = con.execute(ORACLES[name])
+    columns = [c[0] for c in expected.description]
+    got = QUERIES[name](spark, folder)
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(map(repr, map(tuple, got.select(columns).collect()))) == sorted(map(repr, expected.fetchall()))
