@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import materialize
+from plumbline.llm.common import MAX_BROADCAST_KEYS, materialize
 from plumbline.llm.words import blocks, text_bytes
 
 #: Longer items are sought as consecutive passages of so many normalised bytes.
@@ -423,10 +423,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, least_bytes:
         "doc_id", "item_id", "best.edits", "best.start", "best.end")
 
 
-#: Leaked rows of which the keys (16 bytes each) are broadcast; more of them are shuffled.
-MAX_BROADCAST_KEYS = 1_000_000
-
-
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, least_bytes: int = 32, id_col: str = "doc_id",
           text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose own text holds no benchmark item. Rows without an id or text stay."""

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from plumbline.llm.common import join_by_hot_key, materialize
+from plumbline.llm.common import MAX_BROADCAST_KEYS, join_by_hot_key, keyed_by, materialize
 from plumbline.llm.words import BLOCK_BYTES, Hasher, blocks, text_bytes
 
 MIN_WORDS = 50
@@ -212,15 +212,6 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
         run, f"doc_id {kind}, row_key bigint, place bigint, beside bigint, high bigint, low bigint")
 
 
-#: Rows of which the keys (8 bytes each) are broadcast before texts are shuffled.
-MAX_BROADCAST_KEYS = 1_000_000
-
-
-def _only(rows: DataFrame, keyed: DataFrame) -> DataFrame:
-    """The rows whose row_key is in ``keyed``, without a shuffle; all rows if there are too many keys to broadcast."""
-    return rows.join(F.broadcast(keyed.select("row_key")), "row_key", "left_semi") if keyed.count() <= MAX_BROADCAST_KEYS else rows
-
-
 class _Text:
     """Words of one text, by place."""
 
@@ -337,7 +328,7 @@ def _ends(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFr
                 [*on, "n_asked", "words", "kept_starts"])
 
     # Equal rows give equal answers; one of each is used.
-    answers = materialize(_only(_keyed(docs, id_col, text_col), by_text).join(by_text, "row_key").select("row_key", "text", "asked").mapInArrow(
+    answers = materialize(keyed_by(_keyed(docs, id_col, text_col), by_text.select("row_key"), ["row_key"], "left_semi").join(by_text, "row_key").select("row_key", "text", "asked").mapInArrow(
         answer, "kept_row bigint, kept_place bigint, side int, n_asked bigint, words array<bigint>, kept_starts array<bigint>").dropDuplicates(on))
     n_ends = answers.agg(F.sum("n_asked")).first()[0] or 0
     return materialize(join_by_hot_key(ends, answers, on, "n_asked", n_ends).groupBy("row_key").agg(
@@ -370,7 +361,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 ["doc_id", "row_key", "unit", "start", "length", "n_words", "kept_doc_id", "kept_start"])
 
     ends = _ends(docs, id_col, text_col, min_words)
-    return _only(_keyed(docs, id_col, text_col), ends).join(ends, "row_key").select(
+    return keyed_by(_keyed(docs, id_col, text_col), ends.select("row_key"), ["row_key"], "left_semi").join(ends, "row_key").select(
         "doc_id", "row_key", "text", "ends").mapInArrow(
         run, f"doc_id {kind}, row_key bigint, unit int, start bigint, length bigint, n_words bigint, kept_doc_id {kind}, kept_start bigint")
 
