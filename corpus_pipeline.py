@@ -2,6 +2,7 @@
 
 run() writes the rows of every stage as Parquet to the shared checkpoint folder
 and reads them again for the next one, so a lost executor costs one stage at most.
+A stage's files go once the next one is written; the last stage's are the result.
 """
 
 from __future__ import annotations
@@ -12,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import decontam, jaccard_join, line_dedup, packing, quality_cnn
-from plumbline.llm.common import crc_mod, shared_folder, table
+from plumbline.llm.common import crc_mod, table
 from plumbline.llm.queries import TOKENIZERS
+from plumbline.shared import remove, shared_folder
 from plumbline.shipping import ship
 
 
@@ -64,8 +66,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, before)                                # its successor is written in full
+        before = f"{folder}/{name}"
     return docs
