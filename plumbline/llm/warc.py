@@ -129,8 +129,9 @@ def with_record_types(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
     Of pages with equal payloads of at least ``least_bytes`` bytes the one with
     the smallest id is the response. A null html is an empty payload. Rows that
     repeat the smallest id are responses too; a row without an id is a revisit
-    if an equal payload has an id. No payload leaves its place before its page
-    is known to be a response.
+    if an equal payload has an id. Digests that repeat often are broadcast; where
+    the others are too many for Spark to broadcast them, pages are shuffled by
+    digest, payloads included.
     """
     rows = pages.select(
         F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"),
