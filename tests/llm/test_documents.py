@@ -282,6 +282,50 @@ def test_thresholds_of_given_groups_differ(spark):
     assert any(g != h and min(inside[h]) <= v <= max(inside[h]) for g, v in out for h in fences)
 
 
+def test_verdicts_against_exact_quantiles(spark):
+    """Fences from exact quantiles a rank error below and above: what lies beyond both is rejected, what lies within both is kept."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("source in ('src2', 'src5', 'src9')").select("doc_id", "text", "lang", "source")
+    rows = {r["doc_id"]: r for r in quality_rules.quality_rules(docs).collect()}
+    measures, groups = {}, defaultdict(list)
+    for r in docs.collect():
+        n_words, chars, symbols, dup, repeat = _brute_rules(r["text"] or "")
+        lines = max(1, sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in (r["text"] or "").split("\n")))
+        n = max(n_words, 1)
+        measures[r["doc_id"]] = {"symbol_rate": symbols / n, "dup_line_rate": dup / lines, "repeat_rate": repeat / n, "mean_word": chars / n}
+        if not rows[r["doc_id"]]["base_failed"]:
+            groups[r["lang"], r["source"]].append(r["doc_id"])
+    checked = total = rejected = 0
+    for ids in groups.values():
+        if len(ids) < 60:
+            continue
+
+        def q(m, at, ids=ids):
+            return float(np.quantile([measures[i][m] for i in ids], min(1, max(0, at)), method="inverted_cdf"))
+
+        def fences(m, e):
+            """Upper fence with quantiles ``e`` off in the direction that moves it."""
+            high = q(m, 0.9 + e)
+            return high + 2.5 * max(high - q(m, 0.5 - e), quality_rules.MIN_SPREAD)
+
+        def low_fence(m, e):
+            low = q(m, 0.1 - e)
+            return low - 2.5 * max(q(m, 0.5 + e) - low, quality_rules.MIN_SPREAD)
+
+        error = 0.02
+        for i in ids:
+            x = measures[i]
+            sure_out = any(x[m] > fences(m, error) + 1e-9 for m in quality_rules.UPPER) or x["mean_word"] < low_fence("mean_word", error) - 1e-9
+            sure_in = all(x[m] <= fences(m, -error) - 1e-9 for m in quality_rules.UPPER) and x["mean_word"] >= low_fence("mean_word", -error) + 1e-9
+            total += 1
+            if sure_out or sure_in:
+                checked += 1
+                rejected += sure_out
+                assert rows[i]["kept"] == sure_in, (i, x)
+    assert total > 500
+    assert checked > 0.95 * total
+    assert rejected > 10
+
+
 # --- license scan
 
 def _brute_phrases(text):
