@@ -241,17 +241,21 @@ def _spans(text: _Text, ends: list[dict], k: int, min_words: int) -> list[tuple[
     Ends come in turns, left and right; what lies between two of a pair is repeated.
     """
     runs: list[list] = []
-    n = len(text.starts)
+    is_open, n = False, len(text.starts)
     for p in sorted(ends, key=lambda p: (p["place"], p["side"])):
         at, words, m = p["place"], p["words"], 0
         if p["side"] == LEFT:
             while m < len(words) and at - 1 - m >= 0 and text.word(at - 1 - m) == words[m]:
                 m += 1
             runs.append([at - m, at + k, p["kept"], p["kept_starts"][m]])
+            is_open = True
         else:
             while m < len(words) and at + k + m < n and text.word(at + k + m) == words[m]:
                 m += 1
+            if not is_open:                              # only if two short hashes were equal by chance
+                runs.append([at, at + k, None, None])
             runs[-1][1] = at + k + m
+            is_open = False
     out: list[list] = []
     for a, b, kept, kept_start in runs:
         if out and a <= out[-1][1]:
