@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +33,22 @@ def crc_mod(doc_id, m: int):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(m)
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same function of batches, which at the end gives the memory it has freed back to the system.
+
+    Python workers outlive their tasks, and what one operator has freed would
+    else stay with the idle worker while another runs.
+    """
+    def tidied(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)       # glibc only
+        if trim:
+            trim(0)
+
+    return tidied
+
+
 #: Keys of a few bytes that may be broadcast; more of them meet their rows by a shuffle.
 MAX_BROADCAST_KEYS = 1_000_000
 

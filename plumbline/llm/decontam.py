@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import MAX_BROADCAST_KEYS, materialize
+from plumbline.llm.common import MAX_BROADCAST_KEYS, materialize, tidy
 from plumbline.llm.words import blocks, text_bytes
 
 #: Longer items are sought as consecutive passages of so many normalised bytes.
@@ -356,7 +356,7 @@ def _block_leaks(docs: DataFrame, passages: list[Passage], rate: float, least_by
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = docs.select("doc_id", "text_key", "text").mapInArrow(
-        windows, f"doc_id {kind}, text_key bigint, place bigint, region binary, tables array<int>, keys array<bigint>")
+        tidy(windows), f"doc_id {kind}, text_key bigint, place bigint, region binary, tables array<int>, keys array<bigint>")
     row = ["doc_id", "text_key"]
     sampled = found.select(*row, "place", "region", F.explode(F.arrays_zip("tables", "keys")).alias("k")).select(
         *row, "place", "region", F.col("k.tables").alias("table"), F.col("k.keys").alias("key"))
@@ -384,7 +384,7 @@ def _block_leaks(docs: DataFrame, passages: list[Passage], rate: float, least_by
                  pa.array((place + end)[keep], pa.int64())], [*row, "item_id", "part", "edits", "start", "end"])
 
     return candidates.mapInArrow(
-        verify, f"doc_id {kind}, text_key bigint, item_id bigint, part int, edits int, start bigint, end bigint")
+        tidy(verify), f"doc_id {kind}, text_key bigint, item_id bigint, part int, edits int, start bigint, end bigint")
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, rate: float, least_bytes: int, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame | None:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import join_by_hot_key, keyed_by, materialize
+from plumbline.llm.common import join_by_hot_key, keyed_by, materialize, tidy
 from plumbline.llm.words import Hasher, blocks, text_bytes, word_bounds
 
 BANDS, ROWS, SHINGLE = 20, 4, 5
@@ -79,8 +79,9 @@ def signatures(docs: DataFrame) -> DataFrame:
             rows = batch.num_rows
             least = np.full((rows, HASHES), 0xFFFFFFFF, np.uint32)
             one, two, count = np.zeros(rows, np.uint64), np.zeros(rows, np.uint64), np.zeros(rows, np.int64)
-            data, offsets = text_bytes(batch.column("text"))
-            for first, h, row in row_shingles(data, offsets):
+            texts = batch.column("text")
+            portions = ((lo + first, h, row) for lo in range(0, rows, 1024) for first, h, row in row_shingles(*text_bytes(texts.slice(lo, 1024))))
+            for first, h, row in portions:
                 begins = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
                 to = first + row[begins]
                 for i in range(HASHES):
@@ -96,7 +97,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "row_key", "text_key", "text").mapInArrow(
-        run, f"doc_id {kind}, row_key bigint, text_key bigint, high bigint, low bigint, n_shingles bigint, minhash binary")
+        tidy(run), f"doc_id {kind}, row_key bigint, text_key bigint, high bigint, low bigint, n_shingles bigint, minhash binary")
 
 
 def row_shingles(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -216,7 +217,7 @@ def pruned_candidates(pairs_of_blocks: DataFrame, threshold: float, tolerance: f
                 [pa.array(key[rows]), pa.array(p[rows]), pa.array(q[rows]), pa.array(rep[rows]), partners],
                 ["key", "p", "q", "rep", "partners"])
 
-    return pairs_of_blocks.mapInArrow(run, "key bigint, p int, q int, rep bigint, partners array<bigint>")
+    return pairs_of_blocks.mapInArrow(tidy(run), "key bigint, p int, q int, rep bigint, partners array<bigint>")
 
 
 def _intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -280,7 +281,7 @@ def verified_links(candidates: DataFrame, threshold: float) -> DataFrame:
                 out[2] += links[hit].astype(np.int64).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["rep", "root", "n_links"])
 
-    return candidates.mapInArrow(run, "rep bigint, root bigint, n_links bigint")
+    return candidates.mapInArrow(tidy(run), "rep bigint, root bigint, n_links bigint")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

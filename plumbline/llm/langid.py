@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import tidy
 from plumbline.llm.words import Hasher, blocks, hash_bytes, text_bytes, word_bounds
 
 #: Longer words are summed one by one in logarithms, since their probabilities may leave double range; the sum is the same.
@@ -222,7 +223,7 @@ def fit(labelled: DataFrame, vocab_path: str, text_col: str = "text", lang_col:
 
     if not n:
         return LanguageModel([], pieces, np.zeros((len(pieces), 0)))
-    summed = rows.mapInArrow(count, "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
+    summed = rows.mapInArrow(tidy(count), "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
     got = summed.toPandas()  # at most languages x vocabulary
     counts = np.full((len(pieces), n), smoothing)
     counts[got["piece"], got["lang"]] += got["n"]
@@ -277,4 +278,4 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(score, f"doc_id {kind}, lang_pred string, score double")
+    return rows.mapInArrow(tidy(score), f"doc_id {kind}, lang_pred string, score double")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from plumbline.llm.common import MAX_BROADCAST_KEYS, join_by_hot_key, keyed_by, materialize
+from plumbline.llm.common import MAX_BROADCAST_KEYS, join_by_hot_key, keyed_by, materialize, tidy
 from plumbline.llm.words import BLOCK_BYTES, Hasher, blocks, text_bytes
 
 MIN_WORDS = 50
@@ -209,7 +209,7 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     rows = _keyed(docs, id_col, text_col).filter(F.col("text").isNotNull())
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.select("doc_id", "row_key", "text").mapInArrow(
-        run, f"doc_id {kind}, row_key bigint, place bigint, beside bigint, high bigint, low bigint")
+        tidy(run), f"doc_id {kind}, row_key bigint, place bigint, beside bigint, high bigint, low bigint")
 
 
 class _Text:
@@ -333,7 +333,7 @@ def _ends(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFr
 
     # Equal rows give equal answers; one of each is used.
     answers = materialize(keyed_by(_keyed(docs, id_col, text_col), by_text.select("row_key"), ["row_key"], "left_semi").join(by_text, "row_key").select("row_key", "text", "asked").mapInArrow(
-        answer, "kept_row bigint, kept_place bigint, side int, n_asked bigint, words array<bigint>, kept_starts array<bigint>").dropDuplicates(on))
+        tidy(answer), "kept_row bigint, kept_place bigint, side int, n_asked bigint, words array<bigint>, kept_starts array<bigint>").dropDuplicates(on))
     n_ends = answers.agg(F.sum("n_asked")).first()[0] or 0
     return materialize(join_by_hot_key(ends, answers, on, "n_asked", n_ends).groupBy("row_key").agg(
         F.collect_set(F.struct("place", "side", "words", "kept_starts", "kept")).alias("ends")))
@@ -367,7 +367,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ends = _ends(docs, id_col, text_col, min_words)
     return keyed_by(_keyed(docs, id_col, text_col), ends.select("row_key"), ["row_key"], "left_semi").join(ends, "row_key").select(
         "doc_id", "row_key", "text", "ends").mapInArrow(
-        run, f"doc_id {kind}, row_key bigint, unit int, start bigint, length bigint, n_words bigint, kept_doc_id {kind}, kept_start bigint")
+        tidy(run), f"doc_id {kind}, row_key bigint, unit int, start bigint, length bigint, n_words bigint, kept_doc_id {kind}, kept_start bigint")
 
 
 def cut_text(text: str, spans: list[tuple[int, int]]) -> str:
@@ -419,5 +419,5 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield batch.append_column("removed", pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))))
 
     spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())]))
-    out = joined.select(*plain.columns, "ends").mapInArrow(cut, T.StructType([*plain.schema.fields, T.StructField("removed", spans)]))
+    out = joined.select(*plain.columns, "ends").mapInArrow(tidy(cut), T.StructType([*plain.schema.fields, T.StructField("removed", spans)]))
     return out.toDF(*names, "removed")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import materialize
+from plumbline.llm.common import materialize, tidy
 
 #: Pieces of one group on average; a group is one task's work.
 GROUP_PIECES = 40_000
@@ -82,7 +82,7 @@ def tokenised_pieces(docs: DataFrame, vocab_path: str, capacity: int = 2048, end
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("copy"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     out = f"doc_id {kind}, copy bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids
-    return rows.mapInArrow(run, out)
+    return rows.mapInArrow(tidy(run), out)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import materialize
+from plumbline.llm.common import materialize, tidy
 from plumbline.llm.toxicity import sample_per_class
 from plumbline.llm.words import text_bytes
 
@@ -194,7 +194,7 @@ def score(docs: DataFrame, net: ByteCNN | float, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_scores(batch, "text", net, tables))], ["doc_id", "score"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+    return rows.mapInArrow(tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def accepted(docs: DataFrame, net: ByteCNN | float, text_col: str = "text", least: float = 0.5) -> DataFrame:
@@ -208,4 +208,4 @@ def accepted(docs: DataFrame, net: ByteCNN | float, text_col: str = "text", leas
     # Names may clash only outside: inside, columns go by their place.
     names, plain = docs.columns, docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     text = f"c{names.index(text_col)}"
-    return plain.mapInArrow(run, plain.schema).toDF(*names)
+    return plain.mapInArrow(tidy(run), plain.schema).toDF(*names)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import materialize
+from plumbline.llm.common import materialize, tidy
 from plumbline.llm.words import Hasher, blocks, hash_bytes, text_bytes, word_bounds
 
 #: Terms used whatever the labels say; fixed values.
@@ -281,7 +281,7 @@ def near_words(texts: DataFrame, terms: list[str], text_col: str = "text") -> Da
                 [batch.column("label").take(rows), pa.array([k[1] for k in seen], pa.int32()), pa.array([k[2] for k in seen], pa.binary()),
                  pa.array(list(seen.values()), pa.bool_())], ["label", "term", "word", "first"])
 
-    return texts.select(F.col("label").cast("int"), F.col(text_col).alias("text")).mapInArrow(run, "label int, term int, word binary, first boolean")
+    return texts.select(F.col("label").cast("int"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "label int, term int, word binary, first boolean")
 
 
 def learn_edits(sample: DataFrame, terms: list[str], near_share: float = 0.002) -> tuple[list[int], list[bytes]]:
@@ -347,7 +347,7 @@ def hit_features(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_hits bigint, " + ", ".join(f"{c} double" for c in FEATURES))
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, n_hits bigint, " + ", ".join(f"{c} double" for c in FEATURES))
 
 
 def sample_per_class(labels: DataFrame, label_col: str, per_class: int) -> DataFrame:
