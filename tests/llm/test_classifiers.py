@@ -214,7 +214,7 @@ def test_edits_and_context_earn_their_place(spark, monkeypatch):
     sf, rng = "/root/testdata/sf0.01", random.Random(31)
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
     clean = [r["text"] for r in docs.join(labels.filter("toxic = 0 and quality = 1"), "doc_id").filter((crc_mod("doc_id", 5) == 0) & (F.length("text") > 300)).select("text").limit(20).collect()]
-    bent = {"idiot": "idoit", "stupid": "stuppid", "worthless": "worthles", "pathetic": "pathetik", "disgusting": "disgustng"}
+    bent = {"idiot": "idiiot", "stupid": "stuppid", "worthless": "worthles", "pathetic": "pathetik", "disgusting": "disgustng"}
     rows = []
     for text in clean:
         words, (term, near) = text.split(" "), rng.choice(list(bent.items()))
@@ -324,9 +324,16 @@ def test_forward_pass_equals_a_plain_convolution():
     assert np.allclose(most, raw.max(1))
 
 
-def test_training_reads_whole_texts_within_its_bound(spark):
-    late = [(i, "clean text here. " * 400 + ("###!!!" * 30 if i % 2 else "."), 1 - i % 2) for i in range(40)]    # 20 chunks each, the sign in the last
-    docs = spark.createDataFrame(late, "doc_id bigint, text string, quality int")
-    net = quality_cnn.fit(docs, docs.select("doc_id", "quality"))
-    assert np.mean([(r["score"] >= 0.5) == (r["doc_id"] % 2 == 0) for r in quality_cnn.score(docs, net).collect()]) > 0.9
-    assert isinstance(quality_cnn.fit(docs, docs.select("doc_id", "quality"), sample_bytes=7000), float)            # room for one text
+def test_training_reads_whole_texts_within_its_bound(spark, monkeypatch):
+    texts = [(i, f"{i} clean text here. " * 400, 1 - i % 2) for i in range(6)] + [(6, None, 1), (7, "", 0)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string, quality int")
+    seen = []
+    monkeypatch.setattr(quality_cnn, "train", lambda chunks, row, label: seen.append((chunks, row, label)) or 0.5)
+    quality_cnn.fit(docs, docs.select("doc_id", "quality"))
+    chunks, row, label = seen[0]
+    step = quality_cnn.CHUNK - quality_cnn.OVERLAP
+    whole = sorted(b"".join(c[:step].tobytes() for c in chunks[row == r]).rstrip(b"\0")[:len(texts[0][1]) // step * step] for r in range(8))
+    assert whole == sorted((t or "").encode()[:len(texts[0][1]) // step * step] for _, t, _ in texts)
+    assert sorted(label.tolist()) == [0, 0, 0, 0, 1, 1, 1, 1]
+    assert isinstance(quality_cnn.fit(docs.filter("doc_id < 6"), docs.select("doc_id", "quality"), sample_bytes=len(texts[0][1]) + 10), float)   # room for one text
+    assert len(seen) == 1
