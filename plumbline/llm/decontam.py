@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import MAX_BROADCAST_KEYS, materialize, tidy
-from plumbline.llm.words import blocks, text_bytes
+from plumbline.llm.words import BLOCK_BYTES, blocks, text_bytes
 
 #: Longer items are sought as consecutive passages of so many normalised bytes.
 PASSAGE_BYTES = 1000
@@ -64,7 +64,7 @@ def normalise(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.where(keep[at], data[at], np.uint8(32)), np.searchsorted(at, offsets), at
 
 
-def plain_blocks(data: np.ndarray, offsets: np.ndarray, longest: int, slack: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int, int, int]]:
+def plain_blocks(data: np.ndarray, offsets: np.ndarray, longest: int, slack: int, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray, int, int, int]]:
     """(first row, normalised bytes, offsets, normalised bytes of the text before them, first and end of the starts that are its own).
 
     A text over one block gives several that overlap by ``longest + 4 * slack``
@@ -72,7 +72,7 @@ def plain_blocks(data: np.ndarray, offsets: np.ndarray, longest: int, slack: int
     on both sides, and each start belongs to exactly one.
     """
     lead, before, own, read = np.zeros(0, np.uint8), 0, 0, 0
-    for first, block, at in blocks(data, offsets):
+    for first, block, at in blocks(data, offsets, limit):
         total = int(offsets[first + len(at) - 1] - offsets[first])
         if len(block) == total:
             plain, bounds, _ = normalise(block, at)
@@ -166,8 +166,8 @@ class Seeds:
         """Whether [low, high) can hold the passage: each edit spoils at most SHORT of its short runs, so the others must be there."""
         least = self.length[passage] - SHORT + 1 - SHORT * self.edits[passage]
         out, order = np.zeros(len(passage), bool), np.argsort(high - low, kind="stable")
-        for i in range(0, len(order), AT_ONCE // 4):
-            part = order[i:i + AT_ONCE // 4]
+        for i in range(0, len(order), AT_ONCE // 16):
+            part = order[i:i + AT_ONCE // 16]
             at = low[part, None] + np.arange(int((high - low)[part].max()))
             inside = at < (high[part] - SHORT + 1)[:, None]
             run = short[np.where(inside, at, 0)]
@@ -328,7 +328,7 @@ def _block_leaks(docs: DataFrame, passages: list[Passage], rate: float, least_by
     def portions(texts: pa.Array, slack: int) -> Iterator[tuple]:
         for lo in range(0, len(texts), AT_ONCE // 8):
             data, offsets = text_bytes(texts.slice(lo, AT_ONCE // 8))
-            for first, *rest in plain_blocks(data, offsets, longest, slack) if len(data) else ():
+            for first, *rest in plain_blocks(data, offsets, longest, slack, AT_ONCE * 64) if len(data) else ():
                 yield lo + first, *rest
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
