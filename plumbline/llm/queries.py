@@ -12,9 +12,12 @@ from plumbline.llm.jaccard_join import near_duplicates
 from plumbline.llm.license_scan import license_scan
 from plumbline.llm.line_dedup import removed_spans
 from plumbline.llm.packing import pack_documents
+from plumbline.llm.pii import personal_data
+from plumbline.llm.prefix_trie import lent_prefix_trie
 from plumbline.llm.quality_rules import quality_rules
 from plumbline.llm.toxicity import toxicity
 from plumbline.llm.warc import archive_round_trip
+from plumbline.llm.whitening import whiten
 
 #: Folder of the public tokenizer files.
 TOKENIZERS = "/opt/tokenizers"
@@ -72,6 +75,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lent_prefix_trie(table(spark, sf_dir, "conversations"), every=20, most=3)
+
+
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_quality_cnn": op1_quality_cnn,
     "op2_toxicity": op2_toxicity,
@@ -83,6 +98,9 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_license_scan": op9_license_scan,
     "op10_decontamination": op10_decontamination,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_pii": op12_pii,
+    "op13_whitening": op13_whitening,
 }
 
 #: SQL of those queries that SQL can express; the others are tested against brute force, round trips or held-out rows.
@@ -105,4 +123,28 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages)
 SELECT page_id, n AS payload_bytes, k.digest AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN first <> page_id THEN first END AS refers_to
 FROM k LEFT JOIN f ON k.digest = f.digest""",
+    "op11_prefix_trie": r"""
+WITH crc AS (SELECT list_transform(range(256), i -> list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], (v, k) -> CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)) AS steps)
+, t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS place
+        FROM conversations WHERE conv_id IS NOT NULL)
+, d AS (SELECT conv_id, place, length(role) || ':' || role || text AS turn, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM t)
+, c AS (SELECT conv_id, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), x -> CAST(ascii(x) AS BIGINT))),
+                                        (a, b) -> xor(a // 256, steps[xor(a, b) % 256 + 1])), 4294967295) % 4 AS h
+        FROM (SELECT DISTINCT conv_id FROM d), crc)
+, lent AS (SELECT c.conv_id, d.place, d.turn, d.words FROM c JOIN d ON d.conv_id = c.conv_id - c.conv_id % 20 AND d.place < c.h)
+, k AS (SELECT c.conv_id, c.h, count(lent.place) AS n FROM c LEFT JOIN lent ON c.conv_id = lent.conv_id GROUP BY ALL)
+, r AS (SELECT * FROM lent UNION ALL SELECT d.conv_id, d.place - k.h + k.n, d.turn, d.words FROM d JOIN k ON d.conv_id = k.conv_id AND d.place >= k.h)
+, s AS (SELECT k.conv_id, coalesce(list(md5(r.turn) ORDER BY r.place) FILTER (r.place IS NOT NULL), []) AS turns, coalesce(list(r.words ORDER BY r.place) FILTER (r.place IS NOT NULL), []) AS words
+        FROM k LEFT JOIN r ON k.conv_id = r.conv_id GROUP BY k.conv_id)
+, p AS (SELECT *, unnest(range(len(turns) + 1)) AS depth FROM s)
+, x AS (SELECT conv_id, depth, md5(array_to_string(turns[1:depth], ',')) AS node, md5(array_to_string(turns[1:depth - 1], ',')) AS above,
+               CASE WHEN depth > 0 THEN words[depth] ELSE 0 END AS words, depth = len(turns) AS is_end FROM p)
+, n AS (SELECT depth, node, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+               sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (is_end), '')) AS ends_sha256 FROM x GROUP BY depth, node)
+, ch AS (SELECT depth - 1 AS depth, above AS node, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL)
+, o AS (SELECT n.*, coalesce(ch.n_children, 0) AS n_children, (n_convs - 1) * words AS saved FROM n LEFT JOIN ch ON n.depth = ch.depth AND n.node = ch.node)
+, sub AS (SELECT x.depth, x.node, CAST(sum(o.saved) AS BIGINT) AS saved_tokens, count(*) FILTER (o.n_children = 0) AS n_leaves
+          FROM o JOIN x ON x.conv_id = o.conv_id AND x.depth <= o.depth GROUP BY ALL)
+SELECT o.conv_id, o.depth, up.conv_id AS parent_conv_id, o.n_convs, o.n_children, sub.n_leaves, sub.saved_tokens, o.ends_sha256
+FROM o JOIN sub ON o.depth = sub.depth AND o.node = sub.node LEFT JOIN n up ON up.depth = o.depth - 1 AND up.node = o.above""",
 }
