@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from itertools import product
 from typing import NamedTuple
 
 import numpy as np
@@ -78,8 +79,8 @@ LEFT_CHARS, RIGHT_CHARS = 40, 24
 THRESHOLD = 0.5
 #: Rounds of expectation-maximisation, and the votes that the prior counts as: this share of a labeler's votes is right before any data.
 ROUNDS, PRIOR_VOTES, PRIOR_RIGHT = 60, 20.0, 0.8
-#: Weight decay of the classifier.
-RIDGE = 1.0
+#: Weight decay of the classifier, and the weight of each pattern of votes on a further form that it is shown beside those that occur.
+RIDGE, UNSEEN_WEIGHT = 0.1, 0.05
 #: Lengths at which a prefix sum goes on in blocks.
 SUM_BLOCK = 256
 
@@ -218,18 +219,19 @@ def pattern_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.select(F.explode(let(text.rlike(_DIGIT), lambda d: F.concat(*[told(kind, d) for kind in KINDS]))).alias("c")).select("c.*").groupBy("kind", *LABELERS, "shape").agg(F.count(F.lit(1)).alias("n"))
 
 
-def expectation_maximisation(patterns: list[dict]) -> tuple[dict, dict, list[float]]:
-    """Reliabilities, priors and the probability of each pattern. Labelers err independently of each other given the truth, as the model has it."""
+def truth(x: dict, reliability: dict, prior: dict) -> float:
+    """Probability that candidates of a pattern are personal data. Labelers err independently of each other given the truth, as the model has it."""
+    share = prior[x["kind"], x["shape"][0]]
+    odds = math.log(share / (1 - share)) + sum(math.log(reliability[x["kind"], name, x[name], 1] / reliability[x["kind"], name, x[name], 0]) for name in LABELERS if x[name])
+    return 1 / (1 + math.exp(-max(-50.0, min(50.0, odds))))
+
+
+def expectation_maximisation(patterns: list[dict]) -> tuple[dict, dict]:
+    """Reliabilities and priors."""
     reliability = {(kind, name, v, y): PRIOR_RIGHT if v == (1 if y else -1) else 1 - PRIOR_RIGHT for kind in KINDS for name in LABELERS for v in (1, -1) for y in (0, 1)}
     start, prior = dict(reliability), {(kind, family): 0.5 for kind in KINDS for family in "bw"}
-    p: list[float] = []
     for _ in range(ROUNDS):
-        p = []
-        for x in patterns:
-            share = prior[x["kind"], x["shape"][0]]
-            odds = math.log(share / (1 - share))
-            odds += sum(math.log(reliability[x["kind"], name, x[name], 1] / reliability[x["kind"], name, x[name], 0]) for name in LABELERS if x[name])
-            p.append(1 / (1 + math.exp(-max(-50.0, min(50.0, odds)))))
+        p = [truth(x, reliability, prior) for x in patterns]
         for kind in KINDS:
             own = [(x, q) for x, q in zip(patterns, p, strict=True) if x["kind"] == kind]
             for family in "bw":
@@ -240,25 +242,22 @@ def expectation_maximisation(patterns: list[dict]) -> tuple[dict, dict, list[flo
                     weight = {v: sum(x["n"] * (q if y else 1 - q) for x, q in own if x[name] == v) for v in (1, -1)}
                     for v in (1, -1):
                         reliability[kind, name, v, y] = (weight[v] + PRIOR_VOTES * start[kind, name, v, y]) / (weight[1] + weight[-1] + PRIOR_VOTES)
-    return reliability, prior, p
+    return reliability, prior
 
 
 def features(x: dict) -> list[tuple]:
     return [("family", x["kind"], x["shape"][0]), ("shape", x["kind"], x["shape"]), *[(x["kind"], name, x[name]) for name in LABELERS if x[name]]]
 
 
-def train(patterns: list[dict], p: list[float]) -> dict[tuple, float]:
-    """Logistic regression on soft labels, weighted by the patterns' numbers, with weight decay; Newton's method.
-
-    Numbers enter by their logarithm, so a common pattern does not drown what a rare one says.
-    """
-    names = sorted({f for x in patterns for f in features(x)})
+def train(patterns: list[dict], n: list[float], p: list[float]) -> dict[tuple, float]:
+    """Logistic regression on soft labels ``p`` of weight ``n``, with weight decay; Newton's method."""
+    names = sorted({f for x in patterns for f in features(x)}, key=repr)
     at = {f: i for i, f in enumerate(names)}
     m = np.zeros((len(patterns), len(names)))
     for i, x in enumerate(patterns):
         m[i, [at[f] for f in features(x)]] = 1.0
-    n, y, w = np.array([1 + math.log(x["n"]) for x in patterns]), np.array(p), np.zeros(len(names))
-    for _ in range(30):
+    n, y, w = np.array(n), np.array(p), np.zeros(len(names))
+    for _ in range(50):
         q = 1 / (1 + np.exp(-np.clip(m @ w, -30, 30)))
         gradient = m.T @ (n * (y - q)) - RIDGE * w
         step = np.linalg.solve((m.T * (n * q * (1 - q))) @ m + RIDGE * np.eye(len(w)), gradient)
@@ -269,10 +268,18 @@ def train(patterns: list[dict], p: list[float]) -> dict[tuple, float]:
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> SpanModel:
-    """From all texts of ``docs``; without any candidate, a model without weights."""
+    """From all texts of ``docs``.
+
+    Numbers of patterns weigh by their logarithm, so a common one does not
+    drown a rare one. Where the corpus has few further forms or none, the
+    classifier would know nothing of them; so it is also shown every pattern of
+    votes on them once, at a small weight, with what the label model says.
+    """
     patterns = [r.asDict() for r in pattern_counts(docs, text_col).orderBy("kind", *LABELERS, "shape").collect()]
-    reliability, prior, p = expectation_maximisation(patterns)
-    return SpanModel(reliability, prior, train(patterns, p) if patterns else {})
+    reliability, prior = expectation_maximisation(patterns)
+    unseen = [{"kind": kind, "shape": "w", **dict(zip(LABELERS, told, strict=True))} for kind in KINDS for told in product((-1, 0, 1), repeat=len(LABELERS))]
+    every = patterns + unseen
+    return SpanModel(reliability, prior, train(every, [1 + math.log(x["n"]) for x in patterns] + [UNSEEN_WEIGHT] * len(unseen), [truth(x, reliability, prior) for x in every]))
 
 
 def probability(model: SpanModel, kind: str, s: Column) -> Column:

@@ -124,12 +124,12 @@ SELECT page_id, n AS payload_bytes, k.digest AS payload_digest, CASE WHEN first
        CASE WHEN first <> page_id THEN first END AS refers_to
 FROM k LEFT JOIN f ON k.digest = f.digest""",
     "op11_prefix_trie": r"""
-WITH crc AS (SELECT list_transform(range(256), i -> list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], (v, k) -> CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)) AS steps)
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda v, k: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)) AS steps)
 , t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS place
         FROM conversations WHERE conv_id IS NOT NULL)
 , d AS (SELECT conv_id, place, length(role) || ':' || role || text AS turn, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM t)
-, c AS (SELECT conv_id, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), x -> CAST(ascii(x) AS BIGINT))),
-                                        (a, b) -> xor(a // 256, steps[xor(a, b) % 256 + 1])), 4294967295) % 4 AS h
+, c AS (SELECT conv_id, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                                        lambda a, b: xor(a // 256, steps[xor(a, b) % 256 + 1])), 4294967295) % 4 AS h
         FROM (SELECT DISTINCT conv_id FROM d), crc)
 , lent AS (SELECT c.conv_id, d.place, d.turn, d.words FROM c JOIN d ON d.conv_id = c.conv_id - c.conv_id % 20 AND d.place < c.h)
 , k AS (SELECT c.conv_id, c.h, count(lent.place) AS n FROM c LEFT JOIN lent ON c.conv_id = lent.conv_id GROUP BY ALL)
