@@ -299,6 +299,8 @@ def _ends(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFr
 
     found = join_by_hot_key(every, groups, ["high", "low"], "n_equal", total).filter(
         (F.col("row_key") != F.col("first.row_key")) | (F.col("place") != F.col("first.place")))
+    # Equal rows have equal units, of which one is looked at; the window below needs no further shuffle.
+    found = found.repartition("row_key").dropDuplicates(["row_key", "place"])
     # A span goes on from a unit to the next one if the words between them are those beside the kept occurrence of either.
     in_text = Window.partitionBy("row_key").orderBy("place")
     linked = found.select("row_key", "place", "first", same(32).alias("to_left"), same(0).alias("to_right")).select(

@@ -181,6 +181,13 @@ def test_repeats_against_brute_force(spark):
     check_cuts(texts, cuts)
 
 
+def test_repeated_rows_are_cut_alike(spark):
+    """Rows that repeat id and text have the spans that one such row has, each of them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    once = [tuple(r) for r in line_dedup.removed_spans(docs).collect()]
+    assert sorted(map(repr, once * 2)) == sorted(repr(tuple(r)) for r in line_dedup.removed_spans(docs.union(docs)).collect())
+
+
 def test_repeats_inside_lines_and_edges(spark):
     rng = random.Random(21)
 
