@@ -90,4 +90,4 @@ def with_views(names: list[str], select: str) -> str:
     for n in names:
         add(n)
     plain = {t: t for t in (*_TABLES, *VIEWS)}
-    return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n].format(**plain)})" for n in needed) + "\n" + select
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({VIEWS[n].format(**plain)})" for n in needed) + "\n" + select

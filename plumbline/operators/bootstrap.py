@@ -1,27 +1,36 @@
-"""Cluster bootstrap of a ratio of sums.
-
-Clusters, not rows, are drawn; so rows are first reduced to (num, den) per
-cluster, which Spark pre-aggregates. A resample of all clusters is then drawn
-in two stages: how many of the n draws fall into each bucket of clusters, and
-which clusters they are inside the bucket. The joint distribution is that of n
-draws with replacement, and no task sees more than one bucket.
+"""Cluster bootstrap of a ratio of sums, or of any expression over sums.
+
+Clusters, not rows, are drawn; so rows are first reduced to one vector of sums
+per cluster, which Spark pre-aggregates. Clusters with equal vectors are one
+state with a number. How often each state is drawn in a resample of n clusters
+is a multinomial draw, made down a tree of hash ranges: the draws that reach a
+node are split among its children, one binomial draw each, and a branch ends
+where one state is left or no draw arrives. The joint distribution is that of n
+draws with replacement. The work follows the number of different states, never
+clusters times resamples, all of it is Column code, and a draw depends on the
+seed, the group, the resample and the node alone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.functions.draws import DUCKDB, SPARK, Dialect, binomial
 from plumbline.functions.stats import ratio
+from plumbline.shared import settled
 
 N_RESAMPLES, CONFIDENCE, SEED = 2000, 0.95, 7
-#: Clusters of one bucket, on average and at most at any size of the input; a bucket is one task's work.
-BUCKET_CLUSTERS, LEAST_BUCKETS = 20_000, 64
+#: Children of a node of the tree of hash ranges.
+BUCKETS = 16
+#: Bits of the hash of a state.
+HASH_BITS = 60
+#: Nodes of one level that may be broadcast.
+MAX_BROADCAST_NODES = 100_000
 
 
 def cluster_sums(rows: DataFrame, cluster: str, num: Column, den: Column, group_cols: Sequence[str] = ()) -> DataFrame:
@@ -30,55 +39,92 @@ def cluster_sums(rows: DataFrame, cluster: str, num: Column, den: Column, group_
         F.coalesce(F.sum(num.cast("double")), F.lit(0.0)).alias("num"), F.coalesce(F.sum(den.cast("double")), F.lit(0.0)).alias("den"))
 
 
-def _interval(replicates: DataFrame, group_cols: Sequence[str], confidence: float) -> DataFrame:
+def cluster_vectors(rows: DataFrame, cluster: str, values: Mapping[str, Column], group_cols: Sequence[str] = ()) -> DataFrame:
+    """One row per cluster: cluster and the sum of each value (NULLs add nothing)."""
+    return rows.groupBy(*group_cols, F.col(cluster).alias("cluster")).agg(*[F.coalesce(F.sum(v.cast("double")), F.lit(0.0)).alias(name) for name, v in values.items()])
+
+
+def _percentiles(replicates: DataFrame, statistic: Column, group_cols: Sequence[str], confidence: float) -> DataFrame:
     tail = (1 - confidence) / 2
-    value = ratio(F.col("num"), F.col("den"))                 # NULL replicates drop out of the percentiles
-    out = replicates.groupBy(*group_cols).agg(F.percentile(value, F.array(F.lit(tail), F.lit(1 - tail))).alias("ci"))
+    out = replicates.groupBy(*group_cols).agg(F.percentile(statistic, F.array(F.lit(tail), F.lit(1 - tail))).alias("ci"))  # NULLs drop out
     return out.select(*group_cols, F.get("ci", F.lit(0)).alias("ci_lower"), F.get("ci", F.lit(1)).alias("ci_upper"))
 
 
-def bootstrap_ci(sums: DataFrame, group_cols: Sequence[str] = (), n_resamples: int = N_RESAMPLES, confidence: float = CONFIDENCE,
-                 seed: int = SEED, buckets: int | None = None) -> DataFrame:
-    """group_cols, ci_lower, ci_upper of sum(num) / sum(den). One row per group of ``sums``; without groups, one row, NULL if empty.
-
-    ``buckets``: by default so many that none has more than about
-    ``BUCKET_CLUSTERS`` clusters, which takes a count of ``sums``. Results
-    depend on ``seed``, ``buckets`` and the data, not on partitions.
+def _interval(replicates: DataFrame, group_cols: Sequence[str], confidence: float) -> DataFrame:
+    return _percentiles(replicates, ratio(F.col("num"), F.col("den")), group_cols, confidence)
+
+
+def tree_depth(buckets: int) -> int:
+    """Levels of a tree of that many children a node that tell all hashes apart."""
+    return math.ceil(HASH_BITS / math.log2(buckets))
+
+
+def draw_key(seed: int, group: str, d: Dialect) -> str:
+    """Text expression that names the draw of child p at level k in resample r; ``group``: a text expression."""
+    return f"'{seed}|' || {group} || '|' || CAST({{r}} AS VARCHAR(20)) || '|' || CAST({{k}} AS VARCHAR(20)) || '|' || CAST({{p}} AS VARCHAR(20))"
+
+
+def _split_sql(seed: int, level: int) -> str:
+    """Draws of each child: the first of the children from here on gets Binomial(what is left, its part of what is left)."""
+    key = draw_key(seed, "top.g", SPARK).format(r="top.r", k=level, p="kid.p")
+    share = "CAST(kid.m AS DOUBLE) / CAST(acc.rest AS DOUBLE)"
+    drawn = binomial("now.t", "now.p", "now.name", SPARK)
+    now = f"named_struct('t', acc.t, 'p', {share}, 'name', {key})"
+    step = (f"element_at(transform(array({now}), now -> element_at(transform(array({drawn}), c -> "
+            f"named_struct('rest', acc.rest - kid.m, 't', acc.t - c, 'out', array_append(acc.out, c))), 1)), 1)")
+    start = "named_struct('rest', top.mass, 't', top.t, 'out', CAST(array() AS array<bigint>))"
+    top = "named_struct('g', _g, 'r', replicate, 't', t, 'mass', mass)"
+    return f"element_at(transform(array({top}), top -> aggregate(kids, {start}, (acc, kid) -> {step}).out), 1)"
+
+
+def resample(sums: DataFrame, names: Sequence[str], group_cols: Sequence[str] = (), n_resamples: int = N_RESAMPLES, seed: int = SEED, buckets: int = BUCKETS) -> DataFrame:
+    """group_cols, replicate and the sums ``names`` of each resample of the clusters (rows of ``sums``) of a group."""
+    groups, depth = list(group_cols), tree_depth(buckets)
+    key = F.concat_ws("|", *[F.col(n).cast("string") for n in names])
+    states = sums.groupBy(*groups, *names).agg(F.count(F.lit(1)).alias("m")).withColumns({
+        "h": F.conv(F.substring(F.md5(key), 1, HASH_BITS // 4), 16, 10).cast("bigint"), "_g": F.concat_ws("|", *[F.col(g).cast("string") for g in groups]) if groups else F.lit("")})
+    states = settled(states)
+    if states.groupBy(*groups, "h").count().filter("count > 1").limit(1).count():
+        raise ValueError("two states have the same hash")
+    # Children of every node that holds more than one state, and of the root.
+    at = states.select(*groups, "_g", "m", "h", F.explode(F.sequence(F.lit(1), F.lit(depth))).alias("k")).withColumn(
+        "p", F.expr("CASE k " + " ".join(f"WHEN {k} THEN h div {buckets ** (depth - k)}L" for k in range(1, depth + 1)) + " END"))
+    nodes = at.groupBy(*groups, "_g", "k", "p").agg(F.sum("m").alias("m"), F.count(F.lit(1)).alias("n_states"), F.min("h").alias("h"))
+    kids = nodes.groupBy(*groups, "_g", "k", F.expr(f"p div {buckets}").alias("parent")).agg(
+        F.array_sort(F.collect_list(F.struct("p", "m", "n_states", "h"))).alias("kids"), F.sum("m").alias("mass"), F.sum("n_states").alias("n"))  # ``buckets`` at most
+    kids = settled(kids.filter("n > 1 or k = 1").drop("n"))
+    sizes = {r["k"]: r["count"] for r in kids.groupBy("k").count().collect()}
+    leaf = F.lit(None).cast("bigint")
+    now = kids.filter("k = 1").select(*groups, "parent", F.col("mass").alias("t"), F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))).alias("replicate"), leaf.alias("h"))
+    # So many tasks even where the levels above are small: a given number is not coalesced.
+    now = now.repartition(int(sums.sparkSession.conf.get("spark.sql.shuffle.partitions")), *groups, "replicate")
+    for k in range(1, max(sizes, default=0) + 1):
+        level = kids.filter(F.col("k") == k).drop("k")
+        joined = now.join(F.broadcast(level) if sizes[k] <= MAX_BROADCAST_NODES else level, [*groups, "parent"], "left")
+        split = F.transform(F.arrays_zip(F.col("kids").alias("x"), F.expr(_split_sql(seed, k)).alias("c")), lambda z: F.struct(
+            F.when(z["x"]["n_states"] > 1, z["x"]["p"]).alias("parent"), z["c"].alias("t"), F.when(z["x"]["n_states"] == 1, z["x"]["h"]).alias("h")))
+        same = F.array(F.struct("parent", "t", "h"))
+        now = joined.select(*groups, "replicate", F.explode(F.when(F.col("kids").isNull(), same).otherwise(split)).alias("s")).select(*groups, "replicate", "s.*").filter("t > 0")
+    drawn = now.join(states.drop("_g", "m"), [*groups, "h"])
+    return drawn.groupBy(*groups, "replicate").agg(*[F.sum(F.col("t") * F.col(n)).alias(n) for n in names])
+
+
+def bootstrap_statistic(sums: DataFrame, names: Sequence[str], statistic: Column, group_cols: Sequence[str] = (), n_resamples: int = N_RESAMPLES,
+                        confidence: float = CONFIDENCE, seed: int = SEED, buckets: int = BUCKETS) -> DataFrame:
+    """group_cols, ci_lower, ci_upper of any ``statistic``, an expression over the sums ``names`` of a resample.
+
+    ``sums``: one row per cluster, as of ``cluster_vectors``. Resamples on which
+    the statistic is NULL drop out. One row per group; without groups one row,
+    NULL if there are no clusters. Results depend on ``seed``, ``buckets`` and
+    the data, not on partitions.
     """
-    buckets = buckets or max(LEAST_BUCKETS, -(-sums.count() // BUCKET_CLUSTERS))
-    groups = list(group_cols) or ["_all"]
-    base = sums if group_cols else sums.withColumn("_all", F.lit(0))
-    base = base.withColumn("_bucket", F.pmod(F.xxhash64("cluster"), F.lit(buckets)).cast("int"))
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.schema if f.name in groups)
-
-    def stream(*parts: object) -> np.random.Generator:
-        words = [seed, *np.frombuffer(repr(parts).encode().ljust(32, b".")[:32], np.uint32).tolist()]
-        return np.random.Generator(np.random.Philox(np.random.SeedSequence(words)))
-
-    def allot(pdf: pd.DataFrame) -> pd.DataFrame:
-        """How many draws of each replicate fall into each bucket of one group."""
-        pdf = pdf.sort_values("_bucket")
-        n = pdf["n"].to_numpy()
-        key = tuple(pdf[c].iloc[0] for c in groups)
-        draws = stream("allot", *map(str, key)).multinomial(int(n.sum()), n / n.sum(), size=n_resamples)
-        return pdf[[*groups, "_bucket"]].assign(draws=list(draws.T.astype(np.int64)))
-
-    def draw(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("cluster")
-        num, den = left["num"].to_numpy(), left["den"].to_numpy()
-        rng, out = stream("draw", *map(str, key)), np.zeros((n_resamples, 2))
-        for r, t in enumerate(right["draws"].iloc[0] if len(right) else []):
-            chosen = rng.integers(0, len(num), int(t))
-            out[r] = num[chosen].sum(), den[chosen].sum()
-        data = {c: [left[c].iloc[0]] * n_resamples for c in groups}
-        return pd.DataFrame(data | {"replicate": np.arange(n_resamples), "num": out[:, 0], "den": out[:, 1]})
-
-    counts = base.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("n"))
-    allotted = counts.groupBy(*groups).applyInPandas(allot, f"{kinds}, _bucket int, draws array<bigint>")
-    partial = base.groupBy(*groups, "_bucket").cogroup(allotted.groupBy(*groups, "_bucket")).applyInPandas(
-        draw, f"{kinds}, replicate int, num double, den double")
-    replicates = partial.groupBy(*groups, "replicate").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
-    return _interval(replicates, group_cols, confidence)
+    return _percentiles(resample(sums, names, group_cols, n_resamples, seed, buckets), statistic, group_cols, confidence)
+
+
+def bootstrap_ci(sums: DataFrame, group_cols: Sequence[str] = (), n_resamples: int = N_RESAMPLES, confidence: float = CONFIDENCE,
+                 seed: int = SEED, buckets: int = BUCKETS) -> DataFrame:
+    """The same of sum(num) / sum(den)."""
+    return bootstrap_statistic(sums, ["num", "den"], ratio(F.col("num"), F.col("den")), group_cols, n_resamples, confidence, seed, buckets)
 
 
 def numbered_by_hash(sums: DataFrame) -> DataFrame:
@@ -109,3 +155,27 @@ def bootstrap_hash_ci(sums: DataFrame, n_resamples: int = 200, confidence: float
                                     16, 10).cast("double") / F.lit(4294967296.0) * F.col("n").cast("double")).cast("bigint").alias("i"))
     replicates = drawn.join(numbered.select("i", "num", "den"), "i").groupBy("replicate").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
     return _interval(replicates, (), confidence)
+
+
+def tree_sql(clusters: str, names: Sequence[str], out: str, n_resamples: int = N_RESAMPLES, seed: int = SEED) -> str:
+    """The same resamples as common table expressions of another engine (recursive): ``out`` has one row r and the sums ``names`` per resample.
+
+    ``clusters``: a CTE with one row per cluster, without groups. Children are
+    drawn one after the other: an edge leads to the next child of the same node
+    with the draws that are left, or to a child's own first child.
+    """
+    key = " || '|' || ".join(f"CAST({n} AS VARCHAR)" for n in names)
+    name = draw_key(seed, "''", DUCKDB).format(r="r", k="k", p="p")
+    drawn = f"SELECT r, k, p, t, {binomial('t', 'share', 'name', DUCKDB)} AS c FROM (SELECT *, CAST(m AS DOUBLE) / CAST(rest AS DOUBLE) AS share, {name} AS name FROM (@rows) v1) v2"
+    root = f"SELECT r.r, {out}_sb.k, {out}_sb.p, {out}_sb.rest AS t, {out}_sb.m, {out}_sb.rest FROM {out}_sb, (SELECT unnest(range({n_resamples})) AS r) r WHERE k = 1 AND is_first"
+    step = (f"SELECT x.r, e.k2 AS k, e.p2 AS p, CASE e.b WHEN 0 THEN x.t - x.c ELSE x.c END AS t, e.m, e.rest FROM {out}_rc x JOIN {out}_ed e ON x.k = e.k AND x.p = e.p "
+            "WHERE CASE e.b WHEN 0 THEN x.t - x.c ELSE x.c END > 0")
+    return f"""
+, {out}_st AS (SELECT {', '.join(names)}, count(*) AS m, {DUCKDB.hex_number.format(f'substr(md5({key}), 1, 15)')} AS h FROM {clusters} GROUP BY {', '.join(names)})
+, {out}_nd AS (SELECT k, h >> (4 * (15 - k)) AS p, CAST(sum(m) AS BIGINT) AS m, count(*) AS n, min(h) AS h FROM {out}_st, (SELECT CAST(unnest(range(1, 16)) AS INTEGER) AS k) GROUP BY 1, 2)
+, {out}_sb AS (SELECT *, CAST(sum(m) OVER (PARTITION BY k, p >> 4 ORDER BY p DESC) AS BIGINT) AS rest, lead(p) OVER (PARTITION BY k, p >> 4 ORDER BY p) AS nxt,
+                      row_number() OVER (PARTITION BY k, p >> 4 ORDER BY p) = 1 AS is_first FROM {out}_nd)
+, {out}_ed AS (SELECT a.k, a.p, 0 AS b, n.k AS k2, n.p AS p2, n.m, n.rest FROM {out}_sb a JOIN {out}_sb n ON n.k = a.k AND n.p = a.nxt
+               UNION ALL SELECT a.k, a.p, 1, n.k, n.p, n.m, n.rest FROM {out}_sb a JOIN {out}_sb n ON n.k = a.k + 1 AND n.p >> 4 = a.p AND n.is_first WHERE a.n > 1)
+, {out}_rc(r, k, p, t, c) AS ({drawn.replace('@rows', root)} UNION ALL {drawn.replace('@rows', step)})
+, {out} AS (SELECT x.r, {', '.join(f'sum(x.c * s.{n}) AS {n}' for n in names)} FROM {out}_rc x JOIN {out}_nd n ON n.k = x.k AND n.p = x.p AND n.n = 1 JOIN {out}_st s ON s.h = n.h GROUP BY x.r)"""

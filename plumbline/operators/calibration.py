@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.stats import kappa, ratio
-from plumbline.operators.bootstrap import bootstrap_ci, cluster_sums
+from plumbline.operators.bootstrap import bootstrap_ci, bootstrap_statistic, cluster_sums, cluster_vectors
 from plumbline.operators.labels import human_kappa, label_quality
 
 #: Share of the human kappa that a judge must reach.
@@ -70,6 +70,40 @@ def calibration_report(items: DataFrame, labels: DataFrame, judged: DataFrame, g
         "share_of_human_kappa": ratio(F.col("kappa"), F.nullif(F.col("human_kappa"), F.lit(0.0)))})
 
 
+#: Labels that the agreement interval tells apart; all others count as one more.
+CATEGORIES = ("A", "B", "tie")
+
+
+def kappa_of_cells(n: int, cell: str = "c_{}_{}") -> str:
+    """SQL of kappa over the columns of an n x n table of counts; NULL without counts or where chance agreement is 1."""
+    cells = [[cell.format(i, j) for j in range(n)] for i in range(n)]
+    total = "(" + " + ".join(c for row in cells for c in row) + ")"
+    agree = "(" + " + ".join(cells[i][i] for i in range(n)) + ")"
+    products = "(" + " + ".join(f"({' + '.join(cells[i])}) * ({' + '.join(row[i] for row in cells)})" for i in range(n)) + ")"
+    return f"CASE WHEN {total} > 0 AND {products} < {total} * {total} THEN ({agree} / {total} - {products} / ({total} * {total})) / (1E0 - {products} / ({total} * {total})) END"
+
+
+def cluster_cells(items: DataFrame, labels: DataFrame, judged: DataFrame, group_cols: Sequence[str] = (), categories: Sequence[str] = CATEGORIES) -> DataFrame:
+    """One row per cluster of parsed items: the table of human label x verdict as columns c_i_j, by ``categories`` and one for all others."""
+    parsed = items.select(*group_cols, "row_id", "cluster_id").join(judged.filter(~F.col("parse_failed")).select(*group_cols, "row_id"), [*group_cols, "row_id"])
+    rows = parsed.join(label_verdict_cells(labels, judged, group_cols), [*group_cols, "row_id"], "left")
+
+    def place(c: str) -> Column:
+        return F.coalesce(F.array_position(F.array(*map(F.lit, categories)), F.col(c)) - 1, F.lit(-1)).cast("int")
+
+    n = len(categories)
+    at = {c: F.when(place(c) < 0, F.lit(n)).otherwise(place(c)) for c in ("human", "judge_label")}
+    values = {f"c_{i}_{j}": F.when((at["human"] == i) & (at["judge_label"] == j), F.col("n")) for i in range(n + 1) for j in range(n + 1)}
+    return cluster_vectors(rows, "cluster_id", values, group_cols)
+
+
+def kappa_interval(items: DataFrame, labels: DataFrame, judged: DataFrame, group_cols: Sequence[str] = (), categories: Sequence[str] = CATEGORIES, **bootstrap: float) -> DataFrame:
+    """group_cols, ci_lower, ci_upper of the judge's kappa: whole clusters are drawn, kappa is taken over each resample's table."""
+    n = len(categories) + 1
+    return bootstrap_statistic(cluster_cells(items, labels, judged, group_cols, categories), [f"c_{i}_{j}" for i in range(n) for j in range(n)],
+                               F.expr(kappa_of_cells(n)), group_cols, **bootstrap)
+
+
 def gate_reason(least_share: float = LEAST_SHARE) -> Column:
     """Why a report does not pass the gate, first reason that applies; NULL if it passes."""
     share = F.col("kappa") / F.col("human_kappa")

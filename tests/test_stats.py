@@ -14,19 +14,19 @@ def _kappa(spark, pairs):
 
 
 @pytest.mark.parametrize(("pairs", "expected"), [
-    ([("A", "A"), ("A", "A"), ("B", "B"), ("B", "B")], 1.0),
-    ([("A", "A"), ("A", "B"), ("B", "A"), ("B", "B")], 0.0),
-    ([("A", "B"), ("A", "B"), ("B", "A"), ("B", "A")], -1.0),
+    ([("A", "A")] * 3 + [("tie", "tie")] * 5, 1.0),
+    ([("A", "A")] * 4 + [("A", "B")] * 2 + [("B", "A")] * 2 + [("B", "B")], 0.0),
+    ([("A", "tie")] * 6 + [("tie", "A")] * 6, -1.0),
 ])
 def test_kappa_values(spark, pairs, expected):
     assert _kappa(spark, pairs)["kappa"] == pytest.approx(expected)
 
 
 def test_kappa_is_low_where_raw_agreement_is_chance(spark):
-    pairs = [("A", "A")] * 81 + [("A", "B")] * 9 + [("B", "A")] * 9 + [("B", "B")]
+    pairs = [("B", "B")] * 64 + [("B", "tie")] * 8 + [("tie", "B")] * 6 + [("tie", "tie")] * 2
     row = _kappa(spark, pairs)
-    assert row["agreement"] == pytest.approx(0.82)
-    assert row["kappa"] < 0.1
+    assert row["agreement"] == pytest.approx(0.825)
+    assert row["kappa"] < 0.15
 
 
 def test_kappa_undefined(spark):
@@ -104,3 +104,54 @@ def test_more_buckets_give_the_same_interval_but_for_chance(spark):
     a, b = bootstrap_ci(sums, n_resamples=2000).first(), bootstrap_ci(sums, n_resamples=2000, buckets=7).first()
     assert abs(a["ci_lower"] - b["ci_lower"]) < 0.01
     assert abs(a["ci_upper"] - b["ci_upper"]) < 0.01
+
+
+def test_binomial_draws_have_the_binomial_distribution(spark):
+    """Chi-square against exact probabilities, for means on both sides of the two methods and probabilities on both sides of one half."""
+    from plumbline.functions.draws import DUCKDB, SPARK, binomial
+
+    rows = 20_000
+    for t, p in ((3, 0.9), (12, 0.25), (60, 0.1), (40, 0.4), (200, 0.85), (2000, 0.005)):
+        key = f"'k' || CAST(id AS VARCHAR(20)) || '|{t}'"
+        sql = f"SELECT {{}} AS k, count(*) AS n FROM ({{}}) GROUP BY 1"
+        drawn = binomial(f"CAST({t} AS BIGINT)", f"{p}E0", key, SPARK)
+        got = {r["k"]: r["n"] for r in spark.range(rows).selectExpr(f"{drawn} AS k").groupBy("k").agg(F.count("*").alias("n")).collect()}
+        import duckdb
+
+        same = dict(duckdb.sql(sql.format(binomial(f"CAST({t} AS BIGINT)", f"{p}::DOUBLE", key, DUCKDB), f"SELECT unnest(range({rows})) AS id")).fetchall())
+        assert got == same
+        expected = {k: rows * math.exp(math.lgamma(t + 1) - math.lgamma(k + 1) - math.lgamma(t - k + 1) + k * math.log(p) + (t - k) * math.log(1 - p)) for k in range(t + 1)}
+        cells = [k for k, e in expected.items() if e >= 5]
+        rest = rows - sum(expected[k] for k in cells), rows - sum(got.get(k, 0) for k in cells)
+        chi = sum((got.get(k, 0) - expected[k]) ** 2 / expected[k] for k in cells) + ((rest[0] - rest[1]) ** 2 / rest[0] if rest[0] >= 5 else 0)
+        assert chi < len(cells) + 4.5 * math.sqrt(2 * len(cells)) + 5, (t, p, chi, len(cells))
+
+
+def test_every_resample_draws_as_many_clusters_as_there_are(spark):
+    from plumbline.operators.bootstrap import resample
+
+    sums = spark.createDataFrame([(g, f"{g}{i}", float(i % 9), 1.0) for g, n in (("x", 137), ("y", 1), ("z", 40)) for i in range(n)], "g string, cluster string, num double, den double")
+    out = resample(sums, ["num", "den"], ["g"], n_resamples=200)
+    assert {(r["g"], r["den"], r["n"]) for r in out.groupBy("g", "den").agg(F.count("*").alias("n")).collect()} == {("x", 137.0, 200), ("y", 1.0, 200), ("z", 40.0, 200)}
+    mean = out.groupBy("g").agg(F.avg("num").alias("m"), F.var_pop("num").alias("v")).collect()
+    for r in mean:                                             # mean and variance of a sum of n draws
+        values = [i % 9 for i in range({"x": 137, "y": 1, "z": 40}[r["g"]])]
+        n, mu = len(values), sum(values) / len(values)
+        var = sum((v - mu) ** 2 for v in values)
+        assert abs(r["m"] - n * mu) <= 4 * math.sqrt(var / 200) + 1e-9
+        assert 0.6 * var <= r["v"] <= 1.5 * var or var == 0
+
+
+def test_kappa_interval_holds_kappa_and_takes_any_label(spark):
+    from plumbline.operators.calibration import cluster_cells, kappa_interval, kappa_of_cells
+
+    items = spark.createDataFrame([(f"r{i}", f"c{i // 3}") for i in range(150)], "row_id string, cluster_id string")
+    labels = spark.createDataFrame([(f"r{i}", j + 1, "ABtie"[i % 2] if j == 0 else ["A", "B", "tie", "odd"][(i + j) % 4]) for i in range(150) for j in range(2)], "row_id string, ann_ord int, preferred string")
+    judged = spark.createDataFrame([(f"r{i}", "AB"[i % 2], False, i % 50 == 0) for i in range(150)], "row_id string, winner string, position_unstable boolean, parse_failed boolean")
+    whole = cluster_cells(items, labels, judged).agg(*[F.sum(f"c_{i}_{j}").alias(f"c_{i}_{j}") for i in range(4) for j in range(4)]).selectExpr(f"{kappa_of_cells(4)} AS kappa").first()[0]
+    pairs = labels.join(judged.filter("not parse_failed"), "row_id")
+    assert whole == pytest.approx(kappa(pairs, "preferred", "winner").first()["kappa"])
+    row = kappa_interval(items, labels, judged, n_resamples=200).first()
+    assert row["ci_lower"] < whole < row["ci_upper"]
+    none = kappa_interval(items, labels, judged.withColumn("parse_failed", F.lit(True)), n_resamples=20).first()
+    assert tuple(none) == (None, None)
