@@ -13,14 +13,14 @@ from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.prompts import system_prompt, user_prompt
 from plumbline.functions.text import length_cap, length_note, truncate_at_word
 from plumbline.functions.verdicts import parse_verdict, reconcile
 from plumbline.operators.replies import answer_requests, append_replies, cacheable, latest_by_key, request_key
-from plumbline.shared import exists
+from plumbline.shared import children, exists, point_to, remove, settled
 
 SWAPPED = {"response_a": "response_b", "response_b": "response_a", "system_a": "system_b", "system_b": "system_a",
            "context_a": "context_b", "context_b": "context_a"}
@@ -116,32 +116,98 @@ def verdicts_of(requests: DataFrame, answers: DataFrame) -> DataFrame:
     return requests.select("row_id", "key").join(answers.select("key", "response"), "key").select("row_id", parse_verdict(F.col("response")).alias("verdict"))
 
 
-def logged_judge(name: str, model: str, backend: Callable[[str, str], tuple[str, str | None]], log: str, in_flight: int = 8) -> Judge:
-    """A judge behind a Python function (system, user) -> (reply, stop reason) that pays for no reply twice.
+class BackendError(RuntimeError):
+    """Some requests got no reply; holds their number and a few messages. All other replies are in the log."""
 
-    ``log``: folder of an append-only log of replies (key, response,
-    stop_reason, seq). Requests that it answers are not asked, equal requests
-    are asked once, and what was asked is written before it is used: all of it
-    beside the log, for this run, and to the log what may be kept.
+
+_ASKED = "key string, response string, stop_reason string, error string"
+
+
+def _ask_in_rounds(pending: DataFrame, backend: Callable[[str, str], tuple[str, str | None]], log: str, run: str, in_flight: int, round_size: int) -> None:
+    """Asks every pending request (key, system, user), a round of at most ``round_size`` after the other, as a stream over a queue of files.
+
+    A round's replies are written before the next round begins: all of them
+    beside the log, and to the log what may be kept. A round that is run again
+    finds what it has written. A backend that raises costs its own request alone.
     """
+    spark = pending.sparkSession
+
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [backend(s, u) for s, u in zip(pdf["system"], pdf["user"], strict=True)]
-            yield pd.DataFrame({"key": pdf["key"], "response": [g[0] for g in got], "stop_reason": [g[1] for g in got]})
+            rows = []
+            for key, system, user in zip(pdf["key"], pdf["system"], pdf["user"], strict=True):
+                try:
+                    rows.append((key, *backend(system, user), None))
+                except Exception as e:                          # the other replies of the round are paid for
+                    rows.append((key, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["key", "response", "stop_reason", "error"])
+
+    def one_round(batch: DataFrame, number: int) -> None:
+        here = f"{run}/asked/round={number}"
+        if not exists(spark, f"{here}/_SUCCESS"):
+            batch.repartition(in_flight, "key").mapInPandas(call, _ASKED).write.mode("overwrite").parquet(here)
+        if not exists(spark, f"{run}/kept/{number}"):
+            keep_replies(spark.read.schema(_ASKED).parquet(here), log)
+            point_to(spark, f"{run}/kept/{number}", "log")
+
+    queue = f"{run}/queue"
+    waiting = settled(pending.select("key", "system", "user"))
+    rounds = -(-waiting.count() // round_size)
+    if not rounds:
+        return
+    waiting.repartition(rounds, "key").write.option("maxRecordsPerFile", round_size).parquet(queue)
+    stream = spark.readStream.schema(waiting.schema).option("maxFilesPerTrigger", 1).parquet(queue)
+    stream.writeStream.foreachBatch(one_round).option("checkpointLocation", f"{run}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    remove(spark, queue)
+    remove(spark, f"{run}/checkpoint")
+
+
+def keep_replies(asked: DataFrame, log: str) -> None:
+    """Appends the replies of a round that may be kept, as one file."""
+    fresh = asked.filter(cacheable(F.col("stop_reason")) & F.col("error").isNull() & F.col("response").isNotNull()).drop("error")
+    append_replies(fresh.withColumn("seq", F.current_timestamp()).coalesce(1), log)
+
+
+def recover_replies(spark: SparkSession, log: str) -> None:
+    """Brings rounds into the log that an earlier run has written beside it but, being killed, not appended."""
+    for run in (f"{log}-runs/{name}" for name in children(spark, f"{log}-runs")):
+        for name in [] if exists(spark, f"{run}/_done") else children(spark, f"{run}/asked"):
+            number = name.partition("=")[2]
+            if exists(spark, f"{run}/asked/{name}/_SUCCESS") and not exists(spark, f"{run}/kept/{number}"):
+                keep_replies(spark.read.schema(_ASKED).parquet(f"{run}/asked/{name}"), log)
+                point_to(spark, f"{run}/kept/{number}", "log")
+
+
+def logged_judge(name: str, model: str, backend: Callable[[str, str], tuple[str, str | None]], log: str, in_flight: int = 8, round_size: int = 256) -> Judge:
+    """A judge behind a Python function (system, user) -> (reply, stop reason) that pays for no reply twice.
 
+    ``log``: folder of an append-only log of replies (key, response,
+    stop_reason, seq). Requests that it answers are not asked, equal requests
+    are asked once, and replies are committed round by round, before they are
+    used: a job that dies loses at most the round that was under way, and the
+    next one goes on behind it. With ``round_size`` 1 every reply is committed
+    by itself. Requests on which the backend raised are named in one
+    BackendError at the end.
+    """
     def ask(pending: DataFrame) -> DataFrame:
         """Asks now, so that a second look at the result asks nobody again."""
-        run = f"{log}-runs/{uuid.uuid4().hex}"
-        asked = pending.select("key", "system", "user").repartition(in_flight, "key").mapInPandas(call, "key string, response string, stop_reason string")
-        asked.write.parquet(run)
-        fresh = pending.sparkSession.read.parquet(run)
-        append_replies(fresh.filter(cacheable(F.col("stop_reason"))).withColumn("seq", F.current_timestamp()), log)
+        spark, run = pending.sparkSession, f"{log}-runs/{uuid.uuid4().hex}"
+        _ask_in_rounds(pending, backend, log, run, in_flight, round_size)
+        point_to(spark, f"{run}/_done", "run")
+        if not exists(spark, f"{run}/asked"):
+            return spark.createDataFrame([], _ASKED)
+        fresh = spark.read.schema(_ASKED).parquet(*[f"{run}/asked/{r}" for r in children(spark, f"{run}/asked")])
+        failed = fresh.filter("error is not null")
+        few = [r["error"] for r in failed.select("error").limit(3).collect()]
+        if few:
+            raise BackendError(f"{failed.count()} requests without a reply, among them {few}")
         return fresh
 
     def verdicts(rows: DataFrame) -> DataFrame:
         spark, requests = rows.sparkSession, request_rows(rows, model)
+        recover_replies(spark, log)
         kept = latest_by_key(spark.read.parquet(log), "key", ["seq"]) if exists(spark, log) else spark.createDataFrame([], "key string, response string")
-        return verdicts_of(requests, answer_requests(requests, kept, ask))
+        return verdicts_of(requests, answer_requests(requests, settled(kept.select("key", "response")), ask))
 
     return Judge(name, verdicts)
 

@@ -79,9 +79,29 @@ def human_kappa(labels: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
         F.col("n_repeat") >= LEAST_REPEATED, kappa_column(F.col("n_pairs"), F.col("n_agree"), F.col("products"))).alias("human_kappa"))
 
 
-def sample_comparisons(comparisons: DataFrame, n: int, seed: int = 7) -> DataFrame:
-    """Exactly ``n`` comparisons by a seeded hash of the id; all of them if n <= 0 or there are no more."""
+#: Rows that one task may put in order for a sample.
+TOP_ROWS = 10_000
+#: Hexadecimal digits of the hash that the counts of a large sample are made by.
+PREFIX_DIGITS = 4
+
+
+def sample_comparisons(comparisons: DataFrame, n: int, seed: int = 7, top_rows: int = TOP_ROWS) -> DataFrame:
+    """Exactly ``n`` comparisons by a seeded hash of the id; all of them if n <= 0 or there are no more.
+
+    A large sample is a filter: counts by the first digits of the hash (at most
+    65,536 rows) tell up to which digits all rows belong to it, and only the
+    rows of the one prefix in which the n-th hash lies are put in order.
+    """
     if n <= 0:
         return comparisons
     order = F.md5(F.concat(F.lit(f"{seed}|"), F.col("row_id")))
-    return comparisons.orderBy(order, "row_id").limit(n)
+    if n <= top_rows:
+        return comparisons.orderBy(order, "row_id").limit(n)
+    prefix = F.substring(order, 1, PREFIX_DIGITS)
+    below = 0
+    for r in comparisons.groupBy(prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("n")).orderBy("prefix").collect():
+        if below + r["n"] > n:
+            edge = comparisons.filter(prefix == r["prefix"]).orderBy(order, "row_id").limit(n - below)
+            return comparisons.filter(prefix < r["prefix"]).unionByName(edge) if below < n else comparisons.filter(prefix < r["prefix"])
+        below += r["n"]
+    return comparisons

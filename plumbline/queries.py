@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 
@@ -14,9 +15,9 @@ from plumbline.functions.stats import Z_SCORES, minimum_detectable_effect
 from plumbline.functions.text import PADDING, RESTATEMENT, length_cap, length_note, pad_response, truncate_at_word
 from plumbline.functions.verdicts import parse_verdict
 from plumbline.operators import bootstrap, calibration, judging, labels, replies, robustness, scoring, verdicts
-from plumbline.plans.report import confusion_table, report_lines
+from plumbline.plans.report import confusion_table, report_lines, write_report
 from plumbline.plans.sections import in_sql, report_sections, section_lines
-from plumbline.shared import shared_folder
+from plumbline.shared import remove, settled, shared_folder
 from plumbline.sources import adapter, records
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -133,11 +134,34 @@ def sample_comparisons(spark: SparkSession, sf: str) -> DataFrame:
     return labels.sample_comparisons(_calibration_items(spark, sf).select("row_id", "cluster_id"), 300)
 
 
-def _as_json(df: DataFrame, sf: str) -> str:
-    """Writes JSON Lines to a new shared folder and returns its path."""
-    path = f"{shared_folder(df.sparkSession)}/json-{uuid.uuid4().hex}"
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _through_json(df: DataFrame, read: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """Rows written as JSON Lines and read back; the files go."""
+    path = _folder(df.sparkSession, "json")
     df.write.json(path)
-    return path
+    out = settled(read(df.sparkSession, path))
+    remove(df.sparkSession, path)
+    return out
+
+
+@query(with_views(["fx_item"], """
+, o AS (SELECT row_id, row_number() OVER (ORDER BY md5('7|' || row_id), row_id) AS r, count(*) OVER () AS n FROM fx_item)
+SELECT row_id FROM o WHERE r <= n // 2"""))
+def sample_half(spark: SparkSession, sf: str) -> DataFrame:
+    """Half of all items, exactly, without putting them in order."""
+    items = view(spark, sf, "fx_item").select("row_id")
+    return labels.sample_comparisons(items, items.count() // 2, top_rows=0)
+
+
+@query(with_views(["fx_record"], """
+, k AS (SELECT *, coalesce(id, '__' || prompt || chr(31) || response_a || chr(31) || response_b) AS row_id, CASE WHEN id IS NULL THEN 'content' ELSE 'id' END AS kind FROM fx_record)
+SELECT row_id, CAST(row_number() OVER (PARTITION BY kind, row_id ORDER BY ord) AS BIGINT) AS ann_ord, preferred, annotator_id FROM k WHERE preferred IS NOT NULL"""))
+def merged_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return records.merged_labels(view(spark, sf, "fx_record"))
 
 
 _JSON_RECORD = """SELECT ord, id, prompt, response_a, response_b, cluster_id, CASE WHEN ord % 2 = 0 THEN preferred END AS preferred,
@@ -153,8 +177,7 @@ SELECT row_id, coalesce(nullif(arg_min(cluster_id, ord), ''), row_id) AS cluster
 FROM k GROUP BY kind, row_id"""))
 def read_records(spark: SparkSession, sf: str) -> DataFrame:
     """Single-label and list-label records with and without contexts, written as JSON Lines, read back and merged."""
-    path = _as_json(spark.sql(_JSON_RECORD, fx_record=view(spark, sf, "fx_record")), sf)
-    read = records.read_comparison_records(spark, path)
+    read = _through_json(spark.sql(_JSON_RECORD, fx_record=view(spark, sf, "fx_record")), records.read_comparison_records)
     merged = records.merge_records(read)
     rendered = F.expr("array_join(array_sort(transform(annotations, a -> a.preferred || ':' || a.annotator_id)), ',')")
     context = records.merge_records(read.filter("context_a is not null"))
@@ -167,7 +190,7 @@ def read_records(spark: SparkSession, sf: str) -> DataFrame:
 def read_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     """Verdict records as JSON Lines; a missing flag is false."""
     written = view(spark, sf, "fx_item").select(F.col("row_id").alias("id"), "winner", F.expr("CASE WHEN item_no % 2 = 0 THEN position_unstable END").alias("position_unstable"))
-    return records.read_verdict_records(spark, _as_json(written, sf)).drop("ord")
+    return _through_json(written, records.read_verdict_records).drop("ord")
 
 
 # --- verdicts and calibration -------------------------------------------------------------------------------------------
@@ -259,10 +282,35 @@ def trust_gate(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(calibration.trust_gate(_calibration(spark, sf)).select("kappa", "human_kappa", "gate_reason", "gate_passed"))
 
 
-@query()
+_CLUSTER_HITS = """
+, ih AS (SELECT a.row_id, count(*) FILTER (a.preferred = i.winner) AS hit, count(*) AS k FROM fx_ann a JOIN fx_item i ON a.row_id = i.row_id WHERE NOT i.parse_failed GROUP BY a.row_id)
+, hc AS (SELECT i.cluster_id, coalesce(sum(ih.hit), 0)::DOUBLE AS num, coalesce(sum(ih.k), 0)::DOUBLE AS den
+         FROM fx_item i LEFT JOIN ih ON i.row_id = ih.row_id WHERE NOT i.held_out AND NOT i.parse_failed GROUP BY i.cluster_id)"""
+_RATIO_CI = "quantile_cont(num / den, 0.025) AS ci_lower, quantile_cont(num / den, 0.975) AS ci_upper"
+
+
+@query(with_views(["fx_item", "fx_ann"], _CALIBRATION + _GATE + _CLUSTER_HITS + bootstrap.tree_sql("hc", ["num", "den"], "hr") + f"""
+, hi AS (SELECT {_RATIO_CI} FROM hr WHERE den > 0)
+SELECT n, round(agreement, 9) AS agreement, round(ci_lower, 9) AS agreement_ci_lower, round(ci_upper, 9) AS agreement_ci_upper, round(kappa, 9) AS kappa,
+       round(human_kappa, 9) AS human_kappa, gate_reason IS NULL AS gate_passed FROM gate, hi"""))
 def calibration_interval(spark: SparkSession, sf: str) -> DataFrame:
-    return calibration.trust_gate(_calibration(spark, sf, with_ci=True)).select(
-        "n", "agreement", "agreement_ci_lower", "agreement_ci_upper", "kappa", "human_kappa", "gate_passed")
+    return _rounded(calibration.trust_gate(_calibration(spark, sf, with_ci=True)).select(
+        "n", "agreement", "agreement_ci_lower", "agreement_ci_upper", "kappa", "human_kappa", "gate_passed"))
+
+
+_CELLS = [f"c_{i}_{j}" for i in range(4) for j in range(4)]
+_PLACE = "CASE {0} WHEN 'A' THEN 0 WHEN 'B' THEN 1 WHEN 'tie' THEN 2 ELSE 3 END"
+
+
+@query(with_views(["fx_item", "fx_ann"], """
+, kc AS (SELECT i.cluster_id, """ + ", ".join(f"count(*) FILTER ({_PLACE.format('a.preferred')} = {i} AND {_PLACE.format('i.winner')} = {j} AND a.row_id IS NOT NULL)::DOUBLE AS c_{i}_{j}"
+                                              for i in range(4) for j in range(4)) + """
+         FROM fx_item i LEFT JOIN fx_ann a ON a.row_id = i.row_id WHERE NOT i.held_out AND NOT i.parse_failed GROUP BY i.cluster_id)
+""" + bootstrap.tree_sql("kc", _CELLS, "kr") + f"""
+, ks AS (SELECT {calibration.kappa_of_cells(4)} AS kappa FROM kr)
+SELECT round(quantile_cont(kappa, 0.025), 9) AS ci_lower, round(quantile_cont(kappa, 0.975), 9) AS ci_upper FROM ks WHERE kappa IS NOT NULL"""))
+def kappa_interval(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(calibration.kappa_interval(_calibration_items(spark, sf), view(spark, sf, "fx_ann"), _judged(spark, sf)))
 
 
 # --- scoring ------------------------------------------------------------------------------------------------------------
@@ -295,9 +343,12 @@ def scored_rows(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.scored_rows(_held_out(spark, sf))
 
 
-_BOOTSTRAP = """
+_WIN_SUMS = """
 , cs AS (SELECT cluster_id AS cluster, sum(CASE WHEN NOT usable THEN 0.0 WHEN winner = 'A' THEN 1.0 WHEN winner = 'tie' THEN 0.5 ELSE 0.0 END::DOUBLE) AS num,
-                sum(CASE WHEN usable THEN 1.0 ELSE 0.0 END::DOUBLE) AS den FROM u GROUP BY cluster_id)
+                sum(CASE WHEN usable THEN 1.0 ELSE 0.0 END::DOUBLE) AS den FROM u GROUP BY cluster_id)"""
+_TREE = _WIN_SUMS + bootstrap.tree_sql("cs", ["num", "den"], "rp") + f"""
+, ci AS (SELECT {_RATIO_CI} FROM rp WHERE den > 0)"""
+_BOOTSTRAP = _WIN_SUMS + """
 , nb AS (SELECT *, row_number() OVER (ORDER BY md5(cluster), cluster) - 1 AS i, count(*) OVER () AS n FROM cs)
 , dr AS (SELECT r.replicate, CAST(floor(('0x' || substr(md5('7|' || r.replicate || '|' || nb.i), 1, 8))::BIGINT / 4294967296.0::DOUBLE * nb.n) AS BIGINT) AS i
          FROM nb, (SELECT unnest(range(2000)) AS replicate) r)
@@ -310,9 +361,9 @@ def bootstrap_hash_ci(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(bootstrap.bootstrap_hash_ci(scoring.win_sums(_held_out(spark, sf)), n_resamples=bootstrap.N_RESAMPLES))
 
 
-@query()
+@query(with_views(["fx_item"], _SCORE + _TREE + "SELECT round(ci_lower, 9) AS ci_lower, round(ci_upper, 9) AS ci_upper FROM ci"))
 def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
-    return bootstrap.bootstrap_ci(scoring.win_sums(_held_out(spark, sf)))
+    return _rounded(bootstrap.bootstrap_ci(scoring.win_sums(_held_out(spark, sf))))
 
 
 def _decided(spark: SparkSession, sf: str, **options: object) -> DataFrame:
@@ -322,7 +373,7 @@ def _decided(spark: SparkSession, sf: str, **options: object) -> DataFrame:
     return gate.join(F.broadcast(score))                                                          # one row each
 
 
-@query(with_views(["fx_item", "fx_ann"], _CALIBRATION + _GATE + _SCORE + _BOOTSTRAP + """
+@query(with_views(["fx_item", "fx_ann"], _CALIBRATION + _GATE + _SCORE + _TREE + """
 SELECT gate_reason IS NULL AS gate_passed, underpowered, round(win_rate, 9) AS win_rate, round(ci_lower, 9) AS ci_lower, round(ci_upper, 9) AS ci_upper,
        CASE WHEN gate_reason IS NOT NULL THEN 'no conclusion' WHEN underpowered THEN 'not enough data' WHEN ci_lower > 0.5 THEN 'first preferred'
             WHEN ci_upper < 0.5 THEN 'second preferred' ELSE 'no reliable difference' END AS decision,
@@ -330,7 +381,7 @@ SELECT gate_reason IS NULL AS gate_passed, underpowered, round(win_rate, 9) AS w
             WHEN n_position_unstable > 0 THEN 'no calibration rate to compare with' END AS caveat
 FROM gate, sc, ci"""))
 def policy_decision(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(_decided(spark, sf, method="hash", n_resamples=bootstrap.N_RESAMPLES).select(
+    return _rounded(_decided(spark, sf).select(
         "gate_passed", "underpowered", "win_rate", "ci_lower", "ci_upper", scoring.decision().alias("decision"), scoring.drift_caveat().alias("caveat")))
 
 
@@ -350,19 +401,20 @@ def report(spark: SparkSession, sf: str) -> DataFrame:
 
 def _section_results(spark: SparkSession, sf: str) -> DataFrame:
     gate = calibration.trust_gate(_calibration(spark, sf))
-    score = scoring.policy_report(_held_out(spark, sf), method="hash", n_resamples=bootstrap.N_RESAMPLES)
+    score = scoring.policy_report(_held_out(spark, sf))
     return gate.drop("n_ties").join(F.broadcast(score.withColumnsRenamed({"n": "n_heldout", "n_parse_failures": "n_unparsed", "n_ties": "n_wins_0"})))  # one row each
 
 
-def _sections_sql(first: str, second: str) -> str:
+def _sections_sql(first: str, second: str, counted: str = "") -> str:
     parts = [f"SELECT {section} AS section, {n} AS line_no, {in_sql(line, 'printf')} AS line FROM rs WHERE {condition}"
              for n, (section, condition, line) in enumerate(section_lines(first, second))]
     counts = " || ' | ' || ".join(f"CAST({c} AS VARCHAR)" for c in ("sum(n) FILTER (r2 = 'A')", "sum(n) FILTER (r2 = 'B')", "sum(n) FILTER (r2 = 'tie')", "sum(n)"))
-    return (_CALIBRATION + _GATE + _SCORE + _BOOTSTRAP + """
+    head, tail = (f", al AS (", f") SELECT {counted} FROM al GROUP BY line") if counted else ("", "")
+    return (_CALIBRATION + _GATE + _SCORE + _TREE + """
 , rs AS (SELECT gate.* EXCLUDE (n_ties), sc.* EXCLUDE (n, n_parse_failures, n_ties), sc.n AS n_heldout, sc.n_parse_failures AS n_unparsed, sc.n_ties AS n_wins_0, ci.* FROM gate, sc, ci)
-""" + "\nUNION ALL ".join(parts) + f"""
+""" + head + "\nUNION ALL ".join(parts) + f"""
 UNION ALL SELECT 2, CASE r1 WHEN 'A' THEN 1 WHEN 'B' THEN 2 ELSE 3 END, r1 || ' | ' || {counts} FROM cf GROUP BY r1
-UNION ALL SELECT 2, 0, 'human / judge | A | B | tie | total'""")
+UNION ALL SELECT 2, 0, 'human / judge | A | B | tie | total'""" + tail)
 
 
 @query(with_views(["fx_item", "fx_ann"], _sections_sql("sys-c", "sys-v")))
@@ -370,12 +422,23 @@ def report_in_sections(spark: SparkSession, sf: str) -> DataFrame:
     return report_sections(_section_results(spark, sf), confusion_pivot(spark, sf), "sys-c", "sys-v")
 
 
+@query(with_views(["fx_item", "fx_ann"], _sections_sql("sys-c", "sys-v", "line, count(*) AS n")))
+def written_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The report in sections as a text file, read back: its lines and how often each stands there."""
+    path = _folder(spark, "report")
+    lines = report_in_sections(spark, sf).select((F.col("section") * 1000 + F.col("line_no")).alias("line_no"), "line")
+    write_report(lines, path)
+    out = settled(spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n")))
+    remove(spark, path)
+    return out
+
+
 # --- raw judgments ------------------------------------------------------------------------------------------------------
 
 @query(with_views(["fx_raw"], "SELECT question_id, model_a, model_b, winner, judge, turn, count(*) AS n FROM fx_raw GROUP BY ALL"))
 def read_judgments(spark: SparkSession, sf: str) -> DataFrame:
     """Raw judgments as JSON Lines and back."""
-    read = records.read_judgments(spark, _as_json(view(spark, sf, "fx_raw"), sf))
+    read = _through_json(view(spark, sf, "fx_raw"), records.read_judgments)
     return read.groupBy("question_id", "model_a", "model_b", "winner", "judge", "turn").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -409,6 +472,37 @@ def leaked_items(spark: SparkSession, sf: str) -> DataFrame:
     return adapter.leaked_items(preference_records(spark, sf), heldout_records(spark, sf))
 
 
+def _key_sql(text: str) -> str:
+    return f"sha256(trim(regexp_replace(lower({text}), '\\s+', ' ', 'g')))"
+
+
+@query(with_views(["fx_pair"], f"""
+, tx AS (SELECT row_id, {_key_sql('response_a')} AS text_key, row_id LIKE '%0' AS held_out FROM fx_pair WHERE length(trim(response_a)) > 0
+         UNION ALL SELECT row_id, {_key_sql('response_b')}, row_id LIKE '%0' FROM fx_pair WHERE length(trim(response_b)) > 0)
+, lt AS (SELECT text_key, count(*) FILTER (NOT held_out) AS n_calibration, min(row_id) FILTER (NOT held_out) AS first_calibration,
+                count(*) FILTER (held_out) AS n_held_out, min(row_id) FILTER (held_out) AS first_held_out FROM tx GROUP BY text_key)
+SELECT * FROM lt WHERE n_calibration > 0 AND n_held_out > 0"""))
+def leaked_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers that stand in pairs of both splits, under whatever ids."""
+    pairs, held_out = view(spark, sf, "fx_pair"), F.col("row_id").like("%0")
+    return adapter.leaked_texts(pairs.filter(~held_out), pairs.filter(held_out), ["response_a", "response_b"])
+
+
+@query(with_views(["fx_raw"], _VERDICTS + f"""
+SELECT 'preferences' AS dataset, count(*) AS n FROM it WHERE NOT (model_a = 'sys-c' AND model_b = 'sys-v') AND {_LABEL} IS NOT NULL
+UNION ALL SELECT 'verdicts', count(*) FROM vr WHERE winner IS NOT NULL
+UNION ALL SELECT 'held_out', count(DISTINCT id) FROM it WHERE model_a = 'sys-c' AND model_b = 'sys-v'"""))
+def published_datasets(spark: SparkSession, sf: str) -> DataFrame:
+    """The three datasets, published twice as a set; rows of the current one."""
+    path, items = _folder(spark, "datasets"), _items(spark, sf)
+    for _ in range(2):
+        adapter.publish_datasets(items, path, HELD_OUT_PAIR, "judge")
+    parts = [spark.read.schema("id string").json(folder).select(F.lit(name).alias("dataset")) for name, folder in adapter.published(spark, path).items()]
+    out = settled(parts[0].union(parts[1]).union(parts[2]).groupBy("dataset").agg(F.count(F.lit(1)).alias("n")))
+    remove(spark, path)
+    return out
+
+
 @query(with_views(["fx_message"], """
 SELECT a.conv_id, CAST((a.n + 1) // 2 AS INTEGER) AS turn, a.text AS prompt, b.text AS response, CAST(a.n - 1 AS INTEGER) AS n_context,
        (SELECT string_agg(c.role || ': ' || c.text, chr(10) ORDER BY c.n) FROM fx_message c WHERE c.conv_id = a.conv_id AND c.n < a.n) AS context
@@ -537,6 +631,38 @@ def cached_judging(spark: SparkSession, sf: str) -> DataFrame:
     return told.join(answers.select("key", "cached", (~F.col("cached") & replies.cacheable(F.col("stop_reason"))).alias("logged")), "key").drop("key")
 
 
+def _pair_backend(system: str, user: str) -> tuple[str, str]:
+    """Replies by the digits of the request's key, as _PAIR_REPLY."""
+    digit = hashlib.sha256(f"model-x\n{system}\n{user}".encode()).hexdigest()[1]
+    return "[[A]]" if digit < "4" else "[[B]]" if digit < "8" else "so [[C]]" if digit < "c" else "none", "end"
+
+
+@query(with_views(["fx_pair"], _KEYS + f"""
+, an AS (SELECT row_id, {_PAIR_REPLY} AS reply FROM rk)
+SELECT row_id, CASE WHEN reply LIKE '%[[A]]%' THEN 'A' WHEN reply LIKE '%[[B]]%' THEN 'B' WHEN reply LIKE '%[[C]]%' THEN 'tie' END AS verdict FROM an"""))
+def logged_judging(spark: SparkSession, sf: str) -> DataFrame:
+    """All pairs judged through a log, half of them in a run before: replies come in committed rounds, and only what the log lacks is asked."""
+    log, pairs = _folder(spark, "replies"), _contexts(view(spark, sf, "fx_pair"))
+    judge = judging.logged_judge("logged", "model-x", _pair_backend, log, round_size=8192)
+    judge.verdicts(pairs.filter("lang = 'en'"))
+    out = settled(judge.verdicts(pairs))
+    remove(spark, log)
+    remove(spark, f"{log}-runs")
+    return out
+
+
+@query(with_views(["fx_reply"], "SELECT row_id AS key, CASE WHEN lang = 'de' THEN reply_swapped ELSE reply END AS response FROM fx_reply"))
+def appended_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Replies appended to a log in two parts, the second of which answers some requests anew; the latest of each."""
+    path, rows = _folder(spark, "log"), view(spark, sf, "fx_reply")
+    for seq, part in enumerate((rows.select(F.col("row_id").alias("key"), F.col("reply").alias("response")),
+                                rows.filter("lang = 'de'").select(F.col("row_id").alias("key"), F.col("reply_swapped").alias("response")))):
+        replies.append_replies(part.withColumn("seq", F.lit(seq)), path)
+    out = settled(replies.latest_by_key(spark.read.parquet(path), "key", ["seq"]).select("key", "response"))
+    remove(spark, path)
+    return out
+
+
 _LATEST = "SELECT user_id, arg_max(event_type, (ts, event_id)) AS status, max(ts) AS ts FROM events GROUP BY user_id"
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+import uuid
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.shared import exists
+from plumbline.shared import children, exists, point_to, pointed_at, remove
 
 #: Winner values of raw judgments that become labels; fixed values.
 WINNERS = {"model_a": "A", "model_b": "B", "tie": "tie", "tie (bothbad)": "tie"}
@@ -105,16 +108,65 @@ def write_datasets(items: DataFrame, path: str, held_out: tuple[str, str], ord_c
         overwrite = True
     if there and not overwrite:
         raise FileExistsError(f"already exists: {', '.join(there)} in {path}")
-    parts = {"preferences": preference_records(items, held_out), "verdicts": verdict_records(items),
-             "held_out": held_out_records(items, held_out, ord_col)}
-    written = {}
-    for name, df in parts.items():
-        rows = Observation(name)
-        df.observe(rows, F.count(F.lit(1)).alias("n")).write.mode("overwrite" if overwrite else "errorifexists").json(f"{path}/{name}")
-        written[name] = rows.get["n"]
+    parts = datasets(items, held_out, ord_col)
+    return {name: _counted_write(df, f"{path}/{name}", "overwrite" if overwrite else "errorifexists") for name, df in parts.items()}
+
+
+def datasets(items: DataFrame, held_out: tuple[str, str], ord_col: str) -> dict[str, DataFrame]:
+    return {"preferences": preference_records(items, held_out), "verdicts": verdict_records(items), "held_out": held_out_records(items, held_out, ord_col)}
+
+
+def _counted_write(df: DataFrame, path: str, mode: str) -> int:
+    rows = Observation(path.rpartition("/")[2])
+    df.observe(rows, F.count(F.lit(1)).alias("n")).write.mode(mode).json(path)
+    return rows.get["n"]
+
+
+def publish_datasets(items: DataFrame, path: str, held_out: tuple[str, str], ord_col: str) -> dict[str, int]:
+    """Writes the three datasets as one set and makes it the current one; rows written of each.
+
+    A set is a folder of its own; a pointer names the current one and moves once
+    all three are whole. A reader sees the set before or the new one, never
+    parts of both; a job that dies leaves the old set. The set before stays for
+    readers that have begun, older ones go.
+    """
+    spark, name = items.sparkSession, f"set-{uuid.uuid4().hex}"
+    written = {part: _counted_write(df, f"{path}/{name}/{part}", "errorifexists") for part, df in datasets(items, held_out, ord_col).items()}
+    before = pointed_at(spark, path)
+    point_to(spark, path, name)
+    for old in children(spark, path):
+        if old.startswith("set-") and old not in (name, before):
+            remove(spark, f"{path}/{old}")
     return written
 
 
+def published(spark: SparkSession, path: str) -> dict[str, str]:
+    """Folders of the current set: preferences, verdicts and held_out. An error if there is none."""
+    name = pointed_at(spark, path)
+    if name is None:
+        raise FileNotFoundError(f"no published datasets in {path}")
+    return {part: f"{path}/{name}/{part}" for part in ("preferences", "verdicts", "held_out")}
+
+
 def leaked_items(preferences: DataFrame, held_out: DataFrame) -> DataFrame:
     """Ids that are both in the calibration data and held out; should be empty."""
     return preferences.select("id").intersect(held_out.select("id"))
+
+
+def text_key(text: Column) -> Column:
+    """Digest of a text without regard to case and white space."""
+    return F.sha2(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")), 256)
+
+
+def leaked_texts(calibration: DataFrame, held_out: DataFrame, text_cols: Sequence[str], id_col: str = "row_id") -> DataFrame:
+    """Texts that stand in both splits, whatever their ids: text_key, n_calibration, n_held_out, first ids of both.
+
+    Only digests move, and each side is reduced to one row per digest before
+    they meet, so copies cost nothing; nulls and blank texts do not count.
+    """
+    def keyed(rows: DataFrame, name: str) -> DataFrame:
+        texts = rows.select(F.col(id_col).alias("id"), F.explode(F.array(*[F.col(c) for c in text_cols])).alias("text")).filter(F.length(F.trim("text")) > 0)
+        return texts.select("id", text_key(F.col("text")).alias("text_key")).groupBy("text_key").agg(
+            F.count(F.lit(1)).alias(f"n_{name}"), F.min("id").alias(f"first_{name}"))
+
+    return keyed(calibration, "calibration").join(keyed(held_out, "held_out"), "text_key")

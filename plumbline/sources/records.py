@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from plumbline.shared import settled
 
 RECORD_SCHEMA = (
     "id string, prompt string, response_a string, response_b string, preferred string, annotator_id string, "
@@ -67,8 +70,7 @@ def merge_records(records: DataFrame, ord_col: str = "ord") -> DataFrame:
     """
     records = _with_optional(records)
     keyed = records.select(
-        F.when(F.col("id").isNotNull(), F.struct(F.lit("id").alias("kind"), F.col("id").alias("value")))
-        .otherwise(F.struct(F.lit("content").alias("kind"), F.sha2(content_key(), 256).alias("value"))).alias("key"),
+        _item_key().alias("key"),
         F.col(ord_col).alias("ord"), annotations_column().alias("labels"),
         F.struct(F.coalesce("id", content_key()).alias("row_id"), "prompt", "response_a", "response_b", "cluster_id", "system_a",
                  "system_b", context_column("context_a").alias("context_a"), context_column("context_b").alias("context_b")).alias("base"))
@@ -81,6 +83,34 @@ def merge_records(records: DataFrame, ord_col: str = "ord") -> DataFrame:
         "base.system_a", "base.system_b", "base.context_a", "base.context_b")
 
 
+def _item_key() -> Column:
+    return (F.when(F.col("id").isNotNull(), F.struct(F.lit("id").alias("kind"), F.col("id").alias("value")))
+            .otherwise(F.struct(F.lit("content").alias("kind"), F.sha2(content_key(), 256).alias("value"))))
+
+
+def merged_labels(records: DataFrame, ord_col: str = "ord") -> DataFrame:
+    """The labels of ``merge_records`` as rows: row_id, ann_ord (from 1), preferred, annotator_id.
+
+    No item's labels are ever one array or one task's work: records are ranged
+    by item and order, labels are numbered inside each range, and what the
+    ranges before hold of the same item is added. An item with a third of all
+    labels is many ranges. Records of equal order in one item keep no set order.
+    """
+    keyed = _with_optional(records).select(_item_key().alias("key"), F.col(ord_col).alias("ord"), F.coalesce("id", content_key()).alias("row_id"), annotations_column().alias("labels"))
+    narrow = keyed.filter(F.size("labels") > 0).select("key", "ord", F.when(F.col("key.kind") == "id", F.col("row_id")).alias("row_id"), "labels")
+    ranged = settled(narrow.repartitionByRange("key", "ord").withColumn("range", F.spark_partition_id()))
+    inside = Window.partitionBy("key", "range").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = ranged.groupBy("key", "range").agg(F.sum(F.size("labels")).alias("n")).select("key", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    placed = ranged.withColumn("done", F.coalesce(F.sum(F.size("labels")).over(inside), F.lit(0))).join(shifts, ["key", "range"])
+    rows = placed.select("key", "row_id", (F.col("shift") + F.col("done")).alias("start"), F.posexplode("labels").alias("i", "label"))
+    named = rows.filter("row_id is not null").select("row_id", "start", "i", "label")
+    # Items without an id are named by their content, which comes back once per item.
+    contents = keyed.filter("key.kind = 'content'").groupBy("key").agg(F.min("row_id").alias("name"))
+    others = rows.filter("row_id is null").join(contents, "key").select(F.col("name").alias("row_id"), "start", "i", "label")
+    return named.unionByName(others).select("row_id", (F.col("start") + F.col("i") + 1).alias("ann_ord"), "label.preferred", "label.annotator_id")
+
+
 def _with_optional(records: DataFrame) -> DataFrame:
     kinds = {"preferred": "string", "annotator_id": "string", "annotations": "array<struct<preferred:string,annotator_id:string>>",
              "cluster_id": "string", "system_a": "string", "system_b": "string", "context_a": "array<array<string>>",

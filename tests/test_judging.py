@@ -274,3 +274,76 @@ def test_report_sections_for_every_decision(spark):
     head, caveat, _ = told([("A", False)] * 200 + [("tie", True)], failed)
     assert head == ["No conclusion: the judge did not pass the gate (kappa undefined), so its verdicts say nothing about preference."]
     assert caveat[0].startswith("There is no calibration rate")
+
+
+def _crash_on(asked, text):
+    import os
+
+    def backend(system, user):
+        with asked.open("a") as f:
+            f.write(f"{user[-60:]!r}\n")
+        if text in user:
+            os._exit(1)                                         # the worker is gone, as with a lost executor
+        return "[[A]]", "end_turn"
+
+    return backend
+
+
+def test_a_killed_job_keeps_every_committed_reply(spark, tmp_path):
+    rows = _pairs(spark, [(f"a{i}", f"b{i}") for i in range(9)])
+    asked, log = tmp_path / "asked", str(tmp_path / "log")
+    with pytest.raises(Exception):                              # noqa: B017  whatever Spark makes of a lost worker
+        judging.logged_judge("logged", "m", _crash_on(asked, "b5"), log, in_flight=1, round_size=1).verdicts(rows)
+    before = asked.read_text().splitlines()
+    crashed = [x for x in before if "b5" in x]
+    assert len(crashed) == 1
+    assert spark.read.parquet(log).count() == len(before) - 1 if len(before) > 1 else True
+    out = judging.logged_judge("logged", "m", _crash_on(asked, "never"), log, in_flight=1, round_size=1).verdicts(rows)
+    assert {r["verdict"] for r in out.collect()} == {"A"}
+    every = asked.read_text().splitlines()
+    assert len(every) == 10                                     # only the request whose reply never came is asked again
+    assert len(set(every)) == 9
+    assert spark.read.parquet(log).count() == 9
+
+
+def test_replies_written_but_not_appended_are_recovered(spark, tmp_path):
+    log, asked = str(tmp_path / "log"), str(tmp_path / "log-runs" / "dead" / "asked" / "round=0")
+    spark.createDataFrame([("k", "[[B]]", "end", None), ("cut", "[[A]]", "max_tokens", None), ("bad", None, None, "ValueError: x")], judging._ASKED).write.parquet(asked)
+    for _ in range(2):
+        judging.recover_replies(spark, log)
+        assert [r["key"] for r in spark.read.parquet(log).collect()] == ["k"]
+
+
+def test_a_backend_that_raises_costs_its_own_request(spark, tmp_path):
+    rows, log = _pairs(spark, [("a", "good"), ("a", "evil"), ("a", "fine")]), str(tmp_path / "log")
+
+    def backend(system, user):
+        if "evil" in user:
+            raise ValueError("no")
+        return "[[B]]", "end_turn"
+
+    with pytest.raises(judging.BackendError, match="1 requests without a reply.*ValueError"):
+        judging.logged_judge("logged", "m", backend, log).verdicts(rows)
+    assert spark.read.parquet(log).count() == 2
+
+
+def test_stream_is_compacted(spark, tmp_path):
+    """Files that a look-up reads stay bounded, and its rows are those of the whole log; what older snapshots and batches held goes."""
+    from plumbline.shared import children, pointed_at
+    from plumbline.streaming.logs import current_rows
+
+    src, cp, schema = str(tmp_path / "in"), str(tmp_path / "cp"), "job string, seq int, status string"
+    for n in range(14):
+        spark.createDataFrame([(f"j{n % 5}", n, f"s{n}"), (f"only{n}", n, "x")], schema).coalesce(1).write.mode("append").parquet(src)
+        log = spark.readStream.schema(schema).parquet(src)
+        stream_status_counts(log, "job", "status", ["seq"], cp, "compacted", compact_every=3).awaitTermination(60)
+        folders = [x for x in children(spark, f"{cp}-rows") if "=" in x]
+        assert len(folders) <= 2 + 2 * 3
+    want = {f"j{n % 5}": f"s{n}" for n in range(14)} | {f"only{n}": "x" for n in range(14)}
+    assert {r["key"]: r["status"] for r in spark.table("compacted").collect()} == want
+    assert pointed_at(spark, f"{cp}-rows") == "11"
+    kept = spark.table("compacted").schema
+    assert {r["key"]: r["status"] for r in current_rows(spark, f"{cp}-rows", kept).collect()} == want
+    # A snapshot that was written but not pointed at does not count.
+    spark.createDataFrame([("j0", "wrong")], kept).write.parquet(f"{cp}-rows/snapshot=99")
+    assert {r["key"]: r["status"] for r in current_rows(spark, f"{cp}-rows", kept).collect()} == want

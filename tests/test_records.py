@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.operators import labels, verdicts
 from plumbline.sources import adapter, records
@@ -155,3 +156,62 @@ def test_read_judgments(spark, tmp_path):
     assert sorted(map(repr, read.drop("ord").collect())) == sorted(map(repr, rows.collect()))
     held = adapter.held_out_records(adapter.with_items(read), ("m", "x"), "ord").collect()
     assert {r["id"]: len(r["context_a"]) for r in held} == {"q81-t1-m-vs-x": 0, "q81-t2-m-vs-x": 2}
+
+
+def test_large_samples_are_the_small_ones(spark):
+    df = spark.range(3000).selectExpr("cast(id as string) row_id", "id as extra")
+    for n in (1, 7, 1500, 2999, 3000, 5000):
+        small = {r["row_id"] for r in labels.sample_comparisons(df, n, top_rows=10_000).collect()}
+        assert {r["row_id"] for r in labels.sample_comparisons(df, n, top_rows=0).collect()} == small
+        assert len(small) == min(n, 3000)
+    assert labels.sample_comparisons(df.limit(0), 5, top_rows=0).count() == 0
+
+
+def test_labels_as_rows_equal_merged_labels(spark):
+    """Also where one item has most labels: it lies in many ranges, and none holds them all."""
+    rows = [(i, "hot" if i % 4 else f"c{i % 7}" if i % 8 else None, "p", "a", f"b{i % 3}", ["A", "B", None][i % 3], f"e{i}", None) for i in range(4000)]
+    df = spark.createDataFrame(rows, RECORD).repartition(7)
+    want = records.exploded_labels(records.merge_records(df)).select("row_id", F.col("ann_ord").cast("bigint").alias("ann_ord"), "preferred", "annotator_id")
+    got = records.merged_labels(df)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want.collect())))
+    assert records.merged_labels(df.limit(0)).count() == 0
+
+
+def test_a_set_of_datasets_is_published_at_once(spark, tmp_path, monkeypatch):
+    def build(winner):
+        return adapter.with_items(spark.createDataFrame([_judgment("x", "m", winner), _judgment("m", "z", "tie")], records.JUDGMENT_SCHEMA))
+
+    def winners():
+        found = adapter.published(spark, str(tmp_path))
+        assert len({folder.rpartition("/")[0] for folder in found.values()}) == 1
+        return sorted(r["winner"] for r in spark.read.json(found["verdicts"]).collect())
+
+    with pytest.raises(FileNotFoundError):
+        adapter.published(spark, str(tmp_path))
+    assert adapter.publish_datasets(build("model_a"), str(tmp_path), ("m", "z"), "winner") == {"preferences": 1, "verdicts": 2, "held_out": 1}
+    assert winners() == ["B", "tie"]
+    write, done = adapter._counted_write, []
+
+    def dies(df, path, mode):
+        if done:
+            raise KeyboardInterrupt
+        done.append(path)
+        return write(df, path, mode)
+
+    monkeypatch.setattr(adapter, "_counted_write", dies)
+    with pytest.raises(KeyboardInterrupt):                      # between two folders
+        adapter.publish_datasets(build("model_b"), str(tmp_path), ("m", "z"), "winner")
+    assert winners() == ["B", "tie"]
+    monkeypatch.setattr(adapter, "_counted_write", write)
+    for _ in range(3):
+        adapter.publish_datasets(build("model_b"), str(tmp_path), ("m", "z"), "winner")
+    assert winners() == ["A", "tie"]
+    assert sum(p.name.startswith("set-") for p in tmp_path.iterdir()) == 2    # the current one and the one before
+
+
+def test_leaked_texts_have_other_ids(spark):
+    kind = "row_id string, a string, b string"
+    calibration = spark.createDataFrame([("c1", "Some  text", "x"), ("c2", None, " "), ("c3", "some TEXT\n", "y")], kind)
+    held_out = spark.createDataFrame([("h1", "y", " some text"), ("h2", "", None)], kind)
+    got = {(r["n_calibration"], r["first_calibration"], r["n_held_out"], r["first_held_out"]) for r in adapter.leaked_texts(calibration, held_out, ["a", "b"]).collect()}
+    assert got == {(2, "c1", 1, "h1"), (1, "c3", 1, "h1")}
