@@ -33,6 +33,14 @@ def crc_mod(doc_id, m: int):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(m)
 
 
+def give_back() -> None:
+    """Gives memory that has been freed back to the system, which the allocators of this process would else keep."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)           # glibc only
+    if trim:
+        trim(0)
+
+
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """The same function of batches, which at the end gives the memory it has freed back to the system.
 
@@ -41,10 +49,7 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """
     def tidied(batches: Iterator) -> Iterator:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)       # glibc only
-        if trim:
-            trim(0)
+        give_back()
 
     return tidied
 

@@ -184,11 +184,11 @@ def votes(kind: str, s: Column) -> dict[str, Column]:
     }
 
 
-def shape_of(kind: str, s: Column) -> Column:
-    """The shape of a span, one of a few: whether it has the base form, its length and its separators in classes."""
+def shape_of(family: str, s: Column) -> Column:
+    """The shape of a span, one of a few: the family of forms that it was found by (b: base, w: wide), its length and its separators in classes."""
     size, signs = F.length(s["word"]), F.length(F.regexp_replace(s["word"], "[A-Za-z0-9]", ""))
     size_class = F.when(size <= 9, "0").when(size <= 14, "1").when(size <= 19, "2").when(size <= 30, "3").otherwise("4")
-    return F.concat(F.when(s["word"].rlike(_plain(kind)), "b").otherwise("w"), size_class, F.least(signs, F.lit(5)).cast("string"))
+    return F.concat(F.lit(family), size_class, F.least(signs, F.lit(5)).cast("string"))
 
 
 def candidates(text: Column, has_digit: Column, kind: str) -> Column:
@@ -213,8 +213,10 @@ def pattern_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     rows, text = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")), F.col("text")
 
     def told(kind: str, has_digit: Column) -> Column:
-        return F.transform(let(candidates(text, has_digit, kind), lambda c: F.concat(c["plain"], c["wide"])), lambda s: F.struct(
-            F.lit(kind).alias("kind"), *[v.alias(name) for name, v in votes(kind, s).items()], shape_of(kind, s).alias("shape")))
+        def of(family: str, found_spans: Column) -> Column:
+            return F.transform(found_spans, lambda s: F.struct(F.lit(kind).alias("kind"), *[v.alias(name) for name, v in votes(kind, s).items()], shape_of(family, s).alias("shape")))
+
+        return let(candidates(text, has_digit, kind), lambda c: F.concat(of("b", c["plain"]), of("w", c["wide"])))
 
     return rows.select(F.explode(let(text.rlike(_DIGIT), lambda d: F.concat(*[told(kind, d) for kind in KINDS]))).alias("c")).select("c.*").groupBy("kind", *LABELERS, "shape").agg(F.count(F.lit(1)).alias("n"))
 
@@ -290,7 +292,7 @@ def probability(model: SpanModel, kind: str, s: Column) -> Column:
     known = {f[2]: w for f, w in model.weights.items() if f[:2] == ("shape", kind)}
     if known:
         table = F.create_map(*[F.lit(v) for pair in sorted(known.items()) for v in pair])
-        total += F.coalesce(F.try_element_at(table, shape_of(kind, s)), F.lit(0.0))
+        total += F.coalesce(F.try_element_at(table, shape_of("w", s)), F.lit(0.0))
     return 1 / (1 + F.exp(-total))
 
 

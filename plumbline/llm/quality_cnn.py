@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import materialize, tidy
+from plumbline.llm.common import give_back, materialize, tidy
 from plumbline.llm.toxicity import sample_per_class
 from plumbline.llm.words import text_bytes
 
@@ -174,7 +174,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     start, row = chunk_starts(offsets)
     end = offsets[1:][row]
     chunks = np.concatenate([chunk_bytes(data, start[i:i + 4096], end[i:i + 4096]) for i in range(0, len(start), 4096)])
-    return train(chunks, row, y)
+    del got, data
+    net = train(chunks, row, y)
+    del chunks
+    give_back()
+    return net
 
 
 def _scores(batch: pa.RecordBatch, column: str, net: ByteCNN | float, tables: np.ndarray | None) -> np.ndarray:
