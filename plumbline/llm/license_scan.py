@@ -42,7 +42,48 @@ TEMPLATES = [
             "provided that the following conditions are met"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("mit", "licensed under the mit license"),
+    ("gpl-3.0", "licensed under the gnu general public license version 3"),
+    ("agpl-3.0", "licensed under the gnu affero general public license version 3"),
+    ("cc-by-4.0", "licensed under cc by 4 0"),
+    ("cc-by-nd-4.0", "licensed under cc by nd 4 0"),
+    ("cc-by-nc-sa-4.0", "licensed under cc by nc sa 4 0"),
+    ("cc-by-nc-nd-4.0", "licensed under cc by nc nd 4 0"),
+    ("cc-by-sa-4.0", "licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("cc-by-nc-4.0", "licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("cc-by-nd-4.0", "licensed under a creative commons attribution noderivatives 4 0 international license"),
+    ("bsd", "released under the bsd license"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("epl-2.0", "made available under the terms of the eclipse public license 2 0"),
+    ("bsl-1.0", "distributed under the boost software license version 1 0"),
+    ("cc0-1.0", "dedicated to the public domain under the cc0 1 0 universal dedication"),
 ]
+#: Words that tell a license from others of nearly the same wording, by the start of its templates: a span without all of them gets no label.
+DISTINCTIVE = {
+    "licensed under the apache license": "apache",
+    "released under the mit license": "mit",
+    "licensed under the mit license": "mit",
+    "released under the bsd license": "bsd",
+    "this work is licensed under the gnu general public license version 3": "general 3",
+    "licensed under the gnu general public license version 3": "gnu 3",
+    "licensed under the gnu general public license version 2": "gnu 2",
+    "licensed under the gnu affero": "affero",
+    "licensed under the gnu lesser": "lesser",
+    "licensed under cc by 4 0": "cc 4",
+    "licensed under cc by nc 4 0": "cc nc 4",
+    "licensed under cc by sa 4 0": "cc sa 4",
+    "licensed under cc by nd 4 0": "cc nd 4",
+    "licensed under cc by nc sa 4 0": "cc nc sa 4",
+    "licensed under cc by nc nd 4 0": "cc nc nd 4",
+    "licensed under a creative commons attribution 4 0": "creative commons 4",
+    "licensed under a creative commons attribution sharealike": "sharealike 4",
+    "licensed under a creative commons attribution noncommercial": "noncommercial 4",
+    "licensed under a creative commons attribution noderivatives": "noderivatives 4",
+    "this source code form is subject to the terms of the mozilla": "mozilla",
+    "made available under the terms of the eclipse": "eclipse",
+    "distributed under the boost software license": "boost",
+    "dedicated to the public domain under the cc0": "cc0",
+}
 
 #: Template k-grams of one broadcast; a larger template set is joined in several.
 MAX_BROADCAST_GRAMS = 100_000
@@ -53,11 +94,11 @@ def normalised_words(text: Column) -> Column:
     return F.filter(F.split(plain, " "), lambda w: w != "")
 
 
-def template_grams(spark: SparkSession, rows: list[tuple[int, str, list[str]]], k: int) -> DataFrame:
-    """One row per template k-gram: template, label, its words, position, hash."""
-    base = spark.createDataFrame(rows, "template int, label string, t_words array<string>")
+def template_grams(spark: SparkSession, rows: list[tuple[int, str, list[str], list[str]]], k: int) -> DataFrame:
+    """One row per template k-gram: template, label, its words, those that a span needs, position, hash."""
+    base = spark.createDataFrame(rows, "template int, label string, t_words array<string>, t_need array<string>")
     return base.select(
-        "template", "label", "t_words",
+        "template", "label", "t_words", "t_need",
         F.posexplode(F.transform(
             F.sequence(F.lit(0), F.size("t_words") - k),
             lambda i: F.xxhash64(F.slice("t_words", i + 1, k)))).alias("t_pos", "gram"))
@@ -91,17 +132,22 @@ def _common_length(a: Column, b: Column) -> Column:
     return F.element_at(F.aggregate(a, F.array_repeat(F.lit(0), F.size(b) + 1), row), -1)
 
 
-def _blocks_of(templates: list[tuple[str, str]], k: int) -> list[list[tuple[int, str, list[str]]]]:
+def needed_words(text: str) -> list[str]:
+    """The distinctive words of a template."""
+    return [w for start, words in DISTINCTIVE.items() if f"{text} ".startswith(f"{start} ") for w in words.split()]
+
+
+def _blocks_of(templates: list[tuple[str, str]], k: int) -> list[list[tuple[int, str, list[str], list[str]]]]:
     """Numbered templates with their words, in blocks of at most ``MAX_BROADCAST_GRAMS`` grams; one block at least."""
-    out: list[list[tuple[int, str, list[str]]]] = [[]]
+    out: list[list[tuple[int, str, list[str], list[str]]]] = [[]]
     grams = 0
     for number, (label, text) in enumerate(templates):
-        words = text.split()
+        words, need = text.split(), needed_words(text)
         grams += max(1, len(words) - k + 1)
         if grams > MAX_BROADCAST_GRAMS and out[-1]:
             out.append([])
             grams = max(1, len(words) - k + 1)
-        out[-1].append((number, label, words))
+        out[-1].append((number, label, words, need))
     return out
 
 
@@ -121,7 +167,7 @@ def _votes(rolled: DataFrame, grams: DataFrame, drift: int, min_score: float) ->
             F.coalesce(F.size("starts"), F.lit(0)).cast("long").alias("n_base"),
             F.array_min("starts").cast("long").alias("first_word"),
             F.array_max("starts").cast("long").alias("last_word"),
-            F.col("base_list"))).alias("base"), "template", "label", "t_words", "diagonal", "first", F.when(~own, F.slice(
+            F.col("base_list"))).alias("base"), "template", "label", "t_words", "t_need", "diagonal", "first", F.when(~own, F.slice(
             "words", F.col("first") + 1, F.greatest(F.lit(0), F.least(F.col("diagonal") + size + drift, F.size("words")) - F.col("first")))).alias("around"))
     in_band = F.size(F.filter("t_words", lambda t, i: F.exists(
         F.sequence(F.lit(-drift), F.lit(drift)), lambda d: _same(F.col("around"), F.col("diagonal") - F.col("first") + i + d, t))))
@@ -137,8 +183,9 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A span's score is the number of words that text and template have in common
     in order, over the greater of the span's and the template's length, so
     changed, lost, added and swapped words all count. ``min_score``: what a span
-    needs for its label. ``drift``: diagonals at most so far from each other
-    are one span. Of overlapping spans only those with the greatest score stay.
+    needs for its label, beside the words of ``DISTINCTIVE`` for its template, so
+    the name of another license or version is not taken for this one.
+    ``drift``: diagonals at most so far from each other are one span. Of overlapping spans only those with the greatest score stay.
     ``score`` is 1 where a base phrase stands, else that of the best span. A
     null or empty text has no words, no labels and score 0. Rows that repeat an
     id and its text give equal rows; other columns are ignored.
@@ -174,14 +221,14 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         grams = template_grams(spark, block, k)
         if votes is None:
             grams = grams.unionByName(spark.createDataFrame(
-                [(-1, None, None, 0, -1)], "template int, label string, t_words array<string>, t_pos int, gram bigint"))
+                [(-1, None, None, None, 0, -1)], "template int, label string, t_words array<string>, t_need array<string>, t_pos int, gram bigint"))
         part = _votes(rolled, grams, drift, min_score)
         votes = part if votes is None else votes.unionByName(part)
 
     # One shuffle: everything below groups by columns that begin with the text.
     by_diagonal = votes.repartition(*[F.col(c) for c in by_text]).groupBy(*by_text, "template", "diagonal").agg(
         F.count(F.lit(1)).alias("n_votes"), F.first("base").alias("base"), F.first("label").alias("label"),
-        F.first("t_words").alias("t_words"), F.first("first").alias("first"), F.first("around").alias("around"))
+        F.first("t_words").alias("t_words"), F.first("t_need").alias("t_need"), F.first("first").alias("first"), F.first("around").alias("around"))
     near = Window.partitionBy(*by_text, "template").orderBy("diagonal").rangeBetween(-drift, drift)
     merged = by_diagonal.withColumn("most", F.max("n_votes").over(near)).filter(F.col("n_votes") == F.col("most"))
     # Places of ``around`` that match the template somewhere in the band; the span lies between the outer ones.
@@ -195,7 +242,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def cut(a: Column, b: Column) -> Column:
         """Score, length (negative) and start of the copy without its first ``a`` and last ``b`` words."""
         part = F.slice("copy", a + 1, F.greatest(F.size("copy") - a - b, F.lit(0)))
-        value = F.when(F.size(part) > 0, _common_length(F.col("t_words"), part) / F.greatest(F.size("t_words"), F.size(part))).otherwise(0.0)
+        whole = F.forall("t_need", lambda w: F.array_contains(part, w))
+        value = F.when((F.size(part) > 0) & whole, _common_length(F.col("t_words"), part) / F.greatest(F.size("t_words"), F.size(part))).otherwise(0.0)
         return F.struct(value.alias("value"), (-F.size(part)).alias("shorter"), a.alias("skipped"))
 
     # A word beside the copy may match the template by chance, so the ends are tried up to the width of the band.

@@ -26,8 +26,9 @@ SCALE = 256
 COMPONENTS = 4
 #: Departure of the orthogonalised rows from orthonormal ones (or from a projection, where columns depend on each other) that ends the passes.
 TOLERANCE, MOST_PASSES = 1e-12, 12
-#: A component counts if its variance is more than this share of the largest one.
-LEAST_VARIANCE = 1e-13
+#: A component counts if its variance is more than this share of the largest one. Where columns depend on each other, every factor takes what R holds
+#: of such a direction down by its shift's square root, so after so many factors it is far below.
+LEAST_VARIANCE, FACTORS_IF_DEPENDENT = 1e-18, 4
 #: Columns that one triangular solve treats at once.
 BLOCK = 64
 #: Rows that are worked on at once.
@@ -151,7 +152,8 @@ def triangular_factor(fit: DataFrame, d: int, n: int, sums: list[int]) -> tuple[
         if not gram.any():                               # all rows are equal
             return np.zeros((d, d)), done
         off = float(np.abs(gram @ gram - gram).max())
-        if factors and off <= TOLERANCE:
+        dependent = float(np.linalg.eigvalsh(gram)[0]) < 0.5
+        if factors and off <= TOLERANCE and (not dependent or len(factors) >= FACTORS_IF_DEPENDENT):
             break
         first = 11.0 * (n * d + d * (d + 1)) * np.finfo(float).eps * float(np.linalg.norm(gram, 2))
         factors.append(_factor(gram, 0.0 if factors else first))
