@@ -87,6 +87,43 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the quality rules measure, without the verdict of the sketches."""
+    return quality_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of the base phrases, without the labels of templates."""
+    return license_scan(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base spans of personal data, without those of the classifier."""
+    return personal_data(table(spark, sf_dir, "documents")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
+def _pii_sql() -> str:
+    digits = "regexp_replace(x.w, '[^0-9]', '', 'g')"
+    luhn = (f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN (length({digits}) - i) % 2 = 0 THEN CAST({digits}[i] AS INTEGER) "
+            f"ELSE CAST({digits}[i] AS INTEGER) * 2 - CASE WHEN CAST({digits}[i] AS INTEGER) > 4 THEN 9 ELSE 0 END END)) % 10 = 0")
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+        "ip": (r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "list_max(list_transform(string_split(x.w, '.'), lambda y: CAST(y AS HUGEINT))) <= 255"),
+        "card": (r"[0-9](?:[\x20-]?[0-9])+", f"CASE WHEN length({digits}) BETWEEN 16 AND 19 THEN {luhn} ELSE false END"),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"length({digits}) BETWEEN 8 AND 15")}
+    parts = [f"""SELECT doc_id, {n} AS k, '{kind}' AS kind, unnest(list_transform(range(1, len(m) + 1), lambda i: {{'s': list_sum(list_transform(p[1:i], lambda y: length(y)))
+        + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0), 'w': m[i]}})) AS x FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS p
+        FROM d WHERE regexp_matches(text, '{pattern}'))""" for n, (kind, (pattern, _)) in enumerate(kinds.items())]
+    kept = " OR ".join(f"(kind = '{kind}' AND {test})" for kind, (_, test) in kinds.items())
+    return f"""
+WITH d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL)
+, f AS ({' UNION ALL '.join(parts)})
+, v AS (SELECT doc_id, k, kind, CAST(x.s AS BIGINT) AS s, length(x.w) AS n FROM f WHERE {kept})
+SELECT a.doc_id, {', '.join(f"count(*) FILTER (v.kind = '{kind}') AS n_{kind}" for kind in kinds)},
+       sha256(coalesce(string_agg(v.kind || ':' || v.s || ':' || (v.s + v.n), ',' ORDER BY v.k, v.s), '')) AS base_sha256
+FROM documents a LEFT JOIN v ON a.doc_id = v.doc_id GROUP BY a.doc_id"""
+
+
 QUERIES = {
     "op1_quality_cnn": op1_quality_cnn,
     "op2_toxicity": op2_toxicity,
@@ -101,6 +138,9 @@ QUERIES = {
     "op11_prefix_trie": op11_prefix_trie,
     "op12_pii": op12_pii,
     "op13_whitening": op13_whitening,
+    "quality_base": quality_base,
+    "license_base": license_base,
+    "pii_base": pii_base,
 }
 
 #: SQL of those queries that SQL can express; the others are tested against brute force, round trips or held-out rows.
@@ -147,4 +187,20 @@ WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0
           FROM o JOIN x ON x.conv_id = o.conv_id AND x.depth <= o.depth GROUP BY ALL)
 SELECT o.conv_id, o.depth, up.conv_id AS parent_conv_id, o.n_convs, o.n_children, sub.n_leaves, sub.saved_tokens, o.ends_sha256
 FROM o JOIN sub ON o.depth = sub.depth AND o.node = sub.node LEFT JOIN n up ON up.depth = o.depth - 1 AND up.node = o.above""",
+    "pii_base": _pii_sql(),
+    "quality_base": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)
+, l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id)
+, g AS (SELECT doc_id, unnest(range(1, len(w) - 6)) AS i, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS g FROM d WHERE len(w) >= 8)
+, r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n >= 2)
+, c AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM r, (SELECT unnest(range(8)) AS o) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+       coalesce(l.n, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(w) < 20 OR 100 * coalesce(c.n, 0) > 30 * len(w) AS base_failed
+FROM d LEFT JOIN l ON d.doc_id = l.doc_id LEFT JOIN c ON d.doc_id = c.doc_id""",
+    "license_base": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents)
+, p(phrase, label) AS (VALUES (['cc', 'by'], 'cc-by'), (['general', 'public', 'license'], 'gpl'), (['all', 'rights', 'reserved'], 'reserved'))
+, h AS (SELECT doc_id, label, unnest(list_filter(range(len(w)), lambda i: w[i + 1:i + len(phrase)] = phrase)) AS at FROM d, p)
+SELECT d.doc_id, len(d.w) AS n_words, count(h.at) AS n_base, min(h.at) AS first_word, max(h.at) AS last_word, coalesce(string_agg(DISTINCT h.label, ',' ORDER BY h.label), '') AS base_labels
+FROM d LEFT JOIN h ON d.doc_id = h.doc_id GROUP BY d.doc_id, d.w""",
 }

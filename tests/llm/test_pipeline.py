@@ -78,7 +78,7 @@ def test_stages_on_odd_rows(spark, sf):
 @pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
 def test_query_equals_its_sql(spark, name, folder):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         con.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
     expected = con.execute(ORACLES[name])
     columns = [c[0] for c in expected.description]
