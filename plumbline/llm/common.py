@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -41,14 +42,22 @@ def give_back() -> None:
         trim(0)
 
 
+#: Batches after which a worker gives back what it has freed.
+TIDY_EVERY = 8
+
+
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """The same function of batches, which at the end gives the memory it has freed back to the system.
+    """The same function of batches, which on its way and at the end gives the memory it has freed back to the system.
 
     Python workers outlive their tasks, and what one operator has freed would
     else stay with the idle worker while another runs.
     """
     def tidied(batches: Iterator) -> Iterator:
-        yield from run(batches)
+        for n, batch in enumerate(run(batches), 1):
+            yield batch
+            if n % TIDY_EVERY == 0:
+                give_back()
+        gc.collect()
         give_back()
 
     return tidied
