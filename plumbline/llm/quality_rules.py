@@ -23,8 +23,6 @@ WINDOW = 8
 #: Measures with an upper fence, and those with a lower one.
 UPPER = ("symbol_rate", "dup_line_rate", "repeat_rate", "mean_word")
 LOWER = ("mean_word",)
-#: Least spread of a measure: where most values of a group are equal, its fence stands so much off them, times ``spread``.
-MIN_SPREAD = 0.05
 
 
 def window_hashes(words: Column, window: int = WINDOW) -> Column:
@@ -79,12 +77,19 @@ def with_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _rates(measures: DataFrame) -> DataFrame:
-    n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
+    """The measures that get fences. Rates count one case in advance (a symbol, a repeated line, a window of words).
+
+    Most texts hold no case, and plain rates of theirs are all 0, whose
+    quantiles say nothing. With one case in advance such a text has the rate
+    that its length leaves possible, so the quantiles of a group tell what one
+    case weighs in its texts.
+    """
+    n = F.col("n_words").cast("double")
     return measures.withColumns({
-        "symbol_rate": F.col("n_symbols") / n,
-        "dup_line_rate": F.col("n_dup_lines") / F.col("n_lines").cast("double"),
-        "repeat_rate": F.col("n_repeat_words") / n,
-        "mean_word": F.col("word_chars") / n,
+        "symbol_rate": (F.col("n_symbols") + 1) / (n + 1),
+        "dup_line_rate": (F.col("n_dup_lines") + 1) / (F.col("n_lines").cast("double") + 1),
+        "repeat_rate": (F.col("n_repeat_words") + WINDOW) / (n + WINDOW),
+        "mean_word": F.col("word_chars") / F.greatest(n, F.lit(1.0)),
     })
 
 
@@ -102,47 +107,56 @@ def merged_sketches(sketches: DataFrame, group_cols: list[str]) -> DataFrame:
         *[F.kll_merge_agg_double(f"sketch_{m}").alias(f"sketch_{m}") for m in UPPER])
 
 
-def thresholds(sketches: DataFrame, spread: float = 2.5, tail: float = 0.1) -> DataFrame:
-    """Upper fence high + spread * (high - median) with high the 1 - tail quantile; lower fence mirrored.
+def quantiles(sketches: DataFrame, tail: float) -> DataFrame:
+    """Three quantiles of every measure in place of its sketch: low, middle, high."""
+    return sketches.select(*[c for c in sketches.columns if not c.startswith("sketch_")], *[
+        F.kll_sketch_get_quantile_double(F.col(f"sketch_{m}"), F.lit(at)).alias(f"{name}_{m}")
+        for m in UPPER for name, at in (("low", tail), ("middle", 0.5), ("high", 1 - tail))])
 
-    Both come from the group's own sketch alone. A group's fence holds as long as junk is less than ``tail`` of it.
-    """
-    def q(m: str, at: float) -> Column:
-        return F.kll_sketch_get_quantile_double(F.col(f"sketch_{m}"), F.lit(at))
 
-    def wide(x: Column) -> Column:
-        return spread * F.greatest(x, F.lit(MIN_SPREAD))
+def thresholds(sketches: DataFrame, group_cols: list[str], spread: float = 2.5, tail: float = 0.1, prior_rows: int = 20) -> DataFrame:
+    """Upper fence high + spread * (high - median) with high the 1 - tail quantile; lower fence mirrored.
 
-    upper = {f"max_{m}": q(m, 1 - tail) + wide(q(m, 1 - tail) - q(m, 0.5)) for m in UPPER}
-    lower = {f"min_{m}": q(m, tail) - wide(q(m, 0.5) - q(m, tail)) for m in LOWER}
-    return sketches.withColumns(upper | lower).drop(*[f"sketch_{m}" for m in UPPER])
+    The quantiles of a group are drawn towards those of its first group column
+    (the language), whose merged sketches count as ``prior_rows`` more rows: a
+    group of few rows has nearly the fences of its language, one of many its
+    own, without a step between. A group's fence holds as long as junk is less
+    than ``tail`` of it.
+    """
+    own = quantiles(sketches, tail)
+    wide = quantiles(merged_sketches(sketches, group_cols[:1]), tail).drop("n_rows")
+    weight = F.col("o.n_rows") / (F.col("o.n_rows") + F.lit(float(prior_rows)))
+    names = [c for c in wide.columns if c not in group_cols]
+    # Equal values stay equal to the last bit.
+    drawn = own.alias("o").join(wide.alias("w"), F.col(f"o.{group_cols[0]}").eqNullSafe(F.col(f"w.{group_cols[0]}"))).select(
+        *[f"o.{c}" for c in group_cols], *[(F.col(f"w.{c}") + (F.col(f"o.{c}") - F.col(f"w.{c}")) * weight).alias(c) for c in names])
+    upper = [(F.col(f"high_{m}") + spread * (F.col(f"high_{m}") - F.col(f"middle_{m}"))).alias(f"max_{m}") for m in UPPER]
+    lower = [(F.col(f"low_{m}") - spread * (F.col(f"middle_{m}") - F.col(f"low_{m}"))).alias(f"min_{m}") for m in LOWER]
+    return drawn.select(*group_cols, *upper, *lower)
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   group_cols: tuple[str, ...] = ("lang", "source"), spread: float = 2.5, k: int = 400,
-                  min_rows: int = 50) -> DataFrame:
+                  prior_rows: int = 20) -> DataFrame:
     """doc_id, n_words, the base counts, base_failed, kept, and the thresholds that applied.
 
     Every input row gives one row. Null group values form groups of their own.
     Documents that fail the base rule do not enter the sketches, so a source
-    full of junk does not raise its own fences. A group with fewer than
-    ``min_rows`` rows takes the fences of its first group column (the
-    language), from the merged sketches. An empty table gives no rows.
+    full of junk does not raise its own fences. Where a group has no other
+    documents there are no fences. ``prior_rows``: see ``thresholds``. An empty
+    table gives no rows.
     """
     keys = [f"group_{i}" for i in range(len(group_cols))]
     measured = _rates(with_measures(docs, id_col, text_col, group_cols)).withColumn(
         "base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     measured = materialize(measured)
     sketches = group_sketches(measured.filter(~F.col("base_failed")), keys, k)
-    own = thresholds(sketches.filter(F.col("n_rows") >= min_rows), spread).drop("n_rows")
-    wide = thresholds(merged_sketches(sketches, keys[:1]), spread).drop("n_rows")
+    fenced = thresholds(sketches, keys, spread, prior_rows=prior_rows)
     fences = [f"max_{m}" for m in UPPER] + [f"min_{m}" for m in LOWER]
     on = F.lit(True)
     for c in keys:
         on = on & F.col(f"m.{c}").eqNullSafe(F.col(f"f.{c}"))
-    joined = (measured.alias("m").join(own.alias("f"), on, "left")
-              .join(wide.alias("w"), F.col(f"m.{keys[0]}").eqNullSafe(F.col(f"w.{keys[0]}")), "left")
-              .select("m.*", *[F.coalesce(f"f.{c}", f"w.{c}").alias(c) for c in fences]))
+    joined = measured.alias("m").join(fenced.alias("f"), on, "left").select("m.*", *[f"f.{c}" for c in fences])
     ok = ~F.col("base_failed")
     for m in UPPER:
         ok = ok & (F.col(m) <= F.coalesce(F.col(f"max_{m}"), F.lit(float("inf"))))

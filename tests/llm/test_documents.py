@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import struct
@@ -290,47 +291,64 @@ def test_thresholds_of_given_groups_differ(spark):
 
 
 def test_verdicts_against_exact_quantiles(spark):
-    """Fences from exact quantiles a rank error below and above: what lies beyond both is rejected, what lies within both is kept."""
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("source in ('src2', 'src5', 'src9')").select("doc_id", "text", "lang", "source")
+    """Fences from exact quantiles a rank error below and above, in all groups: what lies beyond both is rejected, what lies within both is kept."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("source in ('src2', 'src5', 'src9') or doc_id % 10 = 3").select("doc_id", "text", "lang", "source")
     rows = {r["doc_id"]: r for r in quality_rules.quality_rules(docs).collect()}
-    measures, groups = {}, defaultdict(list)
+    measures, groups, wide, group = {}, defaultdict(list), defaultdict(list), {}
     for r in docs.collect():
         n_words, chars, symbols, dup, repeat = _brute_rules(r["text"] or "")
         lines = max(1, sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in (r["text"] or "").split("\n")))
-        n = max(n_words, 1)
-        measures[r["doc_id"]] = {"symbol_rate": symbols / n, "dup_line_rate": dup / lines, "repeat_rate": repeat / n, "mean_word": chars / n}
+        measures[r["doc_id"]] = {"symbol_rate": (symbols + 1) / (n_words + 1), "dup_line_rate": (dup + 1) / (lines + 1),
+                                 "repeat_rate": (repeat + 8) / (n_words + 8), "mean_word": chars / max(n_words, 1)}
+        group[r["doc_id"]] = r["lang"], r["source"]
         if not rows[r["doc_id"]]["base_failed"]:
             groups[r["lang"], r["source"]].append(r["doc_id"])
-    checked = total = rejected = 0
-    for ids in groups.values():
-        if len(ids) < 60:
-            continue
+            wide[r["lang"]].append(r["doc_id"])
+    values = {(at, m): sorted(measures[i][m] for i in ids) for at, ids in [*groups.items(), *wide.items()] for m in quality_rules.UPPER}
 
-        def q(m, at, ids=ids):
-            return float(np.quantile([measures[i][m] for i in ids], min(1, max(0, at)), method="inverted_cdf"))
+    def q(at, m, p):
+        x = values[at, m]
+        return x[min(len(x), max(1, math.ceil(round(p * len(x), 6)))) - 1]
 
-        def fences(m, e):
-            """Upper fence with quantiles ``e`` off in the direction that moves it."""
-            high = q(m, 0.9 + e)
-            return high + 2.5 * max(high - q(m, 0.5 - e), quality_rules.MIN_SPREAD)
+    def drawn(g, m, p, e):
+        """Quantile of a group drawn to its language; only large sketches have an error."""
+        n = len(values[g, m])
+        a, b = q(g, m, p), q(g[0], m, p + (e if len(values[g[0], m]) > 300 else 0))
+        return b + (a - b) * n / (n + 20)
 
-        def low_fence(m, e):
-            low = q(m, 0.1 - e)
-            return low - 2.5 * max(q(m, 0.5 + e) - low, quality_rules.MIN_SPREAD)
+    def high_fence(g, m, e):
+        high = drawn(g, m, 0.9, e)
+        return high + 2.5 * (high - drawn(g, m, 0.5, -e))
 
-        error = 0.02
+    def low_fence(g, m, e):
+        low = drawn(g, m, 0.1, -e)
+        return low - 2.5 * (drawn(g, m, 0.5, e) - low)
+
+    error, checked, total, rejected, small = 0.02, 0, 0, 0, 0
+    for g, ids in groups.items():
         for i in ids:
             x = measures[i]
-            sure_out = any(x[m] > fences(m, error) + 1e-9 for m in quality_rules.UPPER) or x["mean_word"] < low_fence("mean_word", error) - 1e-9
-            sure_in = all(x[m] <= fences(m, -error) - 1e-9 for m in quality_rules.UPPER) and x["mean_word"] >= low_fence("mean_word", -error) + 1e-9
+            sure_out = any(x[m] > high_fence(g, m, error) + 1e-9 for m in quality_rules.UPPER) or x["mean_word"] < low_fence(g, "mean_word", error) - 1e-9
+            sure_in = all(x[m] <= high_fence(g, m, -error) - 1e-9 for m in quality_rules.UPPER) and x["mean_word"] >= low_fence(g, "mean_word", -error) + 1e-9
             total += 1
             if sure_out or sure_in:
                 checked += 1
                 rejected += sure_out
-                assert rows[i]["kept"] == sure_in, (i, x)
-    assert total > 500
+                small += sure_out and len(ids) < 50
+                assert rows[i]["kept"] == sure_in, (i, g, x)
+    assert total > 1000
     assert checked > 0.95 * total
-    assert rejected > 10
+    assert rejected > 20
+    assert small > 5
+
+
+def test_every_fence_varies(spark):
+    """No measure has one cutoff for all groups, few rows or many."""
+    for sf in ("sf0.01", "sf0.1"):
+        rows = quality_rules.quality_rules(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"))
+        fences = rows.filter("not base_failed").select("max_symbol_rate", "max_dup_line_rate", "max_repeat_rate", "max_mean_word", "min_mean_word").distinct().toPandas()
+        assert fences.nunique().min() > 20, sf
+
 
 
 # --- license scan
