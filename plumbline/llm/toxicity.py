@@ -3,9 +3,9 @@
 The lexicon is learned from labelled texts. Every distinct word of a block is
 tested once: a length and letter-set filter that never loses a match, then a
 Levenshtein automaton run over the lexicon's trie (both advance byte by byte;
-a branch ends when no state is alive). A word that stands in clean texts is no
-misspelling, and a term whose near words are common there is matched as it
-stands. Each hit is scored by its window of words: quotation marks and words of
+a branch ends when no state is alive). A form that stands in clean texts is no
+misspelling, and a term with near forms that a sample of clean texts cannot
+list is matched as it stands. Each hit is scored by its window of words: quotation marks and words of
 reporting lower it, address and further hits raise it. A logistic model over
 the sums per text gives the score; its weights start from a prior, so that what
 the labelled texts hold no case of (a quotation, say) still counts.
@@ -70,7 +70,12 @@ class TermTrie:
             node["stem" if term.endswith("*") else "end"] = (number, edits)
 
     def match(self, word: bytes) -> tuple[int, int] | None:
-        """(edits, term) of the nearest term within its allowed edits; ties go to the first term.
+        """(edits, term) of the nearest term within its allowed edits; ties go to the first term."""
+        found = self.nearest(word)
+        return found and found[:2]
+
+    def nearest(self, word: bytes) -> tuple[int, int, int] | None:
+        """The same and how many bytes of the word stand for the term: all, or for a stem the shortest nearest beginning.
 
         A state of the automaton holds the edit distances between the path in
         the trie and the prefixes of the word whose length differs from the
@@ -79,20 +84,20 @@ class TermTrie:
         """
         k, n = self.root["most"], len(word)
         dead = k + 1
-        best: tuple[int, int] | None = None
+        best: tuple[int, int, int] | None = None
         stack = [(self.root, 0, [dead] * k + list(range(k + 1)))]    # node, depth, distance at prefix length depth + d - k
         while stack:
             node, depth, state = stack.pop()
             end = node.get("end")
             if end and -k <= n - depth <= k:
                 edits = state[n - depth + k]
-                if edits <= end[1] and (best is None or (edits, end[0]) < best):
-                    best = (edits, end[0])
+                if edits <= end[1] and (best is None or (edits, end[0]) < best[:2]):
+                    best = (edits, end[0], n)
             stem = node.get("stem")
             if stem:
-                edits = min(v for d, v in enumerate(state) if 0 <= depth + d - k <= max(n, 0)) if depth - k <= n else dead
-                if edits <= stem[1] and (best is None or (edits, stem[0]) < best):
-                    best = (edits, stem[0])
+                edits, size = min((v, depth + d - k) for d, v in enumerate(state) if 0 <= depth + d - k <= n) if depth - k <= n else (dead, 0)
+                if edits <= stem[1] and (best is None or (edits, stem[0]) < best[:2]):
+                    best = (edits, stem[0], size)
             for byte, child in node.items():
                 if isinstance(byte, str):
                     continue
@@ -147,13 +152,13 @@ def _term(term: str, k: int) -> _Term:
 
 
 class _Matcher:
-    """Term and edits of each distinct word, remembered between blocks. ``ordinary``: words that count as no misspelling."""
+    """Term and edits of each distinct word, remembered between blocks. ``ordinary``: forms that count as no misspelling."""
 
     def __init__(self, terms: list[str], edits: list[int] | None = None, ordinary: Iterable[bytes] = ()):
         edits = default_edits(terms) if edits is None else edits
         self.trie = TermTrie(terms, edits)
         self.terms = [_term(t, k) for t, k in zip(terms, edits, strict=True) if k]
-        self.ordinary = np.array([hash_bytes(w) for w in ordinary], np.uint64)
+        self.ordinary = frozenset(ordinary)
         self.whole = self._numbered({n: t.encode() for n, t in enumerate(terms) if not t.endswith("*")})
         stems = {n: t[:-1].encode() for n, t in enumerate(terms) if t.endswith("*")}
         self.stems = {size: self._numbered({n: t for n, t in stems.items() if len(t) == size}) for size in {len(t) for t in stems.values()}}
@@ -217,11 +222,10 @@ class _Matcher:
         hit, number = self._lookup(self.whole, hasher(start, end))
         found[hit] = np.where(found[hit] > 0, np.minimum(found[hit], 1 + 4 * number), 1 + 4 * number)
         maybe &= found == 0
-        if len(self.ordinary):
-            maybe[maybe] = ~np.isin(hasher(start[maybe], end[maybe]), self.ordinary)
         for i in np.flatnonzero(maybe):
-            match = self.trie.match(block[start[i]:end[i]].tobytes())
-            if match:
+            word = block[start[i]:end[i]].tobytes()
+            match = self.trie.nearest(word)
+            if match and word[:match[2]] not in self.ordinary:
                 found[i] = 1 + 4 * match[1] + match[0]
         out[by_length] = found
         return out
@@ -255,15 +259,17 @@ def hit_score(before: str, after: str, edits: int, others: int) -> tuple[float,
     return score * (1 + 0.1 * min(others, 5)), quoted
 
 
-def near_words(texts: DataFrame, terms: list[str], text_col: str = "text") -> DataFrame:
-    """term (its number), word and first (of its text) for every distinct word of every text that matches a term with edits, and the label of its text."""
+def near_forms(texts: DataFrame, terms: list[str], text_col: str = "text") -> DataFrame:
+    """term (its number), edits and form for every distinct form in every text that matches a term with edits.
+
+    A form is the word, or for a stem the beginning of the word that stands for it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher, inside, plain = _Matcher(terms), _word_table(), _plain_bytes()
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
-            seen: dict[tuple[int, int, bytes], bool] = {}
-            met: set[tuple[int, int]] = set()
+            seen: set[tuple[int, int, int, bytes]] = set()
             for first, block, at in blocks(data, offsets):
                 start, end, row = word_bounds(block, at, inside)
                 if not len(start):
@@ -271,36 +277,41 @@ def near_words(texts: DataFrame, terms: list[str], text_col: str = "text") -> Da
                 mapped = plain[block]
                 hasher = Hasher(mapped)
                 hashes, one, inverse = np.unique(hasher(start, end), return_index=True, return_inverse=True)
-                found = matcher(hashes, mapped, hasher, start[one], end[one])[inverse]
+                found = matcher(hashes, mapped, hasher, start[one], end[one])
+                forms = {}
                 for i in np.flatnonzero((found > 0) & ((found - 1) % 4 > 0)):
-                    r, term = first + int(row[i]), int(found[i] - 1) // 4
-                    seen.setdefault((r, term, mapped[start[i]:end[i]].tobytes()), (r, term) not in met)
-                    met.add((r, term))
-            rows = pa.array([k[0] for k in seen], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("label").take(rows), pa.array([k[1] for k in seen], pa.int32()), pa.array([k[2] for k in seen], pa.binary()),
-                 pa.array(list(seen.values()), pa.bool_())], ["label", "term", "word", "first"])
+                    word = mapped[start[one[i]]:end[one[i]]].tobytes()
+                    edits, term, size = matcher.trie.nearest(word)
+                    forms[int(i)] = (term, edits, word[:size])
+                for i in np.flatnonzero(np.isin(inverse, list(forms))):
+                    seen.add((first + int(row[i]), *forms[int(inverse[i])]))
+            _, term, edits, form = zip(*sorted(seen), strict=True) if seen else ((),) * 4
+            yield pa.RecordBatch.from_arrays([pa.array(term, pa.int32()), pa.array(edits, pa.int32()), pa.array(form, pa.binary())], ["term", "edits", "form"])
 
-    return texts.select(F.col("label").cast("int"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "label int, term int, word binary, first boolean")
+    return texts.select(F.col(text_col).alias("text")).mapInArrow(tidy(run), "term int, edits int, form binary")
 
 
 def learn_edits(sample: DataFrame, terms: list[str], near_share: float = 0.002) -> tuple[list[int], list[bytes]]:
-    """Edits allowed to each term, and the ordinary words near the terms.
-
-    ``sample``: a bounded sample of texts with ``label``. A term with a near
-    word in more than ``near_share`` of the clean texts has ordinary
-    neighbours, so it is allowed no edits; near words of the other terms that
-    clean texts hold are no misspellings.
+    """Edits allowed to each term, and the ordinary forms near the terms.
+
+    ``sample``: a bounded sample of texts with ``label``. Forms that stand in
+    clean texts are no misspellings, however common they are. What is left to
+    fear is an ordinary form that the sample does not show: a further clean
+    text holds one with a chance of about the number of forms that stand in one
+    clean text only over the number of clean texts (Good and Turing's
+    estimate). A term gets the most edits with which that chance is at most
+    ``near_share``. Texts that are equal count once.
     """
     edits = default_edits(terms)
-    near = materialize(near_words(sample, terms).filter("label = 0"))
-    limit = near_share * sample.filter("label = 0").count()
-    for r in near.filter("first").groupBy("term").count().collect():       # at most as many rows as terms
-        if r["count"] > limit:
-            edits[r["term"]] = 0
-    open_terms = [n for n, k in enumerate(edits) if k]
-    ordinary = near.filter(F.col("term").isin(open_terms)).select("word").distinct().collect() if open_terms else []
-    return edits, sorted(bytes(r["word"]) for r in ordinary)
+    clean = sample.filter("label = 0").select("text").distinct()
+    size = clean.count()
+    counts = near_forms(clean, terms).groupBy("term", "edits", "form").count().collect()      # forms of a bounded sample
+    for number, most in enumerate(edits):
+        own = [r for r in counts if r["term"] == number]
+        while most and sum(r["count"] == 1 for r in own if r["edits"] <= most) > near_share * size:
+            most -= 1
+        edits[number] = most
+    return edits, sorted({bytes(r["form"]) for r in counts if r["edits"] <= edits[r["term"]]})
 
 
 def hit_features(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text", edits: list[int] | None = None,

@@ -242,12 +242,46 @@ def test_edits_and_context_earn_their_place(spark, monkeypatch):
     assert np.mean(full["abuse"]) > np.mean(full["quoted"]) + 0.1
 
 
+def test_learned_terms_keep_their_edits(spark):
+    """Of the terms that the labels of sf0.1 teach, half at least may be misspelt, and a misspelling scores more than without edits."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+    known = labels.filter(crc_mod("doc_id", 5) != 0).select("doc_id", F.col("toxic").cast("int").alias("label"))
+    sample = docs.join(toxicity.sample_per_class(known, "label", 4000), "doc_id").cache()
+    lexicon = toxicity.learn_lexicon(sample, label_col="label")
+    terms = list(lexicon)
+    edits, ordinary = toxicity.learn_edits(sample, terms)
+    learned = [n for n, t in enumerate(terms) if t not in toxicity.SEED_TERMS]
+    open_terms = [n for n in learned if edits[n]]
+    assert learned
+    assert 2 * len(open_terms) >= len(learned), [(t, k) for t, k in zip(terms, edits, strict=True)]
+    rng, rows = random.Random(5), []
+    for n in open_terms:
+        t, forms = terms[n].removesuffix("*"), set()
+        while len(forms) < 5:
+            at = rng.choice([i for i in range(1, len(t)) if t[i].isascii()])     # edits are counted in bytes
+            bent = t[:at] + rng.choice("qxyzvk") + t[at + 1:]
+            if bent != t:
+                forms.add(bent)
+        rows += [(len(rows) + i, f"you are {x}{'en' if terms[n].endswith('*') else ''} indeed") for i, x in enumerate(sorted(forms))]
+    planted = spark.createDataFrame(rows, "doc_id bigint, text string")
+
+    def hit(k):
+        return sum(r["fuzzy"] > 0 for r in toxicity.hit_features(planted, terms, edits=k, ordinary=ordinary).collect())
+
+    assert hit(edits) > 0.8 * len(rows)
+    assert hit([0] * len(terms)) == 0
+
+
 def test_ordinary_words_are_no_misspellings(spark):
     texts = [(0, "the badge word stupor")] * 3 + [(0, f"plain {i}") for i in range(997)] + [(1, "badgex")]
     sample = spark.createDataFrame(texts, "label int, text string")
     edits, ordinary = toxicity.learn_edits(sample, ["badger", "stupir", "plaun"], near_share=0.01)
-    assert edits == [1, 1, 0]                                   # "plain" is common
-    assert ordinary == [b"badge", b"stupor"]
+    assert edits == [1, 1, 1]
+    assert ordinary == [b"badge", b"plain", b"stupor"]          # "plain" is common, and known
+    many = sample.filter("label = 1 or text not like 'plain%'").unionByName(
+        spark.createDataFrame([(0, f"pla{chr(97 + i)}n plain{chr(97 + i)}") for i in range(26)], "label int, text string"))
+    assert toxicity.learn_edits(many, ["badger", "stupir", "plaun"], near_share=0.05)[0] == [1, 1, 0]   # 24 forms seen once
     docs = spark.createDataFrame([(1, "badge badgex"), (2, "stupir stupor"), (3, "plain")], "doc_id bigint, text string")
     got = {r["doc_id"]: r["n_hits"] for r in toxicity.hit_features(docs, ["badger", "stupir", "plaun"], edits=edits, ordinary=ordinary).collect()}
     assert got == {1: 1, 2: 1, 3: 0}
