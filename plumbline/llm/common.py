@@ -63,13 +63,39 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return tidied
 
 
-#: Keys of a few bytes that may be broadcast; more of them meet their rows by a shuffle.
+#: Keys of a few bytes that may be broadcast; of more of them a filter is.
 MAX_BROADCAST_KEYS = 1_000_000
+#: Bits of a filter for each key, and binary digits of the least and the most bits of all (4 kB, 32 MB).
+FILTER_BITS, LEAST_DIGITS, MOST_DIGITS = 64, 15, 28
+
+
+def with_filter(rows: DataFrame, keys: DataFrame, on: list[str], n_keys: int) -> DataFrame:
+    """``rows`` with a column ``_may``: false only where no row of ``keys`` has the same ``on``, columns of equal types.
+
+    A broadcast bitmap of hashes. While it has 64 bits a key, at most about one
+    row in 64 is true by chance; it stops growing at four million keys.
+    """
+    bits = 1 << max(LEAST_DIGITS, min(MOST_DIGITS, (FILTER_BITS * n_keys).bit_length()))
+    slot = F.pmod(F.xxhash64(*on), F.lit(bits))
+    word, place = F.shiftright(slot, 15), slot.bitwiseAND(F.lit((1 << 15) - 1))
+    maps = keys.select(word.alias("_word"), place.alias("_place")).groupBy("_word").agg(F.bitmap_construct_agg("_place").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    may = F.coalesce(F.getbit(byte, place.bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
+    return rows.withColumn("_word", word).join(F.broadcast(maps), "_word", "left").withColumn("_may", may).drop("_word", "_bits")
 
 
 def keyed_by(rows: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
-    """left_semi or left_anti join of wide rows with keys: without a shuffle of the rows while there are few keys. ``keys`` is counted, so it should be materialised."""
-    return rows.join(F.broadcast(keys) if keys.count() <= MAX_BROADCAST_KEYS else keys, on, how)
+    """left_semi or left_anti join of wide rows with keys (columns ``on``), without a shuffle of most rows that match none.
+
+    Few keys are broadcast; of many a filter is, and only rows that pass it are
+    shuffled. ``keys`` is counted, so it should be materialised.
+    """
+    n = keys.count()
+    if n <= MAX_BROADCAST_KEYS:
+        return rows.join(F.broadcast(keys), on, how)
+    told = with_filter(rows, keys, on, n)
+    met = told.filter("_may").drop("_may").join(keys, on, how)
+    return met if how == "left_semi" else met.unionByName(told.filter(~F.col("_may")).drop("_may"))
 
 
 #: A key counts as hot when it has more than this share of all rows, so there are fewer than 1 / HOT_SHARE hot keys.

@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import join_by_hot_key, materialize, shared_folder
+from plumbline.llm.common import HOT_SHARE, materialize, with_filter
+from plumbline.shared import remove, shared_folder
 
 #: Fixed values of the Zstandard and seekable formats.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_END = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -129,9 +130,10 @@ def with_record_types(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
     Of pages with equal payloads of at least ``least_bytes`` bytes the one with
     the smallest id is the response. A null html is an empty payload. Rows that
     repeat the smallest id are responses too; a row without an id is a revisit
-    if an equal payload has an id. Digests that repeat often are broadcast; where
-    the others are too many for Spark to broadcast them, pages are shuffled by
-    digest, payloads included.
+    if an equal payload has an id. Digests that repeat often are broadcast, and
+    so is a filter of all that repeat. Pages that are hot or do not pass the
+    filter stay where they are; where the other digests are too many for Spark to
+    broadcast them, their pages are shuffled by digest, payloads included.
     """
     rows = pages.select(
         F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"),
@@ -139,8 +141,14 @@ def with_record_types(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("bigint")).withColumn("payload_digest", F.sha2("payload", 256))
     counted = materialize(rows.filter(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(
         F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n_equal")).filter("n_equal > 1"))
-    total = counted.agg(F.sum("n_equal")).first()[0] or 0
-    typed = join_by_hot_key(rows, counted, ["payload_digest"], "n_equal", total, "left")
+    n_digests, total = counted.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_equal"), F.lit(0))).first()
+    hot = F.col("n_equal") > total * HOT_SHARE
+    often = counted.filter(hot).select("payload_digest", F.col("first_id").alias("hot_id"), F.lit(True).alias("is_hot"))
+    told = with_filter(rows, counted, ["payload_digest"], n_digests).join(F.broadcast(often), "payload_digest", "left")
+    moves = F.col("_may") & F.col("is_hot").isNull()
+    stay = told.filter(~moves).withColumn("first_id", F.col("hot_id"))
+    moved = told.filter(moves).join(counted.filter(~hot).select("payload_digest", "first_id"), "payload_digest", "left")
+    typed = stay.unionByName(moved)
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
     return typed.select("page_id", "url", "payload", "payload_digest", "payload_bytes", refers.alias("refers_to"))
 
@@ -205,8 +213,10 @@ def read_archives(spark: SparkSession, path: str, page_ids: list[int] | None = N
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
-    """Writes the archives of ``pages`` to a new shared folder and reads them back."""
+    """Writes the archives of ``pages`` to a new shared folder and reads them back, without payloads; the archives go."""
     spark = pages.sparkSession
     path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path)
-    return read_archives(spark, path, with_payload=False)
+    rows = materialize(read_archives(spark, path, with_payload=False).drop("payload"))
+    remove(spark, path)
+    return rows

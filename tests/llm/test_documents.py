@@ -7,8 +7,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from plumbline.llm import decontam, jaccard_join, license_scan, line_dedup, packing, quality_rules, warc
+from plumbline.llm import common, decontam, jaccard_join, license_scan, line_dedup, packing, quality_rules, warc
 from plumbline.llm.queries import QUERIES, TOKENIZERS
 from tests.llm.test_classifiers import EDGE, edge_docs
 
@@ -119,6 +120,39 @@ def test_archives(spark, tmp_path):
     assert warc.read_archives(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_only_pages_that_pass_the_filter_move(spark, tmp_path):
+    """Many digests repeat twice, one is hot, most are unique: record types as by hand, and the unique ones are told apart before the join."""
+    rng = random.Random(5)
+    bodies = [f"{i:06d}" * 20 for i in range(3000)]
+    html = bodies + bodies[:700] + [bodies[0]] * 900 + ["tiny"] * 40 + [None] * 3
+    ids = list(range(len(html)))
+    rng.shuffle(ids)
+    pages = spark.createDataFrame(list(zip(ids, ["u"] * len(ids), html, strict=True)), "page_id bigint, url string, html string")
+    first = {}
+    for i, h in sorted(zip(ids, html, strict=True)):
+        first.setdefault(h, i)
+    expected = {i: first[h] if h and len(h) >= 100 and first[h] != i else None for i, h in zip(ids, html, strict=True)}
+    typed = warc.with_record_types(pages)
+    assert {r["page_id"]: r["refers_to"] for r in typed.select("page_id", "refers_to").collect()} == expected
+    assert typed.count() == len(html)
+
+
+def test_filter_loses_no_key(spark, monkeypatch):
+    rows = spark.range(20_000).select("id", (F.col("id") % 5000).alias("k"), F.when(F.col("id") % 7 > 0, F.col("id").cast("string")).alias("s"))
+    keys = rows.filter("id % 11 = 0").select("k", "s").distinct()
+    told = common.with_filter(rows, keys, ["k", "s"], keys.count())
+    assert told.columns == ["id", "k", "s", "_may"] and told.count() == 20_000
+    assert told.filter("id % 11 = 0 and not _may").count() == 0
+    assert told.filter("id % 11 > 0 and _may").count() < 20_000 / 30
+    assert common.with_filter(rows, keys.limit(0), ["k", "s"], 0).filter("_may").count() == 0
+    plain = {how: sorted(r["id"] for r in common.keyed_by(rows, keys, ["k", "s"], how).collect()) for how in ("left_semi", "left_anti")}
+    monkeypatch.setattr(common, "MAX_BROADCAST_KEYS", 100)
+    for how, ids in plain.items():
+        got = common.keyed_by(rows, keys, ["k", "s"], how)
+        assert got.columns == ["k", "s", "id"]
+        assert sorted(r["id"] for r in got.collect()) == ids
+
+
 def test_bundle_is_plain_zstandard_and_seekable():
     import zstandard
 
