@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import join_by_hot_key, keyed_by, materialize, tidy
-from plumbline.llm.words import Hasher, blocks, text_bytes, word_bounds
+from plumbline.llm.words import SMALL_BLOCK, blocks, text_bytes, word_bounds, word_hashes
 
 BANDS, ROWS, SHINGLE = 20, 4, 5
 HASHES = BANDS * ROWS
@@ -57,7 +57,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     start, end, row = word_bounds(data, offsets, _words_table())
     if not len(start):
         return np.zeros(0, np.uint64), row
-    word, (weights, _) = Hasher(data)(start, end), _constants()
+    word, (weights, _) = word_hashes(data, start, end), _constants()
     n = np.bincount(row, minlength=len(offsets) - 1)
     first = np.cumsum(n) - n
     size = np.minimum(SHINGLE, n[row])
@@ -103,7 +103,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 def row_shingles(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Shingles in pieces of bounded size. A text over the piece size stays whole, since its shingles cross any cut."""
     whole = np.diff(offsets)
-    limit = max(1 << 21, int(whole.max(initial=0)))
+    limit = max(SMALL_BLOCK, int(whole.max(initial=0)))
     for first, block, at in blocks(data, offsets, limit):
         h, row = shingles(block, at)
         if len(h):

@@ -27,7 +27,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from plumbline.llm.common import MAX_BROADCAST_KEYS, join_by_hot_key, keyed_by, materialize, tidy
-from plumbline.llm.words import BLOCK_BYTES, Hasher, blocks, text_bytes
+from plumbline.llm.words import SMALL_BLOCK as BLOCK_BYTES
+from plumbline.llm.words import Hasher, blocks, text_bytes
 
 MIN_WORDS = 50
 #: Words of a unit at most.

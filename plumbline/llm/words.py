@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once.
 BLOCK_BYTES = 1 << 21
+#: The same where many numbers are made for each byte.
+SMALL_BLOCK = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -27,7 +29,10 @@ def byte_codes() -> np.ndarray:
     return rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
 
-@lru_cache(maxsize=2)
+#: Numbers of powers that a process keeps (for small blocks 16 MB). Longer rows of them are made when needed, so that no worker holds those of the longest text it met.
+KEPT_POWERS = (2 * SMALL_BLOCK, BLOCK_BYTES + (1 << 12))
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     def run(base: int) -> np.ndarray:
         out = np.empty(n, np.uint64)
@@ -43,9 +48,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return run(_BASE), run(pow(_BASE, -1, 1 << 64))
 
 
+_kept_powers = lru_cache(maxsize=len(KEPT_POWERS))(_powers)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(21, (n - 1).bit_length())
-    return _powers(size)
+    kept = next((k for k in KEPT_POWERS if n <= k), None)
+    return _kept_powers(kept) if kept else _powers(n)
 
 
 class Hasher:
@@ -61,6 +69,17 @@ class Hasher:
         return (self.sums[end] - self.sums[start]) * self.down[start]
 
 
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, limit: int = SMALL_BLOCK) -> np.ndarray:
+    """``Hasher(data)(start, end)`` of words in order that do not overlap, in about ``limit`` bytes of ``data`` at a time."""
+    out, lo = np.empty(len(start), np.uint64), 0
+    while lo < len(start):
+        base = int(start[lo])
+        hi = max(lo + 1, int(np.searchsorted(end, base + limit, "right")))
+        out[lo:hi] = Hasher(data[base:int(end[hi - 1])])(start[lo:hi] - base, end[lo:hi] - base)
+        lo = hi
+    return out
+
+
 def hash_bytes(word: bytes) -> int:
     h, step = 0, 1
     for c in word:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import common, decontam, jaccard_join, license_scan, line_dedup, packing, quality_rules, warc
+from plumbline.llm import common, decontam, jaccard_join, license_scan, line_dedup, packing, quality_rules, warc, words
 from plumbline.llm.queries import QUERIES, TOKENIZERS
 from tests.llm.test_classifiers import EDGE, edge_docs
 
@@ -137,6 +137,19 @@ def test_only_pages_that_pass_the_filter_move(spark, tmp_path):
     assert typed.count() == len(html)
 
 
+def test_word_hashes_do_not_depend_on_portions():
+    rng = random.Random(8)
+    text = " ".join("x" * rng.randrange(1, 40) + str(rng.randrange(99)) for _ in range(3000)).encode()
+    data = np.frombuffer(text, np.uint8)
+    start, end, _ = words.word_bounds(data, np.array([0, len(data)]), jaccard_join._words_table())
+    whole = words.Hasher(data)(start, end)
+    for limit in (1, 50, 1000, 1 << 19):
+        assert (words.word_hashes(data, start, end, limit) == whole).all()
+    assert [int(whole[i]) for i in (0, 1, 2999)] == [words.hash_bytes(text.split()[i]) for i in (0, 1, 2999)]
+    long = np.full(words.KEPT_POWERS[-1] + 9, ord("a"), np.uint8)
+    assert words.Hasher(long)(np.array([len(long) - 3]), np.array([len(long)]))[0] == words.hash_bytes(b"aaa")
+
+
 def test_filter_loses_no_key(spark, monkeypatch):
     rows = spark.range(20_000).select("id", (F.col("id") % 5000).alias("k"), F.when(F.col("id") % 7 > 0, F.col("id").cast("string")).alias("s"))
     keys = rows.filter("id % 11 = 0").select("k", "s").distinct()
