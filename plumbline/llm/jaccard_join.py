@@ -288,12 +288,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """edges: a, b. One row (node, component) per node of an edge; a component is named by its least node.
 
     Rounds of large-star and small-star steps, each an aggregation and a join,
-    until the edges are stars around the least nodes.
+    until the edges are stars around the least nodes. Nodes with very many edges
+    are broadcast with their least neighbour, so no task holds all edges of one.
     """
-    def contract(e: DataFrame, large: bool) -> DataFrame:
+    def contract(e: DataFrame, large: bool, most: int) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        told = both.join(least, "a")
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n_edges")).withColumn("m", F.least("a", "m"))
+        told = join_by_hot_key(both, least, ["a"], "n_edges", most)
         if large:
             return told.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
         own = least.select("a", F.col("m").alias("b"))
@@ -305,7 +306,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
     before = mark(now)
     while True:                                                 # each round shortens the longest chain, so this ends
-        now = materialize(contract(contract(now, True), False))
+        most = 2 * before[0]                                    # no step has more edges to look at
+        now = materialize(contract(materialize(contract(now, True, most)), False, most))
         after = mark(now)
         if after == before:
             break
