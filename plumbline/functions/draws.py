@@ -1,4 +1,4 @@
-"""Binomial draws from a counter: SQL text that gives the same numbers in Spark and in any other engine with lambdas.
+"""Binomial draws from a counter: SQL text that gives the same numbers in Spark and in any other engine with lambdas, and the same draws for arrays.
 
 A draw is a function of its key alone, so it can be made anywhere and again.
 Small means are drawn by inversion, others by transformed rejection (Hoermann,
@@ -8,8 +8,11 @@ Small means are drawn by inversion, others by transformed rejection (Hoermann,
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from typing import NamedTuple
 
+import numpy as np
+
 
 class Dialect(NamedTuple):
     """How an engine writes numbers from hexadecimal digits, lambdas, folds and structs."""
@@ -101,3 +104,70 @@ def binomial(t: str, p: str, key: str, d: Dialect) -> str:
         return f"CASE WHEN {t} * {p} < {SMALL_MEAN} THEN {_inversion(t, p, key, d)} ELSE {_rejection(t, p, key, d)} END"
 
     return f"CASE WHEN {t} <= 0 OR {p} <= 0E0 THEN CAST(0 AS BIGINT) WHEN {p} >= 1E0 THEN {t} WHEN {p} > 0.5E0 THEN {t} - {of(t, f'(1E0 - {p})')} ELSE {of(t, p)} END"
+
+
+def uniforms(names: list[bytes], number: int, digest: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """The two numbers that ``uniform`` takes from the first and the next 13 digits of the md5 of each name and '|number'."""
+    tail = b"|%d" % number
+    halves = np.frombuffer(b"".join([digest(name + tail).digest() for name in names]), ">u8").reshape(-1, 2).astype("u8")
+    first, second = halves[:, 0] >> np.uint64(12), (halves[:, 0] & np.uint64(0xFFF)) << np.uint64(40) | halves[:, 1] >> np.uint64(24)
+    return (first.astype(float) + 0.5) / 2.0 ** 52, (second.astype(float) + 0.5) / 2.0 ** 52
+
+
+def _inverted(t: np.ndarray, p: float, pairs: Callable) -> np.ndarray:
+    u, f = pairs(np.arange(len(t)), 0)[0], np.exp(t * math.log(1 - p))
+    c, k, odds = f.copy(), np.zeros(len(t), dtype="i8"), p / (1 - p)
+    on = np.flatnonzero(u >= c)
+    for i in range(1, STEPS + 1):
+        if not len(on):
+            break
+        f[on] = f[on] * (t[on] - i + 1) / i * odds
+        c[on] += f[on]
+        k[on] = i
+        on = on[u[on] >= c[on]]
+    return np.minimum(k, t)
+
+
+def _stirlings(k: np.ndarray) -> np.ndarray:
+    square = (k + 1) * (k + 1)
+    return np.where(k < len(STIRLING), np.take(STIRLING, np.clip(k, 0, len(STIRLING) - 1).astype(int)), (1 / 12 - (1 / 360 - 1 / 1260 / square) / square) / (k + 1))
+
+
+def _rejected(t: np.ndarray, p: float, pairs: Callable) -> np.ndarray:
+    sd, odds = np.sqrt(t * p * (1 - p)), p / (1 - p)
+    b = 1.15 + 2.53 * sd
+    a, m = -0.0873 + 0.0248 * b + 0.01 * p, np.floor((t + 1) * p)
+    out, on = np.full(len(t), -1, dtype="i8"), np.arange(len(t))
+    for i in range(1, ATTEMPTS + 1):
+        if not len(on):
+            return out
+        u, v = pairs(on, i)
+        u = u - 0.5
+        us = 0.5 - np.abs(u)
+        k = np.floor((2 * a[on] / us + b[on]) * u + t[on] * p + 0.5)
+        taken = (us >= 0.07) & (v <= 0.92 - 4.2 / b[on])
+        test = np.flatnonzero(~taken & (k >= 0) & (k <= t[on]))
+        at, kt = on[test], k[test]
+        tt, mt = t[at], m[at]
+        bound = ((mt + 0.5) * np.log((mt + 1) / (odds * (tt - mt + 1))) + (tt + 1) * np.log((tt - mt + 1) / (tt - kt + 1)) + (kt + 0.5) * np.log(odds * (tt - kt + 1) / (kt + 1))
+                 + _stirlings(mt) + _stirlings(tt - mt) - _stirlings(kt) - _stirlings(tt - kt))
+        taken[test] = np.log(v[test] * (2.83 + 5.1 / b[at]) * sd[at] / (a[at] / (us[test] * us[test]) + b[at])) <= bound
+        out[on[taken]] = k[taken].astype("i8")
+        on = on[out[on] < 0]
+    out[on] = m[on].astype("i8")
+    return out
+
+
+def binomials(t: np.ndarray, p: float, pairs: Callable[[np.ndarray, int], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The draws of ``binomial`` for an array of trials and one probability. ``pairs``: places in the array and a number -> ``uniforms`` of their names."""
+    if p <= 0:
+        return np.zeros_like(t)
+    if p >= 1:
+        return t.copy()
+    if p > 0.5:
+        return t - binomials(t, 1 - p, pairs)
+    out = np.zeros_like(t)
+    for at, draw in ((np.flatnonzero((t > 0) & (t * p < SMALL_MEAN)), _inverted), (np.flatnonzero(t * p >= SMALL_MEAN), _rejected)):
+        if len(at):
+            out[at] = draw(t[at], p, lambda places, number, at=at: pairs(at[places], number))
+    return out

@@ -155,3 +155,33 @@ def test_kappa_interval_holds_kappa_and_takes_any_label(spark):
     assert row["ci_lower"] < whole < row["ci_upper"]
     none = kappa_interval(items, labels, judged.withColumn("parse_failed", F.lit(True)), n_resamples=20).first()
     assert tuple(none) == (None, None)
+
+
+def test_draws_of_arrays_are_those_of_sql():
+    import hashlib
+
+    import duckdb
+    import numpy as np
+
+    from plumbline.functions.draws import DUCKDB, binomial, binomials, uniforms
+
+    for t, p in ((3, 0.9), (12, 0.25), (60, 0.1), (40, 0.4), (200, 0.85), (20_000, 0.3)):
+        got = binomials(np.full(3000, t), p, lambda places, number, t=t: uniforms([f"k{i}|{t}".encode() for i in places], number, hashlib.md5))
+        drawn = binomial(f"CAST({t} AS BIGINT)", f"{p}::DOUBLE", f"'k' || CAST(id AS VARCHAR) || '|{t}'", DUCKDB)
+        assert got.tolist() == [k for k, in duckdb.sql(f"SELECT {drawn} FROM (SELECT unnest(range(3000)) AS id) ORDER BY id").fetchall()]
+
+
+def test_many_states_are_drawn_in_few_stages_as_by_sql(spark, monkeypatch):
+    """All states different, dealt out two levels down the tree; a task sees a part of the states and shuffles no draw."""
+    import duckdb
+
+    from plumbline.operators import bootstrap
+
+    monkeypatch.setattr(bootstrap, "UNIT_STATES", 4)
+    n = 700
+    sums = spark.range(n).selectExpr("'c' || id AS cluster", "CAST(id AS DOUBLE) AS num", "CAST(id % 7 + 1 AS DOUBLE) AS den")
+    resampled = bootstrap.resample(sums, ["num", "den"], n_resamples=30)
+    assert "Generate" not in resampled._jdf.queryExecution().optimizedPlan().toString()      # draws are no rows
+    sql = bootstrap.tree_sql("cl", ["num", "den"], "rp", n_resamples=30)
+    expected = duckdb.sql(f"WITH RECURSIVE cl AS (SELECT i::DOUBLE AS num, (i % 7 + 1)::DOUBLE AS den FROM range({n}) r(i)) {sql} SELECT r, num, den FROM rp").fetchall()
+    assert sorted(tuple(r) for r in resampled.select("replicate", "num", "den").collect()) == sorted(expected)
