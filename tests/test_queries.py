@@ -42,3 +42,13 @@ def test_first_record_of_equal_contents_is_that_of_the_input_order(spark, sf, tm
         con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
     expected, got = con.execute(ORACLES["read_records"]).df(), QUERIES["read_records"](spark, str(tmp_path)).toPandas()
     assert _rows(got, sorted(got.columns)) == _rows(expected, sorted(expected.columns))
+
+
+@pytest.mark.parametrize("name", ["canonical_judgments", "verdict_conflicts"])
+def test_tasks_grow_in_number_not_in_size(spark, sf, monkeypatch, name):
+    from plumbline import shared
+
+    monkeypatch.setattr(shared, "ROWS_PER_TASK", 500)
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert QUERIES[name](spark, sf).rdd.getNumPartitions() == -(-lines // 500) > 4
+    test_against_sql(spark, sf, name)
