@@ -215,3 +215,18 @@ def test_leaked_texts_have_other_ids(spark):
     held_out = spark.createDataFrame([("h1", "y", " some text"), ("h2", "", None)], kind)
     got = {(r["n_calibration"], r["first_calibration"], r["n_held_out"], r["first_held_out"]) for r in adapter.leaked_texts(calibration, held_out, ["a", "b"]).collect()}
     assert got == {(2, "c1", 1, "h1"), (1, "c3", 1, "h1")}
+
+
+def test_published_sets_are_written_compressed(spark, sf, tmp_path):
+    import pathlib
+
+    from plumbline.fixtures import HELD_OUT_PAIR, view
+    from plumbline.sources import adapter
+
+    items = adapter.with_items(view(spark, sf, "fx_raw"))
+    written = adapter.publish_datasets(items, str(tmp_path), HELD_OUT_PAIR, "judge")
+    for name, folder in adapter.published(spark, str(tmp_path)).items():
+        rows = spark.read.json(folder)
+        assert rows.count() == written[name]
+        plain = sum(len(r["value"]) + 1 for r in rows.selectExpr("to_json(struct(*)) AS value").collect())
+        assert sum(f.stat().st_size for f in pathlib.Path(folder).glob("part-*")) < plain / 4
