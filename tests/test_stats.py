@@ -185,3 +185,23 @@ def test_many_states_are_drawn_in_few_stages_as_by_sql(spark, monkeypatch):
     sql = bootstrap.tree_sql("cl", ["num", "den"], "rp", n_resamples=30)
     expected = duckdb.sql(f"WITH RECURSIVE cl AS (SELECT i::DOUBLE AS num, (i % 7 + 1)::DOUBLE AS den FROM range({n}) r(i)) {sql} SELECT r, num, den FROM rp").fetchall()
     assert sorted(tuple(r) for r in resampled.select("replicate", "num", "den").collect()) == sorted(expected)
+
+
+def test_draws_by_hash_are_counted_in_tasks_and_are_those_of_the_definition(spark):
+    import hashlib
+    import statistics
+
+    sums = spark.createDataFrame([(f"c{n}", float(n % 5), 1.0 + n % 3) for n in range(150)], "cluster string, num double, den double")
+    rows = sorted(sums.collect(), key=lambda r: hashlib.md5(r["cluster"].encode()).hexdigest())
+    rates = []
+    for r in range(40):
+        drawn = [rows[int(int(hashlib.md5(f"7|{r}|{slot}".encode()).hexdigest()[:8], 16) / 4294967296.0 * 150)] for slot in range(150)]
+        rates.append(sum(x["num"] for x in drawn) / sum(x["den"] for x in drawn))
+    cuts = statistics.quantiles(rates, n=40, method="inclusive")
+    for sizes in ({}, {"block": 64, "chunk": 40}, {"block": 8, "chunk": 1000}):                 # one block; several, with places; several, with counts
+        found = bootstrap_hash_ci(sums, n_resamples=40, **sizes)
+        assert "xplode" not in found._jdf.queryExecution().toString()                           # no row per draw
+        got = found.first()
+        assert (got["ci_lower"], got["ci_upper"]) == (pytest.approx(cuts[0]), pytest.approx(cuts[-1]))
+    none = bootstrap_hash_ci(sums.limit(0), n_resamples=5).first()
+    assert (none["ci_lower"], none["ci_upper"]) == (None, None)
