@@ -129,6 +129,8 @@ def _ask_in_rounds(pending: DataFrame, backend: Callable[[str, str], tuple[str,
     A round's replies are written before the next round begins: all of them
     beside the log, and to the log what may be kept. A round that is run again
     finds what it has written. A backend that raises costs its own request alone.
+    A round takes up to ``in_flight`` files, each of them asked in one task, so
+    prompts are shuffled neither into the queue nor out of it.
     """
     spark = pending.sparkSession
 
@@ -145,18 +147,20 @@ def _ask_in_rounds(pending: DataFrame, backend: Callable[[str, str], tuple[str,
     def one_round(batch: DataFrame, number: int) -> None:
         here = f"{run}/asked/round={number}"
         if not exists(spark, f"{here}/_SUCCESS"):
-            batch.repartition(in_flight, "key").mapInPandas(call, _ASKED).write.mode("overwrite").parquet(here)
+            batch.mapInPandas(call, _ASKED).write.mode("overwrite").parquet(here)
         if not exists(spark, f"{run}/kept/{number}"):
             keep_replies(spark.read.schema(_ASKED).parquet(here), log)
             point_to(spark, f"{run}/kept/{number}", "log")
 
     queue = f"{run}/queue"
     waiting = settled(pending.select("key", "system", "user"))
-    rounds = -(-waiting.count() // round_size)
-    if not rounds:
+    asked = waiting.count()
+    if not asked:
         return
-    waiting.repartition(rounds, "key").write.option("maxRecordsPerFile", round_size).parquet(queue)
-    stream = spark.readStream.schema(waiting.schema).option("maxFilesPerTrigger", 1).parquet(queue)
+    rounds, files = -(-asked // round_size), min(in_flight, round_size)
+    rows = min(round_size // files, -(-asked // (rounds * files)))
+    waiting.coalesce(rounds).write.option("maxRecordsPerFile", rows).parquet(queue)
+    stream = spark.readStream.schema(waiting.schema).option("maxFilesPerTrigger", files).parquet(queue)
     stream.writeStream.foreachBatch(one_round).option("checkpointLocation", f"{run}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     remove(spark, queue)
     remove(spark, f"{run}/checkpoint")
