@@ -363,11 +363,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float =
 
     components = connected_components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("rep").agg(F.sum("n_links").alias("n_far"))
-    # Least head of every component, for single classes the class itself.
-    told = classes.select("rep", "size", "head", *digest).join(components.withColumnRenamed("node", "rep"), "rep", "left").join(
-        counts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    # Least head of every component, for single classes the class itself. Both steps are used twice below; a plan that held
+    # all their copies would be planned anew and told to the driver's listeners after each of its many stages.
+    told = materialize(classes.select("rep", "size", "head", *digest).join(components.withColumnRenamed("node", "rep"), "rep", "left").join(
+        counts, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
     heads = told.groupBy("component").agg(F.min("head").alias("class_head"))
-    told = told.join(heads, "component").select(*digest, "size", "class_head", F.coalesce("n_far", F.lit(0)).alias("n_far"))
+    told = materialize(told.join(heads, "component").select(*digest, "size", "class_head", F.coalesce("n_far", F.lit(0)).alias("n_far")))
     slim = signed.select("doc_id", "row_key", "text_key", *digest)
     known = join_by_hot_key(slim.filter("n_shingles > 0"), told, digest, "size", signed.count()).select(
         "doc_id", F.col("class_head.doc_id").alias("class_id"), (F.col("n_far") + F.col("size") - 1).alias("n_links"), "row_key", "text_key",

@@ -559,6 +559,13 @@ def test_near_duplicates_against_brute_force(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for c, _ in brute_links(texts).values()})
 
 
+def test_near_duplicates_leave_a_small_plan(spark):
+    """Classes are told once, not in every branch of the last plan."""
+    docs = spark.createDataFrame([(n, f"one two three four five six {n % 3}") for n in range(9)], "doc_id bigint, text string")
+    plan = jaccard_join.near_duplicates(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 3
+
+
 def test_near_duplicate_edges(spark):
     docs = edge_docs(spark)
     out = jaccard_join.near_duplicates(docs).collect()
