@@ -137,8 +137,29 @@ def _chosen(data: np.ndarray, offsets: np.ndarray, k: int, w: int) -> tuple[np.n
     return row[at], at - first[row[at]], step, link, plain, begin[at], stop[at + k - 1], starts
 
 
+def _inner(row: np.ndarray, place: np.ndarray, step: np.ndarray, link: np.ndarray, digest: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which units stay, and whether the equal units up to the next one that stays are left out, where a few words repeat over and over.
+
+    There each repetition is a unit with equal words on both sides, so all of
+    them are joined or none is, and as they touch, their spans are one span in
+    both cases. Those within ``w`` words of the run's end stay: further ones
+    can't reach beyond it. The first and last unit of a run are no inner ones.
+    """
+    n = len(row)
+    inner = np.zeros(n, bool)
+    if n > 2:
+        alike = (row[1:] == row[:-1]) & (digest[1:] == digest[:-1]).all(1) & (step[:-1] <= k)
+        inner[1:-1] = alike[:-1] & alike[1:] & (step[:-2] == step[1:-1]) & (link[:-2] == link[1:-1])
+    stay, goes_on = np.ones(n, bool), np.zeros(n, bool)
+    if inner.any():
+        last = np.minimum.accumulate(np.where(inner, n, np.arange(n))[::-1])[::-1]
+        stay[1:] = ~(inner[1:] & inner[:-1] & (place[last[1:]] - place[1:] >= w))
+        goes_on[:-1] = stay[:-1] & ~stay[1:]
+    return stay, goes_on
+
+
 def _units_of(data: np.ndarray, offsets: np.ndarray, k: int, w: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Arrays of row, place, hashes of the words on both sides and digest (high, low) of the units of a batch of texts, block by block.
+    """Arrays of row, place, hashes of the words on both sides, digest (high, low) and goes_on of the units of a batch of texts, block by block.
 
     A text over one block is read in blocks that overlap by more than the words
     that decide on a unit and its neighbours, so the cuts leave no trace.
@@ -154,7 +175,9 @@ def _units_of(data: np.ndarray, offsets: np.ndarray, k: int, w: int) -> Iterator
         mine, raw = np.flatnonzero((place >= own) & (place < end)), plain.tobytes()
         digest = b"".join(xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(begin[mine].tolist(), stop[mine].tolist(), strict=True))
         both = np.frombuffer(digest, ">i8").astype(np.int64).reshape(-1, 2)
-        yield first + row[mine], place[mine], beside[mine].view(np.int64), both[:, 0], both[:, 1]
+        stay, goes_on = _inner(row[mine], place[mine], step[mine], link[mine], both, k, w)
+        mine, both = mine[stay], both[stay]
+        yield first + row[mine], place[mine], beside[mine].view(np.int64), both[:, 0], both[:, 1], goes_on[stay]
 
     row = 0
     while row < len(offsets) - 1:
@@ -190,9 +213,10 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, row_key, place (in words), beside and the 128-bit digest (high, low) of every unit.
+    """doc_id, row_key, place (in words), beside, the 128-bit digest (high, low) and goes_on of every unit but inner ones of long runs.
 
     ``beside`` holds two 32-bit hashes, of all words back to the unit before and on to the next one; 0 without such a unit.
+    ``goes_on``: units equal to this one, each touching the one before, are left out up to the next unit.
     """
     k, w = unit_shape(min_words)
 
@@ -204,13 +228,13 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
             for row, *columns in portions:
                 take = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(take), batch.column("row_key").take(take), *(pa.array(np.ascontiguousarray(c), pa.int64()) for c in columns)],
-                    ["doc_id", "row_key", "place", "beside", "high", "low"])
+                    [batch.column("doc_id").take(take), batch.column("row_key").take(take), *(pa.array(np.ascontiguousarray(c)) for c in columns)],
+                    ["doc_id", "row_key", "place", "beside", "high", "low", "goes_on"])
 
     rows = _keyed(docs, id_col, text_col).filter(F.col("text").isNotNull())
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.select("doc_id", "row_key", "text").mapInArrow(
-        tidy(run), f"doc_id {kind}, row_key bigint, place bigint, beside bigint, high bigint, low bigint")
+        tidy(run), f"doc_id {kind}, row_key bigint, place bigint, beside bigint, high bigint, low bigint, goes_on boolean")
 
 
 class _Text:
@@ -302,9 +326,9 @@ def _ends(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFr
         (F.col("row_key") != F.col("first.row_key")) | (F.col("place") != F.col("first.place")))
     # Equal rows have equal units, of which one is looked at; the window below needs no further shuffle.
     found = found.repartition("row_key").dropDuplicates(["row_key", "place"])
-    # A span goes on from a unit to the next one if the words between them are those beside the kept occurrence of either.
+    # A span goes on from a unit to the next one if the words between them are those beside the kept occurrence of either, or units left out.
     in_text = Window.partitionBy("row_key").orderBy("place")
-    linked = found.select("row_key", "place", "first", same(32).alias("to_left"), same(0).alias("to_right")).select(
+    linked = found.select("row_key", "place", "first", same(32).alias("to_left"), (F.col("goes_on") | same(0)).alias("to_right")).select(
         "row_key", "place", F.col("first.doc_id").alias("kept"), F.col("first.row_key").alias("kept_row"), F.col("first.place").alias("kept_place"),
         (F.col("to_left") | F.lag("to_right", 1, False).over(in_text)).alias("joined_left"),
         (F.col("to_right") | F.lead("to_left", 1, False).over(in_text)).alias("joined_right"))

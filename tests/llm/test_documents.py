@@ -267,6 +267,26 @@ def test_repeats_inside_lines_and_edges(spark):
     assert line_dedup.without_repeats(docs.limit(0)).count() == 0
 
 
+def test_a_few_words_over_and_over_are_few_units(spark):
+    """Texts that repeat a phrase hundreds of times send no unit for each time, and are cut as whole spans."""
+    rng = random.Random(23)
+    prose = lambda n: [str(rng.randrange(10 ** 7)) for _ in range(n)]
+    texts = {}
+    for n in (1, 2, 3, 8, 16, 17):
+        phrase, after = prose(n), prose(40)
+        run = lambda m: [phrase[i % n] for i in range(m)]  # noqa: B023, E731
+        for words in (prose(40) + run(17 + n) + after, prose(9) + run(900) + after, run(300) + prose(30) + run(900)):
+            texts[len(texts)] = " ".join(words)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    per_text = {r["doc_id"]: r["count"] for r in line_dedup.units(docs).groupBy("doc_id").count().collect()}
+    assert max(per_text.values()) <= 100 and sum(per_text.values()) <= 500     # 1,174 and 4,349 if each time is a unit
+    cuts = defaultdict(list)
+    for r in line_dedup.removed_spans(docs).collect():
+        cuts[r["doc_id"]].append((r["start"], r["start"] + r["length"]))
+    check_cuts(texts, cuts)
+    assert max(map(len, cuts.values())) <= 2
+
+
 def test_repeats_in_scripts_without_spaces(spark):
     shared = "所有权利均由作者保留未经许可不得转载" "すべての権利は著者に帰属します" "สงวนลิขสิทธิ์ทุกประการ"
     docs = spark.createDataFrame([(1, f"前{shared}。后"), (2, f"İ漢字{shared}とภาษ"), (3, shared[:30])], "doc_id bigint, text string")
